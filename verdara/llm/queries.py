@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verdara.llm.bpe import op2_bpe
 from verdara.llm.langid import op1_langid
+from verdara.llm.ngram_join import op10_ngram_join
 
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_bpe": op2_bpe,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {}
