@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +18,19 @@ CHUNK_BYTES = 2 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` and cut its lineage with a checkpoint in the shared folder.
+    """Run ``df`` once and cut its lineage: write it as a table in the shared folder and read it back.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests,
-    notebooks on one machine) a temporary folder is used.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one
+    machine) a temporary folder is used. Unlike checkpoint(), this computes the rows only once.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="spark-tables-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,27 +11,21 @@ from verdara.llm.common import cut
 def connected(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``edges(a long, b long)``; nodes of one component share a label.
 
-    Every round maps each node to the least of itself and its neighbours, follows that pointer once
-    more, and contracts the edges. Even rounds compare ids, which ends stars at once; odd rounds
+    Every round maps each node to the least of itself and its neighbours and contracts the edges;
+    the maps are composed at the end. Even rounds compare ids, which ends stars at once; odd rounds
     compare hashes, which halves long paths. Nulls and self-loops are ignored; repeated edges count once.
     """
     left = cut(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct())
-    labels: DataFrame | None = None
+    labels = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     turn = 0
     while not left.isEmpty():
-        order = (lambda c: F.col(c)) if turn % 2 == 0 else (lambda c, t=turn: F.xxhash64(F.col(c), F.lit(t)))
+        key = F.col if turn % 2 == 0 else (lambda c, t=turn: F.xxhash64(F.col(c), F.lit(t)))
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy("a").agg(F.min(F.struct(order("b").alias("o"), F.col("b").alias("id"))).alias("m"))
-        own = F.struct(order("a").alias("o"), F.col("a").alias("id"))
-        step = cut(step.select(F.col("a").alias("node"), F.least(F.col("m"), own)["id"].alias("to")))
-        over = step.select(F.col("node").alias("to"), F.col("to").alias("top"))
-        step = cut(step.join(over, "to").select("node", F.col("top").alias("to")))
-        if labels is None:
-            labels = step.select("node", F.col("to").alias("label"))
-        else:
-            labels = labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            labels = cut(labels)
-        left = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        left = cut(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        near = both.groupBy("a").agg(F.min(F.struct(key("b").alias("o"), F.col("b").alias("id"))).alias("m"))
+        own = F.struct(key("a").alias("o"), F.col("a").alias("id"))
+        step = cut(near.select(F.col("a").alias("node"), F.least(F.col("m"), own)["id"].alias("to")))
+        labels = labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        ends = left.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        left = cut(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         turn += 1
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
+    return cut(labels)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verdara.llm.bpe import op2_bpe
+from verdara.llm.decontaminate import op6_decontaminate
 from verdara.llm.langid import op1_langid
 from verdara.llm.ngram_join import op10_ngram_join
 
@@ -12,6 +13,7 @@ from verdara.llm.ngram_join import op10_ngram_join
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_bpe": op2_bpe,
+    "op6_decontaminate": op6_decontaminate,
     "op10_ngram_join": op10_ngram_join,
 }
 
