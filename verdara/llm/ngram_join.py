@@ -297,15 +297,22 @@ def _links(docs: DataFrame, rows: DataFrame, family: DataFrame, n: int, percent:
 
 
 def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``; n words a gram, links at ``percent`` of the union."""
+    """``doc_id, key, n_shingles, component_id`` of every row of ``docs(doc_id, text)``; n words a gram, links at ``percent`` of the union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(describe(docs, n, percent))
     family = connected(meeting(rows)).select("node", F.col("label").alias("family"))
     label = connected(_links(docs, rows, family, n, percent))
-    flat = rows.select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    flat = rows.select("doc_id", "key", "n_shingles", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = flat.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return flat.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return flat.join(least, "label", "left").select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, all columns, that name their component; repeated rows once, rows without any id in their component all."""
+    keys = components(docs, n, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("key").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"))
+    return rows.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

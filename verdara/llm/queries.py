@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
+import corpus_pipeline
 from verdara.llm.bpe import op2_bpe
 from verdara.llm.decontaminate import op6_decontaminate
+from verdara.llm.html_text import op7_html_text
 from verdara.llm.langid import op1_langid
 from verdara.llm.ngram_join import op10_ngram_join
-
+from verdara.llm.pii import op3_pii
+from verdara.llm.quality import op8_quality
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
     "op6_decontaminate": op6_decontaminate,
+    "op7_html_text": op7_html_text,
+    "op8_quality": op8_quality,
     "op10_ngram_join": op10_ngram_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
