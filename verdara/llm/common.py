@@ -30,7 +30,45 @@ def cut(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.table_path = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table written by ``cut`` once everything made from it is itself written."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.table_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of the membership filter: its size is fixed, whatever the number of members.
+FILTER_BITS = 1 << 25
+
+
+def only_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose long ``key`` is not in ``members``; no member is lost.
+
+    A Bloom filter of fixed size is broadcast, so a following join shuffles little more than the
+    rows it needs. With very many members the filter passes more rows, never fewer.
+    """
+    spots = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_BITS)) for i in range(3)]
+    bit = F.explode(F.array(*spots))
+    words = members.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for i in range(3):
+                at = batch.column(batch.num_columns - 3 + i).to_numpy(zero_copy_only=False).astype(np.uint64)
+                keep &= (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield batch.select(range(batch.num_columns - 3)).filter(pa.array(keep))
+
+    return rows.select("*", *(s.alias(f"_spot{i}") for i, s in enumerate(spots))).mapInArrow(run, rows.schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import WordHasher, chunks, cut, lower_words_of, mix64, rolling, row_key
+from verdara.llm.common import WordHasher, chunks, cut, discard, lower_words_of, mix64, only_members, rolling, row_key
 from verdara.llm.components import connected
 
 #: Rows of one block of a family, pivot rows added to each, and the size up to which a family is one unit.
@@ -193,16 +193,18 @@ def meeting(rows: DataFrame) -> DataFrame:
             by = np.argsort(part.astype(np.uint32), kind="stable")
             keys, owner, part = keys[by], owner[by], part[by]
             edges = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
-            payload = [keys[i:j].tobytes() + owner[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+            low = keys.astype(np.uint32)  # with the part, enough of the key: a chance meeting is only one more candidate
+            payload = [owner[i:j].tobytes() + low[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int32)), pa.array(payload, pa.binary())], ["part", "payload"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for batch in batches:
-            for payload in batch.column(1):
-                both = np.frombuffer(payload.as_buffer(), np.int64)
-                keys.append(both[: len(both) // 2])
-                owner.append(both[len(both) // 2 :])
+            for part, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = payload.as_buffer()
+                n = data.size // 12
+                owner.append(np.frombuffer(data, np.int64, n))
+                keys.append(np.frombuffer(data, np.uint32, n, 8 * n).astype(np.int64) | part << 32)
         k, o = np.concatenate(keys), np.concatenate(owner)
         keys.clear(), owner.clear()
         if not len(k):
@@ -248,7 +250,7 @@ def units(rows: DataFrame, work: Callable[[list[np.ndarray], np.ndarray], list[t
 
 def family_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """``members`` with the n-gram set of the row named by ``key``, read again from the whole text."""
-    rows = docs.select(row_key().alias("key"), "text").join(members, "key").select("node", "family", "g", "text")
+    rows = only_members(docs.select(row_key().alias("key"), "text"), members, "key").join(members, "key").select("node", "family", "g", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -266,7 +268,8 @@ def _links(docs: DataFrame, rows: DataFrame, family: DataFrame, n: int, percent:
     """Edges ``a, b`` that span every component of the exact link relation between n-gram sets."""
     size = family.groupBy("family").agg(F.count("*").alias("g"))
     shown = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
-    sets = cut(family_sets(docs, family.join(size, "family").join(shown, "node"), n))
+    members = cut(family.join(size, "family").join(shown, "node"))
+    sets = cut(family_sets(docs, members, n))
     blocks = F.when(F.col("g") <= WHOLE, F.lit(1)).otherwise(F.ceil(F.col("g") / BLOCK_ROWS)).cast("int")
     sets = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     pivot = (F.col("g") > WHOLE) & (F.pmod(F.xxhash64("node", F.lit(2)), F.col("g")) < PIVOTS)
@@ -278,7 +281,7 @@ def _links(docs: DataFrame, rows: DataFrame, family: DataFrame, n: int, percent:
 
     found = cut(units(placed.withColumn("unit", F.xxhash64("family", "at")).withColumn("side", F.lit(0)), whole))
 
-    large = sets.where(F.col("g") > WHOLE).join(connected(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    large = sets.where(F.col("g") > WHOLE).drop("grams").join(connected(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = large.groupBy("family", "label").agg(F.count("*").alias("c")).groupBy("family")
     top = counts.agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
     groups = F.ceil((F.col("all") - F.col("most")) / PIVOTS).cast("int")
@@ -286,6 +289,7 @@ def _links(docs: DataFrame, rows: DataFrame, family: DataFrame, n: int, percent:
     if large.isEmpty():
         return found
     group = F.pmod(F.xxhash64("node", F.lit(3)), F.col("groups")).cast("int")
+    large = large.join(sets.select("node", "grams"), "node")
     outside = large.where("outside").withColumn("group", group).withColumn("at", F.explode(everywhere)).withColumn("side", F.lit(0))
     inside = large.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("at", F.col("block")).withColumn("side", F.lit(1))
     crossed = outside.select("family", "at", "group", "node", "side", "grams").unionByName(inside.select("family", "at", "group", "node", "side", "grams"))
@@ -299,8 +303,10 @@ def _links(docs: DataFrame, rows: DataFrame, family: DataFrame, n: int, percent:
 def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, key, n_shingles, component_id`` of every row of ``docs(doc_id, text)``; n words a gram, links at ``percent`` of the union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(describe(docs, n, percent))
-    family = connected(meeting(rows)).select("node", F.col("label").alias("family"))
+    full = cut(describe(docs, n, percent))
+    rows = cut(full.drop("keys"))
+    family = connected(meeting(full)).select("node", F.col("label").alias("family"))
+    discard(full)
     label = connected(_links(docs, rows, family, n, percent))
     flat = rows.select("doc_id", "key", "n_shingles", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = flat.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
