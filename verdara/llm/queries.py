@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from verdara.llm.bpe import op2_bpe
 from verdara.llm.decontaminate import op6_decontaminate
+from verdara.llm.embedding_dedup import op9_embedding_dedup
 from verdara.llm.html_text import op7_html_text
 from verdara.llm.langid import op1_langid
 from verdara.llm.ngram_join import op10_ngram_join
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_html_text": op7_html_text,
     "op8_quality": op8_quality,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
     "pipeline": corpus_pipeline.run,
 }
