@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -42,6 +43,16 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of results that are written and no longer referred to.
+
+    The context cleaner follows the driver's garbage collection, which Spark itself only asks for
+    every half hour (spark.cleaner.periodicGC.interval).
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bits of the membership filter: its size is fixed, whatever the number of members.
 FILTER_BITS = 1 << 25
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import WordHasher, chunks, cut, discard, lower_words_of, mix64, only_members, rolling, row_key
+from verdara.llm.common import WordHasher, chunks, cut, discard, lower_words_of, mix64, only_members, release, rolling, row_key
 from verdara.llm.components import connected
 
 #: Rows of one block of a family, pivot rows added to each, and the size up to which a family is one unit.
@@ -270,6 +270,7 @@ def _links(docs: DataFrame, rows: DataFrame, family: DataFrame, n: int, percent:
     shown = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
     members = cut(family.join(size, "family").join(shown, "node"))
     sets = cut(family_sets(docs, members, n))
+    release(docs.sparkSession)
     blocks = F.when(F.col("g") <= WHOLE, F.lit(1)).otherwise(F.ceil(F.col("g") / BLOCK_ROWS)).cast("int")
     sets = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     pivot = (F.col("g") > WHOLE) & (F.pmod(F.xxhash64("node", F.lit(2)), F.col("g")) < PIVOTS)
@@ -281,6 +282,7 @@ def _links(docs: DataFrame, rows: DataFrame, family: DataFrame, n: int, percent:
 
     found = cut(units(placed.withColumn("unit", F.xxhash64("family", "at")).withColumn("side", F.lit(0)), whole))
 
+    release(docs.sparkSession)
     large = sets.where(F.col("g") > WHOLE).drop("grams").join(connected(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = large.groupBy("family", "label").agg(F.count("*").alias("c")).groupBy("family")
     top = counts.agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
@@ -307,6 +309,7 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     rows = cut(full.drop("keys"))
     family = connected(meeting(full)).select("node", F.col("label").alias("family"))
     discard(full)
+    release(docs.sparkSession)
     label = connected(_links(docs, rows, family, n, percent))
     flat = rows.select("doc_id", "key", "n_shingles", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = flat.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
