@@ -8,6 +8,7 @@ from verdara.llm.decontaminate import op6_decontaminate
 from verdara.llm.embedding_dedup import op9_embedding_dedup
 from verdara.llm.html_text import op7_html_text
 from verdara.llm.langid import op1_langid
+from verdara.llm.lm_score import op5_lm_score
 from verdara.llm.ngram_join import op10_ngram_join
 from verdara.llm.pii import op3_pii
 from verdara.llm.quality import op8_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
+    "op5_lm_score": op5_lm_score,
     "op6_decontaminate": op6_decontaminate,
     "op7_html_text": op7_html_text,
     "op8_quality": op8_quality,
