@@ -57,9 +57,11 @@ def release(spark: SparkSession) -> None:
 FILTER_BITS = 1 << 25
 
 
-def only_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+def only_members(rows: DataFrame, members: DataFrame, key: str, others: bool = False) -> DataFrame:
     """``rows`` without most of those whose long ``key`` is not in ``members``; no member is lost.
 
+    With ``others``, exactly the rows that the call without it leaves out.
+
     A Bloom filter of fixed size is broadcast, so a following join shuffles little more than the
     rows it needs. With very many members the filter passes more rows, never fewer.
     """
@@ -77,7 +79,7 @@ def only_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
             for i in range(3):
                 at = batch.column(batch.num_columns - 3 + i).to_numpy(zero_copy_only=False).astype(np.uint64)
                 keep &= (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-            yield batch.select(range(batch.num_columns - 3)).filter(pa.array(keep))
+            yield batch.select(range(batch.num_columns - 3)).filter(pa.array(keep != others))
 
     return rows.select("*", *(s.alias(f"_spot{i}") for i, s in enumerate(spots))).mapInArrow(run, rows.schema)
 

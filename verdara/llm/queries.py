@@ -12,11 +12,13 @@ from verdara.llm.lm_score import op5_lm_score
 from verdara.llm.ngram_join import op10_ngram_join
 from verdara.llm.pii import op3_pii
 from verdara.llm.quality import op8_quality
+from verdara.llm.substring_dedup import op4_substring_dedup
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_lm_score": op5_lm_score,
     "op6_decontaminate": op6_decontaminate,
     "op7_html_text": op7_html_text,
