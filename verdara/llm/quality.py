@@ -36,6 +36,11 @@ BLOCK = 64
 FEATURES = 4 * DIM + 4
 
 
+NOT_WORD = re.compile(r"\W+")
+#: Text worked on at once in the numeric parts, so that its arrays stay in the processor's cache.
+PIECE = 1 << 18
+
+
 def shape(word: str) -> str:
     """``Word,`` is ``Aa,``; ``is%%%`` is ``a%``: case, digits and symbols without lengths."""
     out = []
@@ -46,20 +51,21 @@ def shape(word: str) -> str:
     return "".join(out)
 
 
-class Buckets:
-    """Bucket pair of each token, cached up to a bound."""
+class Buckets(dict):
+    """Bucket pair of each token, computed when first asked for and kept up to a bound."""
+
+    LIMIT = 400_000
 
-    def __init__(self, limit: int = 400_000) -> None:
-        self.limit, self.cache = limit, {}
+    def __missing__(self, token: str) -> int:
+        stem = NOT_WORD.sub("", token).lower() or token
+        word = xxhash.xxh32_intdigest(stem.encode("utf-8", "replace"), 1) % WORDS
+        self[token] = both = word << 16 | WORDS + xxhash.xxh32_intdigest(shape(token).encode("utf-8", "replace"), 2) % SHAPES
+        return both
 
-    def __call__(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        for token in set(tokens).difference(self.cache):
-            stem = re.sub(r"\W+", "", token).lower() or token
-            word = xxhash.xxh32_intdigest(stem.encode("utf-8", "replace"), 1) % WORDS
-            self.cache[token] = word << 16 | WORDS + xxhash.xxh32_intdigest(shape(token).encode("utf-8", "replace"), 2) % SHAPES
-        both = np.fromiter(map(self.cache.__getitem__, tokens), np.int64, len(tokens))
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > self.LIMIT:
+            self.clear()
+        both = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         return both >> 16, both & 0xFFFF
 
 
@@ -74,33 +80,32 @@ def index_vectors() -> np.ndarray:
 
 def _streams(texts: list[str | None], buckets: Buckets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word and shape buckets of all texts, each followed by blanks, and the token counts."""
-    words, shapes, sizes = [], [], np.zeros(len(texts), np.int64)
-    blank = np.full(REACH, BUCKETS)
-    for i, text in enumerate(texts):
-        tokens = text.split() if text else []
-        w, s = buckets(tokens)
-        words += [w, blank]
-        shapes += [s, blank]
-        sizes[i] = len(tokens)
-    return np.concatenate(words), np.concatenate(shapes), sizes
+    tokens = [(text or "").split() for text in texts]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    w, s = buckets.of([t for row in tokens for t in row])
+    at = np.arange(len(w)) + REACH * np.repeat(np.arange(len(sizes)), sizes)
+    words, shapes = (np.full(len(w) + REACH * len(sizes), BUCKETS) for _ in range(2))
+    words[at], shapes[at] = w, s
+    return words, shapes, sizes
 
 
 def context_table(docs: DataFrame) -> np.ndarray:
     """Unit vectors of all buckets, from the surroundings of their occurrences in every document."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, index = Buckets(), index_vectors()
-        table = np.zeros((BUCKETS + 1, DIM), np.float64)
+        buckets, index = Buckets(), np.ascontiguousarray(index_vectors().T)
+        table = np.zeros((DIM, BUCKETS + 1))
         for batch in batches:
-            for part in chunks(batch, limit=1 << 20):
+            for part in chunks(batch, limit=PIECE):
                 w, s, _ = _streams(part.column(0).to_pylist(), buckets)
-                own = np.zeros((len(w) + 2 * REACH, DIM), np.float32)
-                own[REACH:-REACH] = index[w] + index[s]
-                around = sum(own[REACH + k : len(w) + REACH + k] for k in (-2, -1, 1, 2))
+                n = len(w)
+                own = np.zeros((DIM, n + 2 * REACH), np.float32)
+                own[:, REACH : n + REACH] = index[:, w] + index[:, s]
+                around = own[:, :n] + own[:, 1 : n + 1] + own[:, 3 : n + 3] + own[:, 4 : n + 4]
                 for d in range(DIM):
-                    column = np.ascontiguousarray(around[:, d])
-                    table[:, d] += np.bincount(w, column, BUCKETS + 1) + np.bincount(s, column, BUCKETS + 1)
-        blocks = table[:BUCKETS].astype(np.float32).reshape(-1, BLOCK * DIM)
+                    table[d] += np.bincount(w, around[d], BUCKETS + 1)
+                    table[d] += np.bincount(s, around[d], BUCKETS + 1)
+        blocks = table[:, :BUCKETS].T.astype(np.float32).reshape(-1, BLOCK * DIM)
         used = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["block", "sums"])
 
@@ -126,22 +131,22 @@ def pooled(docs: DataFrame, table: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, vectors = Buckets(), shared.value
+        buckets, vectors = Buckets(), np.ascontiguousarray(shared.value.T)
         for batch in batches:
-            for part in chunks(batch, limit=1 << 20):
+            for part in chunks(batch, limit=PIECE):
                 w, s, sizes = _streams(part.column(1).to_pylist(), buckets)
                 start = np.cumsum(sizes + REACH) - sizes - REACH
-                count = np.maximum(sizes, 1)[:, None]
+                count = np.maximum(sizes, 1)
                 out = []
                 for stream in (w, s):
-                    v = vectors[stream]
-                    mean = np.add.reduceat(v, start, axis=0) / count
-                    spread = np.sqrt(np.maximum(np.add.reduceat(v * v, start, axis=0) / count - mean * mean, 0))
-                    near = np.zeros(len(v), np.float32)
-                    near[1:] = (v[1:] * v[:-1]).sum(1)
-                    out += [mean, spread, np.add.reduceat(near, start)[:, None] / count]
-                out += [np.log1p(sizes)[:, None], (sizes == 0)[:, None]]
-                features = np.hstack(out).astype(np.float32)
+                    v = vectors[:, stream]
+                    near = np.einsum("ij,ij->j", v[:, 1:], v[:, :-1])
+                    mean = np.add.reduceat(v, start, axis=1) / count
+                    v *= v
+                    spread = np.sqrt(np.maximum(np.add.reduceat(v, start, axis=1) / count - mean * mean, 0))
+                    out += [mean, spread, (np.add.reduceat(np.append(0, near), start) / count)[None]]
+                out += [np.log1p(sizes)[None], (sizes == 0)[None]]
+                features = np.ascontiguousarray(np.vstack(out).T, np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f.tobytes() for f in features], pa.binary())], ["doc_id", "vector"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, vector binary")
