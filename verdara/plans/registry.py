@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from verdara.plans import evaluation, facts, retrieval, streams
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for part in (retrieval, facts, evaluation, streams):
+    QUERIES.update(part.QUERIES)
+    ORACLES.update(part.ORACLES)
