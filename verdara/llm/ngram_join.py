@@ -221,69 +221,58 @@ def meeting(rows: DataFrame) -> DataFrame:
     return packed.repartition("part").mapInArrow(meet, "a long, b long").distinct()
 
 
-def units(rows: DataFrame, work: Callable[[list[np.ndarray], np.ndarray], list[tuple[int, int]]]) -> DataFrame:
-    """Edges ``a, b`` that ``work(sets, side)`` finds in each unit of ``rows(unit, node, side, grams)``."""
+def units(rows: DataFrame, n: int, work: Callable[[list[np.ndarray], int], list[tuple[int, int]]]) -> DataFrame:
+    """Edges ``a, b`` that ``work(sets, how many of side 0)`` finds in each unit of ``rows(unit, node, side, text)``.
+
+    Texts travel, not their n-gram sets, which are larger; the sets are made where they are multiplied.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, nodes, side, sets = None, [], [], []
+        hasher = WordHasher()
+        unit: int | None = None
+        held: dict[tuple[int, int], np.ndarray] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(nodes) > 1:
-                order = np.argsort(side, kind="stable")
-                found = work([sets[i] for i in order], np.array(side)[order])
+            if len(held) > 1:
+                names = sorted(held)
+                found = work([held[k] for k in names], sum(side == 0 for side, _ in names))
                 if found:
-                    ends = np.array([[nodes[order[a]], nodes[order[b]]] for a, b in found], np.int64)
+                    ends = np.array([[names[a][1], names[b][1]] for a, b in found], np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
         for batch in batches:
-            for u, node, s, grams in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for i in range(batch.num_rows):
+                u, node, side = (batch.column(c)[i].as_py() for c in range(3))
                 if u != unit:
                     yield from flush()
-                    unit, nodes, side, sets = u, [], [], []
-                nodes.append(node)
-                side.append(s)
-                sets.append(np.frombuffer(grams, np.uint64))
+                    unit = u
+                    held.clear()
+                if (side, node) not in held:
+                    held[side, node] = ngram_set(hasher(lower_words_of(batch.column(3)[i].as_py())), n)
         yield from flush()
 
-    return rows.select("unit", "node", "side", "grams").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
-
-
-def family_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """``members`` with the n-gram set of the row named by ``key``, read again from the whole text."""
-    rows = only_members(docs.select(row_key().alias("key"), "text"), members, "key").join(members, "key").select("node", "family", "g", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        seen: set[int] = set()
-        for batch in batches:
-            fresh = [i for i, node in enumerate(batch.column(0).to_pylist()) if not (node in seen or seen.add(node))]
-            for part in chunks(batch.take(pa.array(fresh, pa.int64()))):
-                grams = [ngram_set(hasher(lower_words_of(t)), n).tobytes() for t in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(grams, pa.binary())], ["node", "family", "g", "grams"])
-
-    return rows.mapInArrow(run, "node long, family long, g long, grams binary")
+    return rows.select("unit", "node", "side", "text").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
 def _links(docs: DataFrame, rows: DataFrame, family: DataFrame, n: int, percent: int) -> DataFrame:
     """Edges ``a, b`` that span every component of the exact link relation between n-gram sets."""
     size = family.groupBy("family").agg(F.count("*").alias("g"))
     shown = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
-    members = cut(family.join(size, "family").join(shown, "node"))
-    sets = cut(family_sets(docs, members, n))
-    release(docs.sparkSession)
     blocks = F.when(F.col("g") <= WHOLE, F.lit(1)).otherwise(F.ceil(F.col("g") / BLOCK_ROWS)).cast("int")
-    sets = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    members = family.join(size, "family").join(shown, "node").withColumn("blocks", blocks)
+    members = cut(members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")))
+    texts = docs.select(row_key().alias("key"), "text")
     pivot = (F.col("g") > WHOLE) & (F.pmod(F.xxhash64("node", F.lit(2)), F.col("g")) < PIVOTS)
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = sets.withColumn("at", F.explode(F.when(pivot, everywhere).otherwise(F.array("block"))))
+    placed = only_members(texts, members, "key").join(members, "key").withColumn("at", F.explode(F.when(pivot, everywhere).otherwise(F.array("block"))))
 
-    def whole(grams: list[np.ndarray], _: np.ndarray) -> list[tuple[int, int]]:
+    def whole(grams: list[np.ndarray], _: int) -> list[tuple[int, int]]:
         return spanning(product_links(grams, percent), len(grams))
 
-    found = cut(units(placed.withColumn("unit", F.xxhash64("family", "at")).withColumn("side", F.lit(0)), whole))
-
+    found = cut(units(placed.withColumn("unit", F.xxhash64("family", "at")).withColumn("side", F.lit(0)), n, whole))
     release(docs.sparkSession)
-    large = sets.where(F.col("g") > WHOLE).drop("grams").join(connected(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    large = members.where(F.col("g") > WHOLE).join(connected(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = large.groupBy("family", "label").agg(F.count("*").alias("c")).groupBy("family")
     top = counts.agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
     groups = F.ceil((F.col("all") - F.col("most")) / PIVOTS).cast("int")
@@ -291,15 +280,15 @@ def _links(docs: DataFrame, rows: DataFrame, family: DataFrame, n: int, percent:
     if large.isEmpty():
         return found
     group = F.pmod(F.xxhash64("node", F.lit(3)), F.col("groups")).cast("int")
-    large = large.join(sets.select("node", "grams"), "node")
     outside = large.where("outside").withColumn("group", group).withColumn("at", F.explode(everywhere)).withColumn("side", F.lit(0))
     inside = large.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("at", F.col("block")).withColumn("side", F.lit(1))
-    crossed = outside.select("family", "at", "group", "node", "side", "grams").unionByName(inside.select("family", "at", "group", "node", "side", "grams"))
+    spots = outside.select("key", "node", "side", "family", "at", "group").unionByName(inside.select("key", "node", "side", "family", "at", "group"))
+    crossed = only_members(texts, large, "key").join(spots, "key").withColumn("unit", F.xxhash64("family", "at", "group"))
 
-    def across(grams: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
-        return spanning(product_links(grams, percent, int((side == 0).sum())), len(grams))
+    def across(grams: list[np.ndarray], first: int) -> list[tuple[int, int]]:
+        return spanning(product_links(grams, percent, first), len(grams))
 
-    return cut(found.unionByName(units(crossed.withColumn("unit", F.xxhash64("family", "at", "group")), across)))
+    return cut(found.unionByName(units(crossed, n, across)))
 
 
 def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
