@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from verdara.llm.common import chunks
 
 #: Pretokens kept per worker between batches.
-CACHE = 200_000
+CACHE = 120_000
 
 # Fixed values of the published byte-level pretokeniser.
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
@@ -213,7 +213,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _tokenizer(vocabulary)
         for batch in batches:
-            for part in chunks(batch, limit=8 << 20):
+            for part in chunks(batch, limit=3 << 20):
                 flat, ends = model.encode_batch(part.column(1).to_pylist())
                 bounds = np.concatenate(([0], ends)).astype(np.int32)
                 decoded = [model.decode(flat[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -137,7 +137,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of words with a bounded cache; equal in every process."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 200_000) -> None:
         self.limit = limit
         self.cache: dict[bytes, int] = {}
 

@@ -54,7 +54,7 @@ def shape(word: str) -> str:
 class Buckets(dict):
     """Bucket pair of each token, computed when first asked for and kept up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, token: str) -> int:
         stem = NOT_WORD.sub("", token).lower() or token
