@@ -27,7 +27,7 @@ def sessions(atoms: DataFrame, gap: str = "6 hours", late: str = "2 days") -> Da
 BINS = 20
 
 
-def drift_monitor(atoms: DataFrame, baseline: int = 200, recent: int = 50, distance: float = 0.2) -> DataFrame:
+def drift_monitor(atoms: DataFrame, baseline: int = 100, recent: int = 30, distance: float = 0.2) -> DataFrame:
     """A row per stratum and batch in which the recent risks drift from the first ones.
 
     State per stratum is two histograms of ``BINS`` cells, so it does not grow with the stream.
