@@ -53,6 +53,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def parts_of(df: DataFrame) -> int:
+    """Number of parts in which packed rows are dealt: the session's shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(packed: DataFrame) -> DataFrame:
+    """Rows with an int column ``part`` sent to the partition of that number, so parts of equal size load tasks equally."""
+    return packed.repartitionById(parts_of(packed), F.col("part"))
+
+
 #: Bits of the membership filter: its size is fixed, whatever the number of members.
 FILTER_BITS = 1 << 25
 

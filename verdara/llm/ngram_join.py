@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import WordHasher, chunks, cut, discard, lower_words_of, mix64, only_members, release, rolling, row_key
+from verdara.llm.common import WordHasher, chunks, cut, dealt, discard, lower_words_of, mix64, only_members, parts_of, release, rolling, row_key
 from verdara.llm.components import connected
 
 #: Rows of one block of a family, pivot rows added to each, and the size up to which a family is one unit.
@@ -179,7 +179,7 @@ def meeting(rows: DataFrame) -> DataFrame:
     Keys travel packed by hash part, so a shuffle row holds many; equal (key, node) pairs of a
     batch or a part count once.
     """
-    parts = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_of(rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +218,7 @@ def meeting(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     packed = rows.where("node IS NOT NULL").select("node", "keys").mapInArrow(pack, "part int, payload binary")
-    return packed.repartition("part").mapInArrow(meet, "a long, b long").distinct()
+    return dealt(packed).mapInArrow(meet, "a long, b long").distinct()
 
 
 def units(rows: DataFrame, n: int, work: Callable[[list[np.ndarray], int], list[tuple[int, int]]]) -> DataFrame:

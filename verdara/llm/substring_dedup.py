@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import WordHasher, chunks, cut, mix64, only_members, release, row_key, words_of
+from verdara.llm.common import WordHasher, chunks, cut, dealt, mix64, only_members, parts_of, release, row_key, words_of
 
 KGRAM = 8
 ODD = 0x9E3779B97F4A7C15
@@ -77,10 +77,6 @@ def reach(place: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarra
     return np.maximum(place - (window - KGRAM), 0), np.minimum(place, n - window)
 
 
-def _parts(docs: DataFrame) -> int:
-    return 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 ENTRY = np.dtype([("name", np.uint64), ("around", np.uint64), ("key", np.int64), ("place", np.int32), ("times", np.int32)])
 
 
@@ -132,7 +128,7 @@ def _exchange(asked: DataFrame) -> DataFrame:
             keep = total > 1
             yield _answers(one["key"][keep], one["place"][keep], said[keep])
 
-    return asked.repartition("part").mapInArrow(decide, "key long, place int, said int")
+    return dealt(asked).mapInArrow(decide, "key long, place int, said int")
 
 
 def _ask(entries: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
@@ -150,7 +146,7 @@ def _ask(entries: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
 
 def repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
     """``key, place, said`` of every anchor of ``docs(key, text)`` that occurs more than once."""
-    parts = _parts(docs)
+    parts = parts_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -181,7 +177,7 @@ def _said(rows: DataFrame) -> DataFrame:
 
 def repeated_phrases(docs: DataFrame, answers: DataFrame, window: int) -> DataFrame:
     """``key, place, said``: starts of the repeated phrases over anchors that were left open."""
-    parts = _parts(docs)
+    parts = parts_of(docs)
     asked = cut(_said(answers).where(F.exists("answers", lambda a: a["said"] != SURE)))
     rows = only_members(docs.select("key", "text"), asked, "key").join(asked, "key").select("key", "text", F.col("answers.place").alias("place"), F.col("answers.said").alias("said"))
 
