@@ -1,0 +1,304 @@
+"""The training-data operators against brute force, with nulls, empties, repeats, extra columns and empty tables."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from verdara.llm import bpe, decontaminate, embedding_dedup, html_text, langid, lm_score, ngram_join, pii, quality, substring_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string"
+rng = random.Random(5)
+VOCABULARY = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(3000)]
+
+
+def sentence(n, words=VOCABULARY):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def documents(spark, texts, lang=None):
+    """Documents with nulls, an empty text, white space, a repeated row, and columns whose names clash with results."""
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, " \n\t "), (len(rows) + 3, "one two"), (len(rows) + 4, "one two"), (None, "no id " + texts[0][:40])]
+    rows.append(rows[0])
+    return spark.createDataFrame([(i, t, lang and lang(i), None, len(t or ""), 0.5, "x") for i, t in rows], SCHEMA), rows
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# 1 language
+
+
+def test_language(spark):
+    sounds = {"en": "the and that with of to in".split(), "de": "der die und nicht ein zu".split(), "fr": "les des que pas une est".split(), "es": "los que una el por con".split()}
+    codes = sorted(sounds)
+    lang = lambda i: codes[i % 4] if i is not None and i < 400 else None
+    docs, _ = documents(spark, [sentence(30, sounds[codes[i % 4]]) for i in range(400)], lang)
+    made = langid.identify(docs, docs).collect()
+    assert len(made) == docs.count()
+    truth = [r for r in made if r["doc_id"] is not None and r["doc_id"] < 400]
+    assert sum(r["lang_pred"] == codes[r["doc_id"] % 4] for r in truth if r["held_out"]) >= 0.97 * sum(r["held_out"] for r in truth)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in truth)
+    assert {r["lang_pred"] for r in made if r["doc_id"] in (400, 401, 402)} == {"und"}
+    assert all(0 <= r["score"] <= 1 for r in made)
+
+
+def test_language_without_labels(spark):
+    docs, _ = documents(spark, ["some words"])
+    assert {r["lang_pred"] for r in langid.identify(docs, docs).collect()} == {"und"}
+    assert langid.identify(empty(spark), empty(spark)).count() == 0
+
+
+# 2 BPE
+
+
+def test_bpe_equals_library(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["Hello world, it's 2024!", "aaaaaaaaaa aaa   aa\n\n x", "a<|endoftext|>b", "日本語 x ² ½ \x1c\x85\xa0 z", "é" * 500, "😀 don't\t\tstop", "word " * 5000, sentence(200)]
+    docs, rows = documents(spark, texts)
+    made = sorted((r["doc_id"] if r["doc_id"] is not None else -1, list(r["ids"]), r["decoded"]) for r in bpe.encode_decode(docs, path).collect())
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i if i is not None else -1, ids, library.decode(ids, skip_special_tokens=False)))
+    assert made == sorted(want)
+    digest = {r["doc_id"]: r for r in bpe.digests(bpe.encode_decode(docs, path)).collect()}
+    assert digest[0]["ids_sha256"] == hashlib.sha256(",".join(map(str, library.encode(texts[0]).ids)).encode()).hexdigest()
+    assert bpe.encode_decode(empty(spark), path).count() == 0
+
+
+# 3 PII
+
+
+def test_feistel_is_a_permutation():
+    net = pii.Feistel(b"k" * 32)
+    for n in (1, 2, 3, 10, 97, 1000):
+        assert sorted(net.once("x", n, i) for i in range(n)) == list(range(n))
+
+
+def test_pii(spark):
+    card, wrong = "4111 1111 1111 1111", "4111 1111 1111 1112"
+    text = f"Mail a.b-9@mail.example.com or call +1 (988) 555-2485 from 42.144.35.254; card {card}, not {wrong}; 2024-02-29 is 29/02/2024, 2023-02-29 is nothing; 123-45-6789"
+    docs, rows = documents(spark, [text, f"again {card} and 4111111111111111", "clean words only"])
+    made = {r["doc_id"]: r for r in pii.pseudonymise(docs, ["doc_id"], b"key").collect()}
+    first = made[0]
+    assert first["n_found"] == 7 and wrong in first["text"] and "2023-02-29" in first["text"]
+    for gone in ("a.b-9@mail.example.com", "555-2485", "42.144.35.254", card, "2024-02-29", "29/02/2024", "123-45-6789"):
+        assert gone not in first["text"]
+    found = pii.FOUND.findall(first["text"])
+    assert len(found) == 9
+    new = first["text"].split("card ")[1][:19]
+    assert pii.luhn(new.replace(" ", "")[:-1]) == int(new[-1]) and new in made[1]["text"] and new.replace(" ", "") in made[1]["text"]
+    iso, slashed = first["text"].split("; ")[2][:10], first["text"].split(" is ")[1][:10]
+    assert iso == "-".join(reversed(slashed.split("/")))
+    assert made[2]["text"] == "clean words only" and made[3]["text"] is None and made[4]["text"] == ""
+    other = pii.pseudonymise(docs, ["doc_id"], b"other").where("doc_id = 0").first()["text"]
+    assert other != first["text"] and pii.pseudonymise(empty(spark), ["doc_id"]).count() == 0
+
+
+# 4 substrings
+
+
+def removed(rows, window):
+    counts = collections.Counter()
+    words = [(t or "").encode().split() for _, t in rows]
+    for w in words:
+        counts.update(tuple(w[i : i + window]) for i in range(len(w) - window + 1))
+    out = []
+    for w in words:
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if counts[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = [True] * window
+        out.append((len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
+    return out
+
+
+def test_substrings(spark):
+    passage, other = sentence(60), sentence(35)
+    texts = [sentence(50) + " " + passage + " " + sentence(20), passage, sentence(10) + " " + passage[: len(passage) // 2] + " " + sentence(40), other + " x " + other, "same " * 90, sentence(300)]
+    near = sentence(120).split()
+    for k in range(30):
+        copy = near[:]
+        copy[rng.randrange(120)] = f"odd{k}"
+        texts.append(" ".join(copy))
+    docs, rows = documents(spark, texts)
+    made = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.deduplicate(docs).collect())
+    assert made == collections.Counter((i, *x) for (i, _), x in zip(rows, removed(rows, 35), strict=True))
+    assert substring_dedup.deduplicate(empty(spark)).count() == 0
+
+
+# 5 language model
+
+
+def test_lm(spark):
+    texts = [sentence(40, VOCABULARY[:300]) for _ in range(300)] + ["Upper UPPER upper é"]
+    docs, rows = documents(spark, texts)
+    made = lm_score.scores(docs).collect()
+    learned = [(i, t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10 != 0]
+    counts = collections.Counter(w for _, t in learned for w in (t or "").encode().lower().split())
+    n, v = sum(counts.values()) + len(learned), len(counts) + 1
+    base = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    want = {i: [(t or "").encode().lower().split()] for i, t in rows}
+    assert len(made) == len(rows)
+    for r in made:
+        words = want[r["doc_id"]][0]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words) + 1, sum(counts[w] > 0 for w in words) + 1, n)
+        assert r["base_score"] == pytest.approx(sum(base(counts[w]) for w in words) + base(len(learned)))
+        assert r["score"] < 0 and math.isfinite(r["score"])
+    assert lm_score.scores(empty(spark)).count() == 0
+
+
+def test_lm_is_a_distribution():
+    counts = np.zeros((2, 1 << lm_score.CODE_BITS), np.float32)
+    counts[0, :500] = counts[1, 300:900] = 3
+    model = lm_score.WordModel(counts, [b"the"])
+    assert np.allclose((10.0 ** model.log10.astype(np.float64)).sum(1), 1, atol=1e-3)
+
+
+# 6 benchmark
+
+
+def test_decontamination(spark):
+    items = [sentence(30), sentence(12), sentence(40), "too few"]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(9, None), (None, items[0])], "item_id long, text string")
+    swapped = items[2].split()
+    for k in (5, 14, 23, 33):
+        swapped[k] = "changed"
+    part = " ".join(items[0].split()[8:24])
+    docs, _ = documents(spark, [sentence(40) + " " + items[0] + " " + sentence(30), items[1].upper(), sentence(5) + " " + " ".join(swapped), sentence(20) + " " + part, sentence(200), " ".join(items[0].split()[:6]) + " " + sentence(50)])
+    for bound in (500_000, 0):
+        made = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, broadcast_seeds=bound).collect()}
+        assert made == {(0, 0), (1, 1), (2, 2), (3, 0)}
+    assert decontaminate.contaminated(empty(spark), bench).count() == 0
+    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+# 7 HTML
+
+
+def test_html(spark):
+    page = """<html><head><title>T</title><script>var x="</p>";</script></head><body><nav><a href=/>home</a></nav><div class="ad">buy</div>
+    <article><h1>Head &amp; line</h1><p>First   paragraph<br>goes &eacute; on, with enough words in it.<p>Second &lt;b&gt; paragraph, also long enough.
+    <ul><li>one<li>two</ul></article><aside>side</aside><div id="comments"><p>A reader's comment that is quite long, longer than most.</p></div><footer>foot</footer></body></html>"""
+    want = "Head & line\nFirst paragraph goes é on, with enough words in it.\nSecond <b> paragraph, also long enough.\none\ntwo"
+    plain = "<body><div class=top><a href=a>x</a> <a href=b>y</a></div><div><div><p>Long text of the article number one, really.</p></div><div><p>Long text of the article number two, really.</p></div></div></body>"
+    pages = spark.createDataFrame([(1, "u", page, 1), (2, "u", None, 1), (3, None, "", 1), (4, "u", "<p>unclosed", 1), (5, "u", plain, 1), (5, "u", plain, 1), (6, "u", "<div>" * 4000 + "deep", 1)], "page_id long, url string, html string, text int")
+    made = {r["page_id"]: r for r in html_text.extract(pages).collect()}
+    assert made[1]["text"] == want and made[1]["n_chars"] == len(want)
+    assert [made[i]["text"] for i in (2, 3, 4, 6)] == ["", "", "unclosed", "deep"]
+    assert "number one" in made[5]["text"] and "number two" in made[5]["text"]
+    assert html_text.extract(pages).count() == 7 and html_text.extract(pages.limit(0)).count() == 0
+
+
+# 8 quality
+
+
+def test_quality(spark):
+    texts = [sentence(40) if i % 4 else " ".join(f"{w}%%%" for w in sentence(40).split()) for i in range(400)]
+    docs, _ = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(400)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    made = quality.classify(docs, labels).collect()
+    assert len(made) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in made)
+    held = [r for r in made if r["held_out"] and r["doc_id"] < 400]
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 4 > 0) for r in held]) >= 0.95
+    assert {r["score"] for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.classify(empty(spark), labels).count() == 0
+
+
+# 9 embeddings
+
+
+def links_of(vectors, cosine=0.9):
+    x = np.array(vectors, np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = x @ x.T >= cosine
+    np.fill_diagonal(close, False)
+    return close
+
+
+def test_embeddings(spark):
+    g = np.random.default_rng(2)
+    centres = g.standard_normal((40, 32))
+    x = np.vstack([c + 0.15 * g.standard_normal((k, 32)) for k, c in zip([1, 2, 3, 300] + [5] * 36, centres)]).astype(np.float32)
+    close = links_of(x)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    odd = [(9001, None, 1), (9002, [0.0] * 32, 1), (9003, [float("nan")] * 32, 1), (9004, [1.0, None], 1), (9005, [], 1), (9006, [1.0, 1.0], 1), rows[5]]
+    made = embedding_dedup.near_duplicates(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")).collect()
+    assert len(made) == len(rows) + len(odd)
+    got = {r["vec_id"]: r for r in made}
+    assert sum(got[i]["n_links"] for i in range(len(x))) >= 0.99 * close.sum()
+    assert all(got[i]["n_links"] <= close[i].sum() for i in range(len(x)))
+    assert all(got[i]["component_id"] == i and got[i]["n_links"] == 0 and got[i]["kept"] for i in range(9001, 9007))
+    for i in range(len(x)):
+        reach = {i}
+        while more := set(np.flatnonzero(close[list(reach)].any(0))) - reach:
+            reach |= more
+        assert got[i]["component_id"] == min(reach)
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# 10 shingles
+
+
+def components(rows, percent=85):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+    label = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * len(sets[a] | sets[b]) and label[a] != label[b]:
+            old, new = label[b], label[a]
+            label = [new if x == old else x for x in label]
+    least = {}
+    for (i, _), c in zip(rows, label):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    return collections.Counter((i, len(s), least.get(c)) for (i, _), s, c in zip(rows, sets, label))
+
+
+def test_shingles(spark):
+    texts = [sentence(n) for n in (3, 4, 5, 8, 30, 200, 2000)]
+    texts += [texts[5].upper(), texts[5] + " more words", " ".join(texts[6].split()[:1900])]
+    for size, copies, edits in ((120, 150, 4), (120, 90, 6), (40, 20, 1)):  # families beyond one unit, partly linked
+        base = sentence(size).split()
+        for k in range(copies):
+            copy = base[:]
+            for _ in range(rng.randint(0, edits)):
+                copy[rng.randrange(size)] = f"odd{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    docs, rows = documents(spark, texts)
+    made = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(docs).collect())
+    assert made == components(rows)
+    kept = ngram_join.representatives(docs)
+    ids = {c for _, _, c in components(rows) if c is not None}
+    found = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == docs.columns and found.count(None) == 1 and sorted(i for i in found if i is not None) == sorted(ids)
+    assert ngram_join.components(empty(spark)).count() == 0
+
+
+def test_block_keys_lose_no_pair():
+    g = np.random.default_rng(4)
+    for n in [*range(1, 60), 150, 400]:
+        base = g.integers(0, 2**63, n, dtype=np.uint64)
+        most = int(2 * n * 15 / 185)
+        for _ in range(4):
+            drop, add = (int(g.integers(0, most + 1)) for _ in range(2))
+            other = np.sort(np.concatenate((g.permutation(base)[drop:], g.integers(0, 2**63, add, dtype=np.uint64))))
+            both = len(np.intersect1d(base, other))
+            if len(other) and 100 * both >= 85 * (n + len(other) - both):
+                assert len(np.intersect1d(ngram_join.block_keys(np.sort(base), 85), ngram_join.block_keys(other, 85)))
