@@ -6,10 +6,11 @@ The incidence matrix has a row per distinct n-gram set and a column per n-gram.
    of columns in which two rows of that size can differ and still be linked. Two linked rows
    therefore agree entirely in some non-empty block, and rows are brought together only by equal
    (block, content) keys. Equal keys give star edges, never pairs.
-2. *Row blocks.* Rows that such keys connect form a family. A family is cut into row blocks of
-   bounded size plus a few pivot rows; in each unit a sparse product accumulates overlap counts,
-   column strip by column strip, and drops pairs as soon as their count plus what is left falls
-   below the bound that their sizes imply.
+2. *Row blocks.* A hub and all rows with an edge to it form a family; two rows with an equal key
+   have a common hub, so they are in a common family, and families do not merge. A family is cut
+   into row blocks of bounded size plus a few pivot rows; in each unit a sparse product accumulates
+   overlap counts, column strip by column strip, and drops pairs as soon as their count plus what
+   is left falls below the bound that their sizes imply.
 3. *Remainder.* Rows of a large family that are not yet in its largest component are multiplied
    with all its row blocks, so no pair between different components is left out.
 
@@ -296,9 +297,10 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     full = cut(describe(docs, n, percent))
     rows = cut(full.drop("keys"))
-    family = connected(meeting(full)).select("node", F.col("label").alias("family"))
+    stars = cut(meeting(full))
     discard(full)
     release(docs.sparkSession)
+    family = stars.select(F.col("a").alias("family"), F.col("b").alias("node")).unionByName(stars.select(F.col("a").alias("family"), F.col("a").alias("node")).distinct())
     label = connected(_links(docs, rows, family, n, percent))
     flat = rows.select("doc_id", "key", "n_shingles", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = flat.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
