@@ -28,6 +28,34 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+#: Components by reachability over ``links(a, b)`` in both directions, for ``nodes(id)``.
+_REACH = """reach AS (SELECT id AS node, id AS seen FROM nodes UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+part AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)"""
+
+_WORDS = "list_filter(regexp_split_to_array(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: For operators whose whole result SQL can express; the others are held against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+named AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS s FROM spots),
+twice AS (SELECT doc_id, i FROM named WHERE s IN (SELECT s FROM named GROUP BY s HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM twice),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op9_embedding_dedup": f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id FROM embeddings),
+unit AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM unit x JOIN unit y ON x.vec_id <> y.vec_id WHERE list_inner_product(x.e, y.e) >= 0.9),
+{_REACH}, n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT node AS vec_id, coalesce(n, 0) AS n_links, component_id, node = component_id AS kept FROM part LEFT JOIN n ON a = node""",
+    "op10_ngram_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), nodes AS (SELECT doc_id AS id FROM d),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+{_REACH} SELECT node AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM part LEFT JOIN size ON size.doc_id = node""",
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
