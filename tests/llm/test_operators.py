@@ -271,7 +271,9 @@ def components(rows, percent=85):
     return collections.Counter((i, len(s), least.get(c)) for (i, _), s, c in zip(rows, sets, label))
 
 
-def test_shingles(spark):
+def test_shingles(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 24), ("PIVOTS", 8), ("WHOLE", 32)):
+        monkeypatch.setattr(ngram_join, name, value)
     texts = [sentence(n) for n in (3, 4, 5, 8, 30, 200, 2000)]
     texts += [texts[5].upper(), texts[5] + " more words", " ".join(texts[6].split()[:1900])]
     for size, copies, edits in ((120, 150, 4), (120, 90, 6), (40, 20, 1)):  # families beyond one unit, partly linked

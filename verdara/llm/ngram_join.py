@@ -35,7 +35,7 @@ from verdara.llm.common import WordHasher, chunks, cut, dealt, discard, lower_wo
 from verdara.llm.components import connected
 
 #: Rows of one block of a family, pivot rows added to each, and the size up to which a family is one unit.
-BLOCK_ROWS, PIVOTS, WHOLE = 48, 16, 64
+BLOCK_ROWS, PIVOTS, WHOLE = 192, 64, 256
 #: Cells of one dense strip of the product.
 STRIP_CELLS = 1 << 20
 
