@@ -61,7 +61,8 @@ def describe_path(path: Column) -> list[Column]:
 
 def with_index(files: DataFrame, index: DataFrame) -> DataFrame:
     """Side index rows joined by file name; of several rows for a file the last read wins."""
-    last = index.groupBy(F.regexp_extract("file", r"([^/]+)$", 1).alias("base")).agg(F.max_by(F.struct(*index.columns), F.monotonically_increasing_id()).alias("index"))
+    numbered = index.withColumn("_order", F.monotonically_increasing_id())
+    last = numbered.groupBy(F.regexp_extract("file", r"([^/]+)$", 1).alias("base")).agg(F.max_by(F.struct(*index.columns), "_order").alias("index"))
     return files.withColumn("base", F.regexp_extract("path", r"([^/]+)$", 1)).join(last, "base", "left")
 
 
