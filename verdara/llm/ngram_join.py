@@ -222,6 +222,17 @@ def meeting(rows: DataFrame) -> DataFrame:
     return dealt(packed).mapInArrow(meet, "a long, b long").distinct()
 
 
+def largest_stars(stars: DataFrame) -> DataFrame:
+    """``stars(a, b)`` without hubs all of whose neighbours are also neighbours of the hub's own least hub.
+
+    Every pair of such a star is in the larger one, whose hub has a smaller name, so none is lost.
+    """
+    above = stars.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("p"))
+    found = stars.join(above, "a").join(stars.select(F.col("a").alias("p"), "b", F.lit(1).alias("hit")), ["p", "b"], "left")
+    inside = found.groupBy("a").agg(F.count("*").alias("n"), F.count("hit").alias("h")).where("n = h").select("a")
+    return stars.join(inside, "a", "left_anti")
+
+
 def units(rows: DataFrame, n: int, work: Callable[[list[np.ndarray], int], list[tuple[int, int]]]) -> DataFrame:
     """Edges ``a, b`` that ``work(sets, how many of side 0)`` finds in each unit of ``rows(unit, node, side, text)``.
 
@@ -299,6 +310,7 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     rows = cut(full.drop("keys"))
     stars = cut(meeting(full))
     discard(full)
+    stars = cut(largest_stars(stars))
     release(docs.sparkSession)
     family = stars.select(F.col("a").alias("family"), F.col("b").alias("node")).unionByName(stars.select(F.col("a").alias("family"), F.col("a").alias("node")).distinct())
     label = connected(_links(docs, rows, family, n, percent))
