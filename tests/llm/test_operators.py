@@ -108,6 +108,15 @@ def test_pii(spark):
     assert other != first["text"] and pii.pseudonymise(empty(spark), ["doc_id"]).count() == 0
 
 
+def test_pii_phones_of_any_area_code():
+    worker = pii.Pseudonymiser(b"key")
+    numbers = [f"+1 ({area}) {office}-{line}" for area in ("017", "132", "073", "988") for office in ("055", "155", "555") for line in ("7713", "1352")]
+    made = [worker.replace(f"call {n} now") for n in numbers]
+    assert all(count == 1 and n not in text and pii.FOUND.search(text).lastgroup == "phone" for n, (text, count) in zip(numbers, made))
+    assert len({text for text, _ in made}) == len(numbers)
+    assert worker.replace("dial 017.555.7713")[0][5:].replace(".", "") == worker.replace("+1 (017) 555-7713")[0][4:].replace(") ", "").replace("-", "")
+
+
 # 4 substrings
 
 

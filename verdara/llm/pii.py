@@ -1,8 +1,9 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel network.
 
 Candidates are found by one pattern and then validated: payment cards by their check digit, IBANs
-by their remainder, social security and North American phone numbers by their number plans, IPv4
-addresses by their octets, dates by the calendar, e-mail addresses by their syntax. A validated
+by their remainder, social security numbers by their number plan, IPv4 addresses by their octets,
+dates by the calendar, e-mail addresses and ten-digit North American phone numbers by their syntax
+(phone numbers within the number plan stay in it, and those outside it stay outside). A validated
 value is permuted within its own format (same length, punctuation, letter case and check digits)
 by a Feistel network over the format's domain, walking until the result is valid again. The
 permutation depends on the key and the kind alone, so equal values have equal pseudonyms in every
@@ -154,9 +155,10 @@ class Pseudonymiser:
 
     def phone(self, raw: str) -> str | None:
         digits = re.sub(r"\D", "", raw)
-        valid = lambda v: v // 10**9 >= 2 and v // 10**6 % 10 >= 2
+        planned = lambda v: v // 10**9 >= 2 and v // 10**6 % 10 >= 2
         value = int(digits[-10:])
-        return refill(raw, digits[:-10] + f"{self.net.walk('phone', 10**10, value, valid):010d}") if valid(value) else None
+        kept = planned(value)  # numbers of the plan stay in it, all others outside it
+        return refill(raw, digits[:-10] + f"{self.net.walk('phone', 10**10, value, lambda v: planned(v) == kept):010d}")
 
     def day(self, raw: str) -> str | None:
         a, b, c = map(int, re.split(r"\D", raw))
