@@ -195,6 +195,38 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def substituted(n):
+    """All ways to substitute a fourth of n tokens."""
+    return list(itertools.combinations(range(n), n - math.ceil(0.75 * n)))
+
+
+def test_masks_leave_out_no_pattern():
+    for n in range(decontaminate.SHORTEST, 13):
+        masks = decontaminate.MASKS if n == 12 else decontaminate.SHORT_MASKS
+        places = [{at + k for k, bit in enumerate(mask) if bit == "1"} for mask in masks for at in range(n - len(mask) + 1)]
+        assert all(any(place.isdisjoint(gone) for place in places) for gone in substituted(n))
+
+
+def test_decontamination_with_any_tokens_substituted(spark):
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate((12, 15, 7, 8, 10))]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    texts, want = [], set()
+    for k, words in enumerate(items):
+        part = words[:12]
+        for gone in substituted(len(part)):
+            want.add((len(texts), k))
+            texts.append(" ".join(["before"] * 5 + ["odd" if j in gone else w for j, w in enumerate(part)] + ["after"] * 5))
+        spoilt = [*part]
+        for j in range(0, len(part), 3):
+            spoilt[j] = "odd"
+        texts.append(" ".join(spoilt))  # one token too many
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bound in (500_000, 0):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, broadcast_seeds=bound).collect()} == want
+    only_long = bench.where("item_id = 1")
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, only_long).collect()} == {d for d, k in want if k == 1}
+
+
 # 7 HTML
 
 

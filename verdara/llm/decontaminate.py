@@ -5,15 +5,20 @@ substituted token on an ignored position does not hide a hit. Hashes of the kept
 span of every document are joined with those of the benchmark; each hit fixes a diagonal, along
 which the two token sequences are compared. A document is contaminated by an item if somewhere on
 a diagonal a window of ``window`` tokens (the whole item, if shorter) agrees in at least
-``agree`` of its tokens.
+``agree`` of its tokens; tokens beyond an edge of the document do not agree.
+
+The masks are complete for the default window and share: whichever 3 of 12 tokens differ, some mask
+has a place inside the window that keeps none of them, and likewise for items of 7 to 11 tokens, which
+have masks of their own. So every diagonal that meets the definition has a hit (a test enumerates all
+patterns). Other windows or shares need other masks.
 
 The benchmark's seeds are broadcast only if their counted number is below ``broadcast_seeds``;
 beyond that they are joined by shuffle. Either way every span of every whole text takes part.
 
 Defined cases: tokens are lower-cased and split at ASCII white space; null or empty texts and
-items, and those with fewer tokens than a mask spans, have no seed and no hit (items shorter than
-the window need all their tokens inside a document's text); repeated rows are each reported once
-per doc_id and item; null ids never match; other columns are not read.
+items, items of fewer than 7 tokens and texts shorter than every mask have no seed and no hit;
+repeated rows are each reported once per doc_id and item; null ids never match; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -21,8 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Masks over token positions, 1 = kept. Each tolerates other substituted positions than the next.
-MASKS = ("1110111", "1101011001", "10110010111")
+#: Masks over token positions, 1 = kept: for any 3 substituted tokens of 12, and for any fourth of an item of 7 to 11.
+MASKS = ("101111", "111001001", "110000010011", "110110001")
+SHORT_MASKS = ("1111", "11101", "1010011")
+#: Least tokens of an item.
+SHORTEST = 7
 
 
 def token_hashes(text: str | Column = "text") -> Column:
@@ -37,8 +45,8 @@ def seeds(rows: DataFrame, hashes: str, masks: tuple[str, ...]) -> DataFrame:
     h, at = F.col(hashes), F.col("pos")
     placed = rows.withColumn("pos", F.explode(F.sequence(F.lit(0), F.size(h) - min(map(len, masks)))))
     keyed = [
-        F.when(at + len(mask) <= F.size(h), F.xxhash64(F.lit(i), *(F.get(h, at + k) for k, bit in enumerate(mask) if bit == "1")))
-        for i, mask in enumerate(masks)
+        F.when(at + len(mask) <= F.size(h), F.xxhash64(F.lit(mask), *(F.get(h, at + k) for k, bit in enumerate(mask) if bit == "1")))
+        for mask in masks
     ]
     return placed.withColumn("seed", F.explode(F.array(*keyed))).where("seed IS NOT NULL")
 
@@ -52,11 +60,14 @@ def contaminated(
     broadcast_seeds: int = 500_000,
 ) -> DataFrame:
     """``doc_id, item_id, matched, compared``: the best window of every contaminated document and item."""
-    shortest = min(map(len, masks))
-    items = benchmark.where("item_id IS NOT NULL").select("item_id", token_hashes().alias("item")).where(F.size("item") >= shortest).withColumn("n_item", F.size("item"))
-    keyed = seeds(items, "item", masks).select("seed", "item_id", F.col("pos").alias("item_pos"), "n_item")
+    items = benchmark.where("item_id IS NOT NULL").select("item_id", token_hashes().alias("item")).where(F.size("item") >= SHORTEST).withColumn("n_item", F.size("item"))
+    long, short = items.where(F.col("n_item") >= window), items.where(F.col("n_item") < window)
+    keyed = seeds(long, "item", masks)
+    if not short.isEmpty():  # only then do the documents need these seeds as well
+        keyed, masks = keyed.unionByName(seeds(short, "item", SHORT_MASKS)), masks + SHORT_MASKS
+    keyed = keyed.select("seed", "item_id", F.col("pos").alias("item_pos"), "n_item")
     small = keyed.limit(broadcast_seeds + 1).count() <= broadcast_seeds
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", token_hashes().alias("doc")).where(F.size("doc") >= shortest)
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", token_hashes().alias("doc")).where(F.size("doc") >= min(map(len, masks)))
     # The part of the item that lies inside the document, and the document's tokens opposite to it. Only
     # these few tokens leave the scan's stage, one copy a diagonal; whole texts are never shuffled.
     offset = F.col("pos") - F.col("item_pos")
