@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one of least id, of each group linked by 4-word shingles at Jaccard 0.85."""
-    return ngram_join.representatives(docs)
+    """Keep one document, the one of least id, of each group linked by 5-word shingles at Jaccard 0.8."""
+    return ngram_join.representatives(docs, n=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
