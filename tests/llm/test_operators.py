@@ -170,6 +170,25 @@ def test_lm(spark):
     assert lm_score.scores(empty(spark)).count() == 0
 
 
+def test_lm_counts_words_beyond_the_code(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FREQUENT", 6)
+    g = random.Random(8)
+    words = ["".join(g.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(400)]
+    count = {w: 1 + 60 * (i == 0) + 5 * (i == 1) + (2 <= i < 60) for i, w in enumerate(words)}
+    tokens = [w for w, c in count.items() for _ in range(c)] + [f"top{i}" for i in range(6) for _ in range(100)]
+    g.shuffle(tokens)
+    learned = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10][:100]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    rows = [(i, " ".join(tokens[k::100])) for k, i in enumerate(learned)] + [(i, words[k]) for k, i in zip((0, 1, 2), held)]
+    score = {r["doc_id"]: r["score"] for r in lm_score.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spectrum = collections.Counter([*count.values(), *[100] * 6])
+    discount, new, total = lm_score.escaped_shares(spectrum, 100)
+    assert total == sum(count.values()) and new + sum(c - discount for c in count.values()) / total == pytest.approx(1)
+    of = lambda k: math.log10(count[words[k]] - discount)
+    assert score[held[0]] - score[held[1]] == pytest.approx(of(0) - of(1), abs=0.05)
+    assert score[held[1]] - score[held[2]] == pytest.approx(of(1) - of(2), abs=0.2)
+
+
 def test_lm_is_a_distribution():
     counts = np.zeros((2, 1 << lm_score.CODE_BITS), np.float32)
     counts[0, :500] = counts[1, 300:900] = 3

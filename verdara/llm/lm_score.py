@@ -3,7 +3,9 @@
 A text is its sequence of lower-cased words and one end. Each word is coded in bits. Frequent words,
 the end and an escape have a binary code each; a bit is predicted from the counts of its code prefix
 alone and within several hashed contexts made from the last short word before it. Other words are
-escaped and spelled byte by byte, each bit predicted from hashed contexts of one to six bytes.
+escaped. After an escape every word with a count is predicted from its own count, less a discount
+estimated from the words seen once and twice; what the discount frees is for the spelling, byte by
+byte, each bit predicted from hashed contexts of one to six bytes.
 At both levels the predictions are combined in the logistic domain by weights that a gate selects
 (the bit's place and how much the longest context has seen), trained online, one small batch after
 the other and each event without its own count, and an adaptive map refines the result.
@@ -251,6 +253,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "unlearned").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def escaped_shares(spectrum: dict[int, int], least: int) -> tuple[float, float, int]:
+    """Discount of a count, share of the spelling, and tokens of the words with counts below ``least``; ``spectrum``: words of each count."""
+    once, twice = spectrum.get(1, 0), spectrum.get(2, 0)
+    discount = (once + 0.5) / (once + 2 * twice + 1)  # above 0 and below 1
+    tokens = sum(c * n for c, n in spectrum.items() if c < least)
+    words = sum(n for c, n in spectrum.items() if c < least)
+    return discount, discount * words / tokens if tokens else 1.0, tokens
+
+
 def _coded(texts: list[str | None], code: dict[bytes, int], shorts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
     """Leaf and preceding short word of every token, ends of the texts, and the words that are spelled."""
     tokens: list[bytes] = []
@@ -283,7 +294,7 @@ def scores(docs: DataFrame, held_out_modulus: int = 10) -> DataFrame:
     train_tokens = sum(r["c"] * r["n"] for r in spectrum) + ends
     distinct = sum(r["n"] for r in spectrum) + (ends > 0)
     least, kept = 1 << 62, 0
-    for r in spectrum:  # words seen once are left to the spelling, which so learns how likely a new word is
+    for r in spectrum:  # words seen once are escaped, so that the escape learns how likely a new word is
         if kept + r["n"] > FREQUENT or r["c"] < 2:
             break
         least, kept = r["c"], kept + r["n"]
@@ -308,6 +319,7 @@ def scores(docs: DataFrame, held_out_modulus: int = 10) -> DataFrame:
     model = WordModel(summed(parts, size).reshape(-1, leaves), short_words)
 
     rare = counts.where(F.col("c") < least)
+    discount, new, rare_tokens = escaped_shares({r["c"]: r["n"] for r in spectrum}, least)
     spelled_slots = len(ORDERS) << SLOT_BITS
 
     def spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,11 +385,14 @@ def scores(docs: DataFrame, held_out_modulus: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(found) if found else np.empty(0))], ["word", "c", "spelled"])
 
     spelled_words = rare.mapInArrow(spell_out, "word binary, c long, spelled double")
+    own = (F.col("c") - F.lit(discount)) / F.lit(max(1, rare_tokens))
+    by_spelling = F.col("spelled") + F.lit(float(np.log10(new)))
+    escaped = F.when(F.col("c") > 0, F.log10(own + F.pow(F.lit(10.0), by_spelling))).otherwise(by_spelling)
     joined = rated.where("word IS NOT NULL").select("id", "word", "n").join(spelled_words, "word")
     more = joined.groupBy("id").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
         F.sum(F.col("n") * (F.log10(F.col("c") + 0.1) - F.lit(float(below)))).alias("more_base"),
-        F.sum(F.col("n") * F.col("spelled")).alias("more_score"),
+        F.sum(F.col("n") * escaped).alias("more_score"),
     )
     made = rated.where("word IS NULL").join(more, "id", "left")
     score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
