@@ -332,7 +332,7 @@ def components(rows, percent=85):
 
 
 def test_shingles(spark, monkeypatch):
-    for name, value in (("BLOCK_ROWS", 24), ("PIVOTS", 8), ("WHOLE", 32)):
+    for name, value in (("BLOCK_ROWS", 16), ("WHOLE", 32), ("GROUP_ROWS", 50), ("PART_BYTES", 20_000)):
         monkeypatch.setattr(ngram_join, name, value)
     texts = [sentence(n) for n in (3, 4, 5, 8, 30, 200, 2000)]
     texts += [texts[5].upper(), texts[5] + " more words", " ".join(texts[6].split()[:1900])]
@@ -353,6 +353,61 @@ def test_shingles(spark, monkeypatch):
     assert ngram_join.components(empty(spark)).count() == 0
 
 
+def test_shingles_block_by_block(spark, monkeypatch):
+    """Families that stay large after the turns are multiplied with all their blocks."""
+    for name, value in (("BLOCK_ROWS", 8), ("WHOLE", 12), ("TURNS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    base, texts = sentence(100).split(), []
+    for k in range(120):
+        copy = base[:]
+        if k >= 60:
+            for at in (10, 30, 50):  # one more template, too far from the first
+                copy[at] = f"other{at}"
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(100)] = f"odd{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    docs, rows = documents(spark, texts)
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(docs).collect()) == components(rows)
+
+
+def test_rows_of_a_family_grow_linearly(spark):
+    """Rows compared, in all turns, per near copy of one text with up to 12 substitutions: at most three, for any number of copies."""
+    base, per_copy = sentence(150).split(), {}
+    for size in (500, 1000, 2000):
+        g, texts = random.Random(size), []
+        for k in range(size):
+            copy = base[:]
+            for _ in range(g.randint(0, 12)):
+                copy[g.randrange(150)] = f"odd{g.randrange(10**6)}"
+            texts.append(" ".join(copy))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = ngram_join.cut(ngram_join.describe(docs, 4, 85))
+        stars, compared, turns = ngram_join.cut(ngram_join.largest_stars(ngram_join.meeting(rows))), 0, 0
+        shown = rows.select("node", "key").distinct()
+        while turns < ngram_join.TURNS and not stars.isEmpty():
+            compared += stars.count() + stars.select("a").distinct().count()
+            made = ngram_join.cut(ngram_join.compared(docs, shown, stars, 4, 85, False))
+            stars, turns = ngram_join.cut(ngram_join.largest_stars(ngram_join.meeting(ngram_join.met_again(made)))), turns + 1
+        assert stars.isEmpty()
+        per_copy[size] = compared / size
+    assert max(per_copy.values()) <= 3
+
+
+def test_changes_meet_every_link():
+    """Brute force over random near copies of a hub: linked rows of which one is far share a key."""
+    g = np.random.default_rng(7)
+    for percent in (80, 85):
+        for size in (12, 40, 90):
+            hub = np.unique(g.integers(0, 2**60, size, dtype=np.uint64))
+            pool = g.integers(2**61, 2**62, 12, dtype=np.uint64)
+            rows = [np.unique(np.concatenate((g.permutation(hub)[int(g.integers(0, size // 4 + 1)) :], g.permutation(pool)[: int(g.integers(0, 10))]))) for _ in range(150)]
+            found = [ngram_join.changes(r, hub, percent, 5) for r in rows]
+            for (x, (fx, kx, cx)), (y, (fy, ky, cy)) in itertools.combinations(list(zip(rows, found)), 2):
+                both = len(np.intersect1d(x, y))
+                if (fx or fy) and not np.array_equal(x, y) and 100 * both >= percent * (len(x) + len(y) - both):
+                    assert len(np.intersect1d(kx, ky) if fx and fy else np.intersect1d(cx, cy))
+
+
 def test_block_keys_lose_no_pair():
     g = np.random.default_rng(4)
     for n in [*range(1, 60), 150, 400]:

@@ -5,24 +5,30 @@ The incidence matrix has a row per distinct n-gram set and a column per n-gram.
 1. *Column blocks.* The columns are split by hash into m blocks, m being larger than the number
    of columns in which two rows of that size can differ and still be linked. Two linked rows
    therefore agree entirely in some non-empty block, and rows are brought together only by equal
-   (block, content) keys. Equal keys give star edges, never pairs.
-2. *Row blocks.* A hub and all rows with an edge to it form a family; two rows with an equal key
-   have a common hub, so they are in a common family, and families do not merge. A family is cut
-   into row blocks of bounded size plus a few pivot rows; in each unit a sparse product accumulates
+   (block, content) keys. The row of a key that meets most others is its hub; keys give star
+   edges, never pairs. A hub and all rows with an edge to it form a family.
+2. *Row blocks.* A family of up to ``WHOLE`` rows is one unit, in which a sparse product accumulates
    overlap counts, column strip by column strip, and drops pairs as soon as their count plus what
-   is left falls below the bound that their sizes imply.
-3. *Remainder.* Rows of a large family that are not yet in its largest component are multiplied
-   with all its row blocks, so no pair between different components is left out.
-
-Results are exact: there is no cap, sample or probability in the linking. Defined cases: a text
+   is left falls below the bound that their sizes imply. A larger family is cut into row blocks,
+   and each block is multiplied with the hub's row alone, so its cost is linear.
+3. *Changes.* In a large family, rows linked to the hub are linked through it. Two linked rows of
+   which one is not linked to the hub must share columns in which both differ from the hub, by a
+   bound on sizes more than half of the other row's; so each sends the keys of as many of its
+   changes as it takes for one of the shared ones to be among them, columns foreign to the hub
+   first. Rows that meet by such a key form the families of the next turn. Families that are still
+   large after ``TURNS`` turns are multiplied block by block.
+
+No pair is capped, sampled or left to probability, except that sets and n-grams are compared as
+64-bit hashes: among 10^9 distinct sets 0.03 chance equalities are expected. Defined cases: a text
 that is null or has no word has the empty set and is alone; with fewer words than n the whole
-sequence is the one n-gram; repeated rows have equal sets and share a component; a null doc_id
-is kept and never the name of a component that has another id; other columns are not read.
+sequence is the one n-gram; very long texts are whole rows; repeated rows have equal sets and share a
+component; of ties the least doc_id names the component; a null doc_id is kept and never the name of
+a component that has another id; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,11 +37,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import WordHasher, chunks, cut, dealt, discard, lower_words_of, mix64, only_members, parts_of, release, rolling, row_key
+from verdara.llm.common import WordHasher, chunks, cut, discard, lower_words_of, mix64, only_members, parts_of, release, rolling, row_key
 from verdara.llm.components import connected
 
-#: Rows of one block of a family, pivot rows added to each, and the size up to which a family is one unit.
-BLOCK_ROWS, PIVOTS, WHOLE = 192, 64, 256
+#: Rows of one block of a family, the size up to which a family is one unit, and turns before blocks meet all others.
+BLOCK_ROWS, WHOLE, TURNS = 128, 256, 4
+#: Nodes of one row of a key's group, parts of a hot join key, and bytes of packed keys that a task may hold.
+GROUP_ROWS, SALTS, PART_BYTES = 4096, 32, 64 << 20
 #: Cells of one dense strip of the product.
 STRIP_CELLS = 1 << 20
 
@@ -83,18 +91,13 @@ def block_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def product_links(sets: list[np.ndarray], percent: int, left: int | None = None) -> list[tuple[int, int]]:
-    """Pairs of rows whose overlap reaches ``percent`` of their union, by a strip-wise product.
-
-    With ``left``, only pairs of one of the first ``left`` rows and another row count.
-    """
+def product_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows whose overlap reaches ``percent`` of their union, by a strip-wise product."""
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
     total = size[:, None] + size[None, :]
     need = -(-percent * total // (100 + percent))
     alive = np.triu(np.minimum(size[:, None], size[None, :]) >= need, 1)
-    if left is not None:
-        alive[left:] = False
     if not alive.any():
         return []
     column, row = np.concatenate(sets), np.repeat(np.arange(n), size)
@@ -124,6 +127,28 @@ def product_links(sets: list[np.ndarray], percent: int, left: int | None = None)
     return [(int(a), int(b)) for a, b in zip(*np.nonzero(alive), strict=True)]
 
 
+def changes(row: np.ndarray, hub: np.ndarray, percent: int, name: int) -> tuple[bool, np.ndarray, np.ndarray]:
+    """Whether a row is not linked to its hub (far), its keys for meeting far rows, and those for far rows meeting others.
+
+    With c = (100 - percent) / (100 + percent), linked rows x, y differ in at most c (|x| + |y|)
+    columns. If x is not linked to the hub, then more than (|dy| - c (|y| - |hub|)) / 2 of the columns
+    dy in which y differs from the hub are also among those of x; if neither is, this holds either
+    way round. And of dx at least |dx| - |x| (100 - percent) / percent are shared. As both rows order
+    their changes alike, the first shared one is among the first |dy| - shared + 1 of y.
+    """
+    inside = np.isin(row, hub, assume_unique=True)
+    both = int(inside.sum())
+    far = 100 * both < percent * (len(row) + len(hub) - both)
+    change = np.concatenate((row[~inside], hub[~np.isin(hub, row, assume_unique=True)]))  # foreign columns first
+    n, more = len(change), len(row) - len(hub)
+    half = n - ((100 + percent) * n - (100 - percent) * more) // (2 * (100 + percent))
+    most = n - max(1, n - len(row) * (100 - percent) // percent) + 1
+    key = lambda first, kind: mix64(first ^ mix64(np.array([name], np.int64).view(np.uint64) + np.uint64(kind)))
+    if not far:
+        return False, change[:0], key(change[:half], 2)
+    return True, key(change[: min(half, most)], 1), key(change[:most], 2)
+
+
 def spanning(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs."""
     parent = list(range(n))
@@ -175,12 +200,13 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def meeting(rows: DataFrame) -> DataFrame:
-    """Star edges ``a, b`` between nodes with an equal key, from ``rows(node, keys)``.
+    """Star edges ``a, b`` with the hub's degree ``d``, between nodes with an equal key, from ``rows(node, keys)``.
 
-    Keys travel packed by hash part, so a shuffle row holds many; equal (key, node) pairs of a
-    batch or a part count once.
+    Keys travel packed by hash part, so a shuffle row holds many; equal (key, node) pairs of a part
+    count once. There are as many parts as keep each below ``PART_BYTES``.
     """
-    parts = parts_of(rows)
+    total = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
+    parts = max(parts_of(rows), -(-12 * total // PART_BYTES))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,99 +234,136 @@ def meeting(rows: DataFrame) -> DataFrame:
                 keys.append(np.frombuffer(data, np.uint32, n, 8 * n).astype(np.int64) | part << 32)
         k, o = np.concatenate(keys), np.concatenate(owner)
         keys.clear(), owner.clear()
-        if not len(k):
-            return
         by = np.lexsort((o, k))
         k, o = k[by], o[by]
-        first = np.concatenate(([True], k[1:] != k[:-1]))
-        hub = o[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
-        other = o != hub
-        pairs = np.unique(np.stack((hub[other], o[other]), 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+        k, o = k[new], o[new]
+        first = np.ones(len(k), bool)
+        first[1:] = k[1:] != k[:-1]
+        size = np.diff(np.append(np.flatnonzero(first), len(k)))
+        shared = np.repeat(size > 1, size)
+        k, o, size = k[shared], o[shared], size[size > 1]
+        rank = np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size)
+        start = np.flatnonzero(rank % GROUP_ROWS == 0)
+        n, ends = np.repeat(size, size)[start], np.append(start, len(k))
+        for i in range(0, len(start), 20_000):
+            cut_at = ends[i : i + 20_001]
+            nodes = pa.ListArray.from_arrays(pa.array((cut_at - cut_at[0]).astype(np.int32)), pa.array(o[cut_at[0] : cut_at[-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(k[start[i : i + 20_000]]), pa.array(n[i : i + 20_000]), nodes], ["key", "n", "nodes"])
 
     packed = rows.where("node IS NOT NULL").select("node", "keys").mapInArrow(pack, "part int, payload binary")
-    return dealt(packed).mapInArrow(meet, "a long, b long").distinct()
+    groups = cut(packed.repartitionById(parts, F.col("part")).mapInArrow(meet, "key long, n long, nodes array<long>"))
+    each = groups.select("key", "n", F.explode("nodes").alias("node"))
+    degree = each.groupBy("node").agg(F.sum("n").alias("d"))
+    hub = each.select("key", "node").join(degree, "node").groupBy("key").agg(F.max(F.struct("d", "node")).alias("hub"))
+    stars = groups.join(hub, "key").select(F.col("hub.node").alias("a"), F.explode("nodes").alias("b"), F.col("hub.d").alias("d"))
+    return stars.where("a <> b").distinct()
 
 
 def largest_stars(stars: DataFrame) -> DataFrame:
-    """``stars(a, b)`` without hubs all of whose neighbours are also neighbours of the hub's own least hub.
+    """``stars(a, b, d)`` without hubs all of whose neighbours are also neighbours of the hub's own greatest hub.
 
-    Every pair of such a star is in the larger one, whose hub has a smaller name, so none is lost.
+    Every pair of such a star is in the larger one, whose hub has a higher (degree, name), so none is lost.
     """
-    above = stars.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("p"))
-    found = stars.join(above, "a").join(stars.select(F.col("a").alias("p"), "b", F.lit(1).alias("hit")), ["p", "b"], "left")
-    inside = found.groupBy("a").agg(F.count("*").alias("n"), F.count("hit").alias("h")).where("n = h").select("a")
+    above = stars.groupBy(F.col("b").alias("a")).agg(F.max(F.struct("d", "a"))["a"].alias("p"))
+    found = stars.select("a", "b").join(above, "a").join(stars.select(F.col("a").alias("p"), "b", F.lit(1).alias("hit")), ["p", "b"], "left")
+    # The hub p itself is among a's neighbours at most once, and is not a neighbour of itself.
+    inside = found.groupBy("a").agg(F.count(F.when(F.col("b") != F.col("p"), 1)).alias("n"), F.count("hit").alias("h")).where("n = h").select("a")
     return stars.join(inside, "a", "left_anti")
 
 
-def units(rows: DataFrame, n: int, work: Callable[[list[np.ndarray], int], list[tuple[int, int]]]) -> DataFrame:
-    """Edges ``a, b`` that ``work(sets, how many of side 0)`` finds in each unit of ``rows(unit, node, side, text)``.
+def compared(docs: DataFrame, shown: DataFrame, stars: DataFrame, n: int, percent: int, last: bool) -> DataFrame:
+    """Links ``a, b`` of the families, and ``far, keys, cross`` (see ``changes``) of the rows ``a`` of large ones (b is null).
 
     Texts travel, not their n-gram sets, which are larger; the sets are made where they are multiplied.
     """
+    family = stars.select(F.col("a").alias("family"), F.col("b").alias("node")).unionByName(stars.select(F.col("a").alias("family"), F.col("a").alias("node")).distinct())
+    size = family.groupBy("family").agg(F.count("*").alias("g"))
+    salted = size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    members = family.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(salted, ["family", "salt"]).join(shown, "node")
+    blocks = F.when(F.col("g") <= WHOLE, F.lit(1)).otherwise(F.ceil(F.col("g") / BLOCK_ROWS)).cast("int")
+    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    members = cut(members.select("family", "node", "key", "g", "blocks", "block"))
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    is_hub = F.col("node") == F.col("family")
+    if last:
+        spots = members.withColumn("other", F.explode(everywhere)).withColumn("large", F.lit(False))
+        spots = spots.withColumn("unit", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")))
+    else:
+        at = F.explode(F.when(is_hub, everywhere).otherwise(F.array("block")))
+        spots = members.withColumn("large", F.col("g") > WHOLE).withColumn("at", at).withColumn("unit", F.xxhash64("family", "at"))
+    spots = spots.select("key", "unit", "node", (~is_hub).alias("member"), "large")
+    texts = docs.select(row_key().alias("key"), "text")
+    placed = only_members(texts, members, "key").join(spots, "key").select("unit", "member", "node", "large", "text")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("far", pa.bool_()), ("keys", pa.list_(pa.int64())), ("cross", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         unit: int | None = None
-        held: dict[tuple[int, int], np.ndarray] = {}
+        held: dict[int, np.ndarray] = {}
+
+        def links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            ends = np.array(pairs, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), *(pa.nulls(len(ends), f.type) for f in list(out)[2:])], schema=out)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                names = sorted(held)
-                found = work([held[k] for k in names], sum(side == 0 for side, _ in names))
+            names = sorted(held)
+            if len(names) > 1:
+                found = spanning(product_links([held[k] for k in names], percent), len(names))
                 if found:
-                    ends = np.array([[names[a][1], names[b][1]] for a, b in found], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+                    yield links([(names[a], names[b]) for a, b in found])
 
         for batch in batches:
+            pairs, rows = [], []
             for i in range(batch.num_rows):
-                u, node, side = (batch.column(c)[i].as_py() for c in range(3))
+                u, member, node, large = (batch.column(c)[i].as_py() for c in range(4))
                 if u != unit:
                     yield from flush()
-                    unit = u
+                    unit, hub = u, (0, np.empty(0, np.uint64))
                     held.clear()
-                if (side, node) not in held:
-                    held[side, node] = ngram_set(hasher(lower_words_of(batch.column(3)[i].as_py())), n)
+                if node in held or member and node == hub[0]:
+                    continue
+                grams = ngram_set(hasher(lower_words_of(batch.column(4)[i].as_py())), n)
+                if not large:
+                    held[node] = grams
+                elif not member:
+                    hub = node, grams
+                else:
+                    far, keys, cross = changes(grams, hub[1], percent, hub[0])
+                    rows.append((node, None, far, keys.view(np.int64), cross.view(np.int64)))
+                    if not far:
+                        pairs.append((hub[0], node))
+            if pairs:
+                yield links(pairs)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows), out)], schema=out)
         yield from flush()
 
-    return rows.select("unit", "node", "side", "text").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
+    return placed.repartition("unit").sortWithinPartitions("unit", "member", "node").mapInArrow(run, "a long, b long, far boolean, keys array<long>, cross array<long>")
 
 
-def _links(docs: DataFrame, rows: DataFrame, family: DataFrame, n: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, stars: DataFrame, n: int, percent: int) -> DataFrame:
     """Edges ``a, b`` that span every component of the exact link relation between n-gram sets."""
-    size = family.groupBy("family").agg(F.count("*").alias("g"))
-    shown = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
-    blocks = F.when(F.col("g") <= WHOLE, F.lit(1)).otherwise(F.ceil(F.col("g") / BLOCK_ROWS)).cast("int")
-    members = family.join(size, "family").join(shown, "node").withColumn("blocks", blocks)
-    members = cut(members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")))
-    texts = docs.select(row_key().alias("key"), "text")
-    pivot = (F.col("g") > WHOLE) & (F.pmod(F.xxhash64("node", F.lit(2)), F.col("g")) < PIVOTS)
-    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = only_members(texts, members, "key").join(members, "key").withColumn("at", F.explode(F.when(pivot, everywhere).otherwise(F.array("block"))))
-
-    def whole(grams: list[np.ndarray], _: int) -> list[tuple[int, int]]:
-        return spanning(product_links(grams, percent), len(grams))
-
-    found = cut(units(placed.withColumn("unit", F.xxhash64("family", "at")).withColumn("side", F.lit(0)), n, whole))
-    release(docs.sparkSession)
-
-    large = members.where(F.col("g") > WHOLE).join(connected(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counts = large.groupBy("family", "label").agg(F.count("*").alias("c")).groupBy("family")
-    top = counts.agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("all"), F.max("c").alias("most")).where("all > most")
-    groups = F.ceil((F.col("all") - F.col("most")) / PIVOTS).cast("int")
-    large = cut(large.join(top, "family").withColumn("groups", groups).withColumn("outside", F.col("label") != F.col("top")))
-    if large.isEmpty():
-        return found
-    group = F.pmod(F.xxhash64("node", F.lit(3)), F.col("groups")).cast("int")
-    outside = large.where("outside").withColumn("group", group).withColumn("at", F.explode(everywhere)).withColumn("side", F.lit(0))
-    inside = large.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("at", F.col("block")).withColumn("side", F.lit(1))
-    spots = outside.select("key", "node", "side", "family", "at", "group").unionByName(inside.select("key", "node", "side", "family", "at", "group"))
-    crossed = only_members(texts, large, "key").join(spots, "key").withColumn("unit", F.xxhash64("family", "at", "group"))
-
-    def across(grams: list[np.ndarray], first: int) -> list[tuple[int, int]]:
-        return spanning(product_links(grams, percent, first), len(grams))
-
-    return cut(found.unionByName(units(crossed, n, across)))
+    shown = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key")))
+    found = None
+    for turn in range(TURNS + 1):
+        made = cut(compared(docs, shown, stars, n, percent, turn == TURNS))
+        release(docs.sparkSession)
+        edges = made.where("b IS NOT NULL").select("a", "b")
+        found = edges if found is None else found.unionByName(edges)
+        if made.where("far").isEmpty():
+            break
+        stars = cut(largest_stars(meeting(met_again(made))))
+    return found
+
+
+def met_again(made: DataFrame) -> DataFrame:
+    """``node, keys`` of the rows of large families that far rows may be linked to; keys that only one side has are left out."""
+    spread = lambda of, column: made.where(of).select(F.col("a").alias("node"), F.explode(column).alias("key"))
+    far, near = cut(spread("far", "cross")), cut(spread("NOT far", "cross"))
+    rows = spread("far", "keys").unionByName(only_members(far, near, "key")).unionByName(only_members(near, far, "key"))
+    return rows.select("node", F.array("key").alias("keys"))
 
 
 def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -312,8 +375,7 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     discard(full)
     stars = cut(largest_stars(stars))
     release(docs.sparkSession)
-    family = stars.select(F.col("a").alias("family"), F.col("b").alias("node")).unionByName(stars.select(F.col("a").alias("family"), F.col("a").alias("node")).distinct())
-    label = connected(_links(docs, rows, family, n, percent))
+    label = connected(links(docs, rows, stars, n, percent))
     flat = rows.select("doc_id", "key", "n_shingles", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = flat.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return flat.join(least, "label", "left").select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
