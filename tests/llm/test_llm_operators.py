@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -263,6 +264,25 @@ def test_html(spark):
     assert html_text.extract(pages).count() == 7 and html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_by_density():
+    """Pages without article or main, wrappers with the names of other parts, comments longer than the article, broken markup."""
+    text = html_text.main_text
+    thin, long, more = "A shorter first section of the article, of one line and then some more of it. " * 2, "A longer second section. " * 8, "And more of it, " * 9
+    ad, lines = "Buy this now, it is a great long advert text without links. " * 3, lambda *parts: "\n".join(p.strip() for p in parts)
+    menu = '<div class="nav"><a href=a>one</a> <a href=b>two</a> <a href=c>three</a></div>'
+    assert text(f"<body>{menu}<section><p>{thin}</p></section><section><p>{long}</p><p>{more}</p></section><div class=ad>{ad}</div></body>") == lines(thin, long, more)
+    assert text(f"<body>{menu}<div id=x><h2>Head</h2><p>{long}</p><p>{more}</p></div><div><ul><li><a href=d>four</a></li><li><a href=e>five</a></li></ul></div></body>") == lines("Head", long, more)
+    assert text('<div class="content has-sidebar"><article><p>text here</p></article><div class="sidebar"><p>side</p></div></div>') == "text here"
+    inner = f'<div class="sidebar"><p>side text here, not so short either</p></div><div class="content"><h1>Head</h1><p>{long}</p><p>{more}</p><div class="comments"><p>{ad * 5}</p></div></div>'
+    assert text(f'<body><div class="layout sidebar-left">{inner}</div><footer>foot</footer>') == lines("Head", long, more)
+    assert text("<p>a</p><![foo[ x ]]>b") == "a\nb" and text("x\n<!-- a") == "x" and text("<!-->y<!--->z<!-- -- -->!") == "yz!"
+    for part in ("<b>", "</i>", "<p>x", "<div class=ad>", "<li>", "<!x>", "<td>"):
+        began = time.perf_counter()
+        text("<b>" * 20_000 + part * 20_000 + "end")
+        assert time.perf_counter() - began < 5
+    assert len(text("<p>" + "long " * 400_000)) == 1_999_999
+
+
 # 8 quality
 
 

@@ -1,16 +1,20 @@
 """Main text of web pages by composite text density.
 
-Every page becomes a small DOM. Elements that are never article text (menus, forms, scripts, page
-headers and footers, adverts, notices, reader comments, hidden parts) are left out of it. For every
-node the composite density is computed: characters per tag, damped where many of the characters
-stand in links, relative to the links of the whole body. Densities of children are summed, and the
-node of the largest sum is the article; the least density on the path from the body to it is the
-threshold above which further subtrees outside it count as article too. The article's blocks are
+Every page becomes a small DOM, without parts that are never shown. For every node the composite
+density is computed: characters per tag, damped where many of the characters stand in links,
+relative to the links of the whole body. Element and class names that usually mark menus, headers,
+footers, sidebars, notices, adverts, forms or reader comments only weigh a node's density down; a
+marked node around everything leaves all choices inside it as they are. Densities of child blocks
+are summed, and the node of the largest sum is the article. The least density on the path from the
+body to it is the threshold: a subtree beside that path with at least this density is article text
+too. Marked parts that don't hold the article are left out of the text. The article's blocks are
 joined in page order, each with its white space folded.
 
 Defined cases: null or empty html and pages without text give the empty text; broken or unclosed
-markup is repaired as browsers do for paragraphs, list items and table cells; depth is not limited;
-pages of any length are parsed whole; repeated rows are treated alike; other columns are not read.
+markup is repaired as browsers do for paragraphs, list items and table cells, an unclosed comment
+reaches to the end, unknown declarations are comments; of equal sums the first node in page order
+is the article; depth is not limited; pages of any length are parsed whole, in time that grows with
+their length; repeated rows are treated alike; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from verdara.llm.common import chunks
 
 # Element and word lists of the HTML standard and of common page templates.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("script style noscript template nav footer aside form button select textarea iframe object svg canvas dialog menu head title audio video map datalist".split())
+NEVER = frozenset("script style noscript template button select textarea iframe object svg canvas dialog menu head title audio video map datalist".split())
+MARKED = frozenset("nav footer aside form header".split())
 BLOCK = frozenset(
     "html body address article blockquote caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -40,6 +45,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 LIMITS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 KEPT = frozenset(("article", "main", "body", "html"))
 WORD = re.compile(r"[a-z]+")
+#: Factor on the density of a node for each marked node around it, itself included.
+WEIGHT = 0.02
 
 
 class Dom(HTMLParser):
@@ -47,44 +54,50 @@ class Dom(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.dropped = ["#root"], [0], [False]
+        self.tag, self.parent, self.unseen, self.marked = ["#root"], [0], [False], [False]
         self.texts: list[tuple[int, str]] = []
         self.open = [0]
+        self.places: dict[str, list[int]] = {}  # of every open tag in the stack
 
-    def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in NEVER:
-            return True
+    def judged(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether an element is never shown, and whether its names mark it as something else than article text."""
         if tag in KEPT:
-            return False
-        if tag == "header" and not any(self.tag[i] in ("article", "main") for i in self.open):
-            return True
+            return False, False
+        unseen, marked = tag in NEVER, tag in MARKED
+        if tag == "header" and (self.places.get("article") or self.places.get("main")):
+            marked = False
         for name, value in attrs:
             value = (value or "").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-                return True
-            if name == "style" and "display:none" in value.replace(" ", ""):
-                return True
-            if name in ("class", "id") and not NAMES.isdisjoint(WORD.findall(value)):
-                return True
-        return False
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+                unseen = True
+            if name == "role" and value in ROLES or name in ("class", "id") and not NAMES.isdisjoint(WORD.findall(value)):
+                marked = True
+        return unseen, marked
+
+    def last(self, tags: set[str] | frozenset[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close_from(self, place: int) -> None:
+        while len(self.open) > place:
+            self.places[self.tag[self.open.pop()]].pop()
 
     def close_back_to(self, tags: set[str] | frozenset[str], limits: set[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[k]] in tags:
-                del self.open[k:]
-                return
-            if self.tag[self.open[k]] in limits:
-                return
+        place = self.last(tags)
+        if place > self.last(limits):
+            self.close_from(place)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES:
             self.close_back_to(CLOSES[tag], LIMITS[tag])
         if tag in BLOCK:
             self.close_back_to({"p"}, {"table", "td", "th", "li", "div", "article", "section", "button", "body"})
+        unseen, marked = self.judged(tag, attrs)
         self.tag.append(tag)
         self.parent.append(self.open[-1])
-        self.dropped.append(self.dropped[self.open[-1]] or self.unwanted(tag, attrs))
+        self.unseen.append(self.unseen[self.open[-1]] or unseen)
+        self.marked.append(marked)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(len(self.tag) - 1)
         elif tag in ("br", "hr", "wbr"):
             self.texts.append((len(self.tag) - 1, "" if tag == "wbr" else " "))
@@ -93,47 +106,63 @@ class Dom(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[k]] == tag:
-                del self.open[k:]
-                return
+        if place := self.last({tag}):
+            self.close_from(place)
 
     def handle_data(self, data: str) -> None:
-        if not self.dropped[self.open[-1]]:
+        if not self.unseen[self.open[-1]]:
             self.texts.append((self.open[-1], data))
 
-    def unknown_decl(self, data: str) -> None:
-        pass
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """Where the comment at ``i`` ends: at the end of the page, if it is never closed."""
+        data = self.rawdata
+        if data.startswith((">", "->"), i + 4):
+            return data.index(">", i + 4) + 1
+        ends = [(k, len(mark)) for mark in ("-->", "--!>") if (k := data.find(mark, i + 4)) >= 0]
+        return sum(min(ends)) if ends else len(data)
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        k = self.rawdata.find(">", i)
+        return k + 1 if k >= 0 else len(self.rawdata)
 
 
 def densities(dom: Dom) -> tuple[list[float], list[float], list[int]]:
-    """Composite density and sum of the children's densities of every node, and its characters."""
+    """Weighted composite density of every node, the sum of those of its child blocks, and its characters outside marked parts."""
     n = len(dom.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    linked = [False] * n
+    linked, weight, block = [False] * n, [1.0] * n, [0] * n
     for i in range(1, n):
-        linked[i] = dom.tag[i] == "a" or linked[dom.parent[i]]
+        p = dom.parent[i]
+        linked[i] = dom.tag[i] == "a" or linked[p]
+        weight[i] = weight[p] * (WEIGHT if dom.marked[i] else 1.0)
+        block[i] = i if dom.tag[i] in BLOCK else block[p]
     for i, text in dom.texts:
         size = len("".join(text.split()))
         chars[i] += size
         link_chars[i] += size * linked[i]
     for i in range(n - 1, 0, -1):
         p = dom.parent[i]
-        if not dom.dropped[i]:
+        if not dom.unseen[i]:
             chars[p] += chars[i]
             link_chars[p] += link_chars[i]
             tags[p] += tags[i] + 1
             link_tags[p] += link_tags[i] + (dom.tag[i] == "a")
     share = link_chars[0] / max(1, chars[0])
+    plain = [0] * n
+    for i, text in dom.texts:
+        plain[i] += len("".join(text.split()))
+    for i in range(n - 1, 0, -1):
+        if not dom.marked[i]:
+            plain[dom.parent[i]] += plain[i]
     density, total = [0.0] * n, [0.0] * n
     for i in range(n - 1, -1, -1):
-        if chars[i] and not dom.dropped[i]:
+        if chars[i] and not dom.unseen[i]:
             c, t, lc, lt = chars[i], max(1, tags[i]), link_chars[i], link_tags[i]
             base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-            density[i] = c / t * math.log(c / max(1, lc) * t / max(1, lt) + 1) / max(base, 1.0)
-            if i:
-                total[dom.parent[i]] += density[i]
-    return density, total, chars
+            density[i] = weight[i] * c / t * math.log(c / max(1, lc) * t / max(1, lt) + 1) / max(base, 1.0)
+            if block[i] == i and i:
+                total[block[dom.parent[i]]] += density[i]
+    return density, total, plain
 
 
 def main_text(html: str | None) -> str:
@@ -143,29 +172,30 @@ def main_text(html: str | None) -> str:
     dom = Dom()
     dom.feed(html)
     dom.close()
-    density, total, chars = densities(dom)
     n = len(dom.tag)
-    if not chars[0]:
-        return ""
-    best = max(range(n), key=lambda i: (total[i] if not dom.dropped[i] else -1.0, -i))
-    if not total[best]:
-        best = 0
-    path = [best]
-    while path[-1] and dom.tag[path[-1]] != "body":
-        path.append(dom.parent[path[-1]])
-    for i in path:  # the marked-up article around the densest node, if there is one
-        if dom.tag[i] in ("article", "main"):
-            best = i
-            break
-    threshold = min((density[i] for i in path if density[i] > 0), default=0.0)
+    density, total, plain = densities(dom)
+    best = max(range(n), key=lambda i: (total[i], -i))
+    within = [0] * n  # the densest of the marked nodes below each node
+    for i in range(n - 1, 0, -1):
+        own, p = i if dom.marked[i] else within[i], dom.parent[i]
+        if own and (not within[p] or (total[own], density[own]) >= (total[within[p]], density[within[p]])):
+            within[p] = own
+    while not plain[best] and within[best]:  # nothing but marked parts: the article is in one of them
+        best = within[best]
+    path = {best}
+    k = best
+    while k:
+        k = dom.parent[k]
+        path.add(k)
+    body = max((i for i in path if dom.tag[i] in ("body", "html")), default=0)
+    threshold = min((density[i] for i in path if i >= body and density[i] > 0), default=0.0)
     inside = [False] * n
-    enclosed = any(dom.tag[i] in ("article", "main") for i in path)
-    on_path = set(path)
     for i in range(n):
-        if dom.dropped[i]:
+        p = dom.parent[i]
+        if dom.unseen[i] or dom.marked[i] and i not in path:
             continue
-        own = i == best or not enclosed and i not in on_path and dom.tag[i] in BLOCK and total[i] > 0 and density[i] >= max(threshold, density[best])
-        inside[i] = own or i > 0 and inside[dom.parent[i]]
+        beside = p in path and p < best and i not in path and dom.tag[i] in BLOCK and density[i] >= threshold > 0
+        inside[i] = i == best or beside or i > 0 and inside[p]
     block_of = [0] * n
     for i in range(1, n):
         block_of[i] = i if dom.tag[i] in BLOCK else block_of[dom.parent[i]]
