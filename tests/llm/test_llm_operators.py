@@ -402,7 +402,7 @@ def test_rows_of_a_family_grow_linearly(spark):
             texts.append(" ".join(copy))
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         rows = ngram_join.cut(ngram_join.describe(docs, 4, 85))
-        stars, compared, turns = ngram_join.cut(ngram_join.largest_stars(ngram_join.meeting(rows))), 0, 0
+        stars, compared, turns = ngram_join.cut(ngram_join.largest_stars(ngram_join.meeting(rows.withColumn("side", F.lit(0))))), 0, 0
         shown = rows.select("node", "key").distinct()
         while turns < ngram_join.TURNS and not stars.isEmpty():
             compared += stars.count() + stars.select("a").distinct().count()

@@ -5,8 +5,9 @@ The incidence matrix has a row per distinct n-gram set and a column per n-gram.
 1. *Column blocks.* The columns are split by hash into m blocks, m being larger than the number
    of columns in which two rows of that size can differ and still be linked. Two linked rows
    therefore agree entirely in some non-empty block, and rows are brought together only by equal
-   (block, content) keys. The row of a key that meets most others is its hub; keys give star
-   edges, never pairs. A hub and all rows with an edge to it form a family.
+   (block, content) keys. A row must share as many keys as it has non-empty blocks beyond the
+   columns in which a linked row can differ; others drop out. The row of a key that meets most others
+   is its hub; keys give star edges, never pairs. A hub and all rows with an edge to it form a family.
 2. *Row blocks.* A family of up to ``WHOLE`` rows is one unit, in which a sparse product accumulates
    overlap counts, column strip by column strip, and drops pairs as soon as their count plus what
    is left falls below the bound that their sizes imply. A larger family is cut into row blocks,
@@ -68,12 +69,12 @@ def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lower, differ, differ + 2 + upper // 50
 
 
-def block_keys(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the row's column blocks, in its size class and, near the class's end, in the next one."""
+def block_keys(grams: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of the row's column blocks, in its size class and, near the class's end, in the next one; and how many a link shares."""
     lower, differ, blocks = size_classes(percent)
     n = len(grams)
     own = int(np.searchsorted(lower, n, side="right")) - 1
-    out = []
+    out, filled = [], n
     for c in (own, own + 1):
         if c > own and 100 * n < percent * lower[c]:
             continue
@@ -85,10 +86,11 @@ def block_keys(grams: np.ndarray, percent: int) -> np.ndarray:
         content = np.add.reduceat(mix64(grams[by]), start)
         at = block[start] + np.uint64(c << 40)
         out.append(mix64(content ^ mix64(at)))
+        filled = min(filled, len(start))
         if len(start) <= differ[c]:  # so many empty blocks that the guarantee needs them as keys
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), block[start])
             out.append(mix64(mix64(empty + np.uint64(c << 40)) + np.uint64(1)))
-    return np.concatenate(out)
+    return np.concatenate(out), max(1, filled - n * (100 - percent) // percent)
 
 
 def product_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -173,37 +175,41 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id, key, n_shingles, node, keys`` of every row; key names the row, node its n-gram set, keys its column blocks."""
-    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """``doc_id, key, n_shingles, node, keys, need`` of every row; key names the row, node its n-gram set, keys its column blocks."""
+    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("need", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             seen: set[int] = set()
             for part in chunks(batch):
-                sizes, nodes, keys = [], [], []
+                sizes, nodes, keys, needs = [], [], [], []
                 for text in part.column(2).to_pylist():
                     grams = ngram_set(hasher(lower_words_of(text)), n)
                     sizes.append(len(grams))
                     if not len(grams):
                         nodes.append(None)
                         keys.append(np.empty(0, np.uint64))
+                        needs.append(None)
                         continue
                     node = int(mix64(np.add.reduce(mix64(grams), keepdims=True) + np.uint64(len(grams))).view(np.int64)[0])
                     nodes.append(node)
-                    keys.append(np.empty(0, np.uint64) if node in seen else block_keys(grams, percent))
+                    own, need = (np.empty(0, np.uint64), None) if node in seen else block_keys(grams, percent)
+                    keys.append(own)
+                    needs.append(need)
                     seen.add(node)
                 ends = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(ends, _signed(np.concatenate(keys)))], schema=out)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(ends, _signed(np.concatenate(keys))), pa.array(needs, pa.int64())], schema=out)
 
-    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, node long, keys array<long>")
+    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, node long, keys array<long>, need long")
 
 
 def meeting(rows: DataFrame) -> DataFrame:
-    """Star edges ``a, b`` with the hub's degree ``d``, between nodes with an equal key, from ``rows(node, keys)``.
+    """Star edges ``a, b`` with the hub's degree ``d``, between nodes with an equal key, from ``rows(node, keys, need, side)``.
 
-    Keys travel packed by hash part, so a shuffle row holds many; equal (key, node) pairs of a part
-    count once. There are as many parts as keep each below ``PART_BYTES``.
+    A node that shares fewer than ``need`` of its keys has no edge, nor has a key that only nodes of
+    side 1 or only nodes of side 2 have. Keys travel packed by hash part, so a shuffle row holds many;
+    equal (key, node) pairs of a part count once. There are as many parts as keep each below ``PART_BYTES``.
     """
     total = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
     parts = max(parts_of(rows), -(-12 * total // PART_BYTES))
@@ -219,31 +225,35 @@ def meeting(rows: DataFrame) -> DataFrame:
             part = (keys.view(np.uint64) >> np.uint64(33)) % np.uint64(parts)
             by = np.argsort(part.astype(np.uint32), kind="stable")
             keys, owner, part = keys[by], owner[by], part[by]
-            edges = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
+            side = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int8), counts)[by]
+            edges = np.concatenate(([0], np.flatnonzero((part[1:] != part[:-1]) | (side[1:] != side[:-1])) + 1, [len(part)]))
             low = keys.astype(np.uint32)  # with the part, enough of the key: a chance meeting is only one more candidate
             payload = [owner[i:j].tobytes() + low[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int32)), pa.array(payload, pa.binary())], ["part", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]].astype(np.int32)), pa.array(side[edges[:-1]].astype(np.int32)), pa.array(payload, pa.binary())], ["part", "side", "payload"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        keys, owner, sides = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int8)]
         for batch in batches:
-            for part, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, side, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = payload.as_buffer()
                 n = data.size // 12
                 owner.append(np.frombuffer(data, np.int64, n))
                 keys.append(np.frombuffer(data, np.uint32, n, 8 * n).astype(np.int64) | part << 32)
-        k, o = np.concatenate(keys), np.concatenate(owner)
-        keys.clear(), owner.clear()
+                sides.append(np.full(n, side, np.int8))
+        k, o, s = np.concatenate(keys), np.concatenate(owner), np.concatenate(sides)
+        keys.clear(), owner.clear(), sides.clear()
+        if not len(k):
+            return
         by = np.lexsort((o, k))
-        k, o = k[by], o[by]
+        k, o, s = k[by], o[by], s[by]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-        k, o = k[new], o[new]
-        first = np.ones(len(k), bool)
-        first[1:] = k[1:] != k[:-1]
-        size = np.diff(np.append(np.flatnonzero(first), len(k)))
-        shared = np.repeat(size > 1, size)
-        k, o, size = k[shared], o[shared], size[size > 1]
+        k, o, s = k[new], o[new], s[new]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(first, len(k)))
+        met = (size > 1) & ((np.minimum.reduceat(s, first) != np.maximum.reduceat(s, first)) | (s[first] == 0))
+        shared = np.repeat(met, size)
+        k, o, size = k[shared], o[shared], size[met]
         rank = np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size)
         start = np.flatnonzero(rank % GROUP_ROWS == 0)
         n, ends = np.repeat(size, size)[start], np.append(start, len(k))
@@ -252,13 +262,17 @@ def meeting(rows: DataFrame) -> DataFrame:
             nodes = pa.ListArray.from_arrays(pa.array((cut_at - cut_at[0]).astype(np.int32)), pa.array(o[cut_at[0] : cut_at[-1]]))
             yield pa.RecordBatch.from_arrays([pa.array(k[start[i : i + 20_000]]), pa.array(n[i : i + 20_000]), nodes], ["key", "n", "nodes"])
 
-    packed = rows.where("node IS NOT NULL").select("node", "keys").mapInArrow(pack, "part int, payload binary")
+    packed = rows.where("node IS NOT NULL").select("node", "keys", "side").mapInArrow(pack, "part int, side int, payload binary")
     groups = cut(packed.repartitionById(parts, F.col("part")).mapInArrow(meet, "key long, n long, nodes array<long>"))
     each = groups.select("key", "n", F.explode("nodes").alias("node"))
-    degree = each.groupBy("node").agg(F.sum("n").alias("d"))
-    hub = each.select("key", "node").join(degree, "node").groupBy("key").agg(F.max(F.struct("d", "node")).alias("hub"))
-    stars = groups.join(hub, "key").select(F.col("hub.node").alias("a"), F.explode("nodes").alias("b"), F.col("hub.d").alias("d"))
-    return stars.where("a <> b").distinct()
+    met = each.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("d"))
+    need = rows.where("need IS NOT NULL").groupBy("node").agg(F.min("need").alias("need"))
+    kept = cut(each.join(met.join(need, "node").where("k >= need").select("node", "d"), "node"))
+    hub = kept.groupBy("key", "n").agg(F.max(F.struct("d", "node")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    pieces = F.floor(F.col("n") / GROUP_ROWS)
+    spread = hub.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces)))
+    stars = kept.select("key", F.pmod(F.xxhash64("node"), pieces + 1).alias("piece"), "node").join(spread, ["key", "piece"])
+    return stars.where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.d").alias("d")).distinct()
 
 
 def largest_stars(stars: DataFrame) -> DataFrame:
@@ -359,19 +373,19 @@ def links(docs: DataFrame, rows: DataFrame, stars: DataFrame, n: int, percent: i
 
 
 def met_again(made: DataFrame) -> DataFrame:
-    """``node, keys`` of the rows of large families that far rows may be linked to; keys that only one side has are left out."""
-    spread = lambda of, column: made.where(of).select(F.col("a").alias("node"), F.explode(column).alias("key"))
-    far, near = cut(spread("far", "cross")), cut(spread("NOT far", "cross"))
-    rows = spread("far", "keys").unionByName(only_members(far, near, "key")).unionByName(only_members(near, far, "key"))
-    return rows.select("node", F.array("key").alias("keys"))
+    """``node, keys, need, side`` of the rows of large families: far rows among themselves, and far rows (side 1) with others (side 2)."""
+    one = F.lit(1).cast("long").alias("need")
+    far = made.where("far").select(F.col("a").alias("node"), "keys", one, F.lit(0).alias("side"))
+    cross = made.where("far IS NOT NULL").select(F.col("a").alias("node"), F.col("cross").alias("keys"), one, F.when(F.col("far"), 1).otherwise(2).alias("side"))
+    return far.unionByName(cross)
 
 
 def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, key, n_shingles, component_id`` of every row of ``docs(doc_id, text)``; n words a gram, links at ``percent`` of the union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     full = cut(describe(docs, n, percent))
-    rows = cut(full.drop("keys"))
-    stars = cut(meeting(full))
+    rows = cut(full.drop("keys", "need"))
+    stars = cut(meeting(full.withColumn("side", F.lit(0))))
     discard(full)
     stars = cut(largest_stars(stars))
     release(docs.sparkSession)
