@@ -27,6 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="spark-tables-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"

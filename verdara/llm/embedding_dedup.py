@@ -3,10 +3,11 @@
 Vectors are projected on many random directions. Counting, for all pairs, how often one vector lies
 in the window centred at the other's sorted projection is quadratic in the number of vectors, since
 each one-dimensional window holds a fixed share of all of them (a quarter at cosine 0.9). So the
-projections serve twice. Their signs form tables of cells, enough tables that a pair at the
+method has a first level: the signs of further projections of the same kind form tables of cells, enough tables that a pair at the
 threshold shares a cell with the wanted recall. Inside a cell the projections are sorted, the
 query-centred windows counted per pair, and pairs whose count passes a threshold calibrated for the
-same recall are verified by their cosine in double precision. A pair is counted in the first table
+same recall are verified by their cosine in double precision. Equal vectors are one class with a
+weight, and only classes are compared. A pair is counted in the first table
 whose cell it shares, so counts of links need no list of pairs; only spanning edges leave a task.
 
 Cells beyond ``BLOCK`` rows are cut into blocks and worked on by pairs of blocks, so no task holds
@@ -14,7 +15,8 @@ more than two blocks of a cell, however many vectors are nearly equal.
 
 Defined cases: vectors that are null, empty, zero or hold nulls or non-finite components link with
 nothing and are their own component; vectors of different lengths are never compared; rows equal in
-id and vector are one vector and get the same result; a null id never names a component that has
+id and vector are one vector and get the same result; ties in a projection keep any order, windows being
+closed; a null id never names a component that has
 another id; labels and other columns are not read. Only pairs verified at the threshold are links.
 """
 
@@ -82,10 +84,10 @@ def passing(unit: np.ndarray, width: float, least: int) -> np.ndarray:
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.995) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding)``."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).withColumn("key", F.xxhash64("vec_id", "embedding"))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("key", F.xxhash64("vec_id", "embedding"))
     sound = F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    usable = rows.where("embedding IS NOT NULL").where(sound).dropDuplicates(["key"])
-    usable = cut(usable.select("key", "embedding"))
+    usable = rows.where("embedding IS NOT NULL").where(sound).dropDuplicates(["key"]).withColumn("class", F.xxhash64("embedding"))
+    usable = cut(usable.groupBy(F.col("class").alias("key")).agg(F.count("*").alias("weight"), F.first("embedding").alias("embedding")))
     bits, tables = plan(usable.count(), cosine, recall)
     width, least = calibrated(cosine, recall)
 
@@ -113,8 +115,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
 
         def work() -> Iterator[pa.RecordBatch]:
             cell, i, j = unit
-            raw = np.array([v for _, _, v in held], np.float64)
-            keys, block = np.array([k for k, _, _ in held], np.int64), np.array([b for _, b, _ in held])
+            raw = np.array([v for *_, v in held], np.float64)
+            keys, block, weight = (np.array([row[k] for row in held], np.int64) for k in range(3))
             x = normed(raw)
             pairs = passing(x, width, least)
             if i != j:
@@ -129,7 +131,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
             a, b = a[new], b[new]
             if not len(a):
                 return
-            links = np.bincount(np.concatenate((a, b)), minlength=len(keys))
+            links = np.bincount(np.concatenate((a, b)), weight[np.concatenate((b, a))], len(keys)).astype(np.int64)
             some = np.flatnonzero(links)
             edges = np.array(spanning(list(zip(a.tolist(), b.tolist(), strict=True)), len(keys)))
             yield pa.RecordBatch.from_arrays(
@@ -138,26 +140,29 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
             )
 
         for batch in batches:
-            for cell, i, j, key, block, vector in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            for cell, i, j, key, block, weight, vector in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
                 if (cell, i, j) != unit:
                     if len(held) > 1:
                         yield from work()
                     unit, held = (cell, i, j), []
-                held.append((key, block, vector))
+                held.append((key, block, weight, vector))
         if len(held) > 1:
             yield from work()
 
-    placed = cut(usable.mapInArrow(place, "key long, cell long"))
+    placed = cut(usable.select("key", "embedding").mapInArrow(place, "key long, cell long"))
     crowd = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     spread = placed.join(crowd, "cell").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit(5)), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block")
-    units = spread.join(usable, "key").select("cell", "i", "j", "key", "block", "embedding").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    units = spread.join(usable, "key").select("cell", "i", "j", "key", "block", "weight", "embedding").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     found = cut(units.mapInArrow(compare, "a long, b long, n long"))
     links = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     label = connected(found.where("b IS NOT NULL").select("a", "b"))
-    flat = rows.select("vec_id", "key").join(links, "key", "left").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    of_class = usable.select("key", "weight").join(links, "key", "left").join(label.withColumnRenamed("node", "key"), "key", "left")
+    of_class = of_class.select(F.col("key").alias("class"), (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "key").alias("label"))
+    flat = rows.withColumn("class", F.when(F.col("embedding").isNotNull() & sound, F.xxhash64("embedding"))).select("vec_id", "key", "class")
+    flat = flat.join(of_class, "class", "left").withColumn("label", F.coalesce("label", F.xxhash64("key", F.lit("alone"))))
     least_id = flat.groupBy("label").agg(F.min("vec_id").alias("component_id"))
     made = flat.join(least_id, "label").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
     return made.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -6,32 +6,46 @@ dates by the calendar, e-mail addresses and ten-digit North American phone numbe
 (phone numbers within the number plan stay in it, and those outside it stay outside). A validated
 value is permuted within its own format (same length, punctuation, letter case and check digits)
 by a Feistel network over the format's domain, walking until the result is valid again. The
-permutation depends on the key and the kind alone, so equal values have equal pseudonyms in every
+permutation depends on the secret key (``spark.verdara.pii.key``) and the kind alone, so equal values have equal pseudonyms in every
 document and different values stay different; a date keeps its identity across notations (day and month are
-written with two digits).
+written with two digits; day first, unless only month first is a date).
 
 Defined cases: a null text stays null and an empty one empty, with no finding; values that fail
-validation are left alone; texts are processed whole; repeated rows are treated alike; other
-columns are passed through unread.
+validation are left alone; where two kinds fit, the first of the pattern is taken; very long texts
+are processed whole; repeated rows are treated alike; other columns are passed through unread, under a
+struct if their names clash with ``text`` or ``n_found``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import string
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdara.llm.common import chunks
 
 ROUNDS = 8
-#: Stands in where no key is given; production runs pass their own.
-DEFAULT_KEY = b"replace this key"
+#: Name of the session setting with the key.
+KEY_SETTING = "spark.verdara.pii.key"
+_drawn: list[bytes] = []
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key; without one, a random key of this application, so that nobody can invert its pseudonyms."""
+    given = spark.conf.get(KEY_SETTING, None)
+    if given:
+        return given.encode()
+    if not _drawn:
+        _drawn.append(secrets.token_bytes(32))
+    return _drawn[0]
+
 
 FOUND = re.compile(
     r"""
@@ -48,7 +62,8 @@ FOUND = re.compile(
 #: A text without one of these has nothing to find.
 HINT = re.compile(r"[0-9@]")
 
-EPOCH, DAYS = date(1900, 1, 1), 73_049  # up to the end of 2099
+EPOCH, DAYS = date(1900, 1, 1), 73_049  # up to the end of 2099; dates of other years stay outside these
+ALL_DAYS = date.max.toordinal()
 
 
 class Feistel:
@@ -162,14 +177,21 @@ class Pseudonymiser:
 
     def day(self, raw: str) -> str | None:
         a, b, c = map(int, re.split(r"\D", raw))
+        iso = raw[4] == "-"
+        month_first = not iso and b > 12
         try:
-            value = (date(a, b, c) if a > 31 else date(c, b, a)).toordinal() - EPOCH.toordinal()
+            value = (date(a, b, c) if iso else date(c, a, b) if month_first else date(c, b, a)).toordinal()
         except ValueError:
             return None
-        if not 0 <= value < DAYS:
-            return None
-        moved = EPOCH + timedelta(self.net.once("day", DAYS, value))
-        return moved.isoformat() if a > 31 else raw[:0] + moved.strftime(f"%d{raw[-5]}%m{raw[-5]}%Y")
+        usual = lambda v: 0 <= v - EPOCH.toordinal() < DAYS
+        if usual(value):
+            moved = EPOCH + timedelta(self.net.once("day", DAYS, value - EPOCH.toordinal()))
+        else:
+            moved = date.fromordinal(1 + self.net.walk("day", ALL_DAYS, value - 1, lambda v: not usual(v + 1)))
+        if iso:
+            return moved.isoformat()
+        parts = (moved.month, moved.day) if month_first else (moved.day, moved.month)
+        return f"{parts[0]:02d}{raw[-5]}{parts[1]:02d}{raw[-5]}{moved.year:04d}"
 
     def replace(self, text: str | None) -> tuple[str | None, int]:
         """The text with its valid values replaced, and their number."""
@@ -193,7 +215,7 @@ class Pseudonymiser:
         return FOUND.sub(one, text), count
 
 
-def pseudonymise(docs: DataFrame, columns: list[str | Column], key: bytes = DEFAULT_KEY, kinds: frozenset[str] | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, columns: list[str | Column], key: bytes, kinds: frozenset[str] | None = None) -> DataFrame:
     """``columns`` of every row, with ``text`` (pseudonymised) and ``n_found`` appended."""
     rows = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"))
 
@@ -205,9 +227,10 @@ def pseudonymise(docs: DataFrame, columns: list[str | Column], key: bytes = DEFA
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["row", "text", "n_found"])
 
     made = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string, n_found long")
-    return made.select("row.*", "text", "n_found")
+    clash = {"text", "n_found"}.intersection(rows.schema["row"].dataType.names)
+    return made.select("row" if clash else "row.*", "text", "n_found")
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     """doc_id, number of values replaced, and the whole pseudonymised text."""
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], key_of(spark))

@@ -44,7 +44,7 @@ PIECE = 1 << 18
 def shape(word: str) -> str:
     """``Word,`` is ``Aa,``; ``is%%%`` is ``a%``: case, digits and symbols without lengths."""
     out = []
-    for c in word[:64]:
+    for c in word:
         kind = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if not out or out[-1] != kind:
             out.append(kind)

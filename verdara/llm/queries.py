@@ -45,6 +45,15 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM twice),
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op6_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS.format('lower(text)')} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS.format('lower(text)')} AS w FROM benchmark),
+dt AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+it AS (SELECT item_id, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM i),
+m AS (SELECT doc_id, item_id, n, dt.p - it.p AS o, it.p AS p FROM dt JOIN it USING (t)),
+need AS (SELECT doc_id, item_id, o FROM m GROUP BY ALL HAVING count(*) >= CASE WHEN max(n) < 7 THEN max(n) ELSE ceil(0.75 * least(12, max(n))) END),
+k AS (SELECT a.doc_id, a.item_id, a.n, a.o, a.p, count(*) AS k FROM (SELECT * FROM m SEMI JOIN need USING (doc_id, item_id, o)) a JOIN m b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.o = b.o AND b.p BETWEEN a.p AND a.p + 11 GROUP BY ALL),
+best AS (SELECT doc_id, item_id, CAST(max(k) AS INT) AS matched FROM k GROUP BY ALL HAVING max(k) >= CASE WHEN max(n) < 7 THEN max(n) ELSE ceil(0.75 * least(12, max(n))) END)
+SELECT doc_id, list_sort(list(item_id)) AS item_ids, max(matched) AS matched FROM best GROUP BY doc_id""",
     "op9_embedding_dedup": f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id FROM embeddings),
 unit AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM unit x JOIN unit y ON x.vec_id <> y.vec_id WHERE list_inner_product(x.e, y.e) >= 0.9),
