@@ -2,15 +2,16 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` with the columns of ``documents`` and returns a
 DataFrame; each result is written as Parquet and read back as the next stage's ``docs``. All but
-the last stage return the columns of ``documents``. Rows with nulls, empty tables and further
-columns pass through as each operator defines.
+the last stage return the columns of ``documents``, further columns included. Null texts and texts
+without a letter end at the first stage; repeated rows leave the second stage once; a null id is its
+own group there, is never contaminated and passes; ties go to the least id; very long texts are
+processed whole; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +39,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by pseudonyms; ``n_chars`` follows the new text."""
     rest = [F.struct(*(c for c in docs.columns if c != "text")).alias("rest")]
-    made = pii.pseudonymise(docs, rest)
+    made = pii.pseudonymise(docs, rest, pii.key_of(spark))
     columns = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.col("rest.n_chars"))}
     return made.select(*(columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text decoded from them."""
+    import public_tokenizers
+
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
