@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed units of Indian financial text.
-UNITS = {"thousand": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5, "million": 1e6, "crore": 1e7, "crores": 1e7, "cr": 1e7, "billion": 1e9}
-AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(thousand|lakhs?|lacs?|million|crores?|cr|billion)?\b"
+UNITS = {"thousand": 1e3, "thousands": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5, "million": 1e6, "millions": 1e6, "crore": 1e7, "crores": 1e7, "cr": 1e7, "billion": 1e9, "billions": 1e9}
+AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(thousands?|lakhs?|lacs?|millions?|crores?|cr|billions?)?\b"
 PERCENT = r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(?:%|per\s*cent|percent)"
 BASIS = r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(?:bps|basis\s+points?)\b"
 SECTION = r"(?i)\b(?:sections?|regulations?|rules?|clauses?)\s+[0-9]+[A-Za-z]*(?:-[A-Za-z0-9]+)?(?:\([0-9A-Za-z]+\))*"
@@ -77,3 +77,14 @@ def numerically_equal(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
     """Within a relative tolerance; two zeros are equal; NULL if either is."""
     top = F.greatest(F.abs(a), F.abs(b))
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).otherwise(F.abs(a - b) <= tolerance * top)
+
+
+def fy_from_ay(year: Column) -> Column:
+    """The financial year before an assessment year: ``AY 2024-25`` is of ``FY 2023-24``."""
+    first = F.nullif(F.regexp_extract(year, r"([0-9]{4})", 1), F.lit("")).try_cast("int")
+    return F.when(first.isNotNull(), F.format_string("FY %d-%02d", first - 1, F.pmod(first, F.lit(100))))
+
+
+def dates_equal(a: Column, b: Column) -> Column:
+    """Three-valued: NULL if either text holds no date."""
+    return date(a) == date(b)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdara.functions.text import tokens
@@ -18,8 +20,33 @@ QUERY_BLOCK = 4096
 
 def postings(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
     """``doc, term, tf, dl`` of every document and term."""
-    rows = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("terms"))
-    return rows.select("doc", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    # The generator keeps the tokenisation from being repeated in every expression on its result.
+    rows = docs.select(F.col(doc).alias("doc"), F.explode(F.array(F.array_sort(tokens(F.col(text))))).alias("terms"))
+    # Equal neighbours of the sorted terms are counted inside the row, without a shuffle.
+    starts = F.filter(F.sequence(F.lit(1), F.size("terms")), lambda i: (i == 1) | (F.get(F.col("terms"), i - 1) != F.get(F.col("terms"), i - 2)))
+    runs = rows.where(F.size("terms") > 0).select("doc", "terms", F.explode(F.array(starts)).alias("starts"))
+    each = runs.select("doc", F.size("terms").alias("dl"), "terms", "starts", F.posexplode("starts").alias("i", "at"))
+    return each.select("doc", "dl", F.get(F.col("terms"), F.col("at") - 1).alias("term"), (F.coalesce(F.get(F.col("starts"), F.col("i") + 1), F.col("dl") + 1) - F.col("at")).cast("long").alias("tf"))
+
+
+def write_index(docs: DataFrame, doc: str, folder: str) -> None:
+    """The stored index: ``postings(doc, dl, term, tf)``, ``idf(term, idf)`` and ``sizes(n, avgdl)``; texts are read once."""
+    spark = docs.sparkSession
+    postings(docs, doc).write.mode("overwrite").parquet(f"{folder}/postings")
+    posted = spark.read.parquet(f"{folder}/postings")
+    held = posted.groupBy("doc").agg(F.first("dl").alias("dl")).agg(F.sum("dl").alias("total"))
+    n = docs.count()
+    held.select(F.lit(n).cast("long").alias("n"), (F.coalesce("total", F.lit(0)) / F.lit(max(n, 1))).alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/sizes")
+    idf(posted, F.lit(n)).write.mode("overwrite").parquet(f"{folder}/idf")
+
+
+def bm25_stored(spark: SparkSession, folder: str, queries: DataFrame, query: str) -> DataFrame:
+    """As ``bm25``, from a stored index: postings are read for the terms of the queries."""
+    posted, weights, size = (spark.read.parquet(f"{folder}/{name}") for name in ("postings", "idf", "sizes"))
+    asked = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    wanted = asked.join(weights, "term").join(F.broadcast(size))  # sizes is one row
+    return posted.join(wanted, "term").groupBy("query", "doc").agg(F.sum(F.col("times") * weight).alias("score"))
 
 
 def idf(posted: DataFrame, n_docs: Column) -> DataFrame:
@@ -31,13 +58,19 @@ def idf(posted: DataFrame, n_docs: Column) -> DataFrame:
 
 def bm25(docs: DataFrame, doc: str, queries: DataFrame, query: str) -> DataFrame:
     """``query, doc, score`` of every document that shares a term with a query; repeated query terms count repeatedly."""
-    posted = postings(docs, doc)
-    sizes = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    size = sizes.first()
-    asked = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(idf(posted, F.lit(size["n"])), "term")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(size["avgdl"])))
-    return posted.join(weighted, "term").groupBy("query", "doc").agg(F.sum(F.col("times") * weight).alias("score"))
+    folder = scratch(docs.sparkSession, "index")
+    write_index(docs, doc, folder)
+    return bm25_stored(docs.sparkSession, folder, queries, query)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder below the session's shared one; a local one only on a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="spark-index-")
+    return f"{folder.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query", score: str = "score", tie: str = "doc", digits: int = 6) -> DataFrame:
@@ -53,8 +86,15 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Query vectors are worked off in blocks of ``QUERY_BLOCK``; each task keeps its k best of every
     query, so the shuffle holds k rows a task and query.
     """
-    queries = queries.select(F.col("vec_id").alias("query"), "embedding").where("embedding IS NOT NULL")
-    blocks = -(-queries.count() // QUERY_BLOCK)
+    queries = queries.select(F.col("vec_id").alias("query"), "embedding").where("size(embedding) > 0")
+    vectors = vectors.where("size(embedding) > 0")
+    shape = queries.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+    if not shape["n"]:
+        return vectors.sparkSession.createDataFrame([], "query long, doc long, score double, rank long")
+    if shape["least"] != shape["most"]:
+        raise ValueError("query vectors differ in length")
+    vectors = vectors.where(F.size("embedding") == shape["most"])  # no cosine between other lengths
+    blocks = -(-shape["n"] // QUERY_BLOCK)
     parts = []
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).collect()

@@ -44,3 +44,20 @@ def amendment_events(versions: DataFrame) -> DataFrame:
     """Dates at which an existing section got a further version."""
     rank = F.row_number().over(Window.partitionBy("section").orderBy("effective_from", "version"))
     return versions.withColumn("n", rank).where("n > 1").groupBy("effective_from").agg(F.count("*").alias("n_sections"))
+
+
+def superseded_sections(versions: DataFrame, as_of: Column) -> DataFrame:
+    """``section, active``: the version of each section in force at one date."""
+    applies = (F.col("effective_from") <= as_of) & (F.coalesce("effective_to", F.lit(FOREVER).cast("date")) >= as_of)
+    return versions.where(applies).groupBy("section").agg(F.max(F.struct("effective_from", "version"))["version"].alias("active"))
+
+
+def temporal_filter(chunks: DataFrame, versions: DataFrame, as_of: Column) -> DataFrame:
+    """The hard filter over ``chunks(section, version, effective_from, effective_to, ...)``.
+
+    Out go chunks of another version than the one in force (a section without one passes), and those
+    not yet effective or expired at the date.
+    """
+    joined = chunks.join(superseded_sections(versions, as_of), "section", "left")
+    kept = F.col("active").isNull() | (F.col("active") == F.col("version"))
+    return joined.where(kept & current(as_of, F.col("effective_from"), F.col("effective_to"))).drop("active")

@@ -6,23 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdara.functions import normalize as N
+from verdara.functions.text import DAY
 
 MATCH, MISMATCH, NOT_FOUND, NA = "MATCH", "MISMATCH", "NOT_FOUND", "NA"
 PRIORITY = {MATCH: 3, MISMATCH: 2, NOT_FOUND: 1, NA: 0}
 
 
-def found_values(kind: Column, text: Column) -> Column:
-    """Numeric values of the atom's kind in a text: rates in per cent, thresholds in rupees."""
-    rates = F.transform(F.regexp_extract_all(text, F.lit(N.PERCENT), F.lit(0)), N.percent)
-    amounts = F.transform(F.regexp_extract_all(F.lower(text), F.lit(N.AMOUNT), F.lit(0)), N.amount)
-    return F.when(kind == "RATE", rates).when(kind == "THRESHOLD", amounts).otherwise(F.array().cast("array<double>"))
+KINDS = ("RATE", "THRESHOLD", "DATE", "SECTION")
 
 
-def check(kind: Column, value: Column, text: Column) -> Column:
-    """Status of one atom against one chunk."""
-    values = F.filter(found_values(kind, F.coalesce(text, F.lit(""))), lambda v: v.isNotNull())
-    status = F.when(F.size(values) == 0, NOT_FOUND).when(F.exists(values, lambda v: N.numerically_equal(v, value)), MATCH).otherwise(MISMATCH)
-    return F.when(kind.isin("RATE", "THRESHOLD"), status).otherwise(F.when(kind == "COMPUTED", NOT_FOUND).otherwise(NA))
+def found_values(kind: str, text: Column) -> Column:
+    """Values of a kind in a text, in normal form: per cent, rupees, ISO days, section references."""
+    text = F.coalesce(text, F.lit(""))
+    if kind == "RATE":
+        values = F.transform(F.regexp_extract_all(text, F.lit(N.PERCENT), F.lit(0)), N.percent)
+    elif kind == "THRESHOLD":
+        values = F.transform(F.regexp_extract_all(F.lower(text), F.lit(N.AMOUNT), F.lit(0)), N.amount)
+    elif kind == "DATE":
+        values = F.transform(F.regexp_extract_all(text, F.lit(rf"\b(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|{DAY})\b"), F.lit(0)), lambda t: N.date(t).cast("string"))
+    else:
+        values = F.transform(F.regexp_extract_all(text, F.lit(N.SECTION), F.lit(0)), N.section)
+    return F.array_distinct(F.filter(values, lambda v: v.isNotNull()))
+
+
+def read_values(evidence: DataFrame, text: str = "text") -> DataFrame:
+    """``evidence`` with the values of every kind, each text read once, before any atom meets it."""
+    return evidence.select(*(c for c in evidence.columns if c != text), *(found_values(k, F.col(text)).alias(f"_{k}") for k in KINDS))
+
+
+def check(kind: Column, value: Column, text_value: Column) -> Column:
+    """Status of an atom against the values that ``read_values`` has found: numbers for rates and thresholds, texts for the others."""
+    out = F.when(kind == "COMPUTED", NOT_FOUND).otherwise(NA)
+    for name in KINDS:
+        found = F.coalesce(F.col(f"_{name}"), F.array())
+        same = F.exists(found, lambda v: N.numerically_equal(v, value)) if name in ("RATE", "THRESHOLD") else F.array_contains(found, text_value)
+        known = value.isNull() if name in ("RATE", "THRESHOLD") else text_value.isNull()
+        status = F.when(known | (F.size(found) == 0), NOT_FOUND).when(same, MATCH).otherwise(MISMATCH)
+        out = F.when(kind == name, status).otherwise(out)
+    return out
 
 
 def best_status(statuses: Column) -> Column:
@@ -34,9 +55,29 @@ def best_status(statuses: Column) -> Column:
 
 
 def v1(atoms: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``atom, v1_status`` from ``atoms(atom, question, kind, value)`` and ``evidence(question, text)``."""
-    pairs = atoms.join(evidence, "question", "left")
-    return pairs.groupBy("atom").agg(best_status(check(F.col("kind"), F.col("value"), F.col("text"))).alias("v1_status"))
+    """``atom, v1_status`` from ``atoms(atom, question, kind, value[, text_value])`` and ``evidence(question, text)``."""
+    if "text_value" not in atoms.columns:
+        atoms = atoms.withColumn("text_value", F.lit(None).cast("string"))
+    pairs = atoms.join(read_values(evidence), "question", "left")
+    return pairs.groupBy("atom").agg(best_status(check(F.col("kind"), F.col("value"), F.col("text_value"))).alias("v1_status"))
+
+
+def v1_cited(atoms: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``atom, v1_status, cited_status``: as ``v1``, with the status of the cited chunk apart; other chunks decide only where it is no match."""
+    pairs = atoms.join(read_values(evidence), "question", "left").withColumn("status", check(F.col("kind"), F.col("value"), F.col("text_value")))
+    here = F.col("chunk") == F.col("cited")
+    cited = F.max(F.when(here, F.col("status")))  # one chunk a name
+    return pairs.groupBy("atom").agg(cited.alias("cited_status"), best_status(F.col("status")).alias("all_status")).select("atom", F.when(F.col("cited_status") == MATCH, MATCH).otherwise(F.col("all_status")).alias("v1_status"), "cited_status")
+
+
+def cascade(checked: DataFrame, entailed: str = "v2_entail_prob") -> DataFrame:
+    """One row per atom with both verdicts: the second one is kept whatever the first says; a missing one is marked."""
+    return checked.withColumn("v2_missing", F.col(entailed).isNull().cast("int")).withColumn("s_nli", F.when(F.col(entailed).isNotNull() & ~F.isnan(entailed), F.round(1 - F.col(entailed), 4)))
+
+
+def hypothesis(claim: Column, text: Column) -> Column:
+    """The sentence that is verified: the claim, else the atom's text."""
+    return F.coalesce(F.nullif(F.trim(claim), F.lit("")), text)
 
 
 def best_evidence(claims: DataFrame, chunks: DataFrame) -> DataFrame:
