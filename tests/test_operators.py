@@ -6,6 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdara.operators import chunking, evaluate, guarantee, retrieval, splits, temporal, verify
+from verdara.operators import answers as A
+from verdara.operators import certify as C
+from verdara.operators import evidence as E
+from verdara.operators import retrieval as R
 
 day = datetime.date.fromisoformat
 
@@ -66,3 +70,31 @@ def test_splits(spark):
     assert set(counts) == {"calibration", "test", "agg_val"} and 350 < counts["test"] < 650
     todo, done = spark.createDataFrame([(1,), (2,), (3,)], "k int"), spark.createDataFrame([(1, "DONE"), (2, "ERROR")], "k int, status string")
     assert sorted(r["k"] for r in splits.pending(todo, done, "k").collect()) == [2, 3]
+
+
+def test_atoms_settle_overlaps(spark):
+    text = "Pay 12.5 % p.a. or 2:1 on ₹5,00,000 or ₹ 2.5 crore within 30 days under Section 52(4) and para 3 from 12/03/2024, 5 March 2023, FY 2023-24; rule 5 % holds"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "5\u00015 days")], "a long, t string")
+    made = [tuple(r) for r in A.find_atoms(rows, "a", "t").where("answer = 1").orderBy("start").collect()]
+    assert [(k, t) for _, k, t, _, _ in made] == [("RATE", "12.5 % p.a."), ("RATE", "2:1"), ("THRESHOLD", "₹5,00,000"), ("THRESHOLD", "₹ 2.5 crore"), ("THRESHOLD", "30 days"), ("SECTION", "Section 52"), ("SECTION", "para 3"), ("DATE", "12/03/2024"), ("DATE", "5 March 2023"), ("DATE", "FY 2023-24"), ("RATE", "5 %")]
+    assert all(text[start:stop].strip() == t for _, _, t, start, stop in made)
+    assert A.find_atoms(rows, "a", "t").where("answer IN (2, 3)").count() == 0
+
+
+def test_merging_of_strata():
+    sizes = {"RBI|RATE": 100, "SEBI|RATE": 10, "IRDAI|RATE": 30, "*|RATE": 35, "SEBI|DATE": 5}
+    assert C.merge_targets(sizes, 50) == {"RBI|RATE": "RBI|RATE", "*|RATE": "*|*", "IRDAI|RATE": "*|RATE", "SEBI|RATE": "*|RATE", "SEBI|DATE": "*|*"}
+
+
+def test_guards(spark):
+    rows = spark.createDataFrame([(1, 0), (2, None)], "a int, label int")
+    for part, least in ((rows, 1), (rows.where("a = 1"), 5)):
+        with pytest.raises(ValueError):
+            E.required(part, "label", least)
+    assert E.required(rows.where("a = 1"), "label", 1).count() == 1
+
+
+def test_dense_search_without_queries_or_of_mixed_lengths(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0]), (4, []), (5, None)], "vec_id long, embedding array<double>")
+    assert R.dense_top_k(vectors, vectors.limit(0), 3).count() == 0
+    assert [tuple(r)[:2] for r in R.dense_top_k(vectors, vectors.where("vec_id = 1"), 3).collect()] == [(1, 2)]

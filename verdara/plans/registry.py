@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from verdara.plans import answers, evaluation, facts, retrieval, streams
+from verdara.plans import answers, certification, evaluation, evidence, facts, records, retrieval, streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for part in (retrieval, facts, evaluation, answers, streams):
+for part in (retrieval, facts, evaluation, certification, evidence, records, answers, streams):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,11 @@ SCHEMAS = {
     "atom": "atom_id string, type string, text string, subject string, operator string, value string, unit string, condition string, effective_period string, source_span string, claim string, cited_chunk string, span struct<start:int,end:int>, metadata map<string,string>, schema_version string",
     "decision": "atom_id string, status string, risk double, reason string",
     "thresholds": "stratum string, accept_below double, abstain_above double",
+    "version": "section string, version string, effective_from date, effective_to date, supersedes array<string>, amends array<string>",
+    "question": "question_id string, family string, text string, source_chunk_id string, doc_id string, temporal_tag boolean, amendment_date string",
+    "annotation": "atom_id string, annotator string, label string, note string",
+    "split": "question_id string, split string",
+    "temporal_tag": "question_id string, temporal boolean, drift_type string, amendment_date string, superseded_by string",
     "calibration": "risk double, label int, regulator string, atom_type string, date string",
     "checkpoint": "key string, status string, payload string",
 }
@@ -19,11 +25,47 @@ CATEGORIES = ("master direction", "master circular", "circular", "notification",
 
 
 def read_jsonl(spark: SparkSession, path: str, record: str, strict: bool = True) -> DataFrame:
-    """One record per line; unknown keys are dropped. Strict reading fails on a bad line, else it is counted out."""
+    """One record per line; unknown keys are dropped. Strict reading fails on a bad line, else it is left out (``bad_lines`` counts them)."""
     if strict:
         return spark.read.schema(SCHEMAS[record]).option("mode", "FAILFAST").json(path)
-    rows = spark.read.schema(SCHEMAS[record] + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where("_bad IS NULL").drop("_bad")
+    return _permissive(spark, path, record).where("_bad IS NULL").drop("_bad")
+
+
+def _permissive(spark: SparkSession, path: str, record: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[record] + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+
+
+def bad_lines(spark: SparkSession, path: str, record: str) -> DataFrame:
+    """Number of lines read and of those that are no record."""
+    rows = _permissive(spark, path, record)
+    first = rows.schema.names[0]
+    # A record column takes part too, as Spark does not answer for the corrupt column alone; it is null on a bad line.
+    bad = F.col("_bad").isNotNull() & F.col(first).isNull()
+    return rows.agg(F.count("*").alias("lines"), F.count_if(bad).alias("bad"))
+
+
+def save_table(rows: DataFrame, path: str, record: str) -> None:
+    """A table of a record type, columns by its schema; replaces what is there."""
+    columns = rows.sparkSession.createDataFrame([], SCHEMAS[record]).schema
+    rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in columns)).write.mode("overwrite").parquet(path)
+
+
+def load_table(spark: SparkSession, path: str, record: str) -> DataFrame:
+    """The table; an empty one if nothing was saved."""
+    try:
+        return spark.read.schema(SCHEMAS[record]).parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], SCHEMAS[record])
+
+
+def write_labels(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_labels(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -59,10 +101,9 @@ def describe_path(path: Column) -> list[Column]:
     ]
 
 
-def with_index(files: DataFrame, index: DataFrame) -> DataFrame:
-    """Side index rows joined by file name; of several rows for a file the last read wins."""
-    numbered = index.withColumn("_order", F.monotonically_increasing_id())
-    last = numbered.groupBy(F.regexp_extract("file", r"([^/]+)$", 1).alias("base")).agg(F.max_by(F.struct(*index.columns), "_order").alias("index"))
+def with_index(files: DataFrame, index: DataFrame, order: str) -> DataFrame:
+    """Side index rows joined by file name; of several rows for a file the last by ``order`` wins."""
+    last = index.groupBy(F.regexp_extract("file", r"([^/]+)$", 1).alias("base")).agg(F.max_by(F.struct(*index.columns), order).alias("index"))
     return files.withColumn("base", F.regexp_extract("path", r"([^/]+)$", 1)).join(last, "base", "left")
 
 
@@ -71,6 +112,7 @@ def append_checkpoint(rows: DataFrame, path: str) -> None:
     rows.select("key", "status", "payload").write.mode("append").json(path)
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows by key; a new row replaces an existing one."""
-    return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]))
+def upsert(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows by key; a new row replaces an existing one, and of new rows with a key the last by ``order`` stays."""
+    last = new.groupBy(key).agg(F.max_by(F.struct(*(c for c in new.columns if c != key)), order).alias("_last")).select(key, "_last.*")
+    return existing.join(last.select(key), key, "left_anti").unionByName(last)
