@@ -7,7 +7,7 @@ The incidence matrix has a row per distinct n-gram set and a column per n-gram.
    therefore agree entirely in some non-empty block, and rows are brought together only by equal
    (block, content) keys. A row must share as many keys as it has non-empty blocks beyond the
    columns in which a linked row can differ; others drop out. The row of a key that meets most others
-   is its hub; keys give star edges, never pairs. A hub and all rows with an edge to it form a family.
+   (in later turns: the one of fewest changes) is its hub; keys give star edges, never pairs. A hub and all rows with an edge to it form a family.
 2. *Row blocks.* A family of up to ``WHOLE`` rows is one unit, in which a sparse product accumulates
    overlap counts, column strip by column strip, and drops pairs as soon as their count plus what
    is left falls below the bound that their sizes imply. A larger family is cut into row blocks,
@@ -205,7 +205,9 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def meeting(rows: DataFrame) -> DataFrame:
-    """Star edges ``a, b`` with the hub's degree ``d``, between nodes with an equal key, from ``rows(node, keys, need, side)``.
+    """Star edges ``a, b`` with the hub's rank ``d``, between nodes with an equal key, from ``rows(node, keys, need, side[, rank])``.
+
+    Without a given rank, the hub of a key is the node that meets most others by all its keys.
 
     A node that shares fewer than ``need`` of its keys has no edge, nor has a key that only nodes of
     side 1 or only nodes of side 2 have. Keys travel packed by hash part, so a shuffle row holds many;
@@ -265,9 +267,10 @@ def meeting(rows: DataFrame) -> DataFrame:
     packed = rows.where("node IS NOT NULL").select("node", "keys", "side").mapInArrow(pack, "part int, side int, payload binary")
     groups = cut(packed.repartitionById(parts, F.col("part")).mapInArrow(meet, "key long, n long, nodes array<long>"))
     each = groups.select("key", "n", F.explode("nodes").alias("node"))
-    met = each.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("d"))
-    need = rows.where("need IS NOT NULL").groupBy("node").agg(F.min("need").alias("need"))
-    kept = cut(each.join(met.join(need, "node").where("k >= need").select("node", "d"), "node"))
+    met = each.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("degree"))
+    rank = F.max("rank") if "rank" in rows.columns else F.lit(None)
+    need = rows.where("need IS NOT NULL").groupBy("node").agg(F.min("need").alias("need"), rank.cast("long").alias("rank"))
+    kept = cut(each.join(met.join(need, "node").where("k >= need").select("node", F.coalesce("rank", "degree").alias("d")), "node"))
     hub = kept.groupBy("key", "n").agg(F.max(F.struct("d", "node")).alias("hub"), F.count("*").alias("c")).where("c > 1")
     pieces = F.floor(F.col("n") / GROUP_ROWS)
     spread = hub.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces)))
@@ -288,7 +291,7 @@ def largest_stars(stars: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame, shown: DataFrame, stars: DataFrame, n: int, percent: int, last: bool) -> DataFrame:
-    """Links ``a, b`` of the families, and ``far, keys, cross`` (see ``changes``) of the rows ``a`` of large ones (b is null).
+    """Links ``a, b`` of the families, and ``far, keys, cross`` (see ``changes``) of the rows ``a`` of large ones (b is null), ranked by few changes.
 
     Texts travel, not their n-gram sets, which are larger; the sets are made where they are multiplied.
     """
@@ -310,7 +313,7 @@ def compared(docs: DataFrame, shown: DataFrame, stars: DataFrame, n: int, percen
     spots = spots.select("key", "unit", "node", (~is_hub).alias("member"), "large")
     texts = docs.select(row_key().alias("key"), "text")
     placed = only_members(texts, members, "key").join(spots, "key").select("unit", "member", "node", "large", "text")
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("far", pa.bool_()), ("keys", pa.list_(pa.int64())), ("cross", pa.list_(pa.int64()))])
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("far", pa.bool_()), ("keys", pa.list_(pa.int64())), ("cross", pa.list_(pa.int64())), ("rank", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -345,7 +348,7 @@ def compared(docs: DataFrame, shown: DataFrame, stars: DataFrame, n: int, percen
                     hub = node, grams
                 else:
                     far, keys, cross = changes(grams, hub[1], percent, hub[0])
-                    rows.append((node, None, far, keys.view(np.int64), cross.view(np.int64)))
+                    rows.append((node, None, far, keys.view(np.int64), cross.view(np.int64), -len(np.setxor1d(grams, hub[1], assume_unique=True))))
                     if not far:
                         pairs.append((hub[0], node))
             if pairs:
@@ -354,7 +357,7 @@ def compared(docs: DataFrame, shown: DataFrame, stars: DataFrame, n: int, percen
                 yield pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows), out)], schema=out)
         yield from flush()
 
-    return placed.repartition("unit").sortWithinPartitions("unit", "member", "node").mapInArrow(run, "a long, b long, far boolean, keys array<long>, cross array<long>")
+    return placed.repartition("unit").sortWithinPartitions("unit", "member", "node").mapInArrow(run, "a long, b long, far boolean, keys array<long>, cross array<long>, rank long")
 
 
 def links(docs: DataFrame, rows: DataFrame, stars: DataFrame, n: int, percent: int) -> DataFrame:
@@ -368,15 +371,15 @@ def links(docs: DataFrame, rows: DataFrame, stars: DataFrame, n: int, percent: i
         found = edges if found is None else found.unionByName(edges)
         if made.where("far").isEmpty():
             break
-        stars = cut(largest_stars(meeting(met_again(made))))
+        stars = cut(meeting(met_again(made)))
     return found
 
 
 def met_again(made: DataFrame) -> DataFrame:
     """``node, keys, need, side`` of the rows of large families: far rows among themselves, and far rows (side 1) with others (side 2)."""
     one = F.lit(1).cast("long").alias("need")
-    far = made.where("far").select(F.col("a").alias("node"), "keys", one, F.lit(0).alias("side"))
-    cross = made.where("far IS NOT NULL").select(F.col("a").alias("node"), F.col("cross").alias("keys"), one, F.when(F.col("far"), 1).otherwise(2).alias("side"))
+    far = made.where("far").select(F.col("a").alias("node"), "keys", one, F.lit(0).alias("side"), "rank")
+    cross = made.where("far IS NOT NULL").select(F.col("a").alias("node"), F.col("cross").alias("keys"), one, F.when(F.col("far"), 1).otherwise(2).alias("side"), "rank")
     return far.unionByName(cross)
 
 
