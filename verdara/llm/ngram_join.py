@@ -270,7 +270,8 @@ def meeting(rows: DataFrame) -> DataFrame:
     met = each.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("degree"))
     rank = F.max("rank") if "rank" in rows.columns else F.lit(None)
     need = rows.where("need IS NOT NULL").groupBy("node").agg(F.min("need").alias("need"), rank.cast("long").alias("rank"))
-    kept = cut(each.join(met.join(need, "node").where("k >= need").select("node", F.coalesce("rank", "degree").alias("d")), "node"))
+    good = cut(met.join(need, "node").where("k >= need").select("node", F.coalesce("rank", "degree").alias("d")))
+    kept = cut(only_members(each, good, "node").join(good, "node"))  # most rows end in the filter, before the shuffle
     hub = kept.groupBy("key", "n").agg(F.max(F.struct("d", "node")).alias("hub"), F.count("*").alias("c")).where("c > 1")
     pieces = F.floor(F.col("n") / GROUP_ROWS)
     spread = hub.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces)))
