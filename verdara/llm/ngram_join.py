@@ -58,23 +58,27 @@ def ngram_set(words: np.ndarray, n: int) -> np.ndarray:
 
 
 @lru_cache(8)
-def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least size, allowed difference and number of column blocks of each size class."""
+def size_classes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Least and greatest size, allowed difference and number of column blocks of each size class.
+
+    Below 85 per cent blocks hold so few n-grams that one shared passage makes many of them agree, so
+    there are more blocks, of which more must agree.
+    """
     least = [1]
     while least[-1] < 1 << 40:
         least.append(max(least[-1] + 1, least[-1] * 3 // 2))
     lower = np.array(least, np.int64)
     upper = np.append(lower[1:], 1 << 41) - 1
     differ = 2 * upper * (100 - percent) // (100 + percent)
-    return lower, differ, differ + 2 + upper // 50
+    return lower, upper, differ, differ + 2 + upper // (50 if percent >= 85 else 8)
 
 
 def block_keys(grams: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """Keys of the row's column blocks, in its size class and, near the class's end, in the next one; and how many a link shares."""
-    lower, differ, blocks = size_classes(percent)
+    lower, upper, differ, blocks = size_classes(percent)
     n = len(grams)
     own = int(np.searchsorted(lower, n, side="right")) - 1
-    out, filled = [], n
+    out, need = [], n
     for c in (own, own + 1):
         if c > own and 100 * n < percent * lower[c]:
             continue
@@ -86,11 +90,11 @@ def block_keys(grams: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
         content = np.add.reduceat(mix64(grams[by]), start)
         at = block[start] + np.uint64(c << 40)
         out.append(mix64(content ^ mix64(at)))
-        filled = min(filled, len(start))
+        need = min(need, len(start) - (100 - percent) * (n + min(int(upper[c]), n * 100 // percent)) // (100 + percent))
         if len(start) <= differ[c]:  # so many empty blocks that the guarantee needs them as keys
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), block[start])
             out.append(mix64(mix64(empty + np.uint64(c << 40)) + np.uint64(1)))
-    return np.concatenate(out), max(1, filled - n * (100 - percent) // percent)
+    return np.concatenate(out), max(1, need)
 
 
 def product_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
