@@ -399,8 +399,10 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     release(docs.sparkSession)
     label = connected(links(docs, rows, stars, n, percent))
     flat = rows.select("doc_id", "key", "n_shingles", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = flat.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return flat.join(least, "label", "left").select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = flat.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1")
+    salted = least.select("label", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
+    flat = flat.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))  # a component may hold a large share of all rows
+    return flat.join(salted, ["label", "salt"], "left").select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
