@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import time
 import zlib
@@ -203,10 +204,36 @@ def test_lm_counts_words_beyond_the_code(spark, monkeypatch):
 
 
 def test_lm_is_a_distribution():
-    counts = np.zeros((2, 1 << lm_score.CODE_BITS), np.float32)
-    counts[0, :500] = counts[1, 300:900] = 3
-    model = lm_score.WordModel(counts, [b"the"])
-    assert np.allclose((10.0 ** model.log10.astype(np.float64)).sum(1), 1, atol=1e-3)
+    g = np.random.default_rng(5)
+    code = lm_score.Code(g.integers(1, 400, 600))
+    leaf, contexts = g.integers(0, 600, 4000), g.integers(0, 3, (lm_score.CONTEXTS, 4000)).astype(np.uint32)
+    model = lm_score.Bits(lm_score.CONTEXTS, lm_score.DEPTHS, lm_score.WORD_BITS)
+    for i in range(0, 4000, 500):
+        *bits, _ = lm_score.node_bits(code, leaf[i : i + 500], contexts[:, i : i + 500], True)
+        model.learn(*bits)
+    model.mixer.take(model.mixer.sums())
+    for c in range(3):
+        every = lm_score.token_log10(model, code, np.arange(600), np.full((lm_score.CONTEXTS, 600), c, np.uint32))
+        assert (10.0**every).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_shards_add_up():
+    g = np.random.default_rng(6)
+    shards = [lm_score.Mixer(3, 8) for _ in range(2)]
+    for m in shards:
+        m.train(g.normal(size=(3, 500)).astype(np.float32), g.integers(0, 6, 500), g.integers(0, 2, 500))
+    made = lm_score.Mixer(3, 8)
+    made.take(sum(m.sums() for m in shards))
+    share = shards[0].read[:6] / (shards[0].read + shards[1].read)[:6]
+    want = shards[0].weights[:, :6] * share + shards[1].weights[:, :6] * (1 - share)
+    assert np.allclose(made.weights[:, :6], want, atol=1e-5) and np.allclose(made.weights[:, 6:], 1 / 3)
+    assert np.allclose(made.seen, shards[0].seen + shards[1].seen, atol=1e-4)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    held = lm_score.op5_lm_score(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
+    assert held["s"] / held["n"] > held["b"] / held["n"]
 
 
 # 6 benchmark

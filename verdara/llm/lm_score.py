@@ -1,27 +1,31 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
+"""Language-model scores by online logistic mixing of hashed-context bit predictors.
 
 A text is its sequence of lower-cased words and one end. Each word is coded in bits. Frequent words,
-the end and an escape have a binary code each; a bit is predicted from the counts of its code prefix
-alone and within several hashed contexts made from the last short word before it. Other words are
-escaped. After an escape every word with a count is predicted from its own count, less a discount
+the end and an escape have a Huffman code; a bit is predicted from the counts of its code prefix
+alone and within hashed contexts: the last short word, the last word, the last two words. Other words
+are escaped. After an escape every word with a count is predicted from its own count, less a discount
 estimated from the words seen once and twice; what the discount frees is for the spelling, byte by
 byte, each bit predicted from hashed contexts of one to six bytes.
 At both levels the predictions are combined in the logistic domain by weights that a gate selects
-(the bit's place and how much the longest context has seen), trained online, one small batch after
-the other and each event without its own count, and an adaptive map refines the result.
+(the bit's place and how much the longest context has seen), and an adaptive map refines the result.
+
+Learning is online, in reading order, over every training text in shards: a small batch of bits is
+predicted from what the shard has read so far, then moves weights and map, then is counted. The
+shards' counts are added up, their maps too, and their weights averaged by what each has read.
 
 All counts come from every training document: word counts by shuffle, context counts and spelling
-counts as tables of fixed size that tasks add up block by block. The frequent words are at most
+counts as tables of fixed size that shards add up block by block. The frequent words are at most
 ``FREQUENT`` and are broadcast; all other words are joined with their counts and spelling scores.
 
 Defined cases: a null text counts as empty, which is one end; without training documents every
 count is zero and the scores follow from the formulas; rows with a null id are scored and not
-learned from; repeated rows are scored each, and learned from each; other columns are not read.
+learned from; repeated rows are scored each, and learned from each; very long texts are read in
+pieces of bounded size; other columns are not read.
 """
 
 from __future__ import annotations
 
-import zlib
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,121 +36,212 @@ from pyspark.sql import functions as F
 
 from verdara.llm.common import bucket_of, chunks, cut, lower_words_of
 
-#: Leaves of the word code (two are the end and the escape), and short words with a context of their own.
-CODE_BITS, SHORTS = 17, 32
-FREQUENT = (1 << CODE_BITS) - 2
+#: Words with a code of their own, and short words with a context of their own.
+FREQUENT, SHORTS = (1 << 17) - 2, 32
 END, ESCAPE = 0, 1
-#: Hashed contexts of the last short word: number of classes of each.
-CLASSES = (1, 7, 13, SHORTS + 1)
-#: Spelling: context lengths in bytes and slots of each table.
+#: Contexts of a word; slots of each context's table, of words and of spelling.
+CONTEXTS, WORD_BITS = 3, 20
 ORDERS, SLOT_BITS = (1, 2, 3, 4, 6), 19
+#: Depths in the code with weights of their own.
+DEPTHS = 24
 CELL = 2048
-#: Bounds of what the mixers train on.
-MIXER_EVENTS, MIXER_WORDS = 100_000, 8_000
-
-
-def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+#: Tokens, or words to spell, that are predicted before they are learned from; and those scored at once.
+STEP, SPELL_STEP, AT_ONCE = 1024, 400, 2048
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+    return 1 / (1 + np.exp(-np.clip(x, x.dtype.type(-20), x.dtype.type(20))))
 
 
 class Mixer:
-    """Gated logistic mixing followed by an adaptive probability map."""
+    """Gated logistic mixing followed by an adaptive probability map; inputs are rows, gates columns."""
 
-    STEPS = 33
+    STEPS, SCALE, TRUST = 33, 1 << 20, 30.0
 
     def __init__(self, inputs: int, gates: int) -> None:
-        self.weights = np.full((gates, inputs), 1.0 / inputs)
-        self.moved = np.full((gates, inputs), 1.0)
-        self.map = np.tile(squash(np.linspace(-8, 8, self.STEPS)), (gates, 1))
+        self.weights = np.full((inputs, gates), 1.0 / inputs, np.float32)
+        self.moved = np.full((inputs, gates), 1.0)
+        self.read = np.zeros(gates)
+        self.ones = np.zeros(gates * self.STEPS)
+        self.seen = np.zeros(gates * self.STEPS)
+        self.take(self.sums())
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", x, self.weights[gate])
+        mixed = x[0] * self.weights[0].take(gate)
+        for k in range(1, len(x)):
+            mixed += x[k] * self.weights[k].take(gate)
+        return mixed
 
-    def place(self, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = (np.clip(mixed, -7.999, 7.999) + 8) / 16 * (self.STEPS - 1)
-        low = at.astype(np.int64)
-        return low, at - low
+    def place(self, mixed: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = (np.clip(mixed, np.float32(-7.99), np.float32(7.99)) + np.float32(8)) * np.float32((self.STEPS - 1) / 16)
+        low = at.astype(np.int32)
+        return gate * self.STEPS + low, at - low
 
     def train(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float = 0.05) -> None:
-        """One online pass: every small batch is predicted, then learned from; steps shrink as a gate has moved."""
-        gates = len(self.weights)
-        for i in range(0, len(bit), 128):
-            s, g, y = x[i : i + 128], gate[i : i + 128], bit[i : i + 128]
-            mixed = self.mix(s, g)
-            error = y - squash(mixed)
-            step = np.stack([np.bincount(g, error * s[:, k], gates) for k in range(s.shape[1])], 1)
-            self.moved += step * step
-            self.weights += rate * step / np.sqrt(self.moved)
-            low, part = self.place(mixed)
-            for k, share in ((low, 1 - part), (low + 1, part)):
-                np.add.at(self.map, (g, k), 0.01 * share * (y - self.map[g, k]))
+        """Learn from one batch; steps shrink as a gate has moved."""
+        gates = len(self.read)
+        mixed = self.mix(x, gate)
+        error = bit - squash(mixed)
+        step = np.stack([np.bincount(gate, error * row, gates) for row in x])
+        self.moved += step * step
+        self.weights += (rate * step / np.sqrt(self.moved)).astype(np.float32)
+        self.read += np.bincount(gate, minlength=gates)
+        low, part = self.place(mixed, gate)
+        for at, share in ((low, 1 - part), (low + 1, part)):
+            self.seen += np.bincount(at, share, len(self.seen))
+            self.ones += np.bincount(at, share * bit, len(self.seen))
 
     def predict(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Probability of a one: the mixed and the refined prediction in equal parts."""
         mixed = self.mix(x, gate)
-        low, part = self.place(mixed)
-        refined = self.map[gate, low] * (1 - part) + self.map[gate, low + 1] * part
-        return np.clip((squash(mixed) + refined) / 2, 1e-6, 1 - 1e-6)
+        low, part = self.place(mixed, gate)
+        refined = self.refined.take(low)
+        refined += part * (self.refined.take(low + 1) - refined)
+        return np.clip((squash(mixed) + refined) * np.float32(0.5), np.float32(1e-6), np.float32(1 - 1e-6))
+
+    def sums(self) -> np.ndarray:
+        """Whole numbers that shards add up in any order."""
+        parts = (self.weights * self.read, self.read, self.ones, self.seen)
+        return np.rint(np.concatenate([x.ravel() for x in parts]) * self.SCALE).astype(np.int64)
+
+    def take(self, sums: np.ndarray) -> None:
+        """Become the average of the shards whose sums these are."""
+        inputs, gates = self.weights.shape
+        weights, self.read, self.ones, self.seen = np.split(sums / self.SCALE, np.cumsum([gates * inputs, gates, gates * self.STEPS]))
+        known = self.read > 0
+        self.weights[:, known] = weights.reshape(inputs, gates)[:, known] / self.read[known]
+        start = np.tile(squash(np.linspace(-8, 8, self.STEPS)), gates)
+        self.refined = ((self.ones + self.TRUST * start) / (self.seen + self.TRUST)).astype(np.float32)
 
 
 def confidence(n: np.ndarray) -> np.ndarray:
     """0 to 3: nothing, little, some or much seen."""
-    return (n > 0).astype(np.int64) + (n > 3) + (n > 60)
-
-
-def prediction(ones: np.ndarray, seen: np.ndarray, prior: float | np.ndarray = 0.5) -> np.ndarray:
-    return stretch(np.clip((ones + 0.4 * prior) / (seen + 0.4), 1e-6, 1 - 1e-6))
-
-
-def short_class(word: bytes, classes: int) -> int:
-    return 1 + zlib.crc32(word + bytes([classes])) % (classes - 1) if classes > 1 else 0
-
-
-class WordModel:
-    """Probability of every leaf in the context of every short word, by mixing at each node of the code."""
-
-    def __init__(self, counts: np.ndarray, shorts: list[bytes]) -> None:
-        """counts: of each leaf after each short word (row 0: none yet)."""
-        rows = len(shorts) + 1
-        of = np.array([[0] * len(CLASSES)] + [[short_class(w, c) if c <= SHORTS else i + 1 for c in CLASSES] for i, w in enumerate(shorts)])
-        tables = []
-        for k, classes in enumerate(CLASSES):
-            table = np.zeros((classes, counts.shape[1]), np.float32)
-            np.add.at(table, of[:, k], counts)
-            tables.append(table)
-        rng = np.random.default_rng(3)
-        flat = counts.ravel().astype(np.float64)
-        total = flat.sum()
-        events = np.searchsorted(np.cumsum(flat), rng.random(MIXER_EVENTS) * total, side="right") if total else np.empty(0, np.int64)
-        events = np.minimum(events, len(flat) - 1)
-        row, leaf = events // counts.shape[1], events % counts.shape[1]
-        mixer = Mixer(len(CLASSES), CODE_BITS * 4)
-        levels = []
-        for level in range(CODE_BITS):  # nodes of a level: the code prefixes of that length
-            sums = [t.reshape(len(t), 2 << level, -1).sum(2) for t in tables]
-            levels.append([(s[:, 1::2], s[:, ::2] + s[:, 1::2]) for s in sums])
-            if len(events):
-                node, bit = leaf >> CODE_BITS - level, (leaf >> CODE_BITS - 1 - level & 1).astype(np.float64)
-                x, last = [], None
-                for k, (ones, seen) in enumerate(levels[level]):
-                    n = np.maximum(seen[of[row, k], node] - 1, 0)
-                    x.append(prediction(np.maximum(ones[of[row, k], node] - bit, 0), n))
-                    last = n
-                mixer.train(np.stack(x, 1), level * 4 + confidence(last), bit)
-        out = np.zeros((rows, 1), np.float32)
-        for level in range(CODE_BITS):
-            grown = np.empty((rows, 2 << level), np.float32)
-            for r in range(rows):
-                x = np.stack([prediction(ones[of[r, k]], seen[of[r, k]]) for k, (ones, seen) in enumerate(levels[level])], 1)
-                p = mixer.predict(x, level * 4 + confidence(levels[level][-1][1][of[r, -1]]))
-                grown[r, ::2] = out[r] + np.log10(1 - p)
-                grown[r, 1::2] = out[r] + np.log10(p)
-            out = grown
-        self.log10 = out
+    return (n > 0).astype(np.int32) + (n > 3) + (n > 60)
+
+
+class Bits:
+    """Counts of bits in hashed contexts, with the mixer of their predictions and the prior's."""
+
+    ONE = 1 << 32
+
+    def __init__(self, contexts: int, gates: int, slot_bits: int) -> None:
+        self.counts = np.zeros((contexts, 1 << slot_bits), np.int64)  # bits seen times ONE, and ones
+        self.mixer = Mixer(contexts + 1, gates * 4)
+
+    def inputs(self, slots: list[np.ndarray], prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions, and how much the last context has seen."""
+        x = np.empty((len(slots) + 1, len(prior)), np.float32)
+        x[0] = prior / (1 - prior)
+        one, zero = np.float32(0.4) * prior, np.float32(0.4) * (1 - prior)
+        for k, at in enumerate(slots):
+            both = self.counts[k].take(at)
+            ones, seen = both.astype(np.uint32).astype(np.float32), (both >> 32).astype(np.float32)
+            np.divide(ones + one, seen - ones + zero, out=x[k + 1])
+        return np.log(x, out=x), confidence(seen)
+
+    def learn(self, slots: list[np.ndarray], prior: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
+        x, much = self.inputs(slots, prior)
+        self.mixer.train(x, gate * 4 + much, bit)
+        step = bit + np.int64(self.ONE)
+        for k, at in enumerate(slots):
+            np.add.at(self.counts[k], at, step)
+
+    def log10(self, slots: list[np.ndarray], prior: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        x, much = self.inputs(slots, prior)
+        p = self.mixer.predict(x, gate * 4 + much)
+        return np.log10(np.where(bit > 0, p, 1 - p))
+
+    def blocks(self) -> pa.RecordBatch:
+        """Non-empty blocks of the counts, sparse, and the mixer's sums as block -1, to be added up by ``added``."""
+        cells = self.counts.reshape(-1, CELL)
+        used = np.flatnonzero(cells.any(1))
+        payload = [self.mixer.sums().tobytes()]
+        for i in used:
+            at = np.flatnonzero(cells[i])
+            payload.append(at.astype(np.uint16).tobytes() + cells[i, at].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array(payload, pa.binary())], ["block", "sums"])
+
+    def added(self, shards: DataFrame) -> Bits:
+        """Take the sums over shards; a fixed number of bytes comes to the driver, whatever the input."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if block < 0:
+                        sums[block] = sums.get(block, 0) + np.frombuffer(payload, np.int64)
+                        continue
+                    n = len(payload) // 10
+                    cells = sums.setdefault(block, np.zeros(CELL, np.int64))
+                    cells[np.frombuffer(payload, np.uint16, n)] += np.frombuffer(payload[2 * n :], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
+
+        cells = self.counts.reshape(-1, CELL)
+        for row in shards.repartition("block").mapInArrow(add, "block int, sums binary").collect():
+            if row["block"] < 0:
+                self.mixer.take(np.frombuffer(row["sums"], np.int64))
+            else:
+                cells[row["block"]] = np.frombuffer(row["sums"], np.int64)
+        return self
+
+
+class Code:
+    """Huffman code of the leaves: for each, the nodes from the root and the bit taken at each."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        leaves = len(weights)
+        heap = [(float(w), i) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        parent, side = np.zeros(2 * leaves - 1, np.int64), np.zeros(2 * leaves - 1, np.int8)
+        total = np.zeros(2 * leaves - 1)
+        total[:leaves] = weights
+        ones = np.zeros(2 * leaves - 1)
+        for new in range(leaves, 2 * leaves - 1):
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[i] = parent[j] = new
+            side[j] = 1
+            total[new], ones[new] = a + b, b
+            heapq.heappush(heap, (a + b, new))
+        root, at = 2 * leaves - 2, np.arange(leaves)
+        whose, nodes, bits, depth = [], [], [], []
+        climbing, climbed = np.arange(leaves), 0
+        while len(climbing):  # every leaf one step nearer to the root
+            up = parent[at]
+            whose.append(climbing), nodes.append(up), bits.append(side[at]), depth.append(np.full(len(at), climbed))
+            more = up != root
+            climbing, at, climbed = climbing[more], up[more], climbed + 1
+        whose, depth = np.concatenate(whose), np.concatenate(depth)
+        order = np.lexsort((-depth, whose))
+        node, self.bit = np.concatenate(nodes)[order], np.concatenate(bits)[order]
+        self.length = np.bincount(whose, minlength=leaves)
+        self.first = np.cumsum(self.length) - self.length
+        depth = np.arange(len(node)) - np.repeat(self.first, self.length)
+        self.gate = np.minimum(depth, DEPTHS - 1).astype(np.int32)
+        # Three bits in a row share a line of the table: named by its first node, then by the bits since.
+        since, line = depth % 3, np.arange(len(node)) - depth % 3
+        one, two = self.bit[line], self.bit[np.minimum(line + 1, len(node) - 1)]
+        self.place = np.select([since == 0, since == 1], [1, 2 + one], 4 + 2 * one + two).astype(np.uint8)
+        self.line = node[line].astype(np.uint32) * np.uint32(0x85EBCA6B)
+        share = lambda own: np.clip((ones[node] - own * self.bit + 0.2) / (total[node] - own + 0.4), 1e-6, 1 - 1e-6).astype(np.float32)
+        self.prior, self.prior_without = share(0), share(1)
+
+
+def node_bits(code: Code, leaf: np.ndarray, contexts: np.ndarray, learning: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots, prior, gate and value of every bit of the tokens, and each token's first bit; in learning the prior leaves out the bit's own count."""
+    sizes = code.length.take(leaf)
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    at = np.arange(ends[-1]) + np.repeat(code.first.take(leaf) - begin, sizes)
+    line, place, slots = code.line.take(at), code.place.take(at), []
+    owner = np.repeat(np.arange(len(leaf)), sizes)
+    for c in contexts:
+        h = (c.take(owner) ^ line) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x27D4EB2F)
+        h >>= np.uint32(35 - WORD_BITS)
+        h <<= np.uint32(3)
+        slots.append((h | place).astype(np.int64))
+    return slots, (code.prior_without if learning else code.prior).take(at), code.gate.take(at), code.bit.take(at), begin
 
 
 def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,75 +260,36 @@ def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data[at], np.stack(contexts), word
 
 
-def bit_slots(data: np.ndarray, contexts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each of the 8 bits of every byte: its value and its slot in each order's table."""
+def byte_bits(data: np.ndarray, contexts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Slots, prior, gate and value of the 8 bits of every byte: all first bits, then all second ones, and so on."""
     partial = np.ones(len(data), np.uint32)
+    slots, bits = [], []
     for k in range(8):
         bit = data >> np.uint8(7 - k) & np.uint8(1)
         h = (contexts ^ partial * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
         h ^= h >> np.uint32(15)
-        yield k, bit, ((h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SLOT_BITS)).astype(np.int64)
+        slots.append(((h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SLOT_BITS)).astype(np.int64))
+        bits.append(bit.astype(np.int8))
         partial = partial << np.uint32(1) | bit
+    return list(np.concatenate(slots, 1)), np.full(8 * len(data), 0.5, np.float32), np.repeat(np.arange(8), len(data)), np.concatenate(bits)
 
 
-class SpellingModel:
-    def __init__(self, ones: np.ndarray, seen: np.ndarray, sample: list[bytes]) -> None:
-        """Counts over the distinct training words, and some of these words for the mixer."""
-        self.ones, self.seen = ones.astype(np.float32), seen.astype(np.float32)
-        self.mixer = Mixer(len(ORDERS), 8 * 4)
-        if sample:
-            data, contexts, _ = spell(sample)
-            x, gates, bits = [], [], []
-            for k, bit, slots in bit_slots(data, contexts):
-                inputs, gate = self.inputs(slots, 1.0, bit)
-                x.append(inputs), gates.append(k * 4 + gate), bits.append(bit)
-            order = np.argsort(np.tile(np.arange(len(data)), 8), kind="stable")  # in reading order
-            self.mixer.train(np.concatenate(x)[order], np.concatenate(gates)[order], np.concatenate(bits)[order].astype(np.float64))
-
-    def inputs(self, slots: np.ndarray, own: np.ndarray | float = 0.0, bit: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        x = []
-        for k in range(len(ORDERS)):
-            n = np.maximum(self.seen[k][slots[k]] - own, 0)
-            x.append(prediction(np.clip(self.ones[k][slots[k]] - own * bit, 0, n), n))
-        return np.stack(x, 1), confidence(n)
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        data, contexts, word = spell(words)
-        total = np.zeros(len(data))
-        for k, bit, slots in bit_slots(data, contexts):
-            x, gate = self.inputs(slots)
-            p = self.mixer.predict(x, k * 4 + gate)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return np.bincount(word, total, len(words))
-
-
-def _blocks(table: np.ndarray) -> pa.RecordBatch:
-    """Non-empty blocks of a count table, sparse, to be added up by ``summed``."""
-    cells = table.reshape(-1, CELL)
-    used = np.flatnonzero(cells.any(1))
-    payload = []
-    for i in used:
-        at = np.flatnonzero(cells[i])
-        payload.append(at.astype(np.uint16).tobytes() + cells[i, at].astype(np.uint32).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(payload, pa.binary())], ["block", "sums"])
-
-
-def summed(parts: DataFrame, size: int) -> np.ndarray:
-    """Sum of the tables that tasks sent as blocks; ``size`` numbers come to the driver, whatever the input."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = len(payload) // 6
-                cells = sums.setdefault(block, np.zeros(CELL))
-                cells[np.frombuffer(payload, np.uint16, n)] += np.frombuffer(payload, np.uint32, n, 2 * n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
+def spelling_log10(model: Bits, words: list[bytes]) -> np.ndarray:
+    data, contexts, word = spell(words)
+    return np.bincount(np.tile(word, 8), model.log10(*byte_bits(data, contexts)), len(words))
+
+
+def token_log10(model: Bits, code: Code, leaf: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    out = np.empty(len(leaf))
+    for i in range(0, len(leaf), AT_ONCE):
+        *bits, begin = node_bits(code, leaf[i : i + AT_ONCE], contexts[:, i : i + AT_ONCE])
+        out[i : i + AT_ONCE] = np.add.reduceat(model.log10(*bits), begin)
+    return out
 
-    out = np.zeros((size // CELL, CELL), np.float32)
-    for row in parts.repartition("block").mapInArrow(add, "block int, sums binary").collect():
-        out[row["block"]] = np.frombuffer(row["sums"], np.float32)
-    return out.ravel()
+
+def shards_of(docs: DataFrame) -> DataFrame:
+    """Fewer, larger partitions for passes that send a table each: some per core, and no more than eight read as one beyond that."""
+    return docs.coalesce(max(4 * docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 8))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -263,7 +319,7 @@ def escaped_shares(spectrum: dict[int, int], least: int) -> tuple[float, float,
 
 
 def _coded(texts: list[str | None], code: dict[bytes, int], shorts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Leaf and preceding short word of every token, ends of the texts, and the words that are spelled."""
+    """Leaf and contexts of every token, ends of the texts, and the words that are spelled."""
     tokens: list[bytes] = []
     ends = []
     for text in texts:
@@ -275,12 +331,18 @@ def _coded(texts: list[str | None], code: dict[bytes, int], shorts: dict[bytes,
     first = np.repeat(np.concatenate(([0], ends[:-1])), np.diff(ends, prepend=0)).astype(np.int64)
     mark = np.where(own > 0, np.arange(len(tokens)), -1)
     last = np.maximum.accumulate(np.concatenate(([-1], mark[:-1])))  # nearest short word before each token
-    row = np.where(last >= first, own[last], 0)
+    short = np.where(last >= first, own[last], 0).astype(np.uint32)
+    before = []  # the words one and two places before; 0 beyond the beginning of the text
+    for k in (1, 2):
+        at = np.arange(len(tokens)) - k
+        before.append(np.where(at >= first, leaf[at] + 1, 0).astype(np.uint32) * np.uint32(0x9E3779B1))
+    both = (before[0] ^ before[1] >> np.uint32(13)) * np.uint32(0x85EBCA77) + before[1]
+    contexts = np.stack((short * np.uint32(0x9E3779B1), before[0], both))
     spelled: list[list[bytes]] = [[] for _ in texts]
     at = np.flatnonzero(leaf == ESCAPE)
     for i, d in zip(at.tolist(), np.searchsorted(ends, at, side="right").tolist(), strict=True):
         spelled[d].append(tokens[i])
-    return leaf, row, np.array(ends), spelled
+    return leaf, contexts, np.array(ends), spelled
 
 
 def scores(docs: DataFrame, held_out_modulus: int = 10) -> DataFrame:
@@ -303,54 +365,47 @@ def scores(docs: DataFrame, held_out_modulus: int = 10) -> DataFrame:
     code = {b"": END} | {w: i + 2 for i, (w, _) in enumerate(frequent)}
     short_words = [w for w, _ in sorted((x for x in frequent if len(x[0]) <= 3), key=lambda x: (-x[1], x[0]))[:SHORTS]]
     shared = spark.sparkContext.broadcast((code, {w: i + 1 for i, w in enumerate(short_words)}))
-    leaves = 1 << CODE_BITS
-
-    def after_shorts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(short_words) + 1) * leaves, np.uint32)
+    rare = counts.where(F.col("c") < least)
+    discount, new, rare_tokens = escaped_shares({r["c"]: r["n"] for r in spectrum}, least)
+    known = np.array([ends, 0.0, *(c for _, c in frequent)])
+    weights = known.copy()
+    weights[ESCAPE] = rare_tokens
+    tree = spark.sparkContext.broadcast(Code(np.maximum(weights, 1)))
+    new_words, new_spelling = (lambda: Bits(CONTEXTS, DEPTHS, WORD_BITS)), (lambda: Bits(len(ORDERS), 8, SLOT_BITS))
+
+    def reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = new_words()
         for batch in batches:
             for part in chunks(batch):
-                leaf, row, _, _ = _coded(part.column(0).to_pylist(), *shared.value)
-                at, n = np.unique(row * leaves + leaf, return_counts=True)
-                table[at] += n.astype(np.uint32)
-        yield _blocks(table)
+                leaf, contexts, _, _ = _coded(part.column(0).to_pylist(), *shared.value)
+                for i in range(0, len(leaf), STEP):
+                    *bits, _ = node_bits(tree.value, leaf[i : i + STEP], contexts[:, i : i + STEP], True)
+                    model.learn(*bits)
+        yield model.blocks()
 
-    size = (len(short_words) + 1) * leaves
-    parts = docs.where("NOT unlearned").select("text").mapInArrow(after_shorts, "block int, sums binary")
-    model = WordModel(summed(parts, size).reshape(-1, leaves), short_words)
-
-    rare = counts.where(F.col("c") < least)
-    discount, new, rare_tokens = escaped_shares({r["c"]: r["n"] for r in spectrum}, least)
-    spelled_slots = len(ORDERS) << SLOT_BITS
+    training = shards_of(docs.where("NOT unlearned").select("text"))
+    words_model = new_words().added(training.mapInArrow(reading, "block int, sums binary"))
 
     def spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, len(ORDERS), 1 << SLOT_BITS))
+        model = new_spelling()
         for batch in batches:
             words = batch.column(0).to_pylist()
-            for i in range(0, len(words), 60_000):
-                data, contexts, _ = spell(words[i : i + 60_000])
-                for _, bit, slots in bit_slots(data, contexts):
-                    for k in range(len(ORDERS)):
-                        table[0, k] += np.bincount(slots[k][bit == 1], minlength=1 << SLOT_BITS)
-                        table[1, k] += np.bincount(slots[k], minlength=1 << SLOT_BITS)
-        yield _blocks(table.ravel())
-
-    spelled = summed(counts.where("c > 0").select("word").mapInArrow(spelling, "block int, sums binary"), 2 * spelled_slots).reshape(2, len(ORDERS), -1)
-    drawn = counts.where("c > 0").where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < min(1.0, MIXER_WORDS / max(1, distinct)) * (1 << 30))
-    sample = sorted(bytes(r["word"]) for r in drawn.select("word").collect())
-    tables = spark.sparkContext.broadcast((model.log10, SpellingModel(spelled[0], spelled[1], sample)))
-    known = np.zeros(leaves)
-    known[END] = ends
-    for w, c in frequent:
-        known[code[w]] = c
+            for i in range(0, len(words), SPELL_STEP):
+                data, contexts, _ = spell(words[i : i + SPELL_STEP])
+                model.learn(*byte_bits(data, contexts))
+        yield model.blocks()
+
+    distinct_words = shards_of(counts.where("c > 0").select("word"))
+    spelling_model = new_spelling().added(distinct_words.mapInArrow(spelling, "block int, sums binary"))
+    tables = spark.sparkContext.broadcast((words_model, spelling_model))
     below = np.log10(train_tokens + 0.1 * (distinct + 1))
-    base_of = spark.sparkContext.broadcast(np.where(np.arange(leaves) == ESCAPE, 0.0, np.log10(known + 0.1) - below))
+    base_of = spark.sparkContext.broadcast(np.where(np.arange(len(known)) == ESCAPE, 0.0, np.log10(known + 0.1) - below))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log10 = tables.value[0]
         for batch in batches:
             for part in chunks(batch):
                 texts = part.column(1).to_pylist()
-                leaf, row, stops, others = _coded(texts, *shared.value)
+                leaf, contexts, stops, others = _coded(texts, *shared.value)
                 begin = np.concatenate(([0], stops[:-1])).astype(np.int64)
                 n = len(texts)
                 total = lambda x: np.add.reduceat(x, begin)
@@ -369,7 +424,7 @@ def scores(docs: DataFrame, held_out_modulus: int = 10) -> DataFrame:
                         pa.array(known_leaf.tolist() + nothing, pa.int64()),
                         pa.array(sizes.tolist() + nothing, pa.int64()),
                         pa.array(total(base_of.value[leaf]).tolist() + nothing, pa.float64()),
-                        pa.array(total(log10[row, leaf].astype(np.float64)).tolist() + nothing, pa.float64()),
+                        pa.array(total(token_log10(tables.value[0], tree.value, leaf, contexts)).tolist() + nothing, pa.float64()),
                     ],
                     ["id", "word", "n", "known", "n_bytes", "base", "score"],
                 )
@@ -381,7 +436,7 @@ def scores(docs: DataFrame, held_out_modulus: int = 10) -> DataFrame:
     def spell_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
-            found = [tables.value[1].log10(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+            found = [spelling_log10(tables.value[1], words[i : i + 500]) for i in range(0, len(words), 500)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(found) if found else np.empty(0))], ["word", "c", "spelled"])
 
     spelled_words = rare.mapInArrow(spell_out, "word binary, c long, spelled double")
