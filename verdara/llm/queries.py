@@ -11,6 +11,7 @@ from verdara.llm.html_text import op7_html_text
 from verdara.llm.langid import op1_langid
 from verdara.llm.lm_score import op5_lm_score
 from verdara.llm.ngram_join import op10_ngram_join
+from verdara.llm.packing import op12_packing
 from verdara.llm.pii import op3_pii
 from verdara.llm.quality import op8_quality
 from verdara.llm.substring_dedup import op4_substring_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_packing": op12_packing,
     "pipeline": corpus_pipeline.run,
 }
 
