@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from verdara.llm.align import op13_tokenizer_alignment
 from verdara.llm.bpe import op2_bpe
 from verdara.llm.decontaminate import op6_decontaminate
 from verdara.llm.embedding_dedup import op9_embedding_dedup
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_packing": op12_packing,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
