@@ -77,14 +77,23 @@ def lengths(path: str) -> np.ndarray:
     return out
 
 
+@lru_cache(2)
+def decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digits of each number below n, from the left, and how many they are."""
+    text = np.arange(n).astype("S")
+    width = np.char.str_len(text).astype(np.uint8)
+    return text.view(np.uint8).reshape(n, -1), width
+
+
 def tokenise(texts: list[str | None], a_path: str, b_path: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids of both tokenizers for each text, none where the tokens' bytes aren't those of a blank and the text."""
-    a_model, b_model = encoder(a_path, False), pieces(b_path)
+    a_model, a_size, b_model = encoder(a_path, False), lengths(a_path), pieces(b_path)
     none, a, b = np.empty(0, np.uint32), [], []
     for text, b_ids in zip(texts, b_model.library.encode([t or "" for t in texts], num_threads=1), strict=True):
         want = (" " + (text or "")).encode("utf-8", "replace")
         a_ids = a_model(" " + text) if text else none
-        same = bool(text) and b"".join(map(b_model.bytes_of.__getitem__, b_ids)) == want and b"".join(map(a_model.bytes_of.__getitem__, a_ids.tolist())) == want
+        # Byte-level tokens are slices of the text, so as many bytes are the same bytes.
+        same = bool(text) and int(a_size[a_ids].sum()) == len(want) and b"".join(map(b_model.bytes_of.__getitem__, b_ids)) == want
         a.append(a_ids if same else none)
         b.append(np.array(b_ids, np.uint32) if same else none)
     return a, b
@@ -97,13 +106,16 @@ class Aligned:
         self.docs = len(a)
         self.n_a, self.n_b = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
         self.a, self.b = (np.concatenate(x) if x else np.empty(0, np.uint32) for x in (a, b))
-        a_end, b_end = np.cumsum(a_size[self.a]), np.cumsum(b_size[self.b])  # documents have as many bytes of either
-        bounds = np.intersect1d(a_end, b_end, assume_unique=False)
-        self.a_group, self.b_group = np.searchsorted(bounds, a_end), np.searchsorted(bounds, b_end)
-        a_doc = np.repeat(np.arange(self.docs), self.n_a)
-        self.doc = np.empty(len(bounds), np.int64)
-        self.doc[self.a_group] = a_doc
-        self.in_a, self.in_b = np.bincount(self.a_group, minlength=len(bounds)), np.bincount(self.b_group, minlength=len(bounds))
+        a_last, b_last = np.cumsum(a_size[self.a]) - 1, np.cumsum(b_size[self.b]) - 1  # documents have as many bytes of either
+        both, ends = np.zeros((2, int(a_last[-1]) + 1 if len(a_last) else 0), bool)
+        both[a_last], ends[b_last] = True, True
+        both &= ends
+        number = np.cumsum(both, dtype=np.int32)
+        self.a_group, self.b_group = (number[last] - both[last] for last in (a_last, b_last))
+        groups = int(number[-1]) if len(number) else 0
+        self.doc = np.empty(groups, np.int64)
+        self.doc[self.a_group] = np.repeat(np.arange(self.docs), self.n_a)
+        self.in_a, self.in_b = np.bincount(self.a_group, minlength=groups), np.bincount(self.b_group, minlength=groups)
         self.n_groups = np.bincount(self.doc, minlength=self.docs)
         self.n_links = np.bincount(self.doc, self.in_a * self.in_b, minlength=self.docs).astype(np.int64)
 
@@ -131,23 +143,22 @@ class Aligned:
                 few = len(a[s : s + rows])
                 yield np.full(few * len(b), self.doc[g]), pair(np.repeat(a[s : s + rows], len(b)), np.tile(b, few)), np.repeat(n[s : s + rows], len(b)) * np.tile(m, few)
 
-    def digests(self) -> list[str]:
+    def digests(self, a_size: np.ndarray, b_size: np.ndarray) -> list[str]:
         """SHA-256 of each document's groups as ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
         n = len(self.a) + len(self.b)
-        ids, place = np.empty(n, np.int64), np.empty(n, np.int64)
+        ids = np.empty(n, np.int64)
         before_a, before_b = np.cumsum(self.in_a), np.cumsum(self.in_b) - self.in_b
-        at_a, at_b = np.arange(len(self.a)) + before_b[self.a_group], np.arange(len(self.b)) + before_a[self.b_group]
-        ids[at_a], ids[at_b] = self.a, self.b
+        ids[np.arange(len(self.a)) + before_b[self.a_group]], ids[np.arange(len(self.b)) + before_a[self.b_group]] = self.a, self.b
         mark = np.full(n, ord(","), np.uint8)
         mark[before_a + before_b - 1] = ord("|")
         mark[before_a + before_b + self.in_b - 1] = ord(";")
-        width = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 10))
-        ends = np.cumsum(width + 1)
-        text = np.empty(int(ends[-1]) if n else 0, np.uint8)
-        text[ends - 1] = mark
-        for k in range(int(width.max()) if n else 0):
-            has = width > k
-            text[ends[has] - 2 - k] = ids[has] // 10**k % 10 + ord("0")
+        digits, width = decimals(max(map(len, (a_size, b_size))))
+        cells = np.empty((n, digits.shape[1] + 1), np.uint8)
+        cells[:, :-1] = digits[ids]
+        wide = width[ids]
+        cells[np.arange(n), wide] = mark
+        text = cells[np.arange(cells.shape[1], dtype=np.uint8) <= wide[:, None]]
+        ends = np.cumsum(wide, dtype=np.int64) + np.arange(1, n + 1)
         stops = np.concatenate(([0], np.cumsum(self.n_a + self.n_b)))
         offset = np.concatenate(([0], ends))
         whole = text.tobytes()
@@ -242,7 +253,7 @@ def store(docs: DataFrame, a_path: str, b_path: str, id_column: str, text_column
                     seen = np.unique(np.concatenate((seen, doc << np.int64(PAIR_BITS) | pairs)))
                 keys, counts = added(np.concatenate((keys, seen & ((1 << PAIR_BITS) - 1))), np.concatenate((counts, np.ones(len(seen), np.int64))))
                 narrow = [[x.astype(np.uint16 if len(size) <= 1 << 16 else np.uint32).tobytes() for x in ids] for ids, size in ((a, a_size), (b, b_size))]
-                yield rows(row=number + np.arange(part.num_rows), doc_id=part.column(0), n_a=made.n_a, n_b=made.n_b, n_groups=made.n_groups, n_links=made.n_links, groups_sha256=made.digests(), a=narrow[0], b=narrow[1])
+                yield rows(row=number + np.arange(part.num_rows), doc_id=part.column(0), n_a=made.n_a, n_b=made.n_b, n_groups=made.n_groups, n_links=made.n_links, groups_sha256=made.digests(a_size, b_size), a=narrow[0], b=narrow[1])
                 number += part.num_rows
                 if len(keys) > GATHERED:
                     yield rows(pair=keys, n=counts)
