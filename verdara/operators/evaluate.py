@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdara.operators.guarantee import cumulative, draw
+from verdara.functions import stats
+from verdara.operators.guarantee import cumulative
 
 
 def risk_coverage(rows: DataFrame, by: list[str], steps: int = 100) -> DataFrame:
@@ -71,12 +76,33 @@ def mcnemar(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
     return counts.withColumn("statistic", F.when(n > 0, F.pow(F.greatest(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(0)), 2) / n).otherwise(0.0))
 
 
-def bootstrap(rows: DataFrame, value: str, replicates: int) -> DataFrame:
-    """Mean of every replicate, each row counted a Poisson-like number of times (0 to 3) drawn from its id."""
-    u = draw(F.col("atom"), F.col("replicate"))
-    times = F.when(u < 0.3679, 0).when(u < 0.7358, 1).when(u < 0.9197, 2).otherwise(3)
-    spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("times", times)
-    return spread.groupBy("replicate").agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("mean"))
+def paired_bootstrap(rows: DataFrame, a: Column, b: Column, resamples: int = 10_000, alpha: float = 0.05, digits: int = 4) -> DataFrame:
+    """Mean of the paired differences a - b, its interval between two of the sorted means of resamples, and the number of pairs.
+
+    Differences are counted once, rounded to ``digits``; each resample draws the count of every distinct difference, one binomial
+    number after the other, which is the multinomial law of drawing all pairs anew. The cost depends on the distinct differences,
+    not on the pairs. Pairs with a null are left out; without pairs all is NULL.
+    """
+    spark = rows.sparkSession
+    counted = rows.select((a - b).cast("double").alias("d")).where("d IS NOT NULL").groupBy(F.round("d", digits).alias("d")).agg(F.count("*").alias("n"))
+    cells = sorted(map(tuple, counted.collect()))
+    total = sum(n for _, n in cells)
+
+    def resample(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            ids = part["id"].tolist()
+            left, rest, mean = np.full(len(ids), total, np.int64), total, np.zeros(len(ids))
+            for at, (d, n) in enumerate(cells):
+                x = left if n == rest else stats.binomial_quantile(stats.uniform([f"{at}:{i}" for i in ids]), left, np.full(len(ids), n / rest))
+                mean += d * x
+                left, rest = left - x, rest - n
+            yield pd.DataFrame({"mean": mean / max(total, 1)})
+
+    means = spark.range(resamples).mapInPandas(resample, "mean double").agg(F.array_sort(F.collect_list("mean")).alias("m"))  # ``resamples`` numbers
+    at = lambda share: F.get("m", F.lit(int(share * (resamples - 1))))
+    mean = sum(d * n for d, n in cells) / total if total else None
+    some = F.lit(total > 0)
+    return means.select(F.lit(mean).cast("double").alias("mean_diff"), F.when(some, at(alpha / 2)).alias("ci_low"), F.when(some, at(1 - alpha / 2)).alias("ci_high"), F.lit(total).cast("long").alias("n"))
 
 
 def seed_summary(values: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -7,10 +7,14 @@ the grid and the number of strata, not on the number of rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdara.functions import stats
 from verdara.functions.stats import binomial_tail
 
 
@@ -64,7 +68,10 @@ def histograms(rows: DataFrame, recent: Column, value: Column) -> DataFrame:
 
 
 def ks_statistic(hist: DataFrame) -> DataFrame:
-    """Largest distance of the two distribution functions, from a histogram of bounded resolution."""
+    """Largest distance of the two distribution functions, from a histogram whose values are rounded to ten-thousandths of their range."""
+    ends = hist.agg(F.min("v").alias("low"), F.max("v").alias("high"))  # one row
+    place = F.round((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * 10_000)
+    hist = hist.join(F.broadcast(ends)).groupBy(place.alias("v")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     w, everything = Window.orderBy("v"), Window.partitionBy()
     run = hist.withColumn("fa", F.sum("a").over(w) / F.sum("a").over(everything)).withColumn("fb", F.sum("b").over(w) / F.sum("b").over(everything))
     return run.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.max(F.abs(F.col("fa") - F.col("fb"))).alias("ks"))
@@ -73,9 +80,9 @@ def ks_statistic(hist: DataFrame) -> DataFrame:
 def mmd(hist: DataFrame, gamma: float) -> DataFrame:
     """Squared maximum mean discrepancy under a Gaussian kernel, at least 0.
 
-    Works on a histogram whose resolution the caller fixes (101 values here), so the kernel sum has a
-    fixed number of terms whatever the number of rows.
+    Values are rounded to hundredths of the unit interval, so the kernel sum has a fixed number of terms whatever the number of rows.
     """
+    hist = hist.groupBy(F.round(F.least(F.greatest("v", F.lit(0.0)), F.lit(1.0)), 2).alias("v")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     one = hist.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.collect_list(F.struct("v", "a", "b")).alias("cells"))
     left = one.select("na", "nb", "cells", F.explode("cells").alias("x"))
     pair = left.select("na", "nb", "x", F.explode("cells").alias("y"))
@@ -85,16 +92,72 @@ def mmd(hist: DataFrame, gamma: float) -> DataFrame:
 
 
 def draw(key: Column, replicate: Column) -> Column:
-    """A fixed pseudo-random number in [0, 1) of a key and a replicate, in integer arithmetic that any SQL engine repeats."""
-    a = (key % 1_000_003 * 7_919 + replicate % 1_000_003 * 104_729) % 1_000_003
-    return (a * a % 1_000_003 * 31 + a) % 1_000_003 / F.lit(1_000_003.0)
-
-
-def violation(rows: DataFrame, eps: float, delta: float, replicates: int, n_start: int = 50, steps: int = 100) -> DataFrame:
-    """Share of random half splits whose certified threshold has more than ``eps`` wrong on the other half."""
-    spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("calibration", draw(F.col("atom"), F.col("replicate")) < 0.5)
-    limits = ltt(spread.where("calibration"), ["replicate"], eps, delta, n_start, steps)
-    test = cumulative(spread.where("NOT calibration"), ["replicate"], steps).withColumnRenamed("lam", "accept_below")
-    joined = limits.join(test, ["replicate", "accept_below"], "left")
-    broken = F.coalesce(F.try_divide("k", "n") > eps, F.lit(False))
-    return joined.agg(F.count("accept_below").alias("certified"), F.count_if(broken).alias("violations"), F.count("*").alias("replicates"))
+    """A fixed pseudo-random number in (0, 1) of a key of any type and a replicate, from md5, so that any SQL engine repeats it."""
+    digest = F.md5(F.concat_ws(":", key.cast("string"), replicate.cast("string")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") + 0.5) / 4294967296.0
+
+
+def first_fraction(rows: DataFrame, by: list[str], key: str, wanted: Column, tie: str, buckets: int = 4096) -> DataFrame:
+    """Of each group exactly the ``wanted`` rows of least ``key`` in (0, 1), ties by ``tie``; nothing is ordered but one bucket a group.
+
+    Rows are counted by bucket of the key; buckets below the one in which the wanted number is reached are taken whole, and
+    only the rows of that bucket are ranked. ``wanted`` may use the group's columns and its size ``n_group``.
+    """
+    placed = rows.withColumn("_bucket", F.least(F.floor(F.col(key) * buckets), F.lit(buckets - 1)).cast("int"))
+    counts = placed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_bucket")  # at most ``buckets`` rows a group
+    upto = counts.withColumns({"_upto": F.sum("_n").over(w), "n_group": F.sum("_n").over(Window.partitionBy(*by))})
+    upto = upto.withColumn("_wanted", F.least(wanted.cast("long"), F.col("n_group")))
+    cut = upto.where(F.col("_upto") - F.col("_n") < F.col("_wanted")).select(*by, "_bucket", "n_group", (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_left"), (F.col("_upto") <= F.col("_wanted")).alias("_whole"))
+    joined = placed.join(cut, [*by, "_bucket"])
+    ranked = joined.where("NOT _whole").withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(key, tie)))
+    kept = joined.where("_whole").unionByName(ranked.where("_place <= _left").drop("_place"))
+    return kept.drop("_bucket", "_left", "_whole")
+
+
+def weighted_sample(rows: DataFrame, by: list[str], weight: str, tie: str, seed: int = 0) -> DataFrame:
+    """Of each group as many rows as its effective size, drawn without replacement in proportion to the weights.
+
+    Each row's exponential key -ln(u) / w is squeezed into (0, 1); the rows of least keys are the sample. Rows without a positive weight are never drawn.
+    """
+    sound = rows.where(F.col(weight) > 0)
+    sizes = sound.groupBy(*by).agg(F.floor(effective_size(weight) + 1e-9).alias("n_eff"), F.avg(weight).alias("_mean"))
+    keyed = sound.join(sizes, by).withColumn("_key", 1 - F.exp(F.log(draw(F.col(tie), F.lit(seed))) * F.col("_mean") / F.col(weight)))
+    return first_fraction(keyed, [*by, "n_eff"], "_key", F.col("n_eff"), tie).drop("_key", "_mean")
+
+
+def violation(rows: DataFrame, eps: float, delta: float, splits: int = 1000, n_start: int = 50, steps: int = 100) -> DataFrame:
+    """How often a threshold certified on a random half has more than ``eps`` wrong on the other half, over ``splits`` halves.
+
+    Rows are counted once by step and wrongness, at most ``2 * (steps + 1)`` cells; each split draws how many of a cell's rows
+    fall into its half, one hypergeometric number after the other, so no row is copied and the halves are exact.
+    Splits without a threshold, or whose other half accepts nothing, abstain. An empty table abstains always.
+    """
+    spark = rows.sparkSession
+    step = F.least(F.greatest(accepted_from(F.col("risk"), steps), F.lit(0)), F.lit(steps + 1))
+    counted = rows.where("risk IS NOT NULL AND wrong IS NOT NULL").groupBy(step.alias("step"), F.col("wrong").cast("int").alias("wrong")).agg(F.count("*").alias("n"))
+    cells = sorted(map(tuple, counted.collect()))
+    total = sum(n for *_, n in cells)
+
+    def simulate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            ids = part["id"].tolist()
+            left, half = np.full(len(ids), total, np.int64), np.full(len(ids), max(1, total // 2) if total else 0, np.int64)
+            counts = np.zeros((2, 2, len(ids), steps + 2), np.int64)  # side, wrong, split, step
+            for at, wrong, n in cells:
+                x = stats.hypergeometric_quantile(stats.uniform([f"{at * 2 + wrong}:{i}" for i in ids]), left, n, half)
+                counts[0, wrong, :, at] += x
+                counts[1, wrong, :, at] += n - x
+                left, half = left - n, half - x
+            k, n = np.cumsum(counts[:, 1, :, : steps + 1], 2), np.cumsum(counts.sum(1)[:, :, : steps + 1], 2)
+            tested = n[0] >= n_start
+            failed = np.logical_or.accumulate(tested & (stats.tail(k[0].ravel(), n[0].ravel(), np.array(eps)).reshape(k[0].shape) > delta), 1)
+            passed = tested & ~failed
+            last = np.where(passed.any(1), steps - np.argmax(passed[:, ::-1], 1), -1)
+            seen, wrong = (m[1][np.arange(len(ids)), np.maximum(last, 0)] for m in (n, k))
+            yield pd.DataFrame({"step": last, "n": np.where(last < 0, 0, seen), "k": wrong})
+
+    each = spark.range(splits).mapInPandas(simulate, "step long, n long, k long").where("n > 0")
+    rate = F.try_divide(F.count_if(F.col("k") > eps * F.col("n")), F.count("*"))
+    made = each.agg(F.count("*").alias("certified"), F.count_if(F.col("k") > eps * F.col("n")).alias("violations"), rate.alias("violation_rate"), F.avg(F.col("step") / steps).alias("mean_threshold"))
+    return made.withColumns({"splits": F.lit(splits).cast("long"), "abstained": F.lit(splits) - F.col("certified")})

@@ -11,13 +11,14 @@ from verdara.operators.decide import stratum
 from verdara.plans.data import ATOMS, atoms, table
 from verdara.plans.evaluation import _TAIL, _cum
 from verdara.plans.evaluation import ORACLES as EVALUATED
+from verdara.plans.facts import draw_sql
 
 CUT, LATER = "2024-01-16", "2024-01-08"
 BY = ["regulator", "kind"]
 
 
 def hb_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = G.cumulative(atoms(spark, sf_dir), ["kind"], 20).where("n <= 2000")
+    made = G.cumulative(atoms(spark, sf_dir), ["kind"], 20)
     return made.select("kind", "step", F.round(C.hb_pvalue("k", "n", 0.05), 6).alias("p"))
 
 
@@ -78,6 +79,14 @@ def weighted_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.tuned_weighted(rows, BY, 0.05)
 
 
+def resampled_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certified on a sample of the effective size of each stratum, drawn by recency weights."""
+    weight = G.recency_weight(F.col("day"), F.lit("2024-02-01").cast("date"), 20.0)
+    drawn = G.weighted_sample(atoms(spark, sf_dir).withColumn("w", weight), BY, "w", "atom")
+    sizes = drawn.groupBy(*BY).agg(F.max("n_eff").alias("n_eff"), F.count("*").alias("n"), F.sum("atom").alias("atoms"))
+    return sizes.join(G.ltt(drawn, BY, 0.05, 0.1), BY)
+
+
 def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = atoms(spark, sf_dir)
     cut = F.lit(CUT).cast("date")
@@ -92,7 +101,7 @@ def best_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.best_strategy(_strategies(spark, sf_dir), 0.2)
 
 
-QUERIES = {f.__name__: f for f in (hb_pvalues, quantile_grid, stratum_sizes, merged_strata, threshold_pairs, certified, sliding_calibration, event_trigger, ks_test, weighted_threshold, four_strategies, best_strategy)}
+QUERIES = {f.__name__: f for f in (hb_pvalues, quantile_grid, stratum_sizes, merged_strata, threshold_pairs, certified, sliding_calibration, event_trigger, ks_test, weighted_threshold, resampled_thresholds, four_strategies, best_strategy)}
 
 _EVEN = f"WITH {ATOMS}, even AS (SELECT * FROM atoms WHERE atom % 2 = 0), {_cum('regulator, kind', 200, 'even')}, t AS (SELECT *, {_TAIL.format(eps='0.05::DOUBLE')} AS p FROM cum WHERE n >= 50), f AS (SELECT *, max(CAST(p > 0.1 AS INTEGER)) OVER (PARTITION BY regulator, kind ORDER BY step) AS failed FROM t)"
 _TUNED = """cells AS (SELECT strategy, CAST(ceil(risk * 200 - 1e-9) AS INTEGER) AS step, sum(w) AS n, sum(w * wrong) AS k FROM tagged GROUP BY ALL),
@@ -114,7 +123,7 @@ tagged AS (SELECT 'static' AS strategy, risk, wrong, 1.0::DOUBLE AS w FROM pre U
   LEFT JOIN post q ON CAST(ceil(q.risk * 200 - 1e-9) AS INTEGER) <= best.step GROUP BY s.strategy, best.step)"""
 
 ORACLES = {
-    "hb_pvalues": f"WITH {ATOMS}, {_cum('kind', 20)} SELECT kind, CAST(step AS INTEGER) AS step, round(CASE WHEN n = 0 THEN 1 ELSE least(1, exp(1) * {_TAIL.format(eps='0.05::DOUBLE')}) END, 6) AS p FROM cum WHERE n <= 2000",
+    "hb_pvalues": f"WITH {ATOMS}, {_cum('kind', 20)} SELECT kind, CAST(step AS INTEGER) AS step, round(CASE WHEN n = 0 THEN 1 ELSE least(1, exp(1) * {_TAIL.format(eps='0.05::DOUBLE')}) END, 6) AS p FROM cum",
     "quantile_grid": f"WITH {ATOMS} SELECT DISTINCT regulator, round(least(greatest(unnest(quantile_cont(risk, [x / 20.0::DOUBLE FOR x IN range(0, 21)])), 0), 1), 6) AS lam FROM atoms GROUP BY regulator",
     "stratum_sizes": f"WITH {ATOMS} SELECT regulator, kind, count(*) AS n, round(avg(wrong), 6) AS risk, count(*) OVER () AS n_strata, round(0.1 / count(*) OVER ()::DOUBLE, 8) AS delta FROM atoms GROUP BY regulator, kind",
     "merged_strata": f"WITH {ATOMS}, s AS (SELECT regulator || '|' || kind AS stratum, count(*) AS n, sum(wrong) AS wrong FROM atoms GROUP BY 1) SELECT CASE WHEN n >= ceil((SELECT count(*) FROM atoms) / 15.0) THEN stratum ELSE '*|*' END AS merged, CAST(sum(n) AS BIGINT) AS n, CAST(sum(wrong) AS BIGINT) AS wrong FROM s GROUP BY 1",
@@ -129,6 +138,12 @@ FROM l LEFT JOIN (SELECT * FROM atoms WHERE atom % 2 = 1) USING (regulator, kind
 SELECT regulator, kind, count(*) AS n FROM atoms WHERE regulator IN (SELECT regulator FROM e) GROUP BY ALL""",
     "ks_test": f"WITH {ATOMS}, {_KS.format(by='regulator, kind, ', side=_SIDE, part='PARTITION BY regulator, kind', group='GROUP BY regulator, kind')} SELECT regulator, kind, n_a, n_b, round(ks, 6) AS ks, round(p, 6) AS p FROM ks",
     "weighted_threshold": f"WITH {ATOMS}, tagged AS (SELECT regulator || '|' || kind AS strategy, risk, wrong, (atom % 4 + 1)::DOUBLE AS w FROM atoms), {_TUNED} SELECT DISTINCT a.regulator, a.kind, step / 200.0::DOUBLE AS threshold FROM atoms a LEFT JOIN best ON strategy = a.regulator || '|' || a.kind",
+    "resampled_thresholds": f"""WITH {ATOMS}, w AS (SELECT *, exp(-ln(2.0::DOUBLE) * greatest(date_diff('day', day, DATE '2024-02-01'), 0) / 20.0) AS w FROM atoms),
+e AS (SELECT regulator, kind, CAST(floor(pow(sum(w), 2) / sum(w * w) + 1e-9) AS BIGINT) AS n_eff, avg(w) AS mean FROM w GROUP BY ALL),
+s AS (SELECT w.*, n_eff FROM w JOIN e USING (regulator, kind) QUALIFY row_number() OVER (PARTITION BY regulator, kind ORDER BY 1 - exp(ln({draw_sql('atom', '0')}) * mean / w), atom) <= n_eff),
+{_cum('regulator, kind', 200, 's')}, t AS (SELECT *, {_TAIL.format(eps='0.05::DOUBLE')} AS p FROM cum WHERE n >= 50), f AS (SELECT *, max(CAST(p > 0.1 AS INTEGER)) OVER (PARTITION BY regulator, kind ORDER BY step) AS failed FROM t)
+SELECT regulator, kind, z.n_eff, z.n, z.atoms, accept_below FROM (SELECT regulator, kind, max(n_eff) AS n_eff, count(*) AS n, CAST(sum(atom) AS BIGINT) AS atoms FROM s GROUP BY ALL) z
+LEFT JOIN (SELECT regulator, kind, max(lam) FILTER (failed = 0) AS accept_below FROM f GROUP BY ALL) USING (regulator, kind)""",
     "four_strategies": f"{_FOUR} SELECT strategy, threshold, accepted, round(error, 6) AS error FROM four",
     "best_strategy": f"{_FOUR} SELECT arg_min(strategy, error * 1000000 + CASE strategy WHEN 'sliding_window' THEN 0 WHEN 'static' THEN 1 WHEN 'triggered' THEN 2 ELSE 3 END * 1e-6) AS best FROM four WHERE accepted > 0 AND error <= 0.2",
 }

@@ -95,12 +95,33 @@ def mcnemar_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simulate_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.violation(atoms(spark, sf_dir), 0.10, DELTA, 20)
+    """Over 1,000 random halves."""
+    made = G.violation(atoms(spark, sf_dir), 0.10, DELTA)
+    return made.withColumns({c: F.round(c, 6) for c in ("violation_rate", "mean_threshold")})
+
+
+def _rounded(made: DataFrame) -> DataFrame:
+    return made.withColumns({c: F.round(c, 8) for c in ("mean_diff", "ci_low", "ci_high")})
 
 
 def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = E.bootstrap(atoms(spark, sf_dir), "wrong", 20)
-    return made.withColumn("mean", F.round("mean", 6))
+    """Share of wrong atoms with its interval over 10,000 resamples."""
+    return _rounded(E.paired_bootstrap(atoms(spark, sf_dir), F.col("wrong"), F.lit(0)))
+
+
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right decisions at a limit of 0.35 against those at 0.5: accepted and right, or not accepted and wrong."""
+    right = lambda limit: ((F.col("risk") <= limit) == (F.col("wrong") == 0)).cast("int")
+    return _rounded(E.paired_bootstrap(atoms(spark, sf_dir), right(0.35), right(0.5)))
+
+
+def clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact intervals of the share of wrong atoms, by question."""
+    from verdara.functions.stats import clopper_pearson as interval
+
+    counts = atoms(spark, sf_dir).groupBy("question").agg(F.sum("wrong").alias("k"), F.count("*").alias("n"))
+    made = counts.withColumn("ci", interval("k", "n", F.lit(0.05)))
+    return made.select("question", "k", "n", F.round("ci.low", 6).alias("low"), F.round("ci.high", 6).alias("high"))
 
 
 def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +140,7 @@ def extraction_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (risk_coverage_curve, aurc, tune_threshold, hallucination_at_coverage, ltt_threshold, cluster_pvalue, acceptance_rates, ess_recency_weights, mmd_drift, ks_stat, drift_strategies, kappa, confusion_matrix, mcnemar, mcnemar_p, simulate_violation, bootstrap_mean, seed_summary, extraction_f1)
+    for f in (risk_coverage_curve, aurc, tune_threshold, hallucination_at_coverage, ltt_threshold, cluster_pvalue, acceptance_rates, ess_recency_weights, mmd_drift, ks_stat, drift_strategies, kappa, confusion_matrix, mcnemar, mcnemar_p, simulate_violation, bootstrap_mean, paired_bootstrap, clopper_pearson, seed_summary, extraction_f1)
 }
 
 
@@ -136,6 +157,25 @@ cum AS (SELECT {', '.join('grid.' + c.strip() for c in by.split(','))}, grid.ste
 
 
 _TAIL = "CASE WHEN n = 0 OR k >= n THEN 1 ELSE least(1, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln({eps}) + (n - j) * ln(1 - {eps}))))) END"
+_SUM = "list_sum(list_transform(range(0, {top}), lambda j: exp(CASE WHEN n < 2 THEN 0 ELSE lgamma(n + 1) END - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN j = n THEN 0 ELSE lgamma(n - j + 1) END + j * ln(middle) + (n - j) * ln(1 - middle))))"
+
+
+def _bootstrap_sql(difference: str) -> str:
+    """For up to three distinct differences: the counts of the first and the second in each resample, from the distribution function of a binomial number; the rest is the last's."""
+    log = "exp(" + " ".join(f"{sign} CASE WHEN {x} < 2 THEN 0 ELSE lgamma({x} + 1) END" for sign, x in (("", "t"), ("-", "j"), ("-", "(t - j)"))) + " + j * ln(p) + (t - j) * ln(1 - p))"
+    return f"""WITH {ATOMS}, cells AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS i, sum(c) OVER (ORDER BY d DESC) AS rest FROM (SELECT {difference} AS d, count(*) AS c FROM atoms GROUP BY 1)),
+a AS (SELECT sum(d * c) / sum(c)::DOUBLE AS mean, CAST(sum(c) AS BIGINT) AS n FROM cells),
+p0 AS (SELECT c / rest::DOUBLE AS p, c < rest AS more FROM cells WHERE i = 0), p1 AS (SELECT c / rest::DOUBLE AS p, c < rest AS more FROM cells WHERE i = 1),
+c0 AS (SELECT j, sum({log}) OVER (ORDER BY j) AS cdf FROM (SELECT n AS t, unnest(range(0, n + 1)) AS j FROM a), p0 WHERE more),
+u AS (SELECT id, {draw_sql('0', 'id')} AS u0, {draw_sql('1', 'id')} AS u1 FROM (SELECT unnest(range(0, 10000)) AS id)),
+x0 AS (SELECT u.*, n - coalesce(j, n) AS t, coalesce(j, n) AS x0 FROM (SELECT u.*, n FROM u, a) u ASOF LEFT JOIN c0 ON u.u0 <= c0.cdf),
+c1 AS (SELECT t, j, sum({log}) OVER (PARTITION BY t ORDER BY j) AS cdf FROM (SELECT t, unnest(range(0, t + 1)) AS j FROM (SELECT DISTINCT t FROM x0)), p1 WHERE more),
+x1 AS (SELECT x0.*, coalesce(j, x0.t) AS x1 FROM x0 ASOF LEFT JOIN c1 ON x0.t = c1.t AND x0.u1 <= c1.cdf),
+m AS (SELECT s / n AS mean, row_number() OVER (ORDER BY s) - 1 AS place FROM (SELECT x0 * d0 + x1 * coalesce(d1, 0) + (t - x1) * coalesce(d2, 0) AS s FROM x1,
+  (SELECT max(d) FILTER (i = 0) AS d0, max(d) FILTER (i = 1) AS d1, max(d) FILTER (i = 2) AS d2 FROM cells)), a)
+SELECT round(a.mean, 8) AS mean_diff, round((SELECT mean FROM m WHERE place = 249), 8) AS ci_low, round((SELECT mean FROM m WHERE place = 9749), 8) AS ci_high, n FROM a"""
+
+
 _CURVE = "curve AS (SELECT {by}, step, lam, round(n / max(n) OVER (PARTITION BY {by}), 6) AS coverage, round(k / n, 6) AS risk FROM cum QUALIFY n > 0)"
 _SIDES = f"CAST(day >= DATE '{HALF}' AS INTEGER)"
 
@@ -169,16 +209,36 @@ SELECT CAST(n AS BIGINT) AS n, round(po, 6) AS observed, round(rc / (n * n), 6)
     "confusion_matrix": "SELECT quality, toxic, count(*) AS n, CAST(grouping(quality, toxic) AS INTEGER) AS level FROM labels GROUP BY GROUPING SETS ((quality, toxic), (quality), (toxic), ())",
     "mcnemar": """WITH c AS (SELECT count(*) FILTER (quality = 1 AND NOT toxic = 0) AS only_a, count(*) FILTER (NOT quality = 1 AND toxic = 0) AS only_b FROM labels)
 SELECT only_a, only_b, round(CASE WHEN only_a + only_b > 0 THEN pow(greatest(abs(only_a - only_b) - 1, 0), 2) / (only_a + only_b) ELSE 0 END, 6) AS statistic FROM c""",
-    "bootstrap_mean": f"""WITH {ATOMS}, s AS (SELECT replicate, wrong, {draw_sql('atom', 'replicate')} AS u FROM atoms, (SELECT unnest(range(0, 20)) AS replicate)),
-t AS (SELECT *, CASE WHEN u < 0.3679 THEN 0 WHEN u < 0.7358 THEN 1 WHEN u < 0.9197 THEN 2 ELSE 3 END AS times FROM s)
-SELECT CAST(replicate AS INTEGER) AS replicate, round(sum(times * wrong) / sum(times), 6) AS mean FROM t GROUP BY replicate""",
+    "bootstrap_mean": _bootstrap_sql("wrong"),
+    "paired_bootstrap": _bootstrap_sql("CAST((risk <= 0.35) = (wrong = 0) AS INTEGER) - CAST((risk <= 0.5) = (wrong = 0) AS INTEGER)"),
+    # Ends by halving: 45 steps, each with the whole sum of the tail.
+    "clopper_pearson": f"""WITH RECURSIVE {ATOMS}, c AS (SELECT question, CAST(sum(wrong) AS BIGINT) AS k, count(*) AS n FROM atoms GROUP BY question),
+s AS (SELECT DISTINCT k, n, upper_ FROM c, (SELECT unnest([false, true]) AS upper_)),
+r AS (SELECT k, n, upper_, 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high FROM s
+  UNION ALL SELECT k, n, upper_, i + 1, CASE WHEN moved THEN middle ELSE low END, CASE WHEN moved THEN high ELSE middle END FROM (
+    SELECT *, CASE WHEN upper_ THEN {{up}} > 0.025 ELSE 1 - {{down}} < 0.025 END AS moved FROM (SELECT *, (low + high) / 2 AS middle FROM r WHERE i < 45)))
+SELECT question, k, n, round(CASE WHEN k = 0 THEN 0 ELSE a.high END, 6) AS low, round(CASE WHEN k = n THEN 1 ELSE b.high END, 6) AS high
+FROM c JOIN (SELECT k, n, high FROM r WHERE i = 45 AND NOT upper_) a USING (k, n) JOIN (SELECT k, n, high FROM r WHERE i = 45 AND upper_) b USING (k, n)""".format(up=_SUM.format(top="k + 1"), down=_SUM.format(top="k")),
     "seed_summary": f"WITH {ATOMS} SELECT kind, count(*) AS n, round(avg(risk), 6) AS mean, round(avg(risk) - 1.96 * stddev_samp(risk) / sqrt(count(*)), 6) AS low, round(avg(risk) + 1.96 * stddev_samp(risk) / sqrt(count(*)), 6) AS high FROM atoms GROUP BY kind",
     "extraction_f1": """WITH g AS (SELECT o_orderkey, o_orderpriority AS kind, lower(o_orderstatus) AS v, CASE o_orderkey % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'o' END AS p FROM orders),
 c AS (SELECT kind, count(p) AS p, count(v) AS g, count(*) FILTER (p = v) AS hit FROM g GROUP BY kind)
 SELECT kind, round(hit / g, 6) AS recall, round(coalesce(hit / nullif(p, 0), 0), 6) AS precision, round(2 * hit / (p + g), 6) AS f1 FROM c""",
 }
-ORACLES["simulate_violation"] = f"""WITH {ATOMS}, s AS (SELECT *, {draw_sql('atom', 'replicate')} < 0.5 AS cal FROM atoms, (SELECT unnest(range(0, 20)) AS replicate)), sc AS (SELECT * FROM s WHERE cal), st AS (SELECT * FROM s WHERE NOT cal),
-{_cum('replicate', 100, 'sc')}, t AS (SELECT *, {_TAIL.format(eps='0.1::DOUBLE')} AS p FROM cum WHERE n >= 50),
-f AS (SELECT *, max(CAST(p > 0.1 AS INTEGER)) OVER (PARTITION BY replicate ORDER BY step) AS failed FROM t), l AS (SELECT replicate, max(step) FILTER (failed = 0) AS step FROM f GROUP BY replicate),
-o AS (SELECT l.replicate, l.step, avg(wrong) AS err FROM l LEFT JOIN st ON st.replicate = l.replicate AND CAST(ceil(risk * 100 - 1e-9) AS INTEGER) <= l.step GROUP BY l.replicate, l.step)
-SELECT count(step) AS certified, count(*) FILTER (err > 0.1) AS violations, CAST(20 AS BIGINT) AS replicates FROM o"""
+#: Cell after cell, each split draws how many rows of the cell fall into its half.
+ORACLES["simulate_violation"] = f"""WITH RECURSIVE {ATOMS},
+cells AS (SELECT *, row_number() OVER (ORDER BY step, wrong) AS i FROM (SELECT CAST(ceil(risk * 100 - 1e-9) AS INTEGER) AS step, wrong, count(*) AS c FROM atoms GROUP BY ALL)),
+lf AS (SELECT list_transform(range(0, (SELECT count(*) + 2 FROM atoms)), lambda x: CASE WHEN x < 2 THEN 0.0::DOUBLE ELSE lgamma(x + 1) END) AS f),
+r AS (SELECT s AS split, 0::BIGINT AS i, n AS t, n // 2 AS d, 0::BIGINT AS x, 0::BIGINT AS c FROM (SELECT unnest(range(0, 1000)) AS s), (SELECT count(*) AS n FROM atoms)
+  UNION ALL SELECT split, i, t - c, d - x, x, c FROM (SELECT split, i, t, d, c, CAST(least(lo + list_reduce(list_transform(range(lo, hi + 1),
+      lambda j: [exp(f[c + 1] - f[j + 1] - f[c - j + 1] + f[t - c + 1] - f[d - j + 1] - f[t - c - d + j + 1] - f[t + 1] + f[d + 1] + f[t - d + 1]), 0]),
+      lambda a, b: [a[1] + b[1], a[2] + CASE WHEN a[1] + b[1] < u THEN 1 ELSE 0 END], [0.0::DOUBLE, 0])[2], hi) AS BIGINT) AS x FROM
+    (SELECT split, k.i, t, d, k.c, f, greatest(0, d - (t - k.c)) AS lo, least(k.c, d) AS hi, {draw_sql('step * 2 + wrong', 'split')} AS u FROM r JOIN cells k ON k.i = r.i + 1, lf))),
+drawn AS (SELECT split, step, wrong, x, r.c - x AS y FROM r JOIN cells USING (i)),
+per AS (SELECT q.split, g AS step, sum(sum(coalesce(x, 0))) OVER w AS n, sum(sum(coalesce(x * wrong, 0))) OVER w AS k, sum(sum(coalesce(y, 0))) OVER w AS n2, sum(sum(coalesce(y * wrong, 0))) OVER w AS k2
+  FROM (SELECT split, g FROM (SELECT unnest(range(0, 1000)) AS split), (SELECT unnest(range(0, 101)) AS g)) q LEFT JOIN drawn ON drawn.split = q.split AND drawn.step = g GROUP BY q.split, g WINDOW w AS (PARTITION BY q.split ORDER BY g)),
+p AS (SELECT k, n, {_TAIL.format(eps='0.1::DOUBLE')} AS p FROM (SELECT DISTINCT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n FROM per WHERE n >= 50)),
+f AS (SELECT per.*, max(CAST(p > 0.1 AS INTEGER)) OVER (PARTITION BY split ORDER BY step) AS failed FROM per JOIN p USING (k, n)),
+l AS (SELECT split, max(step) AS step, arg_max(n2, step) AS n2, arg_max(k2, step) AS k2 FROM f WHERE failed = 0 GROUP BY split),
+v AS (SELECT * FROM l WHERE n2 > 0)
+SELECT count(*) AS certified, count(*) FILTER (k2 > 0.1::DOUBLE * n2) AS violations, round(count(*) FILTER (k2 > 0.1::DOUBLE * n2) / nullif(count(*), 0)::DOUBLE, 6) AS violation_rate, round(avg(step / 100.0::DOUBLE), 6) AS mean_threshold,
+  CAST(1000 AS BIGINT) AS splits, 1000 - count(*) AS abstained FROM v"""

@@ -160,8 +160,7 @@ routed AS (SELECT a.*, t.stratum AS stratum_used, CASE WHEN t.accept_below IS NU
 
 
 def draw_sql(key: str, replicate: str) -> str:
-    a = f"((({key}) % 1000003 * 7919 + ({replicate}) % 1000003 * 104729) % 1000003)"
-    return f"(({a} * {a} % 1000003 * 31 + {a}) % 1000003 / 1000003.0::DOUBLE)"
+    return f"((('0x' || substr(md5(concat_ws(':', {key}, {replicate})), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)"
 
 
 def split_sql(group: str) -> str:
