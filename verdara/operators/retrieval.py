@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from verdara.functions.text import tokens
 K1, B, FLOOR, RRF_K = 1.5, 0.75, 0.25, 60
 #: Queries sent to the tasks at once; the set of queries is worked off in blocks of this size.
 QUERY_BLOCK = 4096
+#: Documents of a block of the stored index; queries searched at once, each with all its terms.
+BLOCK_DOCS, SEARCH_BLOCK = 512, 1024
 
 
 def postings(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
@@ -29,38 +32,151 @@ def postings(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
     return each.select("doc", "dl", F.get(F.col("terms"), F.col("at") - 1).alias("term"), (F.coalesce(F.get(F.col("starts"), F.col("i") + 1), F.col("dl") + 1) - F.col("at")).cast("long").alias("tf"))
 
 
-def write_index(docs: DataFrame, doc: str, folder: str) -> None:
-    """The stored index: ``postings(doc, dl, term, tf)``, ``idf(term, idf)`` and ``sizes(n, avgdl)``; texts are read once."""
+def weighted(counts: DataFrame, n_docs: Column) -> DataFrame:
+    """``term, df, idf`` from ``term, df``, with negative values lifted to a quarter of the mean."""
+    raw = counts.withColumn("raw", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
+    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def idf(posted: DataFrame, n_docs: Column) -> DataFrame:
+    """``term, idf`` of postings."""
+    return weighted(posted.groupBy("term").agg(F.count("*").alias("df")), n_docs).select("term", "idf")
+
+
+def tokenised(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc, terms`` of every document with an id; a table of few files is dealt to all cores first."""
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    rows = rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return rows.select("doc", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("terms"))
+
+
+def write_index(docs: DataFrame, doc: str, folder: str, text: str = "text") -> None:
+    """The stored index of documents: ``blocks``, ``terms(term, df, idf)`` and ``sizes(n, avgdl)``; texts are read once, nothing is shuffled but term counts.
+
+    A block is a row with the postings of up to ``BLOCK_DOCS`` documents, sorted by id: lengths, terms, and for each term its
+    documents' places and frequencies, with the largest frequency and the least length, from which a search bounds its scores.
+    """
+    kind = "string" if docs.schema[doc].dataType.typeName() == "string" else "long"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_DOCS):
+                part = pa.Table.from_batches([batch.slice(start, BLOCK_DOCS)]).sort_by("doc")
+                lists = part["terms"].combine_chunks()
+                lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+                sizes, coded = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+                n = part.num_rows
+                key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
+                term, at = key // n, key % n
+                first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
+                most, least = (f.reduceat(x, first) if len(first) else first for f, x in ((np.maximum, tf), (np.minimum, sizes[at])))
+                row = [part["doc"].to_pylist(), sizes, coded.dictionary, np.append(first, len(term)), at, tf, most, least]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, f.type.value_type)) for v, f in zip(row, shape, strict=True)], schema=shape)
+
+    names = ["docs", "sizes", "terms", "starts", "at", "tf", "most", "least"]
+    shape = pa.schema([(c, pa.list_(pa.string() if c == "terms" or c == "docs" and kind == "string" else pa.int64() if c == "docs" else pa.int32())) for c in names])
+    ddl = ", ".join(f"{c} array<{'string' if c == 'terms' else kind if c == 'docs' else 'int'}>" for c in names)
     spark = docs.sparkSession
-    postings(docs, doc).write.mode("overwrite").parquet(f"{folder}/postings")
-    posted = spark.read.parquet(f"{folder}/postings")
-    held = posted.groupBy("doc").agg(F.first("dl").alias("dl")).agg(F.sum("dl").alias("total"))
-    n = docs.count()
-    held.select(F.lit(n).cast("long").alias("n"), (F.coalesce("total", F.lit(0)) / F.lit(max(n, 1))).alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/sizes")
-    idf(posted, F.lit(n)).write.mode("overwrite").parquet(f"{folder}/idf")
+    rows = tokenised(docs, doc, text)
+    rows = rows if kind == "string" else rows.withColumn("doc", F.col("doc").cast("long"))
+    rows.mapInArrow(pack, ddl).write.mode("overwrite").parquet(f"{folder}/blocks")
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    total = F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda t, x: t + x))
+    sizes = blocks.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0)).alias("n"), F.coalesce(total, F.lit(0)).alias("total"))
+    sizes.select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/sizes")
+    n = spark.read.parquet(f"{folder}/sizes").first()["n"]
+    held = F.transform(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: F.struct(F.get("terms", i).alias("term"), (F.get("starts", i + 1) - F.get("starts", i)).alias("n")))
+    counts = blocks.where("size(terms) > 0").select(F.explode(held).alias("t")).groupBy("t.term").agg(F.sum("t.n").alias("df"))
+    weighted(counts, F.lit(n)).write.mode("overwrite").parquet(f"{folder}/terms")
 
 
-def bm25_stored(spark: SparkSession, folder: str, queries: DataFrame, query: str) -> DataFrame:
-    """As ``bm25``, from a stored index: postings are read for the terms of the queries."""
-    posted, weights, size = (spark.read.parquet(f"{folder}/{name}") for name in ("postings", "idf", "sizes"))
-    asked = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    wanted = asked.join(weights, "term").join(F.broadcast(size))  # sizes is one row
-    return posted.join(wanted, "term").groupBy("query", "doc").agg(F.sum(F.col("times") * weight).alias("score"))
+def index_of(docs: DataFrame, doc: str, text: str = "text") -> str:
+    """Folder of the index of a table of files: written on first use, found again while paths, sizes and times of the files are the same."""
+    spark = docs.sparkSession
+    file = [F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_modification_time")]
+    seen = docs.groupBy(*file).count().agg(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time", "count")).alias("files")).first()["files"]
+    root = scratch(spark, "index")
+    folder = f"{root.rsplit('/', 1)[0]}/{(seen or 0) & (1 << 64) - 1:016x}-{doc}-{text}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/terms/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        write_index(docs, doc, folder, text)
+    return folder
 
 
-def idf(posted: DataFrame, n_docs: Column) -> DataFrame:
-    """``term, idf`` with negative values lifted to a quarter of the mean."""
-    raw = posted.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def search(spark: SparkSession, folder: str, queries: DataFrame, query: str, k: int, overlap: bool = False) -> DataFrame:
+    """``query, doc, score, rank``: the k best documents of each query that share a term with it, by BM25 or, with ``overlap``, by the number of shared terms.
 
+    Queries are worked off ``SEARCH_BLOCK`` at a time. A task keeps its k best of every query; a block of documents is scored only for
+    queries whose bound in it, the sum over its terms of the largest weight, reaches their k-th best score so far. So the
+    shuffle holds at most k rows a task and query. Repeated query terms count repeatedly.
+    """
+    asked = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    asked = asked.join(spark.read.parquet(f"{folder}/terms").select("term", "idf"), "term")
+    blocks, size = spark.read.parquet(f"{folder}/blocks"), spark.read.parquet(f"{folder}/sizes").first()
+    avgdl = max(size["avgdl"], 1e-12)
+    doc_type, query_type = blocks.schema["docs"].dataType.elementType.simpleString(), queries.schema[query].dataType.simpleString()
+    turns = max(1, -(-queries.select(query).distinct().count() // SEARCH_BLOCK))
+    parts = []
+    for turn in range(turns):
+        rows = asked.where(F.pmod(F.xxhash64("query"), F.lit(turns)) == turn).toPandas()
+        ids, row = np.unique(rows["query"].to_numpy(), return_inverse=True)
+        vocabulary, column = np.unique(rows["term"].to_numpy(str), return_inverse=True)
+        gain = np.ones(len(rows)) if overlap else rows["times"].to_numpy() * rows["idf"].to_numpy()
+        shared = spark.sparkContext.broadcast((ids, vocabulary, row, column, gain))
 
-def bm25(docs: DataFrame, doc: str, queries: DataFrame, query: str) -> DataFrame:
-    """``query, doc, score`` of every document that shares a term with a query; repeated query terms count repeatedly."""
-    folder = scratch(docs.sparkSession, "index")
-    write_index(docs, doc, folder)
-    return bm25_stored(docs.sparkSession, folder, queries, query)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, vocabulary, row, column, gain = shared.value
+            words, best, best_doc = pa.array(vocabulary.tolist(), pa.string()), None, None
+            positive = bool((gain > 0).all())
+            weight = lambda tf, dl: np.ones(len(tf)) if overlap else tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+            for batch in batches:
+                for b in range(batch.num_rows):
+                    docs, sizes, terms, starts, at, tf, most, least = (c[b].values for c in batch.columns)
+                    known = pc.index_in(terms, value_set=words)
+                    held = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
+                    if not len(held):
+                        continue
+                    sizes, starts, at, tf, most, least = (c.to_numpy() for c in (sizes, starts, at, tf, most, least))
+                    place = np.full(len(vocabulary), -1)
+                    place[known.drop_null().to_numpy()] = np.arange(len(held))
+                    of = place[column] >= 0
+                    wanted = np.zeros((len(ids), len(held)))
+                    wanted[row[of], place[column[of]]] = gain[of]
+                    alive = wanted.any(1) if positive else np.bincount(row[of], minlength=len(ids)) > 0
+                    if best is not None and positive:
+                        alive &= wanted @ weight(most[held], least[held]) + 1e-6 >= best[:, -1]
+                    alive = np.flatnonzero(alive)
+                    if not len(alive):
+                        continue
+                    n = starts[held + 1] - starts[held]
+                    spot = np.repeat(starts[held] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    table = np.zeros((len(held), len(sizes)))
+                    table[np.repeat(np.arange(len(held)), n), at[spot]] = weight(tf[spot], sizes[at[spot]])
+                    score = np.round(wanted[alive] @ table, 6)
+                    touched = score > 0 if positive else ((wanted[alive] != 0).astype(float) @ (table > 0)) > 0
+                    score[~touched] = -np.inf
+                    names = docs.to_numpy(zero_copy_only=False)
+                    if best is None:
+                        best, best_doc = np.full((len(ids), k), -np.inf), np.full((len(ids), k), names[0], names.dtype if doc_type == "bigint" else object)
+                    both, found = np.hstack((best[alive], score)), np.hstack((best_doc[alive], np.broadcast_to(names, score.shape)))
+                    for q, i in enumerate(alive):  # blocks come in any order, so ids break ties
+                        some = np.flatnonzero(both[q] >= np.partition(both[q], -k)[-k])
+                        order = some[np.lexsort((found[q][some], -both[q][some]))[:k]]
+                        best[i], best_doc[i] = both[q][order], found[q][order]
+            if best is not None:
+                q, _ = keep = np.nonzero(np.isfinite(best))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q].tolist()), pa.array(best_doc[keep].tolist()), pa.array(best[keep])], ["query", "doc", "score"])
+
+        if len(rows):
+            parts.append(blocks.mapInArrow(run, f"query {query_type}, doc {doc_type}, score double"))
+    if not parts:
+        return spark.createDataFrame([], f"query {query_type}, doc {doc_type}, score double, rank long")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return top_k(out, k)
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
