@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from verdara.functions.stats import binomial_tail
-from verdara.operators.guarantee import accepted_from, cumulative, ltt, min_accepted, recency_weight
+from verdara.functions import stats
+from verdara.operators.guarantee import accepted_from, cumulative, ltt, min_accepted, quantiles, recency_weight
 
 LEAST_SIDE = 5
 
@@ -21,8 +25,8 @@ def hb_pvalue(k: str, n: str, eps: float) -> Column:
 def quantile_grid(rows: DataFrame, by: list[str], steps: int = 20, risk: str = "risk") -> DataFrame:
     """``by, lam``: distinct quantiles of the risk, within 0 and 1; the grid adapts to where the rows are."""
     shares = [i / steps for i in range(steps + 1)]
-    found = rows.groupBy(*by).agg(F.percentile(risk, F.array(*map(F.lit, shares))).alias("q"))
-    return found.select(*by, F.explode(F.array_distinct(F.transform("q", lambda x: F.round(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), 6)))).alias("lam"))
+    lam = F.round(F.least(F.greatest("q", F.lit(0.0)), F.lit(1.0)), 6).alias("lam")
+    return quantiles(rows, by, risk, shares).select(*by, lam).distinct()
 
 
 def strata(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -63,7 +67,7 @@ def merged_strata(rows: DataFrame, least: int) -> DataFrame:
 def threshold_pairs(rows: DataFrame, by: list[str], eps: float, delta: float, budget: float = 0.8, n_start: int = 50) -> DataFrame:
     """Certified acceptance limit and, from a quantile of the risk, the limit above which no judge is asked; the second stays above the first."""
     limits = ltt(rows, by, eps, delta, n_start)
-    above = rows.groupBy(*by).agg(F.percentile("risk", F.lit(budget)).alias("q"))
+    above = quantiles(rows, by, "risk", [budget]).drop("share")
     clamped = F.when(F.col("accept_below") >= F.col("q"), F.least(F.lit(1.0), F.col("accept_below") + 1e-6)).otherwise(F.col("q"))
     return limits.join(above, by).select(*by, "accept_below", clamped.alias("abstain_above"))
 
@@ -84,10 +88,14 @@ def sliding_window(rows: DataFrame, day: str, reference: Column, months: int) ->
     return rows.where(F.col(day).isNull() | (F.col(day) >= F.date_sub(reference, 30 * months)))
 
 
-def drift_window(rows: DataFrame, day: str, cut: str, months: int) -> DataFrame:
-    """The sliding window of the drift experiment; where it is empty, all rows."""
-    kept = rows.where(F.col(day) >= F.date_sub(F.lit(cut).cast("date"), 30 * months))
-    return rows if kept.isEmpty() else kept
+def drift_window(rows: DataFrame, day: str, cut: str, months: int, order: str) -> DataFrame:
+    """The window of the drift experiment: the last months (30 days each) before the cut; where no row has a day,
+    the second half of the rows by ``order``; where the window is empty, all rows. Everything is decided inside the plan."""
+    known = F.col(day) >= F.date_sub(F.lit(cut).cast("date"), 30 * months)
+    held = rows.agg(F.count(day).alias("_dated"), F.count_if(known).alias("_inside"))  # one row
+    rank = quantiles(rows.withColumn("_o", F.col(order).cast("double")), [], "_o", [0.5]).select(F.col("q").alias("_middle"))
+    fits = F.when(F.col("_dated") == 0, F.col(order) >= F.coalesce("_middle", F.col(order))).when(F.col("_inside") == 0, True).otherwise(known)
+    return rows.join(F.broadcast(held)).join(F.broadcast(rank), F.lit(True), "left").where(fits).select(*rows.columns)
 
 
 def triggered(strata_: DataFrame, events: DataFrame, since: str) -> DataFrame:
@@ -120,23 +128,54 @@ def tuned_weighted(rows: DataFrame, by: list[str], eps: float, weight: str = "w"
     return rows.select(*by).distinct().join(met.groupBy(*by).agg((F.max(last) / steps).alias("threshold")), by, "left")
 
 
-def drift_strategies(pre: DataFrame, post: DataFrame, cut: str, eps: float, months: int = 6, half_life: float = 90.0) -> DataFrame:
-    """Threshold and later error of four strategies: all earlier rows, a sliding window, recency weights, and the window only after a trigger."""
-    every = pre.withColumn("w", F.lit(1.0))
-    window = drift_window(pre, "day", cut, months).withColumn("w", F.lit(1.0))
-    aged = pre.withColumn("w", F.greatest(recency_weight(F.col("day"), F.lit(cut).cast("date"), half_life), F.lit(1e-6)))
-    moved = ks_test(pre.withColumn("side", F.lit(0)).unionByName(post.withColumn("side", F.lit(1))), [], F.col("side") == 1, "risk").first()
-    named = [("static", every), ("sliding_window", window), ("weighted", aged), ("triggered", window if moved and moved["p"] < 0.05 else every)]
+@F.pandas_udf(DoubleType())
+def half_violations(k: pd.Series, n: pd.Series, total: pd.Series, eps: pd.Series, splits: pd.Series) -> pd.Series:
+    """Share of random halves of ``total`` rows whose accepted ones, k wrong among n in all, have more than ``eps`` wrong."""
+    out = []
+    for wrong, accepted, size, bound, times in zip(k, n, total, eps, splits, strict=True):
+        ids = range(int(times))
+        left = np.full(len(ids), int(size), np.int64)
+        half = left - left // 2
+        x = stats.hypergeometric_quantile(stats.uniform([f"wrong:{i}" for i in ids]), left, int(wrong), half)
+        y = stats.hypergeometric_quantile(stats.uniform([f"right:{i}" for i in ids]), left - int(wrong), int(accepted - wrong), half - x)
+        out.append(float(np.mean((x + y > 0) & (x > bound * (x + y)))))
+    return pd.Series(out, dtype=float)
+
+
+def drift_strategies(pre: DataFrame, post: DataFrame, cut: str, eps: float, delta: float = 0.1, months: int = 6, half_life: float = 180.0, order: str = "atom", points: int = 200, splits: int = 200, least: int = 150) -> DataFrame:
+    """Four ways to set a threshold before a change, judged by the rows after it; ``pre`` and ``post`` hold ``risk, wrong, day`` and ``order``.
+
+    All earlier rows (static), a sliding window, recency weights, and the window only if the static threshold is violated in more
+    than ``delta`` of random halves of the later rows (triggered). A threshold is the largest of ``points`` evenly spaced ones at which
+    the (weighted) share of wrong rows is at most ``eps``, 0 if none is. There are always four rows: without earlier or later rows
+    the figures are NULL. ``error`` is 1 where nothing is accepted; sides under ``least`` rows aren't certifiable.
+    """
+    spark, steps = pre.sparkSession, points - 1
+    weight = F.greatest(F.coalesce(recency_weight(F.col("day"), F.lit(cut).cast("date"), half_life), F.lit(1.0)), F.lit(1e-6))
+    parts = {"static": pre.withColumn("w", F.lit(1.0)), "sliding_window": drift_window(pre, "day", cut, months, order).withColumn("w", F.lit(1.0)), "recency_weighted": pre.withColumn("w", weight)}
     rows = None
-    for name, part in named:
+    for name, part in parts.items():
         part = part.select(F.lit(name).alias("strategy"), "risk", "wrong", "w")
         rows = part if rows is None else rows.unionByName(part)
-    chosen = tuned_weighted(rows, ["strategy"], eps)
-    later = cumulative(post.withColumn("all", F.lit(1)), ["all"], 200).select((F.col("step")).alias("step"), "n", "k")
-    out = chosen.withColumn("step", F.round(F.col("threshold") * 200).cast("int")).join(later, "step", "left")
-    return out.select("strategy", "threshold", F.coalesce("n", F.lit(0)).alias("accepted"), F.try_divide("k", "n").alias("error"))
-
-
-def best_strategy(table: DataFrame, eps: float) -> DataFrame:
-    """The strategy of least error among those that accept something within the bound."""
-    return table.where((F.col("accepted") > 0) & (F.col("error") <= eps)).agg(F.min_by("strategy", F.struct("error", "strategy")).alias("best"))
+    sizes = rows.groupBy("strategy").agg(F.count("*").alias("n_calibration"))
+    chosen = sizes.join(tuned_weighted(rows, ["strategy"], eps, steps=steps), "strategy", "left").withColumn("step", F.round(F.coalesce("threshold", F.lit(0.0)) * steps).cast("int"))
+    later = cumulative(post.withColumn("one", F.lit(1)), ["one"], steps).select("step", "n", "k")
+    totals = post.agg(F.count("*").alias("n_test")).join(pre.agg(F.count("*").alias("n_pre")))  # one row each
+    judged = chosen.join(later, "step", "left").join(F.broadcast(totals)).withColumn("violation_rate", half_violations(F.coalesce("k", F.lit(0)), F.coalesce("n", F.lit(0)), "n_test", F.lit(eps), F.lit(splits)))
+    one = lambda name: judged.where(F.col("strategy") == name)
+    broken = one("static").select((F.col("violation_rate") > delta).alias("broken"))  # one row
+    wide = judged.join(F.broadcast(broken), F.lit(True))
+    source = F.when(F.col("broken"), "sliding_window").otherwise("static")
+    moved = wide.where(F.col("strategy") == source).withColumn("strategy", F.lit("triggered"))
+    four = wide.unionByName(moved).withColumn("recalibrated", (F.col("strategy") != "triggered") | F.col("broken"))
+    names = spark.createDataFrame([(n,) for n in (*parts, "triggered")], "strategy string")
+    some = F.col("n_test") > 0
+    status = F.when((F.col("n_pre") >= least) & (F.col("n_test") >= least), "computed").otherwise("not_certifiable")
+    error = F.when(some, F.coalesce(F.try_divide("k", "n"), F.lit(1.0)))
+    return names.join(four, "strategy", "left").select("strategy", (F.col("step") / steps).alias("threshold"), "n_calibration", F.coalesce("n", F.when(some, F.lit(0))).alias("accepted"), F.try_divide(F.coalesce("n", F.lit(0)), "n_test").alias("coverage"), error.alias("error"), F.when(some, F.col("violation_rate")).alias("violation_rate"), F.coalesce("recalibrated", F.lit(False)).alias("recalibrated"), F.coalesce(status, F.lit("not_certifiable")).alias("status"))
+
+
+def best_strategy(table: DataFrame, delta: float) -> DataFrame:
+    """The strategy of least error among those violated in at most ``delta`` of the halves; the first in the order of the table's names on ties."""
+    place = F.array_position(F.array(*map(F.lit, ("static", "sliding_window", "recency_weighted", "triggered"))), F.col("strategy"))
+    return table.where(F.col("violation_rate") <= delta).agg(F.min_by("strategy", F.struct("error", place)).alias("best"))

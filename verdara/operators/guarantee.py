@@ -115,6 +115,30 @@ def first_fraction(rows: DataFrame, by: list[str], key: str, wanted: Column, tie
     return kept.drop("_bucket", "_left", "_whole")
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], buckets: int = 4096) -> DataFrame:
+    """``by, share, q``: exact quantiles with linear interpolation, in memory that doesn't depend on the rows.
+
+    Values are counted in ``buckets`` cells between the ends of their group; only the cells in which a wanted rank falls are
+    looked at again, by distinct value. Nulls are left out; a group without values gives no row.
+    """
+    keys = [*by, "_all"]
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.lit(1).alias("_all"), F.col(value).cast("double").alias("_v"))
+    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    cell = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * buckets), F.lit(buckets - 1))).otherwise(0)
+    placed = rows.join(ends, keys).select(*keys, "_v", cell.cast("int").alias("_cell"))
+    counts = placed.groupBy(*keys, "_cell").agg(F.count("*").alias("_c"))
+    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_cell")))  # at most ``buckets`` rows a group
+    place = F.col("share") * (F.col("_n") - 1)
+    wanted = ends.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).select(*keys, "share", (place - F.floor(place)).alias("_part"), F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank"))
+    found = wanted.join(upto, keys).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
+    found = found.select(*keys, "share", "_part", "_rank", "_cell", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_inside"))
+    near = placed.join(found.select(*keys, "_cell").distinct(), [*keys, "_cell"]).groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_c"))
+    near = near.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_cell").orderBy("_v")))
+    picked = found.join(near, [*keys, "_cell"]).where((F.col("_inside") < F.col("_upto")) & (F.col("_inside") >= F.col("_upto") - F.col("_c")))
+    low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
+    return picked.groupBy(*by, "share").agg((low + F.max("_part") * (high - low)).alias("q"))
+
+
 def weighted_sample(rows: DataFrame, by: list[str], weight: str, tie: str, seed: int = 0) -> DataFrame:
     """Of each group as many rows as its effective size, drawn without replacement in proportion to the weights.
 

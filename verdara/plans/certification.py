@@ -15,6 +15,7 @@ from verdara.plans.facts import draw_sql
 
 CUT, LATER = "2024-01-16", "2024-01-08"
 BY = ["regulator", "kind"]
+EPS = 0.2
 
 
 def hb_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,15 +91,16 @@ def resampled_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = atoms(spark, sf_dir)
     cut = F.lit(CUT).cast("date")
-    return C.drift_strategies(rows.where(F.col("day") < cut), rows.where(F.col("day") >= cut), CUT, 0.05, months=1)
+    return C.drift_strategies(rows.where(F.col("day") < cut), rows.where(F.col("day") >= cut), CUT, EPS, months=1, half_life=90.0)
 
 
 def four_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _strategies(spark, sf_dir).select("strategy", "threshold", "accepted", F.round("error", 6).alias("error"))
+    made = _strategies(spark, sf_dir)
+    return made.withColumns({c: F.round(c, 6) for c in ("threshold", "coverage", "error", "violation_rate")})
 
 
 def best_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.best_strategy(_strategies(spark, sf_dir), 0.2)
+    return C.best_strategy(_strategies(spark, sf_dir), 0.6)
 
 
 QUERIES = {f.__name__: f for f in (hb_pvalues, quantile_grid, stratum_sizes, merged_strata, threshold_pairs, certified, sliding_calibration, event_trigger, ks_test, weighted_threshold, resampled_thresholds, four_strategies, best_strategy)}
@@ -114,13 +116,27 @@ x AS (SELECT *, na * nb / (na + nb) * gap * gap AS x FROM m),
 ks AS (SELECT {by}CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b, CASE WHEN na < 5 OR nb < 5 THEN 0 ELSE gap END AS ks,
   CASE WHEN na < 5 OR nb < 5 OR x < 0.02 THEN 1 ELSE least(greatest(2 * list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0::DOUBLE * j * j * x))), 0), 1) END AS p FROM x)"""
 _SIDE = f"CAST(day >= DATE '{CUT}' AS INTEGER)"
-_FOUR = f"""WITH {ATOMS}, {_KS.format(by='', side=_SIDE, part='', group='')}, pre AS (SELECT * FROM atoms WHERE day < DATE '{CUT}'), post AS (SELECT * FROM atoms WHERE day >= DATE '{CUT}'),
+
+def _half(u: str, marked: str, t: str, d: str) -> str:
+    """Marked ones among ``d`` drawn of ``t``: the least number whose distribution function reaches u."""
+    f = lambda x: f"CASE WHEN ({x}) < 2 THEN 0 ELSE lgamma(({x}) + 1) END"
+    log = " ".join(f"{sign} {f(x)}" for sign, x in (("", marked), ("-", "j"), ("-", f"{marked} - j"), ("+", f"{t} - {marked}"), ("-", f"{d} - j"), ("-", f"{t} - {marked} - {d} + j"), ("-", t), ("+", d), ("+", f"{t} - {d}")))
+    low, high = f"greatest(0, {d} - ({t} - {marked}))", f"least({marked}, {d})"
+    return f"CAST(least({low} + list_reduce(list_transform(range({low}, {high} + 1), lambda j: [exp({log}), 0]), lambda a, b: [a[1] + b[1], a[2] + CASE WHEN a[1] + b[1] < {u} THEN 1 ELSE 0 END], [0.0::DOUBLE, 0])[2], {high}) AS BIGINT)"
+
+
+_FOUR = f"""WITH {ATOMS}, pre AS (SELECT * FROM atoms WHERE day < DATE '{CUT}'), post AS (SELECT * FROM atoms WHERE day >= DATE '{CUT}'),
 late AS (SELECT * FROM pre WHERE day >= DATE '{CUT}' - INTERVAL 30 DAY), win AS (SELECT * FROM late UNION ALL SELECT * FROM pre WHERE NOT EXISTS (FROM late)),
 tagged AS (SELECT 'static' AS strategy, risk, wrong, 1.0::DOUBLE AS w FROM pre UNION ALL SELECT 'sliding_window', risk, wrong, 1.0 FROM win
-  UNION ALL SELECT 'weighted', risk, wrong, greatest(exp(-ln(2) * greatest(date_diff('day', day, DATE '{CUT}'), 0) / 90.0::DOUBLE), 1e-6) FROM pre
-  UNION ALL SELECT 'triggered', risk, wrong, 1.0 FROM win WHERE (SELECT p < 0.05 FROM ks) UNION ALL SELECT 'triggered', risk, wrong, 1.0 FROM pre WHERE NOT (SELECT p < 0.05 FROM ks)),
-{_TUNED}, four AS (SELECT s.strategy, best.step / 200.0::DOUBLE AS threshold, count(q.risk) AS accepted, avg(q.wrong) AS error FROM (SELECT DISTINCT strategy FROM tagged) s LEFT JOIN best USING (strategy)
-  LEFT JOIN post q ON CAST(ceil(q.risk * 200 - 1e-9) AS INTEGER) <= best.step GROUP BY s.strategy, best.step)"""
+  UNION ALL SELECT 'recency_weighted', risk, wrong, greatest(exp(-ln(2) * greatest(date_diff('day', day, DATE '{CUT}'), 0) / 90.0::DOUBLE), 1e-6) FROM pre),
+{_TUNED.replace('* 200', '* 199').replace(', 200)', ', 199)').replace('0.05', str(EPS))},
+c AS (SELECT s.strategy, s.n AS n_calibration, coalesce(step, 0) AS step FROM (SELECT strategy, count(*) AS n FROM tagged GROUP BY 1) s LEFT JOIN best USING (strategy)),
+j AS (SELECT strategy, n_calibration, step, count(risk) AS n, CAST(coalesce(sum(wrong), 0) AS BIGINT) AS k, (SELECT count(*) FROM post) AS t FROM c LEFT JOIN post ON CAST(ceil(risk * 199 - 1e-9) AS INTEGER) <= step GROUP BY ALL),
+h AS (SELECT *, {_half('u', 'k', 't', 'd')} AS x FROM (SELECT DISTINCT n, k, t, t - t // 2 AS d, i, {draw_sql("'wrong'", 'i')} AS u, {draw_sql("'right'", 'i')} AS v FROM j, (SELECT unnest(range(0, 200)) AS i))),
+y AS (SELECT n, k, x, {_half('v', '(n - k)', '(t - k)', '(d - x)')} AS y FROM h),
+v AS (SELECT n, k, avg(CAST(x + y > 0 AND x > {EPS}::DOUBLE * (x + y) AS INTEGER)) AS rate FROM y GROUP BY n, k),
+judged AS (SELECT *, (SELECT v2.rate > 0.1 FROM j j2 JOIN v v2 USING (n, k) WHERE j2.strategy = 'static') AS broken FROM j JOIN v USING (n, k)),
+four AS (SELECT *, true AS again FROM judged UNION ALL SELECT * REPLACE ('triggered' AS strategy), broken FROM judged WHERE strategy = CASE WHEN broken THEN 'sliding_window' ELSE 'static' END)"""
 
 ORACLES = {
     "hb_pvalues": f"WITH {ATOMS}, {_cum('kind', 20)} SELECT kind, CAST(step AS INTEGER) AS step, round(CASE WHEN n = 0 THEN 1 ELSE least(1, exp(1) * {_TAIL.format(eps='0.05::DOUBLE')}) END, 6) AS p FROM cum",
@@ -144,6 +160,7 @@ s AS (SELECT w.*, n_eff FROM w JOIN e USING (regulator, kind) QUALIFY row_number
 {_cum('regulator, kind', 200, 's')}, t AS (SELECT *, {_TAIL.format(eps='0.05::DOUBLE')} AS p FROM cum WHERE n >= 50), f AS (SELECT *, max(CAST(p > 0.1 AS INTEGER)) OVER (PARTITION BY regulator, kind ORDER BY step) AS failed FROM t)
 SELECT regulator, kind, z.n_eff, z.n, z.atoms, accept_below FROM (SELECT regulator, kind, max(n_eff) AS n_eff, count(*) AS n, CAST(sum(atom) AS BIGINT) AS atoms FROM s GROUP BY ALL) z
 LEFT JOIN (SELECT regulator, kind, max(lam) FILTER (failed = 0) AS accept_below FROM f GROUP BY ALL) USING (regulator, kind)""",
-    "four_strategies": f"{_FOUR} SELECT strategy, threshold, accepted, round(error, 6) AS error FROM four",
-    "best_strategy": f"{_FOUR} SELECT arg_min(strategy, error * 1000000 + CASE strategy WHEN 'sliding_window' THEN 0 WHEN 'static' THEN 1 WHEN 'triggered' THEN 2 ELSE 3 END * 1e-6) AS best FROM four WHERE accepted > 0 AND error <= 0.2",
+    "four_strategies": f"""{_FOUR} SELECT strategy, round(step / 199.0::DOUBLE, 6) AS threshold, n_calibration, n AS accepted, round(n / t::DOUBLE, 6) AS coverage, round(CASE WHEN n > 0 THEN k / n::DOUBLE ELSE 1 END, 6) AS error,
+  round(rate, 6) AS violation_rate, again AS recalibrated, CASE WHEN t >= 150 AND (SELECT count(*) FROM pre) >= 150 THEN 'computed' ELSE 'not_certifiable' END AS status FROM four""",
+    "best_strategy": f"{_FOUR} SELECT arg_min(strategy, (CASE WHEN n > 0 THEN k / n::DOUBLE ELSE 1 END, list_position(['static', 'sliding_window', 'recency_weighted', 'triggered'], strategy))) AS best FROM four WHERE rate <= 0.6",
 }
