@@ -128,6 +128,20 @@ def splits_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split", "period").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+def _split_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+def splits_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half, a quarter and a quarter of the orders, and exactly a fifth of the half held out."""
+    return _split_counts(S.split_exactly(table(spark, sf_dir, "orders"), "o_orderkey"))
+
+
+def splits_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same shares of customers, each with all its orders."""
+    return _split_counts(S.split_exactly(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey"))
+
+
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers whose orders a split by order would put on several sides."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", S.split_of(F.col("o_orderkey")).alias("split"))
@@ -148,7 +162,7 @@ def dedupe_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (norm_amount, norm_percent, norm_basis_points, norm_date, norm_section, v1_status, version_in_force, temporal_filter_rank, amendment_events, stratum_route, answer_combine, fallback_risk, retrieval_signal, entropy_signal, resume_pending, splits_document, leakage_report, leak_ban, dedupe_atoms)
+    for f in (norm_amount, norm_percent, norm_basis_points, norm_date, norm_section, v1_status, version_in_force, temporal_filter_rank, amendment_events, stratum_route, answer_combine, fallback_risk, retrieval_signal, entropy_signal, resume_pending, splits_document, splits_random, splits_family, leakage_report, leak_ban, dedupe_atoms)
 }
 
 _ROUTED = f"""{ATOMS},
@@ -163,6 +177,12 @@ def draw_sql(key: str, replicate: str) -> str:
     return f"((('0x' || substr(md5(concat_ws(':', {key}, {replicate})), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)"
 
 
+def _exact_sql(units: str, first: str, second: str, column: str) -> str:
+    return f"""WITH u AS ({units}), s AS (SELECT o_orderkey, CASE WHEN place < {first} THEN 'agg_train' WHEN place < {first} + {second} THEN 'calibration' ELSE 'test' END AS split FROM orders JOIN u ON {column} = unit),
+t AS (SELECT *, CASE WHEN split = 'agg_train' THEN row_number() OVER (PARTITION BY split ORDER BY {draw_sql('o_orderkey', '1')}, o_orderkey) - 1 END AS place, count(*) OVER (PARTITION BY split) AS n FROM s)
+SELECT CASE WHEN split = 'agg_train' AND place < greatest(round_even(n * 0.2, 0), 1) THEN 'agg_val' ELSE split END AS split, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM t GROUP BY 1"""
+
+
 def split_sql(group: str) -> str:
     return f"CASE WHEN {draw_sql(group, '0')} >= 0.5 THEN 'test' WHEN {draw_sql(group, '1')} < 0.2 THEN 'agg_val' ELSE 'calibration' END"
 
@@ -193,6 +213,8 @@ SELECT atom, CASE WHEN a + b + c + d + e > 0 THEN round(((a + b + c)::DOUBLE * r
 SELECT l_orderkey, round(avg(least(-p, 5.0)) FILTER (i > 1), 6) AS s_ent, round(least(greatest(sum(exp(a) * (a - b)) / 5, 0), 1), 6) AS s_div FROM t GROUP BY l_orderkey""",
     "resume_pending": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic <> 1)",
     "splits_document": f"SELECT {split_sql('o_custkey')} AS split, CASE WHEN CAST(o_orderdate AS DATE) < DATE '1998-01-01' THEN 'pre' ELSE 'post' END AS period, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY ALL",
+    "splits_random": _exact_sql("SELECT o_orderkey AS unit, row_number() OVER (ORDER BY " + draw_sql("o_orderkey", "0") + ", o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders", "round_even(n * 0.5, 0)", "round_even(n * 0.25, 0)", "o_orderkey"),
+    "splits_family": _exact_sql("SELECT unit, row_number() OVER (ORDER BY " + draw_sql("unit", "0") + ", unit) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey AS unit FROM orders)", "least(greatest(round_even(n * 0.5, 0), 1), n - 2)", "greatest(round_even(n * 0.25, 0), 1)", "o_custkey"),
     "leakage_report": f"SELECT o_custkey, string_agg(split, ',' ORDER BY split) AS splits FROM (SELECT DISTINCT o_custkey, {split_sql('o_orderkey')} AS split FROM orders) WHERE split <> 'agg_val' GROUP BY o_custkey HAVING count(*) > 1",
     "leak_ban": f"SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE {split_sql('o_custkey')} = 'test') GROUP BY l_orderkey",
     "dedupe_atoms": "SELECT conv_id, role, md5(text) AS text_md5, min(turn) AS turn FROM conversations WHERE text <> '' GROUP BY conv_id, role, md5(text)",
