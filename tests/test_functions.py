@@ -85,3 +85,11 @@ def test_fallback_risk_renormalises(spark):
     rows = spark.createDataFrame([(0.5, None, None, 1.0, None, None), (None,) * 6], "s_ver double, s_nli double, s_ent double, s_ret double, s_div double, s_mech double")
     made = [r[0] for r in rows.select(D.fallback_risk()).collect()]
     assert made[0] == pytest.approx(0.30 * 0.5 / 0.40) and made[1] is None
+
+
+def test_ambiguity_of_versions(spark):
+    from verdara.operators import temporal
+
+    rows = spark.createDataFrame([("2020-01-01", None), (None, "2020-01-01"), ("2020-01-01", "2020-03-01"), ("2020-01-01", "2022-01-01"), ("2020-01-01", "2020-01-01"), (None, None)], "a string, b string")
+    made = [r[0] for r in rows.select(temporal.ambiguity(F.col("a").cast("date"), F.col("b").cast("date"))).collect()]
+    assert made == [0, 0.5, 1, pytest.approx(365 / 731), 1, 0]

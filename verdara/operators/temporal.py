@@ -36,6 +36,12 @@ def recency(as_of: Column, issued: Column, half_life_days: float = 365.0) -> Col
     return F.when(as_of.isNull(), F.lit(0.0)).when(issued.isNull(), F.lit(0.5)).otherwise(1 - F.exp(-age / half_life_days))
 
 
+def ambiguity(start: Column, end: Column, year: float = 365.0) -> Column:
+    """0 while a version has no end, 0.5 with an end but no start, else a year over the days in force, 1 at most."""
+    days = F.greatest(F.datediff(end, start), F.lit(1))
+    return F.when(end.isNull(), F.lit(0.0)).when(start.isNull(), F.lit(0.5)).otherwise(F.least(F.lit(1.0), year / days))
+
+
 def entropy(recent: Column, ambiguous: Column) -> Column:
     return F.round(0.6 * F.round(recent, 4) + 0.4 * F.round(ambiguous, 4), 4)
 

@@ -71,7 +71,7 @@ def temporal_filter_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions current on 1 July 1998, by rising temporal entropy within a section."""
     as_of = F.lit("1998-07-01").cast("date")
     rows = versions(spark, sf_dir).where(TM.current(as_of, F.col("effective_from"), F.col("effective_to")))
-    score = TM.entropy(TM.recency(as_of, F.col("effective_from")), F.when(F.col("effective_to").isNull(), 0.0).otherwise(0.5))
+    score = TM.entropy(TM.recency(as_of, F.col("effective_from")), TM.ambiguity(F.col("effective_from"), F.col("effective_to")))
     rank = F.row_number().over(Window.partitionBy("section").orderBy("entropy", "version")).cast("long")
     return rows.withColumn("entropy", score).withColumn("rank", rank).select("section", "version", "entropy", "rank")
 
@@ -199,7 +199,7 @@ ORACLES = {
     "version_in_force": f"""WITH {VERSIONS}, asked AS (SELECT o_custkey AS section, CAST(l_shipdate AS DATE) AS as_of, min(l_orderkey * 10 + l_linenumber) AS question FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT question, section, as_of, version, effective_from FROM asked JOIN versions USING (section) WHERE as_of >= effective_from AND as_of <= coalesce(effective_to, DATE '9999-12-31')
 QUALIFY row_number() OVER (PARTITION BY question, section, as_of ORDER BY effective_from DESC, version DESC) = 1""",
-    "temporal_filter_rank": f"""WITH {VERSIONS}, s AS (SELECT section, version, round(0.6 * round(1 - exp(-greatest(date_diff('day', effective_from, DATE '1998-07-01'), 0) / 365.0::DOUBLE), 4) + 0.4 * CASE WHEN effective_to IS NULL THEN 0.0 ELSE 0.5 END, 4)::DOUBLE AS entropy
+    "temporal_filter_rank": f"""WITH {VERSIONS}, s AS (SELECT section, version, round(0.6 * round(1 - exp(-greatest(date_diff('day', effective_from, DATE '1998-07-01'), 0) / 365.0::DOUBLE), 4) + 0.4 * CASE WHEN effective_to IS NULL THEN 0.0 ELSE round(least(1.0, 365.0::DOUBLE / greatest(date_diff('day', effective_from, effective_to), 1)), 4) END, 4)::DOUBLE AS entropy
   FROM versions WHERE effective_from <= DATE '1998-07-01' AND (effective_to IS NULL OR effective_to >= DATE '1998-07-01'))
 SELECT section, version, entropy, row_number() OVER (PARTITION BY section ORDER BY entropy, version) AS rank FROM s""",
     "amendment_events": f"WITH {VERSIONS} SELECT effective_from, count(*) AS n_sections FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY effective_from, version) AS n FROM versions) WHERE n > 1 GROUP BY effective_from",
