@@ -97,11 +97,14 @@ def index_of(docs: DataFrame, doc: str, text: str = "text") -> str:
     spark = docs.sparkSession
     file = [F.col(f"_metadata.{c}") for c in ("file_path", "file_size", "file_modification_time")]
     seen = docs.groupBy(*file).count().agg(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time", "count")).alias("files")).first()["files"]
-    root = scratch(spark, "index")
-    folder = f"{root.rsplit('/', 1)[0]}/{(seen or 0) & (1 << 64) - 1:016x}-{doc}-{text}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/terms/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        write_index(docs, doc, folder, text)
+    own = scratch(spark, "index")
+    folder = f"{own.rsplit('/', 1)[0]}/{(seen or 0) & (1 << 64) - 1:016x}-{doc}-{text}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path(folder)):  # written aside and then named, so a broken or parallel write is never taken for the index
+        write_index(docs, doc, own, text)
+        if files.exists(path(folder)) or not files.rename(path(own), path(folder)):
+            return own
     return folder
 
 
