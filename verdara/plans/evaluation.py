@@ -91,7 +91,7 @@ def mcnemar_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistic's p-value, which needs a Python function."""
     from verdara.functions.stats import erfc
 
-    return mcnemar(spark, sf_dir).withColumn("p", erfc(F.sqrt(F.col("statistic") / 2)))
+    return mcnemar(spark, sf_dir).withColumn("p", F.round(erfc(F.sqrt(F.col("statistic") / 2)), 6))
 
 
 def simulate_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +225,9 @@ c AS (SELECT kind, count(p) AS p, count(v) AS g, count(*) FILTER (p = v) AS hit
 SELECT kind, round(hit / g, 6) AS recall, round(coalesce(hit / nullif(p, 0), 0), 6) AS precision, round(2 * hit / (p + g), 6) AS f1 FROM c""",
 }
 #: Cell after cell, each split draws how many rows of the cell fall into its half.
+#: The complementary error function as Simpson's sum of its integrand over ten units.
+ORACLES["mcnemar_p"] = f"""WITH m AS ({ORACLES['mcnemar']}), z AS (SELECT *, sqrt(statistic / 2) AS z FROM m)
+SELECT only_a, only_b, statistic, round(2 / sqrt(pi()) * 0.005 / 3 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z + i * 0.005::DOUBLE, 2)))), 6) AS p FROM z"""
 ORACLES["simulate_violation"] = f"""WITH RECURSIVE {ATOMS},
 cells AS (SELECT *, row_number() OVER (ORDER BY step, wrong) AS i FROM (SELECT CAST(ceil(risk * 100 - 1e-9) AS INTEGER) AS step, wrong, count(*) AS c FROM atoms GROUP BY ALL)),
 lf AS (SELECT list_transform(range(0, (SELECT count(*) + 2 FROM atoms)), lambda x: CASE WHEN x < 2 THEN 0.0::DOUBLE ELSE lgamma(x + 1) END) AS f),
