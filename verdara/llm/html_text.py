@@ -3,18 +3,19 @@
 Every page becomes a small DOM, without parts that are never shown. For every node the composite
 density is computed: characters per tag, damped where many of the characters stand in links,
 relative to the links of the whole body. Element and class names that usually mark menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments only weigh a node's density down; a
+footers, sidebars, notices, adverts, forms or reader comments weigh a node's density down; a
 marked node around everything leaves all choices inside it as they are. Densities of child blocks
 are summed, and the node of the largest sum is the article. The least density on the path from the
 body to it is the threshold: a subtree beside that path with at least this density is article text
-too. Marked parts that don't hold the article are left out of the text. The article's blocks are
+too. Marked parts that don't hold the article are left out of the text whatever their density;
+on the given pages these names decide more than the densities do. The article's blocks are
 joined in page order, each with its white space folded.
 
 Defined cases: null or empty html and pages without text give the empty text; broken or unclosed
 markup is repaired as browsers do for paragraphs, list items and table cells, an unclosed comment
 reaches to the end, unknown declarations are comments; of equal sums the first node in page order
 is the article; depth is not limited; pages of any length are parsed whole, in time that grows with
-their length; repeated rows are treated alike; other columns, whatever their names, are not read.
+their length, or with its square where quotes inside tags are opened again and again and never closed; repeated rows are treated alike; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
