@@ -1,4 +1,4 @@
-"""Risk models: feature rows, grouped folds, logistic regression or boosted trees, isotonic calibration, ablation."""
+"""Risk models: feature rows, grouped folds, logistic regression or boosted trees, isotonic calibration."""
 
 from __future__ import annotations
 
