@@ -93,3 +93,86 @@ def test_ambiguity_of_versions(spark):
     rows = spark.createDataFrame([("2020-01-01", None), (None, "2020-01-01"), ("2020-01-01", "2020-03-01"), ("2020-01-01", "2022-01-01"), ("2020-01-01", "2020-01-01"), (None, None)], "a string, b string")
     made = [r[0] for r in rows.select(temporal.ambiguity(F.col("a").cast("date"), F.col("b").cast("date"))).collect()]
     assert made == [0, 0.5, 1, pytest.approx(365 / 731), 1, 0]
+
+
+ATOM_CASES = [
+    ("a rate of 7.25% applies", [("RATE", "7.25%")]),
+    ("interest at 9 per cent per annum", [("RATE", "9 per cent per annum")]),
+    ("12percent p.a. on arrears", [("RATE", "12percent p.a.")]),
+    ("up by 5 percentage points", [("RATE", "5 percent")]),
+    ("a ratio of 3 : 1.5 holds", [("RATE", "3 : 1.5")]),
+    ("version 1.2.3% odd", [("RATE", "2.3%")]),
+    ("fees of ₹ 1,25,000.50 are due", [("THRESHOLD", "₹ 1,25,000.50")]),
+    ("capital of ₹500 crore", [("THRESHOLD", "₹500 crore")]),
+    ("net worth ₹ 2 cr. or more", [("THRESHOLD", "₹ 2 cr.")]),
+    ("₹ 2 crew members", [("THRESHOLD", "₹ 2")]),
+    ("within 45 days or 6 months", [("THRESHOLD", "45 days"), ("THRESHOLD", "6 months")]),
+    ("after 1.5 years", [("THRESHOLD", "5 years")]),
+    ("12 daytime hours", []),
+    ("see Section 11(2)(b) now", [("SECTION", "Section 11")]),
+    ("Regulation 52/A-1", [("SECTION", "Regulation 52/A")]),
+    ("Master  Direction 7 and circular 2023/14", [("SECTION", "Master  Direction 7"), ("SECTION", "circular 2023/14")]),
+    ("subsection 4, section 4A", []),
+    ("on 1-4-24 and 15/08/2023", [("DATE", "1-4-24"), ("DATE", "15/08/2023")]),
+    ("by 31 March 2025 or 3 Sep 2024", [("DATE", "31 March 2025"), ("DATE", "3 Sep 2024")]),
+    ("in FY 2023–24", [("DATE", "FY 2023–24")]),
+    ("31 Marching 2025 and 115/08/2023", []),
+    ("é12/03/2024 and 𝄞 9% hold", [("RATE", "9%")]),
+]
+
+
+def test_atoms_of_varied_sentences(spark):
+    from verdara.operators import answers
+
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(ATOM_CASES)], "a long, t string")
+    made = answers.find_atoms(rows, "a", "t").orderBy("answer", "start").collect()
+    for i, (text, expected) in enumerate(ATOM_CASES):
+        found = [(r["kind"], r["text"]) for r in made if r["answer"] == i]
+        assert found == expected, text
+        assert all(text[r["start"] : r["stop"]] == r["text"] for r in made if r["answer"] == i)
+
+
+HEADING_CASES = {
+    "Chapter IV": "chapter", "PART 2 - Scope": "chapter", "part ii.": "chapter", "  chapter\t12: Duties": "chapter", "Part of it": None, "Chapter": None, "chapter 3A": None, "chapter mix": "chapter", "chapter mixed": None,
+    "Partial 3": None, "chapter mdc": "chapter", "Section 5": "section", "REGULATION 52(4) Disclosure": "section", "paragraph 3.": "section", "section five": None, "Section": None, "3 Scope": "section",
+    "3.2.1 scope of it": "section", "3.2": None, "3. (a)": None, "3) scope": None, "see section 4": None, "": None, "1.. of": "section", "-3 scope": None,
+}
+
+
+def test_headings_of_varied_lines(spark):
+    rows = spark.createDataFrame([(t, k) for t, k in HEADING_CASES.items()], "line string, kind string")
+    made = rows.select("line", "kind", F.when(T.is_chapter(F.col("line")), "chapter").when(T.is_section(F.col("line")), "section").alias("found")).collect()
+    assert [(r["line"], r["found"]) for r in made] == [(r["line"], r["kind"]) for r in made]
+
+
+METADATA_CASES = [
+    ("Circular dated 12/03/2024.", ("2024-03-12", None, [], [])),
+    ("Dated : 5 March 2023, effective from 1-4-2023", ("2023-03-05", "2023-04-01", [], [])),
+    ("Date of issue 31 Dec 2022; w.e.f. 01/01/23", ("2022-12-31", "2023-01-01", [], [])),
+    ("issued on Monday, dated 7/8/2021", ("2021-08-07", None, [], [])),
+    ("with effect from: 30 June 2020 (revised)", (None, "2020-06-30", [], [])),
+    ("W.E.F 2 Feb 2019", (None, "2019-02-02", [], [])),
+    ("dated 2024-03-12", (None, None, [], [])),
+    ("undated", (None, None, [], [])),
+    ("dated", (None, None, [], [])),
+    ("dated 99/99/2024 then dated 1/2/2024", ("2024-02-01", None, [], [])),
+    ("supersedes circular RBI/12.", (None, None, ["RBI/12"], [])),
+    ("in supersession of the Master Directions DNBR-5/2016, and", (None, None, ["DNBR-5/2016"], [])),
+    ("In  supersession\nof guidelines A.1 it supersedes the direction B-2", (None, None, ["A.1", "B-2"], [])),
+    ("supersedes all earlier circulars", (None, None, [], [])),
+    ("supersedes circular", (None, None, [], [])),
+    ("amends the circular SEBI/HO/1", (None, None, [], ["SEBI/HO/1"])),
+    ("amends master guideline G7; amends circulars C8.", (None, None, [], ["G7", "C8"])),
+    ("amends it", (None, None, [], [])),
+    ("", (None, None, [], [])),
+    (None, (None, None, None, None)),
+    ("The circular dated 3-Jan-2020", (None, None, [], [])),
+]
+
+
+def test_metadata_of_varied_texts(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(METADATA_CASES)], "i int, t string")
+    made = {r["i"]: r["m"] for r in rows.select("i", T.document_metadata(F.col("t")).alias("m")).collect()}
+    for i, (text, expected) in enumerate(METADATA_CASES):
+        m = made[i]
+        assert (m["issue_date"] and str(m["issue_date"]), m["effective_date"] and str(m["effective_date"]), m["supersedes"], m["amends"]) == expected, text

@@ -17,8 +17,6 @@ from verdara.functions.normalize import SECTION as SECTION_REFERENCE
 TOKEN = r"[a-z0-9\-\.\/\%\(\)]+"
 WORD_TOKEN = r"\b[A-Za-z0-9\-\.\/\%]+\b"
 PAGE_NUMBER = r"(?i)^(page\s+\d+(\s+of\s+\d+)?|\d+)$"
-CHAPTER = r"(?i)^\s*(?:part|chapter)\s+(?:[0-9]+|[ivxlcdm]+)\b.*$"
-SECTION = r"(?i)^\s*(?:(?:paragraph|regulation|section)\s+[0-9]+.*|[0-9]+[0-9.]*\s+[a-z].*)$"
 DAY = r"(?:[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}|[0-9]{1,2}\s+[A-Za-z]{3,9}\s+[0-9]{4})"
 CITATION = r"\[([A-Za-z0-9_\.\-]+)\]"
 
@@ -56,8 +54,32 @@ def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.str.normalize("NFKC")
 
 
+# Fixed words that open a heading.
+CHAPTER_WORDS = ("part", "chapter")
+SECTION_WORDS = ("section", "regulation", "paragraph")
+
+
+def _first_words(line: Column) -> tuple[Column, Column]:
+    words = F.split(F.regexp_replace(F.lower(line), r"^\s+", ""), r"\s+", 3)
+    return words[0], F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+
+
+def is_chapter(line: Column) -> Column:
+    """A chapter's word, then an arabic or roman number."""
+    first, second = _first_words(line)
+    number = F.regexp_extract(second, r"^\w*", 0)
+    return first.isin(*CHAPTER_WORDS) & (number != "") & ((F.translate(number, "0123456789", "") == "") | (F.translate(number, "ivxlcdm", "") == ""))
+
+
+def is_section(line: Column) -> Column:
+    """A section's word before a number, or a dotted number before a word."""
+    first, second = _first_words(line)
+    numbered = first.substr(1, 1).between("0", "9") & (F.translate(first, "0123456789.", "") == "")
+    return (first.isin(*SECTION_WORDS) & second.substr(1, 1).between("0", "9")) | (numbered & second.substr(1, 1).between("a", "z"))
+
+
 def is_heading(line: Column) -> Column:
-    return line.rlike(CHAPTER) | line.rlike(SECTION)
+    return is_chapter(line) | is_section(line)
 
 
 def sentences(text: Column) -> Column:
@@ -82,23 +104,45 @@ def first_words(text: Column, n: int) -> Column:
 
 
 # Fixed words before the dates and documents that a text names.
-ISSUED, EFFECTIVE = ("dated", "date of issue", "issued on"), ("effective from", "with effect from", "w.e.f.")
-SUPERSEDING, AMENDING = ("in supersession of", "supersedes"), ("amends",)
-KINDS_OF_DOCUMENT = ("circular", "direction", "guideline")
+ISSUED = ("dated", "date of issue", "issued on")
+EFFECTIVE = ("effective from", "with effect from", "w.e.f.", "w.e.f")
+SUPERSEDING = ("in supersession of", "supersedes")
+AMENDING = ("amends",)
+KINDS_OF_DOCUMENT = ("circular", "circulars", "direction", "directions", "guideline", "guidelines")
 
 
-def _one_of(words: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(re.escape(w) for w in words) + ")"
+def _after(text: Column, cues: tuple[str, ...]) -> Column:
+    """What follows each occurrence of a cue, up to the next one, with single blanks."""
+    pieces = F.split(F.regexp_replace(text, r"\s+", " "), "(?i)" + "|".join(map(re.escape, cues)))
+    return F.slice(pieces, 2, 1 << 30)
 
 
-def document_metadata(text: Column) -> Column:
-    """Issue date, effective date, and the documents that a text supersedes or amends."""
-    day = lambda words: date(F.nullif(F.regexp_extract(text, rf"(?i){_one_of(words)}[\s:]*({DAY})", 1), F.lit("")))
+def _leading_date(part: Column) -> Column:
+    """The date that a text begins with, as one word (12/03/2024) or three (12 March 2024); NULL if there is none."""
+    words = F.split(F.regexp_replace(part, r"^[\s:]+", ""), " ", 4)
+    word = lambda i: F.regexp_replace(F.coalesce(F.get(words, F.lit(i)), F.lit("")), r"[^A-Za-z0-9]+$", "")
+    whole = F.size(F.split(word(0), "[-/]")) == 3
+    text = F.when(whole, word(0)).otherwise(F.concat_ws(" ", word(0), F.get(words, F.lit(1)), word(2)))
+    return F.when(text.rlike("^[0-9]{1,2}[^0-9,]"), date(text))
+
 
-    def named(words: tuple[str, ...]) -> Column:
-        form = rf"(?i){_one_of(words)}\s+(?:the\s+)?(?:master\s+)?{_one_of(KINDS_OF_DOCUMENT)}s?\s+([A-Za-z0-9./-]+)"
-        return F.transform(F.regexp_extract_all(text, F.lit(form), F.lit(1)), lambda x: F.regexp_replace(x, r"[.]+$", ""))
+def _leading_document(part: Column) -> Column:
+    """The identifier after an optional article, an optional "master" and the kind of a document; NULL if there is none."""
+    words = F.filter(F.split(part, " "), lambda w: w != "")
+    opens = lambda rest, word: F.lower(F.coalesce(F.get(rest, F.lit(0)), F.lit(""))) == word
+    for word in ("the", "master"):
+        words = F.when(opens(words, word), F.slice(words, 2, 1 << 30)).otherwise(words)
+    name = F.regexp_extract(F.coalesce(F.get(words, F.lit(1)), F.lit("")), r"^[A-Za-z0-9./-]+", 0)
+    return F.when(F.lower(F.coalesce(F.get(words, F.lit(0)), F.lit(""))).isin(*KINDS_OF_DOCUMENT), F.nullif(F.rtrim(name, F.lit(".")), F.lit("")))
+
+
+def document_metadata(text: Column) -> Column:
+    """Issue date, effective date, and the documents that a text supersedes or amends.
 
+    Each is read from the words right after a cue; of several dates the first counts. NULL or empty lists where none is named.
+    """
+    day = lambda cues: F.get(F.filter(F.transform(_after(text, cues), _leading_date), lambda d: d.isNotNull()), F.lit(0))
+    named = lambda cues: F.filter(F.transform(_after(text, cues), _leading_document), lambda d: d.isNotNull())
     return F.struct(day(ISSUED).alias("issue_date"), day(EFFECTIVE).alias("effective_date"), named(SUPERSEDING).alias("supersedes"), named(AMENDING).alias("amends"))
 
 

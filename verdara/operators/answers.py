@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import calendar
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,28 +19,70 @@ COMPARISONS = {
     "between": ("between",),
     "approximately": ("approximately", "around", "about"),
 }
-# Fixed words of each kind of atom.
-RATE_WORDS = ("%", "percent", "per cent")
-YEARLY_WORDS = ("p.a.", "per annum")
-MONEY_WORDS = ("lakh", "crore", "cr", "cr.", "thousand")
-PERIOD_WORDS = ("day", "week", "month", "year")
-SECTION_WORDS = ("section", "regulation", "rule", "clause", "article", "schedule", "para", "paragraph", "circular", "master direction")
-
-
-def _any(words: tuple[str, ...]) -> str:
-    """One of some words, longest first; a blank in a word stands for any white space."""
-    return "(?:" + "|".join(r"\s*".join(map(re.escape, w.split())) for w in sorted(words, key=len, reverse=True)) + ")"
-
-
-def atom_forms() -> dict[str, str]:
-    """A pattern for each kind; of overlapping finds the earlier kind stays."""
-    number, months = r"[0-9]+(?:\.[0-9]+)?", tuple(calendar.month_name[1:]) + tuple(calendar.month_abbr[1:])
-    share, ratio = rf"{number}\s*{_any(RATE_WORDS)}(?:\s*{_any(YEARLY_WORDS)})?", rf"{number}\s*:\s*{number}"
-    money, period = rf"₹\s*[0-9,]*[0-9](?:\.[0-9]+)?(?:\s*{_any(MONEY_WORDS)}(?!\w))?", rf"\b[0-9]+\s*{_any(PERIOD_WORDS)}s?\b"
-    section = rf"\b{_any(SECTION_WORDS)}\s*[0-9]+(?:/\w+|\(\w+\))*\b"
-    named, slashed, financial = rf"[0-9]{{1,2}}\s+{_any(months)}\s+[0-9]{{4}}\b", r"[0-9]{1,2}([/-])[0-9]{1,2}[/-](?:[0-9]{4}|[0-9]{2})\b", r"FY\s*[0-9]{4}[–-][0-9]{2,4}\b"
-    day = rf"\b(?:{named}|{slashed.replace('([/-])', '[/-]')}|{financial})"
-    return {kind: f"(?i){form}" for kind, form in (("RATE", f"{share}|{ratio}"), ("THRESHOLD", f"{money}|{period}"), ("SECTION", section), ("DATE", day))}
+# Words that atoms are made of, each with the letter it has in a text's shape.
+SHAPE_WORDS = {
+    "percent": "R",
+    "per": "E",
+    "cent": "C",
+    "annum": "N",
+    "p": "P",
+    "a": "A",
+    "lakh": "U",
+    "crore": "U",
+    "thousand": "U",
+    "cr": "V",
+    "day": "T",
+    "days": "T",
+    "week": "T",
+    "weeks": "T",
+    "month": "T",
+    "months": "T",
+    "year": "T",
+    "years": "T",
+    "section": "S",
+    "regulation": "S",
+    "rule": "S",
+    "clause": "S",
+    "article": "S",
+    "schedule": "S",
+    "para": "S",
+    "paragraph": "S",
+    "circular": "S",
+    "master": "G",
+    "direction": "D",
+    "fy": "F",
+} | {name.lower(): "M" for name in [*calendar.month_name, *calendar.month_abbr] if name}
+SHAPE_MARKS = "%.:,₹/()-–"
+
+
+def atom_shapes() -> dict[str, str]:
+    """What each kind looks like in a shape (see ``shape``); of overlapping finds the earlier kind stays."""
+    decimal = r"\d(?:\.\d)?"
+    return {
+        "RATE": rf"{decimal} ?(?:(?:%|R|E ?C)(?: ?(?:P\.A\.|E ?N))?|: ?{decimal})",
+        "THRESHOLD": rf"₹ ?(?:\d?,)*{decimal}(?: ?(?:U|V\.?)(?!\w))?|\b\d ?T\b",
+        "SECTION": r"\b(?:S|G ?D) ?\d(?:/\w+|\(\w+\))*\b",
+        "DATE": r"\b(?:[12] M 4|[12][/-][12][/-][24]|F ?4[–-][234])\b",
+    }
+
+
+def lexed(text: Column) -> Column:
+    """A text as runs of digits, of letters, of white space, and single marks; joined they give the text.
+    "percentage" and "centum" are cut after the word that they begin with."""
+    return F.regexp_extract_all(text, F.lit(r"(?is)[0-9]+|percent|cent|[\p{L}_]+|\s+|."), F.lit(0))
+
+
+def shape(tokens: Column) -> Column:
+    """One character a token: how many digits (5: five or more), a known word's letter, ``x`` for other words, one blank
+    for white space, a known mark itself, ``~`` for others. So a word boundary of the text is one of the shape."""
+    words = F.create_map(*(F.lit(x) for pair in SHAPE_WORDS.items() for x in pair))
+
+    def letter(t: Column) -> Column:
+        number = F.least(F.length(t), F.lit(5)).cast("string")
+        mark = F.when(F.instr(F.lit(SHAPE_MARKS), t) > 0, t).otherwise("~")
+        return F.when(t.rlike("^[0-9]"), number).when(t.rlike(r"^[\p{L}_]"), F.coalesce(words[F.lower(t)], F.lit("x"))).when(t.rlike(r"^\s"), " ").otherwise(mark)
+
+    return F.array_join(F.transform(tokens, letter), "")
 
 
 KAPPA_BANDS = ((0.0, "poor (below chance)"), (0.20, "slight"), (0.40, "fair"), (0.60, "moderate"), (0.80, "substantial"))
@@ -54,27 +95,33 @@ def comparison(words: Column) -> Column:
     return out
 
 
-#: Marks around finds, and what covers a find for later kinds; blanks in the text stand for them.
-OPEN, CLOSE, COVER = "\u0001", "\u0002", "\u0003"
+#: Marks around finds in a shape, and what covers a find for later kinds.
+OPEN, CLOSE, COVER = "<", ">", "#"
 
 
 def find_atoms(answers: DataFrame, answer: str, text: str) -> DataFrame:
     """``answer, kind, text, start, stop`` of every typed atom of a text; offsets in code points.
 
-    Each kind's finds are marked in the text, which then falls into plain and found pieces whose
-    lengths give the offsets. What a kind has found is covered before the next kind looks.
+    A text becomes tokens and their shape, one character a token. Each kind's finds are marked in the shape,
+    which then falls into plain and found pieces; a piece's length counts tokens, whose lengths give the offsets.
+    What a kind has found is covered before the next kind looks. Null and empty texts have no atoms.
     """
-    left = F.translate(F.col(text).cast("string"), OPEN + CLOSE + COVER, "   ")
-    rows = answers.select(F.col(answer).cast("long").alias("answer"), left.alias("_left"))
-    for kind, form in atom_forms().items():
+    rows = answers.select(F.col(answer).cast("long").alias("answer"), lexed(F.col(text).cast("string")).alias("_tokens"))
+    rows = rows.withColumn("_left", shape(F.col("_tokens")))
+    for kind, form in atom_shapes().items():
         pieces = F.split(F.regexp_replace("_left", form, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]")
         rows = rows.withColumn(f"_{kind}", pieces).withColumn("_left", F.array_join(F.transform(f"_{kind}", lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(COVER), F.length(p))).otherwise(p)), ""))
-    spans = []
-    for kind in atom_forms():
-        ends = F.aggregate(F.col(f"_{kind}"), F.array(F.lit(0)), lambda done, p: F.concat(done, F.array(F.element_at(done, -1) + F.length(p))))
-        spans.append(F.filter(F.transform(F.arrays_zip(F.col(f"_{kind}").alias("p"), ends.alias("s")), lambda x, i: F.struct(F.lit(kind).alias("kind"), x["p"].alias("text"), x["s"].alias("start"), (x["s"] + F.length(x["p"])).alias("stop"), (i % 2).alias("hit"))), lambda x: (x["hit"] == 1) & x["text"].isNotNull()))
-    found = rows.select("answer", F.explode(F.concat(*spans)).alias("a"))
-    return found.select("answer", "a.kind", F.trim("a.text").alias("text"), "a.start", "a.stop")
+
+    def finds(kind: str) -> Column:
+        """Every second piece is a find; the tokens before it are those of the pieces before it."""
+        before = lambda i: F.length(F.array_join(F.slice(F.col(f"_{kind}"), F.lit(1), i), ""))
+        placed = F.transform(f"_{kind}", lambda p, i: F.struct(F.lit(kind).alias("kind"), before(i).alias("first"), F.length(p).alias("n"), (i % 2 == 1).alias("hit")))
+        return F.filter(placed, lambda x: x["hit"])
+
+    joined = lambda first, n: F.array_join(F.slice(F.col("_tokens"), first, n), "")
+    found = rows.select("answer", "_tokens", F.explode(F.concat(*map(finds, atom_shapes()))).alias("a"))
+    found = found.select("answer", "a.kind", joined(F.col("a.first") + 1, F.col("a.n")).alias("text"), F.length(joined(F.lit(1), F.col("a.first"))).alias("start"))
+    return found.withColumn("stop", F.col("start") + F.length("text"))
 
 
 def find_span(text: Column, part: Column) -> Column:

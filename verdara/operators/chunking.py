@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdara.functions.text import CHAPTER, SECTION, is_heading, lines
+from verdara.functions.text import is_chapter, is_heading, is_section, lines
 
 
 def numbered_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -18,8 +18,8 @@ def numbered_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 def carry_headings(rows: DataFrame) -> DataFrame:
     """Adds the chapter and section in force at every line of ``doc, line_no, line``; both pass over page ends."""
     w = Window.partitionBy("doc").orderBy("line_no")
-    keep = lambda pattern: F.last(F.when(F.col("line").rlike(pattern), F.trim("line")), ignorenulls=True).over(w)
-    return rows.withColumn("chapter", keep(CHAPTER)).withColumn("section", keep(SECTION))
+    keep = lambda opens: F.last(F.when(opens(F.col("line")), F.trim("line")), ignorenulls=True).over(w)
+    return rows.withColumn("chapter", keep(is_chapter)).withColumn("section", keep(is_section))
 
 
 def heading_chunks(rows: DataFrame) -> DataFrame:
