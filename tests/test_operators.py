@@ -52,10 +52,40 @@ def test_coverage_is_monotone(spark):
     assert curve == sorted(curve) and curve[-1] == 1
 
 
-def test_word_chunks_overlap(spark):
-    docs = spark.createDataFrame([(1, "\n".join(f"line {i} has five words" for i in range(10))), (2, None), (3, "")], "doc_id long, text string")
-    made = chunking.word_chunks(docs, words=20, overlap=1).collect()
-    assert {r["doc"] for r in made} == {1} and len(made) > 2 and made[1]["text"].startswith(made[0]["text"].split("\n")[-1])
+def chunked_by_loop(pages, words, overlap):
+    """The chunker line by line: pages of one document as texts."""
+    out, chapter, section, number = [], "General", "Main Provisions", 0
+    for page, text in pages:
+        held = []
+        for line in filter(None, map(str.strip, (text or "").split("\n"))):
+            head = [*line.lower().split(), "", ""]
+            chapter = line[:80] if head[0] in ("chapter", "part") and head[1][:1] in set("0123456789ivxlcdm") else chapter
+            opens = head[0] in ("section", "paragraph") and head[1][:1].isdigit() or head[0][:1].isdigit() and not head[0].strip("0123456789.") and head[1][:1].isalpha()
+            section = line[:100] if opens else section
+            held.append(line)
+            if sum(len(x.split()) for x in held) >= words:
+                number += 1
+                out.append((page, number, chapter, section, len(held), "\n".join(held)))
+                held = held[len(held) - overlap :] if len(held) > overlap else []
+        if held:
+            number += 1
+            out.append((page, number, chapter, section, len(held), "\n".join(held)))
+    return out
+
+
+def test_word_chunks_equal_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    heads = ["Chapter IV - Duties", "part of it", "Part 2", "3.1 Scope", "Section 5", "Regulation 9", "paragraph 7 " + "x" * 120, "", "  ", "3.1"]
+    docs = {d: [(p, "\n".join(rng.choice(heads) if rng.random() < 0.3 else " " + "w " * rng.randint(1, 9) for _ in range(rng.randint(0, 40)))) for p in range(rng.randint(1, 5))] for d in range(30)}
+    docs[30], docs[31], docs[32] = [(0, None), (1, ""), (2, "one")], [(0, "word " * 5000)], [(0, "\n".join(["w w w w w w w"] * 3000))]
+    rows = spark.createDataFrame([(d, p, t, 1) for d, pages in docs.items() for p, t in pages for _ in range(1 + (d == 5))], "doc_id long, page_no int, text string, page int")
+    for words, overlap in ((20, 3), (20, 1), (7, 0)):
+        made = chunking.word_chunks(rows, words, overlap).collect()
+        found = sorted((r["doc"], r["page"], r["chunk_no"], r["chapter"], r["section"], r["n_lines"], r["text"]) for r in made)
+        assert found == [(d, *x) for d, pages in docs.items() for x in chunked_by_loop(pages, words, overlap)]
+    assert chunking.word_chunks(rows.limit(0)).count() == 0
 
 
 def test_dense_top_k(spark):

@@ -64,18 +64,20 @@ def _first_words(line: Column) -> tuple[Column, Column]:
     return words[0], F.coalesce(F.get(words, F.lit(1)), F.lit(""))
 
 
-def is_chapter(line: Column) -> Column:
-    """A chapter's word, then an arabic or roman number."""
+def is_chapter(line: Column, whole: bool = True) -> Column:
+    """A chapter's word, then an arabic or roman number; not ``whole``: then a word that begins like one."""
     first, second = _first_words(line)
+    if not whole:
+        return first.isin(*CHAPTER_WORDS) & (second != "") & (F.instr(F.lit("0123456789ivxlcdm"), second.substr(1, 1)) > 0)
     number = F.regexp_extract(second, r"^\w*", 0)
     return first.isin(*CHAPTER_WORDS) & (number != "") & ((F.translate(number, "0123456789", "") == "") | (F.translate(number, "ivxlcdm", "") == ""))
 
 
-def is_section(line: Column) -> Column:
+def is_section(line: Column, opening: tuple[str, ...] = SECTION_WORDS) -> Column:
     """A section's word before a number, or a dotted number before a word."""
     first, second = _first_words(line)
     numbered = first.substr(1, 1).between("0", "9") & (F.translate(first, "0123456789.", "") == "")
-    return (first.isin(*SECTION_WORDS) & second.substr(1, 1).between("0", "9")) | (numbered & second.substr(1, 1).between("a", "z"))
+    return (first.isin(*opening) & second.substr(1, 1).between("0", "9")) | (numbered & second.substr(1, 1).between("a", "z"))
 
 
 def is_heading(line: Column) -> Column:

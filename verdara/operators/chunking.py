@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdara.functions.text import is_chapter, is_heading, is_section, lines
@@ -40,27 +39,52 @@ def chunk_id(doc: str, section: str):
     return F.regexp_replace(F.concat_ws("_", doc, section), r"\s+", "_")
 
 
-def word_chunks(docs: DataFrame, words: int = 600, overlap: int = 3, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Chunks flushed at ``words`` words; the next starts with the last ``overlap`` lines. Sequential within a document only."""
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, numbers, texts = [], [], []
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                buffer: list[str] = []
-                count = number = fresh = 0
-                for line in (body or "").split("\n"):
-                    buffer.append(line)
-                    fresh += 1
-                    count += len(line.split())
-                    if count >= words:
-                        ids.append(key), numbers.append(number), texts.append("\n".join(buffer))
-                        number += 1
-                        buffer = buffer[-overlap:] if len(buffer) > overlap else []
-                        count, fresh = sum(len(x.split()) for x in buffer), 0
-                if fresh and any(x.strip() for x in buffer):
-                    ids.append(key), numbers.append(number), texts.append("\n".join(buffer))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], ["doc", "chunk_no", "text"])
-
-    return rows.mapInArrow(run, "doc long, chunk_no int, text string")
+def _ranges(kept: Column, words: int, overlap: int) -> Column:
+    """First and last line of each chunk of a page's lines: a fold that closes a chunk at ``words`` words and at the page's end."""
+    count = lambda line: F.size(F.split(line, r"\s+"))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda n, line: n + count(line))
+    span = lambda first, last: F.array(F.struct(first.alias("first"), last.alias("last")))
+    start = F.struct(F.lit(1).alias("first"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
+
+    def step(s: Column, line: Column) -> Column:
+        at, n = s["at"] + 1, s["n"] + count(line)
+        full, repeats = n >= words, at - s["first"] + 1 > overlap
+        first = F.when(~full, s["first"]).when(repeats, at - overlap + 1).otherwise(at + 1)
+        held = F.when(~full, n).when(repeats, total(F.slice(kept, at - overlap + 1, F.lit(overlap)))).otherwise(0)
+        done = F.when(full, F.concat(s["done"], span(s["first"], at))).otherwise(s["done"])
+        return F.struct(first.alias("first"), at.alias("at"), held.alias("n"), done.alias("done"))
+
+    return F.aggregate(kept, start, step, lambda s: F.when(s["first"] <= s["at"], F.concat(s["done"], span(s["first"], s["at"]))).otherwise(s["done"]))
+
+
+def word_chunks(pages: DataFrame, words: int = 600, overlap: int = 3, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
+    """``doc, page, chunk_no, chapter, section, n_lines, text``: pages cut at ``words`` words.
+
+    Lines are trimmed, empty ones dropped. A chunk that is closed inside a page leaves its last ``overlap`` lines to the next one, if it has
+    more; a page's end closes what is left, repeated lines included. Chunks are numbered from 1 through the pages of a document, and the
+    chapter and section in force at a chunk's last line pass over page ends. Pages without a line (null texts too) have no chunk; pages of
+    equal number follow by the hash of their text, equal rows count once; a NULL document is one document.
+
+    A page is cut by itself. Only its last headings and its number of chunks are put in order within a document, so no text is sorted,
+    and a document of very many pages stays spread.
+    """
+    trimmed = F.filter(F.transform(lines(F.col(text)), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    key = ["doc", "page", "_hash"]
+    one = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.md5(F.col(text)).alias("_hash"), trimmed.alias("_lines")).where(F.size("_lines") > 0)
+    one = one.groupBy(*key).agg(F.first("_lines").alias("_lines")).withColumn("_ranges", _ranges(F.col("_lines"), words, overlap))
+
+    def opened(by: Callable[[Column], Column], most: int) -> Column:
+        placed = F.transform("_lines", lambda s, i: F.when(by(s), F.struct((i + 1).alias("at"), F.substring(s, 1, most).alias("line"))))
+        return F.filter(placed, lambda x: x.isNotNull())
+
+    made = one.withColumns({"_chapters": opened(lambda s: is_chapter(s, whole=False), 80), "_sections": opened(lambda s: is_section(s, ("section", "paragraph")), 100)})
+    last = lambda found: F.get(found, F.size(found) - 1)["line"]
+    before = Window.partitionBy("doc").orderBy("page", "_hash").rowsBetween(Window.unboundedPreceding, -1)
+    slim = made.select(*key, F.size("_ranges").alias("n"), last(F.col("_chapters")).alias("c"), last(F.col("_sections")).alias("s"))
+    slim = slim.select(*(F.col(k).alias(f"k{k}") for k in key), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), F.last("c", ignorenulls=True).over(before).alias("_c"), F.last("s", ignorenulls=True).over(before).alias("_s"))
+    joined = made.join(slim, [F.col(k).eqNullSafe(F.col(f"k{k}")) for k in key])
+    rows = joined.select("doc", "page", "_n", "_c", "_s", "_lines", "_chapters", "_sections", F.posexplode("_ranges").alias("_i", "_r"))
+    force = lambda found, prior, name: F.coalesce(last(F.filter(found, lambda x: x["at"] <= F.col("_r.last"))), F.col(prior), F.lit(name))
+    size = F.col("_r.last") - F.col("_r.first") + 1
+    body = F.array_join(F.slice(F.col("_lines"), F.col("_r.first"), size), "\n")
+    return rows.select("doc", "page", (F.col("_n") + F.col("_i") + 1).alias("chunk_no"), force(F.col("_chapters"), "_c", "General").alias("chapter"), force(F.col("_sections"), "_s", "Main Provisions").alias("section"), size.alias("n_lines"), body.alias("text"))
