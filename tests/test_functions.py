@@ -43,12 +43,12 @@ def test_date(spark, text, value):
     assert one(spark, N.date, text) == (datetime.date.fromisoformat(value) if value else None)
 
 
-@pytest.mark.parametrize("text, value", [("Section 80C(2)", "section80c(2)"), ("Regulation 52(4)(a)", "regulation52(4)(a)"), ("nothing", None)])
+@pytest.mark.parametrize("text, value", [("Section 80C(2)", "section80c(2)"), ("Regulation 52(4)(a)", "regulation52(4)(a)"), ("nothing", None), ("under u/s 80C", "u/s80c"), ("Sec. 194-IA", "sec.194-ia"), ("Articles 14", "articles14"), ("para 3(b)", "para3(b)"), ("Schedule 2", "schedule2"), ("see the Circular 12", "circular12"), ("Master  Directions 7", "masterdirections7"), ("subsection 4", None), ("paragraphs 9A", "paragraphs9a"), ("", None), (None, None)])
 def test_section(spark, text, value):
     assert one(spark, N.section, text) == value
 
 
-@pytest.mark.parametrize("text, value", [("Sections 80C, 80D and 80G", ["80C", "80D", "80G"]), ("section 194-IA", ["194-IA"])])
+@pytest.mark.parametrize("text, value", [("Sections 80C, 80D and 80G", ["80C", "80D", "80G"]), ("section 194-IA", ["194-IA"]), ("u/s 80C", ["80C"]), ("Section 10(1)", ["10(1)"]), ("Section 5 within 10 days", ["5"]), ("see articles 14 AND 19(1)(a), 21 for all", ["14", "19(1)(a)", "21"]), ("no reference, 5", []), (None, None)])
 def test_section_list(spark, text, value):
     assert one(spark, N.section_list, text) == value
 
@@ -176,3 +176,8 @@ def test_metadata_of_varied_texts(spark):
     for i, (text, expected) in enumerate(METADATA_CASES):
         m = made[i]
         assert (m["issue_date"] and str(m["issue_date"]), m["effective_date"] and str(m["effective_date"]), m["supersedes"], m["amends"]) == expected, text
+
+
+def test_sections_equal(spark):
+    rows = spark.createDataFrame([("Section 80 C", "section80C", True), ("section 5", "rule 5", False), (None, "section 5", None)], "a string, b string, e boolean")
+    assert all(r["m"] == r["e"] for r in rows.select("e", N.sections_equal(F.col("a"), F.col("b")).alias("m")).collect())

@@ -10,8 +10,11 @@ UNITS = {"thousand": 1e3, "thousands": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e
 AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(thousands?|lakhs?|lacs?|millions?|crores?|cr|billions?)?\b"
 PERCENT = r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(?:%|per\s*cent|percent)"
 BASIS = r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(?:bps|basis\s+points?)\b"
-SECTION = r"(?i)\b(?:sections?|regulations?|rules?|clauses?)\s+[0-9]+[A-Za-z]*(?:-[A-Za-z0-9]+)?(?:\([0-9A-Za-z]+\))*"
-SECTION_NUMBER = r"[0-9]+[A-Z]*(?:-[A-Z0-9]+)?(?:\([0-9A-Za-z]+\))*"
+# Fixed words before a section's number; each but the abbreviations may stand in the plural.
+SECTION_WORDS = ("section", "regulation", "clause", "rule", "article", "para", "paragraph", "schedule", "circular", "master direction")
+SECTION_SHORT = ("sec.", "u/s")
+SECTION_NUMBER = r"[0-9]+[A-Za-z]*(?:-[A-Za-z0-9]+)?(?:\([0-9A-Za-z]+\))*"
+SECTION = rf"(?i)\b(?:{'|'.join(w.replace(' ', r'\s+') + 's?' for w in SECTION_WORDS)}|{'|'.join(w.replace('.', r'\.') for w in SECTION_SHORT)})\s+{SECTION_NUMBER}"
 
 
 def _number(text: Column) -> Column:
@@ -69,8 +72,22 @@ def section(text: Column) -> Column:
 
 
 def section_list(text: Column) -> Column:
-    """All section numbers after the first ``Section(s)``."""
-    return F.regexp_extract_all(F.regexp_extract(text, r"(?i)sections?\s+(.*)$", 1), F.lit(SECTION_NUMBER), F.lit(0))
+    """The numbers of the first reference of a text: its own, and each that a comma or "and" in the rest joins to it.
+
+    Empty without a reference; numbers that nothing joins ("Section 5 within 10 days") are none.
+    """
+    found = F.regexp_extract(text, SECTION, 0)
+    rest = F.substring(text, F.instr(text, found) + F.length(found), F.length(text))
+    number = lambda part: F.regexp_extract(F.ltrim(part), rf"^{SECTION_NUMBER}", 0)
+    joined = F.filter(F.transform(F.slice(F.split(rest, r"(?i),|\s+and\s"), 2, 1 << 30), number), lambda n: n != "")
+    own = F.array(F.regexp_extract(found, rf"\s({SECTION_NUMBER})$", 1))
+    return F.when(found == "", F.array().cast("array<string>")).otherwise(F.concat(own, joined))
+
+
+def sections_equal(a: Column, b: Column) -> Column:
+    """Whether two references are written alike but for case and blanks; NULL if either is."""
+    form = lambda text: F.lower(F.regexp_replace(text, r"\s+", ""))
+    return form(a) == form(b)
 
 
 def numerically_equal(a: Column, b: Column, tolerance: float = 1e-6) -> Column:

@@ -51,12 +51,24 @@ def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", A.flagged(F.col("text"), F.col("bad")).alias("flagged"), A.trimmed(sentences(F.col("text")), F.col("bad")).alias("trimmed"))
 
 
-def trained_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold calibrated risk quality of a logistic model: AUROC and Brier score."""
+def _signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Feature rows of the atoms: signals that are the risk, each missing by the id."""
     rows = atoms(spark, sf_dir).withColumn("wrong", F.col("wrong").cast("double"))
     signal = lambda k: F.when(F.col("atom") % k != 0, F.col("risk"))
     rows = rows.withColumns({"s_ver": signal(2), "s_nli": signal(3), "s_ent": signal(5), "s_ret": signal(7), "s_div": signal(11), "s_mech": F.lit(None).cast("double")}).withColumnRenamed("risk", "true_risk")
-    made, columns = L.features(rows)
+    return L.features(rows)
+
+
+def signal_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area under the curve without each signal, fitted on three quarters of the questions and judged on the rest."""
+    made, columns = _signals(spark, sf_dir)
+    fold = L.fold_of(F.col("question"), 4)
+    return L.ablation(made.where(fold > 0), made.where(fold == 0), columns, "wrong", {s: [s] for s in L.SIGNALS})
+
+
+def trained_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold calibrated risk quality of a logistic model: AUROC and Brier score."""
+    made, columns = _signals(spark, sf_dir)
     out = L.cross_validated(made, columns, "wrong", F.col("question"))
     half = L.fold_of(F.col("question"), 2)
     final = L.calibrate(out.where(half == 0), out.where(half == 1), "wrong")
@@ -64,7 +76,7 @@ def trained_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final.groupBy("kind").agg(F.count("*").alias("n"), F.avg("risk").alias("mean_risk"), F.avg("wrong").alias("wrong_share")).withColumns({k: F.lit(v) for k, v in found.items()})
 
 
-QUERIES = {f.__name__: f for f in (typed_atoms, comparison_words, judge_replies, prelabels, judge_budget, rewritten, trained_risk)}
+QUERIES = {f.__name__: f for f in (typed_atoms, comparison_words, judge_replies, prelabels, judge_budget, rewritten, trained_risk, signal_ablation)}
 
 ORACLES = {
     "typed_atoms": """WITH t AS (SELECT p_partkey, 'Pay ' || p_size || '.5 per cent within ' || p_size || ' days under Section ' || p_size || '(2) from 12/03/2024' AS text, p_size FROM part),
