@@ -128,3 +128,45 @@ def test_dense_search_without_queries_or_of_mixed_lengths(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0]), (4, []), (5, None)], "vec_id long, embedding array<double>")
     assert R.dense_top_k(vectors, vectors.limit(0), 3).count() == 0
     assert [tuple(r)[:2] for r in R.dense_top_k(vectors, vectors.where("vec_id = 1"), 3).collect()] == [(1, 2)]
+
+
+def test_made_wrong_claims_differ(spark):
+    texts = {"RATE": ["at 5%", "at 0 per cent", "0.01 % p.a."], "THRESHOLD": ["₹ 5,00,000 lakh", "0 days", "2.50"], "SECTION": ["Section 1(2)", "master  directions 9", "article 52", "section"], "DATE": ["on 12/03/2024", "2024-02-29 on", "1-1-2020.", "99/99/2024"], "ENTITY": ["5"]}
+    rows = spark.createDataFrame([(k, t, i) for k, ts in texts.items() for t in ts for i in range(40)] + [("RATE", None, 1), ("RATE", "", 2)], "kind string, t string, i int")
+    made = rows.withColumn("w", E.perturbed(F.col("kind"), F.col("t"), F.col("i"))).collect()
+    none = {"section", "99/99/2024", "5", "", None}
+    assert all((r["w"] is None) == (r["t"] in none) and r["w"] != r["t"] or r["t"] is None for r in made)
+    rates = {float(r["w"][3:-1]) for r in made if r["t"] == "at 5%"}
+    assert min(rates) >= 2.5 and max(rates) <= 7.5 and all(abs(x - 5) >= 0.5 for x in rates) and len(rates) > 20
+    assert {r["w"] for r in made if r["t"] == "article 52"} == {f"article {n}" for n in (50, 51, 53, 54)}
+    assert all(r["w"].endswith(" lakh") and "," not in r["w"] for r in made if r["t"] == "₹ 5,00,000 lakh")
+
+
+def gate_tables(spark, **other):
+    tables = {
+        "run": ([(200, 0.05, False, "abc", "x", True)], "n_atoms long, violation_rate double, simulated boolean, commit string, config string, model boolean"),
+        "systems": ([("regguard", 0.1, 0.5, 0.2, 0.3), ("nli_only", 0.2, 0.4, 0.3, 0.1)], "system string, hallucination double, coverage double, aurc double, threshold double"),
+        "ablation": ([("regguard", 0.1, 0.5, 0.2), ("-s_nli", 0.3, 0.3, 0.4)], "system string, hallucination double, coverage double, aurc double"),
+        "seeds": ([("aurc", 5, 0.1, 0.2)], "metric string, seeds int, low double, high double"),
+        "drift": ([("static", 0.3, 150, 150), ("triggered", 0.2, 150, 150)], "strategy string, threshold double, n_pre long, n_post long"),
+        "leaks": ([], "unit long"),
+        "found": ([(0.5,)], "recall double"),
+        "extracted": ([(0.5,)], "recall double"),
+    }
+    return [spark.createDataFrame(other.get(name, rows), kind) for name, (rows, kind) in tables.items()]
+
+
+@pytest.mark.parametrize("change, broken", [
+    ({}, set()),
+    ({"run": [(149, None, True, "unknown", "", False)]}, {"the run is no simulation", "the commit is recorded", "the configuration is recorded", "the risk model is there", "at least 150 atoms", "violation rate is at most 0.1"}),
+    ({"run": [(150, float("nan"), False, "a", "x", True)], "leaks": [(1,), (2,)]}, {"violation rate is at most 0.1", "no unit is on several sides"}),
+    ({"systems": [("regguard", 0.1, 0.5, 0.2, None), ("nli_only", None, 0.0, 0.2, 0.1)]}, {"areas of systems differ", "every system has a threshold", "every system accepts something"}),
+    ({"ablation": [("regguard", 0.1, 0.6, None)]}, {"the full row is that of the systems"}),
+    ({"seeds": [("aurc", 4, None, 0.2)], "drift": [("static", 0.2, 149, 10), ("triggered", 0.2, 149, 10)]}, {"at least 5 seeds", "every figure has an interval", "at least 150 rows before the change", "at least 150 rows after the change", "strategies choose different thresholds"}),
+    ({"systems": [], "ablation": [], "seeds": [], "drift": [], "found": [], "extracted": [(None,)]}, {"the systems were compared", "areas of systems differ", "signals were dropped and fitted anew", "seeds were compared", "drift was measured", "retrieval was measured", "extraction was measured"}),
+    ({"run": []}, {"a run is recorded", "the commit is recorded", "the configuration is recorded", "the risk model is there", "at least 150 atoms", "violation rate is at most 0.1"}),
+])
+def test_release_gate(spark, change, broken):
+    made = E.release_gate(*gate_tables(spark, **change)).collect()
+    assert {r["rule"] for r in made if not r["holds"]} == broken and len(made) == 23
+    assert all(r["holds"] == (r["failing"] == 0) for r in made)

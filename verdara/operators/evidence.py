@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdara.functions.normalize import PERCENT
+from verdara.functions.normalize import PERCENT, SECTION_WORDS, date
 from verdara.operators.decide import WEIGHTS, mean_entropy
 from verdara.operators.evaluate import tuned, wrong_at_coverage
+from verdara.operators.guarantee import draw
 from verdara.operators.retrieval import ranking_quality
 
 # ---- retrieval frames
@@ -151,6 +152,61 @@ def gate(facts: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return facts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("holds")) for n, c in rules.items()))).alias("r")).select("r.*")
 
 
+def release_gate(run: DataFrame, systems: DataFrame, ablation: DataFrame, seeds: DataFrame, drift: DataFrame, leaks: DataFrame, found: DataFrame, extracted: DataFrame, least: int = 150, delta: float = 0.1, least_seeds: int = 5, full: str = "regguard") -> DataFrame:
+    """``rule, failing, holds``: everything that must hold before results are shown, with the number of rows that break it.
+
+    ``run(n_atoms, violation_rate, simulated, commit, config, model)`` is one row; ``systems(system, hallucination, coverage, aurc, threshold)``
+    and ``ablation`` of the same first columns, whose row ``full`` must be that of the systems; ``seeds(metric, seeds, low, high)``;
+    ``drift(strategy, threshold, n_pre, n_post)``; ``leaks`` holds a row for each unit on several sides; ``found`` and ``extracted`` have a
+    ``recall`` where they were computed. An empty table breaks the rule that asks for it, and those on its rows hold.
+    """
+    off = lambda c: c.cast("long")
+    lack = lambda name: off(F.coalesce(F.col(name), F.lit(0)) == 0)
+    one = ("hallucination", "coverage", "aurc")
+    pick = lambda table, mark: table.where(F.col("system") == full).agg(F.count("*").alias(f"{mark}n"), *(F.first(c).alias(mark + c) for c in one))
+    r = run.agg(F.count("*").alias("r_n"), *(F.first(c).alias(f"r_{c}") for c in ("n_atoms", "violation_rate", "simulated", "commit", "config", "model")))
+    facts = [
+        r,
+        systems.agg(F.count("*").alias("s_n"), F.count("aurc").alias("s_aurc"), F.countDistinct(F.round("aurc", 6)).alias("s_distinct"), F.count_if(F.col("threshold").isNull()).alias("s_loose"), F.count_if(F.col("coverage") == 0).alias("s_empty")),
+        ablation.agg(F.count("*").alias("a_n")),
+        pick(systems, "m_"),
+        pick(ablation, "f_"),
+        seeds.agg(F.count("*").alias("d_n"), F.min("seeds").alias("d_seeds"), F.count_if(F.col("low").isNull() | F.col("high").isNull()).alias("d_open")),
+        drift.agg(F.count("*").alias("w_n"), F.min("n_pre").alias("w_pre"), F.min("n_post").alias("w_post"), F.countDistinct("threshold").alias("w_distinct")),
+        leaks.agg(F.count("*").alias("leaks")),
+        found.agg(F.count("recall").alias("found")),
+        extracted.agg(F.count("recall").alias("extracted")),
+    ]
+    wide = reduce(lambda a, b: a.join(F.broadcast(b)), facts)  # one row each
+    rules = {
+        "a run is recorded": lack("r_n"),
+        "the run is no simulation": off(F.coalesce("r_simulated", F.lit(False))),
+        "the commit is recorded": off(F.coalesce("r_commit", F.lit("unknown")).isin("", "unknown")),
+        "the configuration is recorded": off(F.coalesce("r_config", F.lit("")) == ""),
+        "the risk model is there": off(~F.coalesce("r_model", F.lit(False))),
+        f"at least {least} atoms": off(F.coalesce("r_n_atoms", F.lit(0)) < least),
+        "no unit is on several sides": F.col("leaks"),
+        "the systems were compared": lack("s_n"),
+        "areas of systems differ": F.greatest(F.col("s_aurc") - F.col("s_distinct"), off(F.col("s_aurc") < 2)),
+        "every system has a threshold": F.col("s_loose"),
+        "every system accepts something": F.col("s_empty"),
+        "signals were dropped and fitted anew": lack("a_n"),
+        "the full row is that of the systems": reduce(lambda a, b: a + b, (off(~F.col(f"m_{c}").eqNullSafe(F.col(f"f_{c}"))) for c in one)),
+        f"violation rate is at most {delta}": off(F.coalesce(F.isnan("r_violation_rate") | (F.col("r_violation_rate") > delta), F.lit(True))),
+        "seeds were compared": lack("d_n"),
+        f"at least {least_seeds} seeds": off(F.col("d_seeds") < least_seeds),
+        "every figure has an interval": F.col("d_open"),
+        "drift was measured": lack("w_n"),
+        f"at least {least} rows before the change": off(F.col("w_pre") < least),
+        f"at least {least} rows after the change": off(F.col("w_post") < least),
+        "strategies choose different thresholds": off((F.col("w_n") > 0) & (F.col("w_distinct") < 2)),
+        "retrieval was measured": lack("found"),
+        "extraction was measured": lack("extracted"),
+    }
+    made = wide.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(0).cast("long")).alias("failing")) for n, c in rules.items()))).alias("r")).select("r.*")
+    return made.withColumn("holds", F.col("failing") == 0)
+
+
 def required(rows: DataFrame, column: str, least: int) -> DataFrame:
     """The rows, or an error if one has no label or there are fewer than ``least``."""
     seen = rows.agg(F.count("*").alias("n"), F.count(column).alias("labelled")).first()
@@ -170,20 +226,43 @@ def _hashed(key: Column, n: int) -> Column:
 
 
 def perturbed(kind: Column, text: Column, key: Column) -> Column:
-    """The text with its first rate, amount or section number made wrong by a step that depends on the key; NULL if there is none."""
-    step = _hashed(key, 3) + 1
+    """The text with its first rate, amount, section number or date made wrong, by a draw of the key; NULL if there is none.
+
+    Rates and amounts move by 10 to 50 per cent up or down, never below 0; section numbers by 1 or 2, never below 1; dates by
+    one to three years. What would stay as it was moves up by 1. The unit, and the form of a date, stay.
+    """
+    up = F.when(draw(key, F.lit("side")) < 0.5, 1).otherwise(-1)
+    share, by = draw(key, F.lit("share")), draw(key, F.lit("by"))
+
+    bound = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731 - a value used more than once, computed once
 
     def first(form: str, change) -> Column:
-        found = F.nullif(F.regexp_extract(text, form, 1), F.lit(""))
-        at = F.regexp_instr(text, F.lit(form))
-        whole = F.regexp_extract(text, form, 0)
-        before = F.substring(text, F.lit(1), at - 1 + F.instr(whole, found) - 1)
-        return F.when(found.isNotNull(), F.concat(before, change(found), F.substring(text, F.length(before) + F.length(found) + 1, F.length(text))))
-
-    rate = first(PERCENT, lambda v: F.format_string("%.2f", v.cast("double") + step))
-    amount = first(r"([0-9]+)", lambda v: (v.cast("long") * (step + 1)).cast("string"))
-    section = first(r"(?i)(?:section|regulation|rule|clause)\s*([0-9]+)", lambda v: (v.cast("long") + step).cast("string"))
-    day = first(r"([0-9]{4})-[0-9]{2}-[0-9]{2}", lambda v: (v.cast("long") + step).cast("string"))
+        def replaced(x: Column) -> Column:
+            before = F.substring(text, F.lit(1), x["at"] - 1 + F.instr(x["whole"], x["found"]) - 1)
+            return F.concat(before, change(x["found"]), F.substring(text, F.length(before) + F.length(x["found"]) + 1, F.length(text)))
+
+        parts = F.struct(F.regexp_extract(text, form, 1).alias("found"), F.regexp_extract(text, form, 0).alias("whole"), F.regexp_instr(text, F.lit(form)).alias("at"))
+        return bound(parts, lambda x: F.when(x["found"] != "", replaced(x)))
+
+    def unlike(value: Column, moved) -> Column:
+        """A changed value; one above where the change left it as it was."""
+        return bound(value, lambda v: F.coalesce(F.nullif(moved(v), v), v + 1))
+
+    def number(found: Column) -> Column:
+        moved = unlike(F.regexp_replace(found, ",", "").cast("double"), lambda v: F.round(v * (1 + up * (0.1 + 0.4 * share)), 2))
+        return F.regexp_replace(F.format_string("%.2f", moved), r"(\.00|0)$", "")
+
+    def section_number(found: Column) -> Column:
+        return unlike(found.cast("long"), lambda v: F.greatest(v + up * F.when(by < 0.5, 1).otherwise(2), F.lit(1).cast("long"))).cast("string")
+
+    def moved_day(found: Column) -> Column:
+        moved = F.date_add(date(found), (up * (365 + F.floor(by * 731))).cast("int"))
+        form = F.when(found.rlike("^[0-9]{4}"), "yyyy-MM-dd").when(found.contains("/"), "dd/MM/yyyy").otherwise("dd-MM-yyyy")
+        return F.call_function("date_format", moved, form)
+
+    words = "|".join(w.replace(" ", r"\s+") for w in SECTION_WORDS)
+    rate, amount = first(PERCENT, number), first(r"([0-9][0-9,]*(?:\.[0-9]+)?)", number)
+    section, day = first(rf"(?i)\b(?:{words})s?\s*([0-9]+)", section_number), first(r"\b([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4})\b", moved_day)
     return F.when(kind == "RATE", rate).when(kind == "THRESHOLD", amount).when(kind == "SECTION", section).when(kind == "DATE", day)
 
 

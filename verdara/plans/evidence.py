@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from verdara.functions import normalize as N
 from verdara.functions import text as T
 from verdara.operators import answers as A
+from verdara.operators import certify as C
 from verdara.operators import chunking, evaluate
 from verdara.operators import decide as D
 from verdara.operators import evidence as E
 from verdara.operators import temporal as TM
 from verdara.operators import verify as V
+from verdara.plans import certification, evaluation, facts
 from verdara.plans.data import ATOMS, TOKENS, VERSIONS, atoms, table, versions
 
 TEXT = lambda c: F.col(c).cast("string")
@@ -118,12 +120,13 @@ def annotator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error, coverage, judged share and area under the risk-coverage curve in one row."""
+    """Error, coverage, judged share, area under the risk-coverage curve, and how often random halves have over 5 per cent wrong, in one row."""
     rows = atoms(spark, sf_dir).withColumn("whole", F.lit(1))
     accept, judged = F.col("risk") <= 0.35, (F.col("risk") > 0.35) & (F.col("risk") < 0.7)
-    one = rows.groupBy("whole").agg(F.count("*").alias("n"), F.try_divide(F.sum(F.when(accept, F.col("wrong"))), F.count_if(accept)).alias("hallucination"), (F.count_if(accept) / F.count("*")).alias("coverage"), (F.count_if(judged) / F.count("*")).alias("judge_rate"))
+    one = rows.groupBy("whole").agg(F.count("*").alias("n"), F.try_divide(F.sum(F.when(accept, F.col("wrong"))), F.count_if(accept)).alias("hallucination"), (F.count_if(accept) / F.count("*")).alias("coverage"), (F.count_if(judged) / F.count("*")).alias("judge_rate"), F.coalesce(F.sum(F.when(accept, F.col("wrong"))), F.lit(0)).alias("k"), F.count_if(accept).alias("a"))
+    one = one.withColumn("violation_rate", C.half_violations("k", "a", "n", F.lit(0.05), F.lit(200)))
     area = evaluate.aurc(evaluate.risk_coverage(rows, ["whole"]), ["whole"])
-    return one.join(F.broadcast(area), "whole").select("n", *(F.round(c, 5).alias(c) for c in ("hallucination", "coverage", "judge_rate", "aurc")))
+    return one.join(F.broadcast(area), "whole").select("n", *(F.round(c, 5).alias(c) for c in ("hallucination", "coverage", "judge_rate", "aurc", "violation_rate")))
 
 
 def publishable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +134,19 @@ def publishable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.gate(metrics_report(spark, sf_dir), rules)
 
 
+def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every condition of a release over the reports on the atoms; orders stand in for documents that splits share."""
+    rows = _with_signals(spark, sf_dir)
+    risks = E.system_risks(rows.where("atom % 2 = 1")).select("system", F.col("system_risk").alias("risk"), "wrong")
+    areas = evaluate.aurc(evaluate.risk_coverage(risks, ["system"]), ["system"]).select("system", F.round("aurc", 5).alias("aurc"))
+    systems = system_table(spark, sf_dir).select("system", "hallucination", "coverage", "threshold").join(areas, "system", "left")
+    run = metrics_report(spark, sf_dir).select(F.col("n").alias("n_atoms"), "violation_rate", F.lit(False).alias("simulated"), F.lit(None).cast("string").alias("commit"), F.lit("eps 0.05").alias("config"), F.lit(True).alias("model"))
+    seeds = evaluation.seed_summary(spark, sf_dir).select(F.col("kind").alias("metric"), F.col("n").alias("seeds"), "low", "high")
+    sides = atoms(spark, sf_dir).agg(F.count_if(F.col("day") < certification.CUT).alias("n_pre"), F.count_if(F.col("day") >= certification.CUT).alias("n_post"))
+    drift = certification.four_strategies(spark, sf_dir).select("strategy", "threshold").join(F.broadcast(sides))  # one row of counts
+    return E.release_gate(run, systems, systems.where("system IN ('regguard', 'nli_only')"), seeds, drift, facts.leakage_report(spark, sf_dir), gold_report(spark, sf_dir), evaluation.extraction_f1(spark, sf_dir))
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order by price: the question's ranked list; relevant if returned."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query"), F.col("l_linenumber").alias("doc")).agg(F.max("l_extendedprice").alias("score"), F.max("l_returnflag").alias("flag"), F.max("l_suppkey").alias("l_suppkey"), F.max("l_quantity").alias("quantity"))
@@ -233,8 +249,9 @@ def assessment_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wrong_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training pairs of claims on parts, with the next part's text as the unrelated one."""
     k, size = TEXT("p_partkey"), TEXT("p_size")
-    kind = F.element_at(F.array(*map(F.lit, ("RATE", "THRESHOLD", "SECTION", "ENTITY"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    claim = F.concat(F.lit("pay "), size, F.lit(" % in "), k, F.lit(" days, section "), size)
+    kind = F.element_at(F.array(*map(F.lit, ("RATE", "THRESHOLD", "SECTION", "DATE", "ENTITY"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    day = F.date_format(F.date_add(F.lit("2020-02-01").cast("date"), F.col("p_size")), "dd/MM/yyyy")
+    claim = F.concat(F.lit("pay "), size, F.lit(" % in "), k, F.lit(" days, section "), size, F.lit(" from "), day)
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("atom"), kind.alias("kind"), claim.alias("claim"), F.concat(F.lit("part "), k).alias("chunk_text"))
     made = E.nli_pairs(E.with_other(rows, "atom", "chunk_text", 8))
     return made.select("atom", "label", "hypothesis", "premise")
@@ -275,7 +292,7 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (temporal_superseded, document_metadata, headings, v1_cited, v1_dates, best_evidence, cascade_rows, signal_frame, system_table, stage_latency, annotation_shares, annotator_agreement, metrics_report, publishable, chunk_lookup, two_stage_rank, channels, gold_report, legacy_report, prompt_evidence, span_of_value, reply_atoms, rewrite_modes, computed_notes, extractive_answers, hints, assessment_years, wrong_claims, template_questions, amendment_pairs, temporal_tags, atom_rows, chunk_names, text_forms)
+    for f in (temporal_superseded, document_metadata, headings, v1_cited, v1_dates, best_evidence, cascade_rows, signal_frame, system_table, stage_latency, annotation_shares, annotator_agreement, metrics_report, publishable, release_gate, chunk_lookup, two_stage_rank, channels, gold_report, legacy_report, prompt_evidence, span_of_value, reply_atoms, rewrite_modes, computed_notes, extractive_answers, hints, assessment_years, wrong_claims, template_questions, amendment_pairs, temporal_tags, atom_rows, chunk_names, text_forms)
 }
 
 
@@ -287,9 +304,12 @@ _RANKED = """l AS (SELECT l_orderkey AS query, l_linenumber AS doc, max(l_extend
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank, flag = 'R' AS relevant FROM l)"""
 _METRICS = f"""WITH {ATOMS}, c AS (SELECT CAST(ceil(risk * 100 - 1e-9) AS INTEGER) AS step, count(*) AS n, sum(wrong) AS k FROM atoms GROUP BY 1),
 g AS (SELECT s.step, sum(coalesce(n, 0)) OVER (ORDER BY s.step) AS n, sum(coalesce(k, 0)) OVER (ORDER BY s.step) AS k FROM (SELECT unnest(range(0, 101)) AS step) s LEFT JOIN c USING (step)),
+q AS (SELECT count(*) AS t, count(*) - count(*) // 2 AS d, CAST(sum(wrong) FILTER (risk <= 0.35) AS BIGINT) AS k, count(*) FILTER (risk <= 0.35) AS n FROM atoms),
+z AS (SELECT *, {certification._half('u', 'k', 't', 'd')} AS x FROM (SELECT q.*, {facts.draw_sql("'wrong'", 'i')} AS u, {facts.draw_sql("'right'", 'i')} AS v FROM q, (SELECT unnest(range(0, 200)) AS i))),
+y AS (SELECT x, {certification._half('v', '(n - k)', '(t - k)', '(d - x)')} AS y FROM z),
 v AS (SELECT step, round(n / max(n) OVER (), 6) AS coverage, round(k / n, 6) AS risk FROM g QUALIFY n > 0),
 a AS (SELECT *, lag(coverage) OVER (ORDER BY step) AS c0, lag(risk) OVER (ORDER BY step) AS r0 FROM v),
-m AS (SELECT count(*) AS n, round(avg(wrong) FILTER (risk <= 0.35), 5) AS hallucination, round(count(*) FILTER (risk <= 0.35) / count(*), 5) AS coverage, round(count(*) FILTER (risk > 0.35 AND risk < 0.7) / count(*), 5) AS judge_rate, (SELECT round(sum((coverage - c0) * (risk + r0) / 2), 5) FROM a) AS aurc FROM atoms)"""
+m AS (SELECT count(*) AS n, round(avg(wrong) FILTER (risk <= 0.35), 5) AS hallucination, round(count(*) FILTER (risk <= 0.35) / count(*), 5) AS coverage, round(count(*) FILTER (risk > 0.35 AND risk < 0.7) / count(*), 5) AS judge_rate, (SELECT round(sum((coverage - c0) * (risk + r0) / 2), 5) FROM a) AS aurc, (SELECT round(avg(CAST(x + y > 0 AND x > 0.05::DOUBLE * (x + y) AS INTEGER)), 5) FROM y) AS violation_rate FROM atoms)"""
 _SYS = f"""WITH {ATOMS}, g AS (SELECT *, CASE WHEN atom % 2 <> 0 THEN risk END AS s_ver, CASE WHEN atom % 3 <> 0 THEN risk END AS s_nli, CASE WHEN atom % 5 <> 0 THEN risk END AS s_ent, CASE WHEN atom % 7 <> 0 THEN risk END AS s_ret, CASE WHEN atom % 11 <> 0 THEN risk END AS s_div FROM atoms),
 s AS (SELECT atom, wrong, unnest(['regguard', 'plain_rag', 'selfcheck', 'nli_only', 'llm_judge_all', 'conformal_no_mondrian']) AS system, unnest([risk, 0.0, s_ent, s_nli, s_ver, coalesce(list_avg([x FOR x IN [s_ver, s_nli, s_ent, s_ret, s_div] IF x IS NOT NULL]), 1.0)]) AS risk FROM g),
 r AS (SELECT * FROM s WHERE risk IS NOT NULL),
@@ -353,10 +373,13 @@ SELECT p_partkey, asked, CASE WHEN p_partkey % 5 = 1 THEN 'none' WHEN p_partkey
     "extractive_answers": "SELECT p_partkey, 'The size of the part is ' || p_size || ' units. The key of the part is ' || p_partkey || ' here. A last sentence that is long enough. And one more of them, too.' AS answer, p_partkey % 2 = 0 AS nothing FROM part",
     "hints": "SELECT p_partkey, p_size || ' per cent' AS percent, 'Section ' || p_size || '(1)' AS section, '12/03/2024' AS day, 'Pay ' || p_size || ' per cent under Section' AS topic FROM part",
     "assessment_years": "SELECT p_partkey, 'FY ' || (p_size + 1969) || '-' || lpad(CAST((p_size + 1970) % 100 AS VARCHAR), 2, '0') AS fy, true AS same, CAST(NULL AS BOOLEAN) AS unknown FROM part",
-    "wrong_claims": f"""WITH p AS (SELECT p_partkey AS atom, p_size AS z, 'pay ' || p_size || ' % in ' || p_partkey || ' days, section ' || p_size AS claim, 'part ' || p_partkey AS chunk, {_pick('p_partkey', 8)} AS b, md5(CAST(p_partkey AS VARCHAR)) AS h, {_pick('p_partkey', 3)} + 1 AS st FROM part),
-o AS (SELECT *, coalesce(lead(chunk) OVER (PARTITION BY b ORDER BY h, atom), CASE WHEN count(*) OVER (PARTITION BY b) > 1 THEN first_value(chunk) OVER (PARTITION BY b ORDER BY h, atom) END) AS other FROM p)
-SELECT atom, 'entailment' AS label, claim AS hypothesis, chunk AS premise FROM o UNION ALL SELECT atom, 'neutral', claim, other FROM o WHERE other IS NOT NULL
-UNION ALL SELECT atom, 'contradiction', CASE atom % 4 WHEN 0 THEN 'pay ' || (z + st) || '.00 % in ' || atom || ' days, section ' || z WHEN 1 THEN 'pay ' || z * (st + 1) || ' % in ' || atom || ' days, section ' || z ELSE 'pay ' || z || ' % in ' || atom || ' days, section ' || (z + st) END, chunk FROM o WHERE atom % 4 <> 3""",
+    "wrong_claims": f"""WITH p AS (SELECT p_partkey AS atom, p_size AS z, DATE '2020-02-01' + CAST(p_size AS INTEGER) AS day, 'part ' || p_partkey AS chunk, {_pick('p_partkey', 8)} AS b, md5(CAST(p_partkey AS VARCHAR)) AS h,
+  CASE WHEN {facts.draw_sql('p_partkey', "'side'")} < 0.5 THEN 1 ELSE -1 END AS up, {facts.draw_sql('p_partkey', "'share'")} AS share, {facts.draw_sql('p_partkey', "'by'")} AS by_ FROM part),
+o AS (SELECT *, 'pay ' || z || ' % in ' || atom || ' days, section ' AS head, strftime(day, '%d/%m/%Y') AS d, coalesce(lead(chunk) OVER (PARTITION BY b ORDER BY h, atom), CASE WHEN count(*) OVER (PARTITION BY b) > 1 THEN first_value(chunk) OVER (PARTITION BY b ORDER BY h, atom) END) AS other,
+  round(z * (1 + up * (0.1::DOUBLE + 0.4::DOUBLE * share)), 2) AS r, greatest(z + up * CASE WHEN by_ < 0.5 THEN 1 ELSE 2 END, 1) AS s FROM p),
+w AS (SELECT *, head || z || ' from ' || d AS claim, regexp_replace(printf('%.2f', CASE WHEN r = z THEN z + 1.0 ELSE r END), '(\\.00|0)$', '') AS wr, CASE WHEN s = z THEN z + 1 ELSE s END AS ws, strftime(day + CAST(up * (365 + floor(by_ * 731)) AS INTEGER), '%d/%m/%Y') AS wd FROM o)
+SELECT atom, 'entailment' AS label, claim AS hypothesis, chunk AS premise FROM w UNION ALL SELECT atom, 'neutral', claim, other FROM w WHERE other IS NOT NULL
+UNION ALL SELECT atom, 'contradiction', CASE atom % 5 WHEN 2 THEN head || ws || ' from ' || d WHEN 3 THEN head || z || ' from ' || wd ELSE 'pay ' || wr || ' % in ' || atom || ' days, section ' || z || ' from ' || d END, chunk FROM w WHERE atom % 5 <> 4""",
     "template_questions": f"WITH p AS (SELECT p_partkey, replace(['What is the limit on {{}}?', 'Who may use {{}}?', 'When does {{}} start?'][{_pick('p_partkey', 3)} + 1], '{{}}', string_split(p_name, ' ')[1]) AS question FROM part) SELECT question, min(p_partkey) AS p_partkey FROM p GROUP BY question",
     "amendment_pairs": f"WITH {VERSIONS} SELECT section, version AS before, lead(version) OVER (PARTITION BY section ORDER BY effective_from, version) AS after FROM versions QUALIFY after IS NOT NULL",
     "temporal_tags": f"""WITH {VERSIONS}, l AS (SELECT DISTINCT section FROM versions WHERE effective_to IS NOT NULL AND effective_from >= DATE '1997-06-01'), t AS (SELECT c_custkey AS question, CASE WHEN c_custkey % 10 = 0 OR c_custkey % 7 = 0 THEN 'value' WHEN c_custkey IN (SELECT section FROM l) THEN 'supersession' END AS drift_type FROM customer)
@@ -365,3 +388,20 @@ SELECT question, drift_type IS NOT NULL AS temporal, drift_type FROM t""",
     "chunk_names": r"SELECT p_partkey, p_name || ' > ' || p_type || ' > General' AS breadcrumb, regexp_replace(p_partkey || '_' || p_type, '\s+', '_', 'g') AS chunk_id FROM part",
     "text_forms": "SELECT p_partkey, 'Pay ₹ ' || p_size || ' for payment in hours.' || chr(10) || chr(10) || 'End' AS cleaned, 'first ' || p_size || '|second|third' AS listed, 'A long enough sentence ' || p_size || '|Another long enough sentence here' AS plain, 'rate-cut|' || p_size || '0|days' AS words FROM part",
 }
+
+_AREAS = f"""{_SYS}, c AS (SELECT system, CAST(ceil(risk * 100 - 1e-9) AS INTEGER) AS step, count(*) AS n, sum(wrong) AS k FROM r WHERE atom % 2 = 1 GROUP BY ALL),
+g2 AS (SELECT s.system, s.step, sum(coalesce(n, 0)) OVER o AS n, sum(coalesce(k, 0)) OVER o AS k FROM (SELECT system, unnest(range(0, 101)) AS step FROM (SELECT DISTINCT system FROM r)) s LEFT JOIN c USING (system, step) WINDOW o AS (PARTITION BY s.system ORDER BY s.step)),
+v AS (SELECT system, step, round(n / max(n) OVER (PARTITION BY system), 6) AS coverage, round(k / n, 6) AS risk FROM g2 QUALIFY n > 0),
+a AS (SELECT *, lag(coverage) OVER (PARTITION BY system ORDER BY step) AS c0, lag(risk) OVER (PARTITION BY system ORDER BY step) AS r0 FROM v)
+SELECT system, round(sum((coverage - c0) * (risk + r0) / 2), 5) AS aurc FROM a GROUP BY system"""
+
+ORACLES["release_gate"] = f"""WITH m AS ({ORACLES['metrics_report']}), s AS (SELECT * FROM ({ORACLES['system_table']}) LEFT JOIN ({_AREAS}) USING (system)), d AS ({certification.ORACLES['four_strategies']}),
+sides AS (WITH {ATOMS} SELECT count(*) FILTER (day < DATE '{certification.CUT}') AS pre, count(*) FILTER (day >= DATE '{certification.CUT}') AS post FROM atoms),
+rules(rule, failing) AS (
+  SELECT unnest(['a run is recorded', 'the run is no simulation', 'the configuration is recorded', 'the risk model is there', 'the systems were compared', 'signals were dropped and fitted anew', 'the full row is that of the systems', 'seeds were compared', 'every figure has an interval', 'drift was measured', 'retrieval was measured', 'extraction was measured']), 0
+  UNION ALL SELECT 'the commit is recorded', 1 UNION ALL SELECT 'at least 150 atoms', CAST(n < 150 AS BIGINT) FROM m UNION ALL SELECT 'no unit is on several sides', count(*) FROM ({facts.ORACLES['leakage_report']})
+  UNION ALL SELECT 'areas of systems differ', greatest(count(aurc) - count(DISTINCT aurc), CAST(count(aurc) < 2 AS BIGINT)) FROM s UNION ALL SELECT 'every system has a threshold', count(*) FILTER (threshold IS NULL) FROM s
+  UNION ALL SELECT 'every system accepts something', count(*) FILTER (coverage = 0) FROM s UNION ALL SELECT 'violation rate is at most 0.1', CAST(coalesce(violation_rate > 0.1, true) AS BIGINT) FROM m
+  UNION ALL SELECT 'at least 5 seeds', CAST(min(n) < 5 AS BIGINT) FROM ({evaluation.ORACLES['seed_summary']}) UNION ALL SELECT 'at least 150 rows before the change', CAST(pre < 150 AS BIGINT) FROM sides
+  UNION ALL SELECT 'at least 150 rows after the change', CAST(post < 150 AS BIGINT) FROM sides UNION ALL SELECT 'strategies choose different thresholds', CAST(count(DISTINCT threshold) < 2 AS BIGINT) FROM d)
+SELECT rule, CAST(failing AS BIGINT) AS failing, failing = 0 AS holds FROM rules"""
