@@ -181,3 +181,27 @@ def test_metadata_of_varied_texts(spark):
 def test_sections_equal(spark):
     rows = spark.createDataFrame([("Section 80 C", "section80C", True), ("section 5", "rule 5", False), (None, "section 5", None)], "a string, b string, e boolean")
     assert all(r["m"] == r["e"] for r in rows.select("e", N.sections_equal(F.col("a"), F.col("b")).alias("m")).collect())
+
+
+def test_badges(spark):
+    rows = spark.createDataFrame([(-1.0, "LOW"), (0.25, "LOW"), (0.2501, "MEDIUM"), (0.6, "MEDIUM"), (0.61, "HIGH"), (3.0, "HIGH")], "r double, b string")
+    assert all(x["m"] == x["b"] for x in rows.select("b", D.badge(F.col("r")).alias("m")).collect())
+    names = spark.createDataFrame([(" verified ",), ("ABSTAINED",), ("odd",), (None,)], "s string")
+    assert [tuple(x["m"]) for x in names.select(D.status_badge(F.col("s")).alias("m")).collect()] == [("VERIFIED", "✅"), ("ABSTAINED", "🚫"), ("ODD", "ℹ️"), ("", "ℹ️")]
+    assert [tuple(x["m"]) for x in names.select(D.answer_badge(F.col("s")).alias("m")).collect()][1:] == [("Cannot Be Verified", "🚫"), ("odd", "ℹ️"), (None, "ℹ️")]
+
+
+@pytest.mark.parametrize("p, q, start, stop, cosine, expected", [
+    ([-1.0, -0.5, -2.0], [-2.0, -1.0, -3.0], 4, 8, 0.3, math.exp(-0.5) * 0.5 / 5),
+    ([-1.0, -0.5, -2.0], [-2.0, -1.0, -3.0], 0, 2, 0.3, math.exp(-1) / 5),
+    ([-1.0, -0.5], [-2.0], 4, 8, 0.3, 0.7),
+    ([-1.0], [-2.0], 40, 48, 0.25, 0.75),
+    ([-2.0], [-1.0], 0, 4, 0.25, 0.0),
+    ([-1.0], [-1000.0], 0, 4, 0.25, 0.0),
+    ([-1.0], [-2.0], None, None, 0.12345, 0.8766),
+    (None, [-2.0], 0, 4, None, None),
+])
+def test_chosen_divergence(spark, p, q, start, stop, cosine, expected):
+    rows = spark.createDataFrame([(p, q, start, stop, cosine)], "p array<double>, q array<double>, a int, b int, c double")
+    made = rows.select(D.chosen_divergence(*map(F.col, "pqabc"))).first()[0]
+    assert made == (expected if expected is None else pytest.approx(expected, abs=1e-4))

@@ -221,6 +221,25 @@ def within_budget(atoms: DataFrame, by: str, order: str, most: int = 20) -> Data
     return atoms.withColumn("judged", F.row_number().over(Window.partitionBy(by).orderBy(order)) <= most)
 
 
+def judged_rows(atoms: DataFrame, replies: DataFrame, by: str, order: str, most: int = 20) -> DataFrame:
+    """``atom, verdict, rationale, quote, called`` of uncertain atoms from ``replies(atom, raw)``: one row an atom.
+
+    Beyond the first ``most`` of a question (by ``order``) no call is made; such atoms, and those whose reply is missing or holds no
+    verdict, are NOT_VERIFIED. Of several replies of an atom the least by text counts.
+    """
+    first = replies.groupBy("atom").agg(F.min("raw").alias("raw"))
+    rows = within_budget(atoms, by, order, most).join(first, "atom", "left").withColumn("_j", F.when(F.col("judged"), judge_reply(F.col("raw"))))
+    why = F.when(~F.col("judged"), "the question's calls are used up").when(F.col("raw").isNull(), "no reply").otherwise("no verdict in the reply")
+    return rows.select("atom", F.coalesce("_j.verdict", F.lit("NOT_VERIFIED")).alias("verdict"), F.coalesce("_j.rationale", why).alias("rationale"), F.coalesce("_j.quote", F.lit("none")).alias("quote"), F.col("judged").alias("called"))
+
+
+def in_text_order(atoms: Column) -> Column:
+    """Atoms (structs with ``start``) by their place in the text; those without one last, each group as it was."""
+    placed = F.transform(atoms, lambda a, i: F.struct(a["start"].isNull().alias("open"), F.coalesce(a["start"].cast("long"), F.lit(0).cast("long")).alias("start"), i.alias("i"), a.alias("a")))
+    before = lambda x, y, *keys: F.when(x[keys[0]] < y[keys[0]], -1).when(x[keys[0]] > y[keys[0]], 1).otherwise(before(x, y, *keys[1:]) if keys[1:] else 0)
+    return F.transform(F.array_sort(placed, lambda x, y: before(x, y, "open", "start", "i")), lambda x: x["a"])
+
+
 def flagged(text: Column, atoms: Column) -> Column:
     """Text with the first occurrence of each bad atom marked, longest first; atoms are structs of text and status."""
     ordered = F.array_sort(atoms, lambda a, b: F.when(F.length(a["text"]) != F.length(b["text"]), F.length(b["text"]) - F.length(a["text"])).when(a["text"] < b["text"], -1).when(a["text"] > b["text"], 1).otherwise(0))

@@ -69,8 +69,49 @@ def route(risk: Column, accept: Column, abstain: Column) -> Column:
 
 
 def badge(risk: Column) -> Column:
+    """Up to 0.25 low, up to 0.60 medium; risks outside the unit interval count as its ends."""
     r = F.least(F.greatest(risk, F.lit(0.0)), F.lit(1.0))
-    return F.when(r < 0.25, "LOW").when(r < 0.60, "MEDIUM").otherwise("HIGH")
+    return F.when(r <= 0.25, "LOW").when(r <= 0.60, "MEDIUM").otherwise("HIGH")
+
+
+# Fixed marks and labels of statuses.
+STATUS_MARKS = {"SUPPORTED": "✅", "VERIFIED": "✅", "UNCERTAIN": "⚠️", "ABSTAINED": "🚫", "NOT_VERIFIED": "❌"}
+ANSWER_LABELS = {"FULLY_SUPPORTED": ("Fully Verified", "✅"), "PARTIALLY_VERIFIED": ("Partially Verified", "⚠️"), "ABSTAINED": ("Cannot Be Verified", "🚫")}
+OTHER_MARK = "ℹ️"
+
+
+def status_badge(status: Column) -> Column:
+    """Label (upper case, trimmed; empty for NULL) and mark of an atom's status; a neutral mark for others."""
+    label = F.upper(F.trim(F.coalesce(status, F.lit(""))))
+    mark = F.lit(OTHER_MARK)
+    for name, sign in STATUS_MARKS.items():
+        mark = F.when(label == name, sign).otherwise(mark)
+    return F.struct(label.alias("label"), mark.alias("mark"))
+
+
+def answer_badge(status: Column) -> Column:
+    """Label and mark of an answer's status; another status is its own label."""
+    label, mark = status, F.lit(OTHER_MARK)
+    for name, (text, sign) in ANSWER_LABELS.items():
+        label, mark = F.when(status == name, text).otherwise(label), F.when(status == name, sign).otherwise(mark)
+    return F.struct(label.alias("label"), mark.alias("mark"))
+
+
+def span_divergence(p: Column, q: Column, start: Column, stop: Column, characters: int = 4) -> Column:
+    """Divergence over the tokens of a character span, ``characters`` to a token and at least one; NULL if the lists don't both cover
+    the same tokens of it, or there is no span. Log-probabilities that underflow to 0 add nothing."""
+    first = F.floor(start / characters).cast("int")
+    n = F.greatest(first + 1, F.floor(stop / characters).cast("int")) - first
+    cut = lambda x: F.slice(x, first + 1, n)
+    some = (start >= 0) & (F.size(cut(p)) > 0) & (F.size(cut(p)) == F.size(cut(q)))
+    kl = F.aggregate(F.zip_with(cut(p), cut(q), lambda a, b: F.when((F.exp(a) > 0) & (F.exp(b) > 0), F.exp(a) * (a - b)).otherwise(0.0)), F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0)))
+    return F.when(some, F.least(F.greatest(kl / 5, F.lit(0.0)), F.lit(1.0)))
+
+
+def chosen_divergence(p: Column, q: Column, start: Column, stop: Column, cosine: Column) -> Column:
+    """The signal of an atom: by log-probabilities of its span where both lists cover it, else one minus the cosine of claim and the
+    answer without context, to four digits; NULL where neither is known."""
+    return F.coalesce(span_divergence(p, q, start, stop), F.round(1 - cosine, 4))
 
 
 def combine(decided: DataFrame, answer: str = "question") -> DataFrame:

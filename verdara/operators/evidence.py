@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdara.functions.normalize import PERCENT, SECTION_WORDS, date
-from verdara.operators.decide import WEIGHTS, mean_entropy
+from verdara.operators.decide import WEIGHTS, badge, mean_entropy
 from verdara.operators.evaluate import tuned, wrong_at_coverage
 from verdara.operators.guarantee import draw
 from verdara.operators.retrieval import ranking_quality
@@ -310,8 +310,7 @@ def temporal_tags(questions: DataFrame, versions: DataFrame, since: Column) -> D
 
 
 def atom_row(risk: Column) -> Column:
-    r = F.least(F.greatest(risk, F.lit(0.0)), F.lit(1.0))
-    return F.struct(F.round(risk, 4).alias("risk"), F.when(r < 0.25, "LOW").when(r < 0.60, "MEDIUM").otherwise("HIGH").alias("badge"))
+    return F.struct(F.round(risk, 4).alias("risk"), badge(risk).alias("badge"))
 
 
 def source_row(text: Column, characters: int = 300) -> Column:

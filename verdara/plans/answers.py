@@ -40,6 +40,22 @@ def judge_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.within_budget(atoms(spark, sf_dir).select("question", "atom"), "question", "atom").groupBy("question").agg(F.count_if("judged").alias("judged"), F.count_if(~F.col("judged")).alias("left_out"))
 
 
+def judged_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the uncertain atoms: every third reply holds none, every seventh is missing, and a question has 20 calls."""
+    rows = atoms(spark, sf_dir).where("risk > 0.1")
+    verdict = F.when(F.col("atom") % 2 == 0, "verified").otherwise("NOT_VERIFIED")
+    raw = F.when(F.col("atom") % 3 == 0, "can't say").otherwise(F.concat(F.lit('{"verdict": "'), verdict, F.lit('", "evidence_quote": "e'), F.col("atom").cast("string"), F.lit('"}')))
+    return A.judged_rows(rows.select("question", "atom"), rows.where("atom % 7 > 0").select("atom", raw.alias("raw")), "question", "atom")
+
+
+def ordered_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as atoms of an answer, placed by part, every fourth without a place."""
+    start = F.when(F.col("l_partkey") % 4 > 0, F.col("l_partkey"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("no"), start.alias("start"))))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(listed.alias("atoms"))
+    return rows.select("l_orderkey", F.array_join(F.transform(A.in_text_order(F.col("atoms")), lambda a: a["no"].cast("string")), ",").alias("atoms"))
+
+
 def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence of three values with two of them marked, and the trimmed form."""
     k = F.col("p_partkey").cast("string")
@@ -76,7 +92,7 @@ def trained_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final.groupBy("kind").agg(F.count("*").alias("n"), F.avg("risk").alias("mean_risk"), F.avg("wrong").alias("wrong_share")).withColumns({k: F.lit(v) for k, v in found.items()})
 
 
-QUERIES = {f.__name__: f for f in (typed_atoms, comparison_words, judge_replies, prelabels, judge_budget, rewritten, trained_risk, signal_ablation)}
+QUERIES = {f.__name__: f for f in (typed_atoms, comparison_words, judge_replies, prelabels, judge_budget, judged_atoms, ordered_atoms, rewritten, trained_risk, signal_ablation)}
 
 ORACLES = {
     "typed_atoms": """WITH t AS (SELECT p_partkey, 'Pay ' || p_size || '.5 per cent within ' || p_size || ' days under Section ' || p_size || '(2) from 12/03/2024' AS text, p_size FROM part),
@@ -87,5 +103,8 @@ SELECT p_partkey, kind, text, CAST(strpos(body, CASE WHEN kind = 'THRESHOLD' THE
     "judge_replies": "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'VERIFIED' END AS verdict, CASE WHEN event_id % 4 < 2 THEN 'seen' END AS rationale, CASE WHEN event_id % 4 < 2 THEN 'q' || event_id END AS quote FROM events",
     "prelabels": f"""WITH {ATOMS} SELECT CASE WHEN atom % 4 = 1 OR risk >= 0.7 THEN 'unsupported' WHEN risk <= 0.3 AND (atom % 4 = 0 OR atom % 5 = 0) THEN 'supported' ELSE 'uncertain' END AS label, kind, count(*) AS n FROM atoms GROUP BY 1, 2""",
     "judge_budget": f"WITH {ATOMS} SELECT question, least(count(*), 20) AS judged, greatest(count(*) - 20, 0) AS left_out FROM atoms GROUP BY question",
+    "judged_atoms": f"""WITH {ATOMS}, u AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY atom) <= 20 AS called FROM atoms WHERE risk > 0.1), v AS (SELECT *, called AND atom % 7 > 0 AND atom % 3 > 0 AS good FROM u)
+SELECT atom, CASE WHEN good AND atom % 2 = 0 THEN 'VERIFIED' ELSE 'NOT_VERIFIED' END AS verdict, CASE WHEN good THEN '' WHEN NOT called THEN 'the question''s calls are used up' WHEN atom % 7 = 0 THEN 'no reply' ELSE 'no verdict in the reply' END AS rationale, CASE WHEN good THEN 'e' || atom ELSE 'none' END AS quote, called FROM v""",
+    "ordered_atoms": "SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_partkey % 4 = 0, CASE WHEN l_partkey % 4 > 0 THEN l_partkey ELSE 0 END, l_linenumber, CASE WHEN l_partkey % 4 > 0 THEN l_partkey END NULLS FIRST) AS atoms FROM lineitem GROUP BY l_orderkey",
     "rewritten": "SELECT p_partkey, 'The rate is [REJECTED: r' || p_partkey || ']. The limit is [⚠ UNVERIFIED: long-t' || p_partkey || ']. It starts on d' || p_partkey || '.' AS flagged, 'It starts on d' || p_partkey || '.' AS trimmed FROM part",
 }

@@ -384,7 +384,7 @@ UNION ALL SELECT atom, 'contradiction', CASE atom % 5 WHEN 2 THEN head || ws ||
     "amendment_pairs": f"WITH {VERSIONS} SELECT section, version AS before, lead(version) OVER (PARTITION BY section ORDER BY effective_from, version) AS after FROM versions QUALIFY after IS NOT NULL",
     "temporal_tags": f"""WITH {VERSIONS}, l AS (SELECT DISTINCT section FROM versions WHERE effective_to IS NOT NULL AND effective_from >= DATE '1997-06-01'), t AS (SELECT c_custkey AS question, CASE WHEN c_custkey % 10 = 0 OR c_custkey % 7 = 0 THEN 'value' WHEN c_custkey IN (SELECT section FROM l) THEN 'supersession' END AS drift_type FROM customer)
 SELECT question, drift_type IS NOT NULL AS temporal, drift_type FROM t""",
-    "atom_rows": f"WITH {ATOMS}, r AS (SELECT atom, risk * 2 - 0.3::DOUBLE AS r FROM atoms) SELECT atom, round(r, 4) AS risk, CASE WHEN r < 0.25 THEN 'LOW' WHEN r < 0.6 THEN 'MEDIUM' ELSE 'HIGH' END AS badge FROM r",
+    "atom_rows": f"WITH {ATOMS}, r AS (SELECT atom, risk * 2 - 0.3::DOUBLE AS r FROM atoms) SELECT atom, round(r, 4) AS risk, CASE WHEN r <= 0.25 THEN 'LOW' WHEN r <= 0.6 THEN 'MEDIUM' ELSE 'HIGH' END AS badge FROM r",
     "chunk_names": r"SELECT p_partkey, p_name || ' > ' || p_type || ' > General' AS breadcrumb, regexp_replace(p_partkey || '_' || p_type, '\s+', '_', 'g') AS chunk_id FROM part",
     "text_forms": "SELECT p_partkey, 'Pay ₹ ' || p_size || ' for payment in hours.' || chr(10) || chr(10) || 'End' AS cleaned, 'first ' || p_size || '|second|third' AS listed, 'A long enough sentence ' || p_size || '|Another long enough sentence here' AS plain, 'rate-cut|' || p_size || '0|days' AS words FROM part",
 }

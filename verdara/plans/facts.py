@@ -117,6 +117,22 @@ def entropy_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", F.round(D.mean_entropy(F.col("t.p"), F.lit(1), F.size("t")), 6).alias("s_ent"), F.round(D.divergence(F.col("t.a"), F.col("t.b")), 6).alias("s_div"))
 
 
+def chosen_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as tokens of two answers; some orders without a span, some with a shorter second list."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (-F.col("l_discount") * 10 - 1).alias("a"), (-F.col("l_tax") * 10 - 1).alias("b")))).alias("t"))
+    key = F.col("l_orderkey")
+    short = F.when(key % 5 == 0, F.slice("t.b", 1, 1)).otherwise(F.col("t.b"))
+    made = D.chosen_divergence(F.col("t.a"), short, F.when(key % 7 > 0, key % 12), key % 12 + key % 9, F.when(key % 3 > 0, key % 100 / 100.0))
+    return rows.select("l_orderkey", F.round(made, 6).alias("s_div"))
+
+
+def status_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Badges of routed atoms' statuses, and labels of answers', counted."""
+    one = _routed(spark, sf_dir).select(D.status_badge(F.col("status")).alias("b"))
+    many = answer_combine(spark, sf_dir).select(D.answer_badge(F.col("answer_status")).alias("b"))
+    return one.unionByName(many).groupBy("b.label", "b.mark").agg(F.count("*").alias("n"))
+
+
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without a usable label; toxic ones count as failed."""
     done = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "ERROR").otherwise("DONE").alias("status"))
@@ -162,7 +178,7 @@ def dedupe_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (norm_amount, norm_percent, norm_basis_points, norm_date, norm_section, v1_status, version_in_force, temporal_filter_rank, amendment_events, stratum_route, answer_combine, fallback_risk, retrieval_signal, entropy_signal, resume_pending, splits_document, splits_random, splits_family, leakage_report, leak_ban, dedupe_atoms)
+    for f in (norm_amount, norm_percent, norm_basis_points, norm_date, norm_section, v1_status, version_in_force, temporal_filter_rank, amendment_events, stratum_route, answer_combine, fallback_risk, retrieval_signal, entropy_signal, chosen_divergence, status_badges, resume_pending, splits_document, splits_random, splits_family, leakage_report, leak_ban, dedupe_atoms)
 }
 
 _ROUTED = f"""{ATOMS},
@@ -203,7 +219,7 @@ QUALIFY row_number() OVER (PARTITION BY question, section, as_of ORDER BY effect
   FROM versions WHERE effective_from <= DATE '1998-07-01' AND (effective_to IS NULL OR effective_to >= DATE '1998-07-01'))
 SELECT section, version, entropy, row_number() OVER (PARTITION BY section ORDER BY entropy, version) AS rank FROM s""",
     "amendment_events": f"WITH {VERSIONS} SELECT effective_from, count(*) AS n_sections FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY effective_from, version) AS n FROM versions) WHERE n > 1 GROUP BY effective_from",
-    "stratum_route": f"WITH {_ROUTED} SELECT atom, stratum_used, status, CASE WHEN risk < 0.25 THEN 'LOW' WHEN risk < 0.6 THEN 'MEDIUM' ELSE 'HIGH' END AS badge FROM routed",
+    "stratum_route": f"WITH {_ROUTED} SELECT atom, stratum_used, status, CASE WHEN risk <= 0.25 THEN 'LOW' WHEN risk <= 0.6 THEN 'MEDIUM' ELSE 'HIGH' END AS badge FROM routed",
     "answer_combine": f"""WITH {_ROUTED} SELECT question, count(*) AS n_total, count(*) FILTER (status = 'ACCEPTED') AS n_accepted, count(*) FILTER (status = 'UNCERTAIN') AS n_uncertain, count(*) FILTER (status = 'ABSTAINED') AS n_abstained,
   round(count(*) FILTER (status = 'ACCEPTED') / count(*)::DOUBLE, 6) AS coverage, CASE WHEN bool_and(status = 'ACCEPTED') THEN 'FULLY_SUPPORTED' WHEN NOT bool_or(status = 'ACCEPTED') THEN 'ABSTAINED' ELSE 'PARTIALLY_SUPPORTED' END AS answer_status FROM routed GROUP BY question""",
     "fallback_risk": f"""WITH {ATOMS}, w AS (SELECT atom, risk, CASE WHEN atom % 2 <> 0 THEN 0.30 ELSE 0 END AS a, CASE WHEN atom % 3 <> 0 THEN 0.25 ELSE 0 END AS b, CASE WHEN atom % 5 <> 0 THEN 0.15 ELSE 0 END AS c, CASE WHEN atom % 7 <> 0 THEN 0.10 ELSE 0 END AS d, CASE WHEN atom % 11 <> 0 THEN 0.10 ELSE 0 END AS e FROM atoms)
@@ -219,3 +235,11 @@ SELECT l_orderkey, round(avg(least(-p, 5.0)) FILTER (i > 1), 6) AS s_ent, round(
     "leak_ban": f"SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE {split_sql('o_custkey')} = 'test') GROUP BY l_orderkey",
     "dedupe_atoms": "SELECT conv_id, role, md5(text) AS text_md5, min(turn) AS turn FROM conversations WHERE text <> '' GROUP BY conv_id, role, md5(text)",
 }
+
+_TOKENS = "SELECT l_orderkey, list(-l_discount * 10 - 1 ORDER BY l_linenumber, -l_discount, -l_tax) AS a, list(-l_tax * 10 - 1 ORDER BY l_linenumber, -l_discount, -l_tax) AS b FROM lineitem GROUP BY l_orderkey"
+ORACLES["chosen_divergence"] = f"""WITH t AS (SELECT l_orderkey, a, CASE WHEN l_orderkey % 5 = 0 THEN b[1:1] ELSE b END AS b, CASE WHEN l_orderkey % 7 > 0 THEN l_orderkey % 12 // 4 END AS s, (l_orderkey % 12 + l_orderkey % 9) // 4 AS e FROM ({_TOKENS})),
+c AS (SELECT l_orderkey, a[s + 1:greatest(s + 1, e)] AS p, b[s + 1:greatest(s + 1, e)] AS q, s FROM t)
+SELECT l_orderkey, round(CASE WHEN s IS NOT NULL AND len(p) > 0 AND len(p) = len(q) THEN least(greatest(list_sum(list_transform(list_zip(p, q), lambda x: exp(x[1]) * (x[1] - x[2]))) / 5, 0), 1) WHEN l_orderkey % 3 > 0 THEN round(1 - l_orderkey % 100 / 100.0::DOUBLE, 4) END, 6) AS s_div FROM c"""
+ORACLES["status_badges"] = f"""WITH r AS ({ORACLES['stratum_route']}), c AS ({ORACLES['answer_combine']})
+SELECT status AS label, CASE status WHEN 'UNCERTAIN' THEN '⚠️' WHEN 'ABSTAINED' THEN '🚫' ELSE 'ℹ️' END AS mark, count(*) AS n FROM r GROUP BY ALL
+UNION ALL SELECT CASE answer_status WHEN 'FULLY_SUPPORTED' THEN 'Fully Verified' WHEN 'ABSTAINED' THEN 'Cannot Be Verified' ELSE answer_status END, CASE answer_status WHEN 'FULLY_SUPPORTED' THEN '✅' WHEN 'ABSTAINED' THEN '🚫' ELSE 'ℹ️' END, count(*) FROM c GROUP BY ALL"""
