@@ -198,7 +198,7 @@ def test_badges(spark):
     ([-1.0], [-2.0], 40, 48, 0.25, 0.75),
     ([-2.0], [-1.0], 0, 4, 0.25, 0.0),
     ([-1.0], [-1000.0], 0, 4, 0.25, 0.0),
-    ([-1.0], [-2.0], None, None, 0.12345, 0.8766),
+    ([-1.0], [-2.0], None, None, 0.12341, 0.8766),
     (None, [-2.0], 0, 4, None, None),
 ])
 def test_chosen_divergence(spark, p, q, start, stop, cosine, expected):
