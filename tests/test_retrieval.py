@@ -74,3 +74,16 @@ def test_index_is_reused_until_a_file_changes(spark, tmp_path):
     rows.write.mode("append").parquet(str(tmp_path / "t"))
     second = R.index_of(spark.read.parquet(str(tmp_path / "t")), "doc")
     assert second != first and spark.read.parquet(f"{second}/sizes").first()["n"] == 4
+
+
+def test_stored_blocks_are_read_in_small_groups(spark, tmp_path, monkeypatch):
+    """A reader holds a row group at once, so its blocks are few, and long documents make smaller blocks."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(R, "BLOCK_DOCS", 4)
+    docs = [(i, f"t{i}x common") for i in range(400)] + [(400 + i, "long " * 90_000) for i in range(8)]
+    R.write_index(spark.createDataFrame(docs, "doc long, text string"), "doc", str(tmp_path / "i"))
+    files = [pq.ParquetFile(f) for f in (tmp_path / "i" / "blocks").glob("*.parquet")]
+    assert max(f.metadata.row_group(g).num_rows for f in files for g in range(f.num_row_groups)) <= R.GROUP_BLOCKS
+    sizes = [sum(s) for f in files for s in f.read(["sizes"])["sizes"].to_pylist()]
+    assert sum(sizes) == 400 * 2 + 8 * 90_000 and max(sizes) <= R.BLOCK_TOKENS
