@@ -170,3 +170,20 @@ def test_release_gate(spark, change, broken):
     made = E.release_gate(*gate_tables(spark, **change)).collect()
     assert {r["rule"] for r in made if not r["holds"]} == broken and len(made) == 23
     assert all(r["holds"] == (r["failing"] == 0) for r in made)
+
+
+def test_values_are_read_for_the_kinds_asked(spark):
+    """Patterns of kinds that no atom has cost nothing; statuses stay the same."""
+    from verdara.functions import normalize as N
+    from verdara.operators import verify as V
+
+    atoms = spark.createDataFrame([(1, 1, "RATE", 5.0), (2, 1, "ENTITY", None), (3, 2, "RATE", 5.0), (4, 3, "RATE", 5.0), (5, 1, "COMPUTED", None), (6, 1, None, 1.0)], "atom int, question int, kind string, value double")
+    evidence = spark.createDataFrame([(1, "5 per cent of Rs 4 lakh on 5 March 2023 under section 5"), (1, "7 %"), (2, "Rs 5 lakh"), (4, None)], "question int, text string")
+    made = V.v1(atoms, evidence)
+    assert {tuple(r) for r in made.collect()} == {(1, "MATCH"), (2, "NA"), (3, "NOT_FOUND"), (4, "NOT_FOUND"), (5, "NOT_FOUND"), (6, "NA")}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "cent" in plan and "lakh" not in plan and "section" not in plan
+    assert {r[0] for r in V.v1(atoms.where("kind = 'ENTITY'"), evidence).select("v1_status").collect()} == {"NA"}
+    amount = N.amount(F.col("text"))
+    assert str(amount).count("crores?") <= 2
+    assert [r[0] for r in spark.createDataFrame([("Rs 4 lakh",), ("2.5 Crores",), ("7 days",), ("none",), (None,)], "text string").select(amount).collect()] == [4e5, 2.5e7, 7.0, None, None]

@@ -24,10 +24,9 @@ def _number(text: Column) -> Column:
 def amount(text: Column) -> Column:
     """Rupees; a number without a unit counts as it is; NULL without a number."""
     flat = F.lower(F.regexp_replace(F.regexp_replace(text, "`", "₹"), r"/-", ""))
-    unit = F.regexp_extract(flat, AMOUNT, 2)
-    scale = F.lit(1.0)
-    for name, value in UNITS.items():
-        scale = F.when(unit == name, F.lit(value)).otherwise(scale)
+    # A map is looked up once; a chain of comparisons would match the pattern once for every unit.
+    units = F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair))
+    scale = F.coalesce(F.try_element_at(units, F.regexp_extract(flat, AMOUNT, 2)), F.lit(1.0))
     return _number(F.nullif(F.regexp_extract(flat, AMOUNT, 1), F.lit(""))) * scale
 
 

@@ -29,15 +29,21 @@ def found_values(kind: str, text: Column) -> Column:
     return F.array_distinct(F.filter(values, lambda v: v.isNotNull()))
 
 
-def read_values(evidence: DataFrame, text: str = "text") -> DataFrame:
-    """``evidence`` with the values of every kind, each text read once, before any atom meets it."""
-    return evidence.select(*(c for c in evidence.columns if c != text), *(found_values(k, F.col(text)).alias(f"_{k}") for k in KINDS))
+def kinds_of(atoms: DataFrame) -> tuple[str, ...]:
+    """The kinds, of those that are looked up in texts, that some atom has."""
+    asked = {r["kind"] for r in atoms.select("kind").where(F.col("kind").isin(*KINDS)).distinct().collect()}
+    return tuple(k for k in KINDS if k in asked)
 
 
-def check(kind: Column, value: Column, text_value: Column) -> Column:
-    """Status of an atom against the values that ``read_values`` has found: numbers for rates and thresholds, texts for the others."""
+def read_values(evidence: DataFrame, text: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """``evidence`` with the values of the kinds that are asked for, each text read once, before any atom meets it."""
+    return evidence.select(*(c for c in evidence.columns if c != text), *(found_values(k, F.col(text)).alias(f"_{k}") for k in kinds))
+
+
+def check(kind: Column, value: Column, text_value: Column, kinds: tuple[str, ...] = KINDS) -> Column:
+    """Status of an atom against the values that ``read_values`` has found for the same kinds: numbers for rates and thresholds, texts for the others."""
     out = F.when(kind == "COMPUTED", NOT_FOUND).otherwise(NA)
-    for name in KINDS:
+    for name in kinds:
         found = F.coalesce(F.col(f"_{name}"), F.array())
         same = F.exists(found, lambda v: N.numerically_equal(v, value)) if name in ("RATE", "THRESHOLD") else F.array_contains(found, text_value)
         known = value.isNull() if name in ("RATE", "THRESHOLD") else text_value.isNull()
@@ -58,13 +64,16 @@ def v1(atoms: DataFrame, evidence: DataFrame) -> DataFrame:
     """``atom, v1_status`` from ``atoms(atom, question, kind, value[, text_value])`` and ``evidence(question, text)``."""
     if "text_value" not in atoms.columns:
         atoms = atoms.withColumn("text_value", F.lit(None).cast("string"))
-    pairs = atoms.join(read_values(evidence), "question", "left")
-    return pairs.groupBy("atom").agg(best_status(check(F.col("kind"), F.col("value"), F.col("text_value"))).alias("v1_status"))
+    kinds = kinds_of(atoms)
+    pairs = atoms.join(read_values(evidence, kinds=kinds), "question", "left")
+    made = pairs.select("atom", check(F.col("kind"), F.col("value"), F.col("text_value"), kinds).alias("status"))  # once, before it is compared
+    return made.groupBy("atom").agg(best_status(F.col("status")).alias("v1_status"))
 
 
 def v1_cited(atoms: DataFrame, evidence: DataFrame) -> DataFrame:
     """``atom, v1_status, cited_status``: as ``v1``, with the status of the cited chunk apart; other chunks decide only where it is no match."""
-    pairs = atoms.join(read_values(evidence), "question", "left").withColumn("status", check(F.col("kind"), F.col("value"), F.col("text_value")))
+    kinds = kinds_of(atoms)
+    pairs = atoms.join(read_values(evidence, kinds=kinds), "question", "left").withColumn("status", check(F.col("kind"), F.col("value"), F.col("text_value"), kinds))
     here = F.col("chunk") == F.col("cited")
     cited = F.max(F.when(here, F.col("status")))  # one chunk a name
     return pairs.groupBy("atom").agg(cited.alias("cited_status"), best_status(F.col("status")).alias("all_status")).select("atom", F.when(F.col("cited_status") == MATCH, MATCH).otherwise(F.col("all_status")).alias("v1_status"), "cited_status")
