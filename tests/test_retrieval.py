@@ -126,3 +126,12 @@ def test_dense_search_holds_no_score_of_all_pairs():
         R._keep_best(best, best_id, rng.random((R.TILE_QUERIES, R.TILE_VECTORS)), np.arange(R.TILE_VECTORS))
     assert tracemalloc.get_traced_memory()[1] < 60e6
     tracemalloc.stop()
+
+
+def test_terms_are_counted_before_the_shuffle(spark):
+    """One row a term and task, not one a document and term, goes through the shuffle; texts are read once."""
+    docs = [(i, "aa bb.. aa " + "cc " * (i % 3)) for i in range(300)] + [(1, "aa"), (None, "aa dd"), (900, None), (901, "")]
+    df = spark.createDataFrame(docs, "doc int, text string").repartition(2)
+    made = R.term_counts(df)
+    assert {tuple(r) for r in made.collect()} == {("aa", 302, 602), ("bb", 300, 300), ("cc", 200, 300), ("dd", 1, 1)}
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
