@@ -187,3 +187,17 @@ def test_values_are_read_for_the_kinds_asked(spark):
     amount = N.amount(F.col("text"))
     assert str(amount).count("crores?") <= 2
     assert [r[0] for r in spark.createDataFrame([("Rs 4 lakh",), ("2.5 Crores",), ("7 days",), ("none",), (None,)], "text string").select(amount).collect()] == [4e5, 2.5e7, 7.0, None, None]
+
+
+def test_word_chunks_read_a_page_once(spark):
+    """Pages are cut once, though both the chunks and what is carried between pages need them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pages = spark.createDataFrame([(d, p, "Section 5\nword word") for d in range(5) for p in range(4)], "doc_id long, page_no int, text string")
+    made = chunking.word_chunks(pages.mapInArrow(each, pages.schema), 100, 1)
+    assert made.count() == 20 and read.value == 20

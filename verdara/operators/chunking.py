@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdara.functions.text import is_chapter, is_heading, is_section, lines
+from verdara.operators.retrieval import scratch
 
 
 def numbered_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,22 +40,21 @@ def chunk_id(doc: str, section: str):
     return F.regexp_replace(F.concat_ws("_", doc, section), r"\s+", "_")
 
 
-def _ranges(kept: Column, words: int, overlap: int) -> Column:
-    """First and last line of each chunk of a page's lines: a fold that closes a chunk at ``words`` words and at the page's end."""
-    count = lambda line: F.size(F.split(line, r"\s+"))
-    total = lambda part: F.aggregate(part, F.lit(0), lambda n, line: n + count(line))
+def _ranges(counts: Column, words: int, overlap: int) -> Column:
+    """First and last line of each chunk of a page, from its lines' numbers of words: a fold that closes a chunk at ``words`` words and at the page's end."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda n, count: n + count)
     span = lambda first, last: F.array(F.struct(first.alias("first"), last.alias("last")))
     start = F.struct(F.lit(1).alias("first"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
 
-    def step(s: Column, line: Column) -> Column:
-        at, n = s["at"] + 1, s["n"] + count(line)
+    def step(s: Column, count: Column) -> Column:
+        at, n = s["at"] + 1, s["n"] + count
         full, repeats = n >= words, at - s["first"] + 1 > overlap
         first = F.when(~full, s["first"]).when(repeats, at - overlap + 1).otherwise(at + 1)
-        held = F.when(~full, n).when(repeats, total(F.slice(kept, at - overlap + 1, F.lit(overlap)))).otherwise(0)
+        held = F.when(~full, n).when(repeats, total(F.slice(counts, at - overlap + 1, F.lit(overlap)))).otherwise(0)
         done = F.when(full, F.concat(s["done"], span(s["first"], at))).otherwise(s["done"])
         return F.struct(first.alias("first"), at.alias("at"), held.alias("n"), done.alias("done"))
 
-    return F.aggregate(kept, start, step, lambda s: F.when(s["first"] <= s["at"], F.concat(s["done"], span(s["first"], s["at"]))).otherwise(s["done"]))
+    return F.aggregate(counts, start, step, lambda s: F.when(s["first"] <= s["at"], F.concat(s["done"], span(s["first"], s["at"]))).otherwise(s["done"]))
 
 
 def word_chunks(pages: DataFrame, words: int = 600, overlap: int = 3, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
@@ -65,19 +65,25 @@ def word_chunks(pages: DataFrame, words: int = 600, overlap: int = 3, doc: str =
     chapter and section in force at a chunk's last line pass over page ends. Pages without a line (null texts too) have no chunk; pages of
     equal number follow by the hash of their text, equal rows count once; a NULL document is one document.
 
-    A page is cut by itself. Only its last headings and its number of chunks are put in order within a document, so no text is sorted,
+    A page is cut by itself, once, and written to the session's shared folder. Only its last headings and its number of chunks are put in order within a document, so no text is sorted,
     and a document of very many pages stays spread.
     """
     trimmed = F.filter(F.transform(lines(F.col(text)), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
     key = ["doc", "page", "_hash"]
     one = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.md5(F.col(text)).alias("_hash"), trimmed.alias("_lines")).where(F.size("_lines") > 0)
-    one = one.groupBy(*key).agg(F.first("_lines").alias("_lines")).withColumn("_ranges", _ranges(F.col("_lines"), words, overlap))
+    one = one.groupBy(*key).agg(F.first("_lines").alias("_lines"))
+    # The generator makes the numbers of words once for all that the fold asks of them.
+    one = one.select(*key, "_lines", F.explode(F.array(F.transform("_lines", lambda s: F.size(F.split(s, r"\s+"))))).alias("_counts"))
+    one = one.select(*key, "_lines", _ranges(F.col("_counts"), words, overlap).alias("_ranges"))
 
     def opened(by: Callable[[Column], Column], most: int) -> Column:
         placed = F.transform("_lines", lambda s, i: F.when(by(s), F.struct((i + 1).alias("at"), F.substring(s, 1, most).alias("line"))))
         return F.filter(placed, lambda x: x.isNotNull())
 
     made = one.withColumns({"_chapters": opened(lambda s: is_chapter(s, whole=False), 80), "_sections": opened(lambda s: is_section(s, ("section", "paragraph")), 100)})
+    path = scratch(pages.sparkSession, "chunks")
+    made.write.parquet(path)  # read twice below; without it every page would be read and cut twice
+    made = pages.sparkSession.read.schema(made.schema).parquet(path)
     last = lambda found: F.get(found, F.size(found) - 1)["line"]
     before = Window.partitionBy("doc").orderBy("page", "_hash").rowsBetween(Window.unboundedPreceding, -1)
     slim = made.select(*key, F.size("_ranges").alias("n"), last(F.col("_chapters")).alias("c"), last(F.col("_sections")).alias("s"))
