@@ -4,6 +4,7 @@ import collections
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from verdara.operators import retrieval as R
@@ -89,6 +90,15 @@ def test_stored_blocks_are_read_in_small_groups(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 400 * 2 + 8 * 90_000 and max(sizes) <= R.BLOCK_TOKENS
 
 
+def test_a_block_is_sent_compressed(spark, tmp_path):
+    """Spark sends many blocks to Python in one batch; as arrays of numbers each took several times its stored size."""
+    docs = [(i, " ".join(f"w{(i * 7 + j * j) % 900}x" for j in range(200))) for i in range(600)]
+    R.write_index(spark.createDataFrame(docs, "doc long, text string").coalesce(1), "doc", str(tmp_path / "i"))
+    rows = spark.read.parquet(str(tmp_path / "i" / "blocks")).collect()
+    plain = sum(4 * sum(len(c) for c in R._unpacked(pa.scalar(bytes(r["postings"]), pa.binary()))) for r in rows)
+    assert sum(len(r["docs"]) for r in rows) == 600 and 2 * sum(len(r["postings"]) for r in rows) < plain
+
+
 def test_dense_search_by_tiles_equals_a_loop(spark, monkeypatch):
     """Ties, NaN and zero vectors, equal ids; the scores of a task stay small."""
     import numpy as np
