@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import os
+import pathlib
 import random
 import time
 import zlib
@@ -419,6 +420,27 @@ def test_shingles(spark, monkeypatch):
     assert ngram_join.components(empty(spark)).count() == 0
 
 
+def test_meeting_leaves_only_its_stars(spark, tmp_path):
+    """Tables of a step are dropped when the next is written; they used to stay on the disk until the end."""
+    docs = spark.createDataFrame([(i, sentence(40) if i % 3 else "the same words in every third row of all") for i in range(60)], "doc_id long, text string")
+    rows = ngram_join.cut(ngram_join.describe(docs, 4, 85))
+    tables = pathlib.Path(rows.table_path.removeprefix("file:")).parent
+    before = set(tables.iterdir())
+    stars = ngram_join.meeting(rows.withColumn("side", F.lit(0)))
+    left = set(tables.iterdir()) - before
+    assert [p.name for p in left] == [pathlib.Path(stars.table_path).name]
+
+
+def test_only_doubtful_rows_of_representatives_are_shuffled(spark):
+    """Texts of rows that are kept and not repeated pass by the shuffle; all columns and one copy of repeated rows stay."""
+    texts = [sentence(30) for _ in range(40)]
+    rows = [(i, t, f"s{i}") for i, t in enumerate(texts)] + [(50, texts[3], "copy"), (7, texts[7], "s7"), (None, texts[9], "null"), (None, None, "no text"), (60, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = ngram_join.representatives(docs)
+    assert collections.Counter(map(tuple, made.collect())) == collections.Counter([*rows[:40], (None, None, "no text"), (60, "", "empty")])
+    assert "Union" in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shingles_block_by_block(spark, monkeypatch):
     """Families that stay large after the turns are multiplied with all their blocks."""
     for name, value in (("BLOCK_ROWS", 8), ("WHOLE", 12), ("TURNS", 1)):
