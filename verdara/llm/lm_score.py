@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.llm.common import bucket_of, chunks, cut, lower_words_of
+from verdara.llm.common import bucket_of, chunks, cut, lower_words_of, release
 
 #: Words with a code of their own, and short words with a context of their own.
 FREQUENT, SHORTS = (1 << 17) - 2, 32
@@ -158,7 +158,10 @@ class Bits:
         payload = [self.mixer.sums().tobytes()]
         for i in used:
             at = np.flatnonzero(cells[i])
-            payload.append(at.astype(np.uint16).tobytes() + cells[i, at].tobytes())
+            both, at = cells[i, at], at.astype(np.uint16)
+            few = both < 256 * self.ONE  # most cells: 4 bytes instead of 10
+            parts = (np.int32(few.sum()), at[few], (both[few] >> 32).astype(np.uint8), both[few].astype(np.uint8), at[~few], both[~few])
+            payload.append(b"".join(x.tobytes() for x in parts))
         return pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array(payload, pa.binary())], ["block", "sums"])
 
     def added(self, shards: DataFrame) -> Bits:
@@ -171,9 +174,12 @@ class Bits:
                     if block < 0:
                         sums[block] = sums.get(block, 0) + np.frombuffer(payload, np.int64)
                         continue
-                    n = len(payload) // 10
+                    n = int(np.frombuffer(payload, np.int32, 1)[0])
+                    more = (len(payload) - 4 - 4 * n) // 10
                     cells = sums.setdefault(block, np.zeros(CELL, np.int64))
-                    cells[np.frombuffer(payload, np.uint16, n)] += np.frombuffer(payload[2 * n :], np.int64)
+                    seen, ones = np.frombuffer(payload, np.uint8, 2 * n, 4 + 2 * n).astype(np.int64).reshape(2, n)
+                    cells[np.frombuffer(payload, np.uint16, n, 4)] += (seen << 32) + ones
+                    cells[np.frombuffer(payload, np.uint16, more, 4 + 4 * n)] += np.frombuffer(payload[4 + 4 * n + 2 * more :], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
 
         cells = self.counts.reshape(-1, CELL)
@@ -351,6 +357,7 @@ def scores(docs: DataFrame, held_out_modulus: int = 10) -> DataFrame:
     fold = bucket_of("doc_id", held_out_modulus)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), (fold == 0).alias("held_out"), (fold <= 0).alias("unlearned"))
     counts = cut(word_counts(docs))
+    release(spark)  # shuffles of a pass are dropped before the next one
     ends = docs.where("NOT unlearned").count()
     spectrum = sorted(counts.where("c > 0").groupBy("c").agg(F.count("*").alias("n")).collect(), reverse=True)
     train_tokens = sum(r["c"] * r["n"] for r in spectrum) + ends
@@ -385,6 +392,7 @@ def scores(docs: DataFrame, held_out_modulus: int = 10) -> DataFrame:
 
     training = shards_of(docs.where("NOT unlearned").select("text"))
     words_model = new_words().added(training.mapInArrow(reading, "block int, sums binary"))
+    release(spark)
 
     def spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = new_spelling()
@@ -397,6 +405,7 @@ def scores(docs: DataFrame, held_out_modulus: int = 10) -> DataFrame:
 
     distinct_words = shards_of(counts.where("c > 0").select("word"))
     spelling_model = new_spelling().added(distinct_words.mapInArrow(spelling, "block int, sums binary"))
+    release(spark)
     tables = spark.sparkContext.broadcast((words_model, spelling_model))
     below = np.log10(train_tokens + 0.1 * (distinct + 1))
     base_of = spark.sparkContext.broadcast(np.where(np.arange(len(known)) == ESCAPE, 0.0, np.log10(known + 0.1) - below))
