@@ -431,6 +431,28 @@ def test_meeting_leaves_only_its_stars(spark, tmp_path):
     assert [p.name for p in left] == [pathlib.Path(stars.table_path).name]
 
 
+def test_block_keys_are_not_stored_and_name_their_rows(spark, monkeypatch):
+    """The keys of all rows used to be written as a table and then shuffled with eight bytes of node each; now they travel once, by place in a block of rows."""
+    written, plain = [], ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df: written.append(set(df.columns)) or plain(df))
+    texts = [sentence(30) for _ in range(30)]
+    texts += [t.upper() for t in texts[:9]] + [texts[3] + " end"]  # copies in other tasks, one of which has a near copy
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5, "doc_id")
+    made = {r["doc_id"]: r["component_id"] for r in ngram_join.components(plain(docs)).collect()}
+    assert made == {i: {39: 3}.get(i, i if i < 30 else i - 30) for i in range(40)}
+    assert not any({"n_shingles", "keys"} <= columns for columns in written)
+    monkeypatch.setattr(ngram_join, "cut", plain)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:  # one batch of more rows than a block
+        rows = spark.range(0, 70_000, 1, 1).select(F.col("id").alias("node"), F.array(F.xxhash64(F.col("id") % 35_000)).alias("keys"), F.lit(1).cast("long").alias("need"), F.lit(0).alias("side"))
+        table = ngram_join.gathered(rows, 3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    node = {r["row"]: r["node"] for r in table if r["row"] is not None}
+    assert len(node) == 70_000 and {tuple(sorted(map(node.get, r["members"]))) for r in table if r["row"] is None} == {(i, i + 35_000) for i in range(35_000)}
+
+
 def test_only_doubtful_rows_of_representatives_are_shuffled(spark):
     """Texts of rows that are kept and not repeated pass by the shuffle; all columns and one copy of repeated rows stay."""
     texts = [sentence(30) for _ in range(40)]
