@@ -28,6 +28,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,11 @@ STEP, SPELL_STEP, AT_ONCE = 1024, 400, 2048
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, x.dtype.type(-20), x.dtype.type(20))))
+    out = np.clip(x, x.dtype.type(-20), x.dtype.type(20))
+    np.negative(out, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 class Mixer:
@@ -64,43 +69,74 @@ class Mixer:
         self.read = np.zeros(gates)
         self.ones = np.zeros(gates * self.STEPS)
         self.seen = np.zeros(gates * self.STEPS)
+        self.placed: list[tuple[np.ndarray, np.ndarray]] = []
         self.take(self.sums())
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        mixed = x[0] * self.weights[0].take(gate)
+        """Weighted sums of the inputs; fewer rows than weights are the last inputs, the others being zero."""
+        skip, part = len(self.weights) - len(x), np.empty(len(gate), np.float32)
+        mixed = self.weights[skip].take(gate)
+        mixed *= x[0]
         for k in range(1, len(x)):
-            mixed += x[k] * self.weights[k].take(gate)
+            self.weights[skip + k].take(gate, out=part, mode="clip")
+            part *= x[k]
+            mixed += part
         return mixed
 
     def place(self, mixed: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = (np.clip(mixed, np.float32(-7.99), np.float32(7.99)) + np.float32(8)) * np.float32((self.STEPS - 1) / 16)
+        at = np.clip(mixed, np.float32(-7.99), np.float32(7.99))
+        at += np.float32(8)
+        at *= np.float32((self.STEPS - 1) / 16)
         low = at.astype(np.int32)
-        return gate * self.STEPS + low, at - low
+        at -= low
+        return gate * self.STEPS + low, at
 
     def train(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float = 0.05) -> None:
         """Learn from one batch; steps shrink as a gate has moved."""
-        gates = len(self.read)
+        gates, skip = len(self.read), len(self.weights) - len(x)
         mixed = self.mix(x, gate)
         error = bit - squash(mixed)
         step = np.stack([np.bincount(gate, error * row, gates) for row in x])
-        self.moved += step * step
-        self.weights += (rate * step / np.sqrt(self.moved)).astype(np.float32)
-        self.read += np.bincount(gate, minlength=gates)
+        self.moved[skip:] += step * step
+        self.weights[skip:] += (rate * step / np.sqrt(self.moved[skip:])).astype(np.float32)
         low, part = self.place(mixed, gate)
-        for at, share in ((low, 1 - part), (low + 1, part)):
-            self.seen += np.bincount(at, share, len(self.seen))
-            self.ones += np.bincount(at, share * bit, len(self.seen))
+        low += low
+        low += bit
+        self.placed.append((low, part))
+        if len(self.placed) > 15:
+            self.count()
+
+    def count(self) -> None:
+        """Add the places of the bits learned from to the map, which nothing asks for before ``sums``."""
+        if not self.placed:
+            return
+        gates = len(self.read)
+        low, part = map(np.concatenate, zip(*self.placed, strict=True))
+        self.placed.clear()
+        # Each bit counts at two neighbours, 1 - part and part: one count and one sum by place and bit give all four.
+        number = np.bincount(low, minlength=2 * len(self.seen)).astype(float)
+        upper = np.bincount(low, part, 2 * len(self.seen))
+        lower = number - upper
+        self.read += number.reshape(gates, -1).sum(1)
+        seen = lower.reshape(-1, 2)
+        seen[1:] += upper.reshape(-1, 2)[:-1]  # the last place is never a lower one
+        self.seen += seen.sum(1)
+        self.ones += seen[:, 1]
 
     def predict(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Probability of a one: the mixed and the refined prediction in equal parts."""
         mixed = self.mix(x, gate)
         low, part = self.place(mixed, gate)
-        refined = self.refined.take(low)
-        refined += part * (self.refined.take(low + 1) - refined)
-        return np.clip((squash(mixed) + refined) * np.float32(0.5), np.float32(1e-6), np.float32(1 - 1e-6))
+        p = self.rise.take(low)
+        p *= part
+        p += self.refined.take(low)
+        p += squash(mixed)
+        p *= np.float32(0.5)
+        return np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p)
 
     def sums(self) -> np.ndarray:
         """Whole numbers that shards add up in any order."""
+        self.count()
         parts = (self.weights * self.read, self.read, self.ones, self.seen)
         return np.rint(np.concatenate([x.ravel() for x in parts]) * self.SCALE).astype(np.int64)
 
@@ -112,11 +148,15 @@ class Mixer:
         self.weights[:, known] = weights.reshape(inputs, gates)[:, known] / self.read[known]
         start = np.tile(squash(np.linspace(-8, 8, self.STEPS)), gates)
         self.refined = ((self.ones + self.TRUST * start) / (self.seen + self.TRUST)).astype(np.float32)
+        self.rise = np.diff(self.refined, append=np.float32(0))
 
 
 def confidence(n: np.ndarray) -> np.ndarray:
     """0 to 3: nothing, little, some or much seen."""
-    return (n > 0).astype(np.int32) + (n > 3) + (n > 60)
+    return CONFIDENCE.take(np.minimum(n, 61))
+
+
+CONFIDENCE = np.repeat(np.arange(4), (1, 3, 57, 1))
 
 
 class Bits:
@@ -128,28 +168,40 @@ class Bits:
         self.counts = np.zeros((contexts, 1 << slot_bits), np.int64)  # bits seen times ONE, and ones
         self.mixer = Mixer(contexts + 1, gates * 4)
 
-    def inputs(self, slots: list[np.ndarray], prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Predictions, and how much the last context has seen."""
-        x = np.empty((len(slots) + 1, len(prior)), np.float32)
-        x[0] = prior / (1 - prior)
-        one, zero = np.float32(0.4) * prior, np.float32(0.4) * (1 - prior)
+    def inputs(self, slots: np.ndarray, prior: np.ndarray | None, logit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions, and how much the last context has seen; without a prior it is a half, whose prediction is zero and left out."""
+        first = 0 if prior is None else 1
+        x = np.empty((len(slots) + first, slots.shape[1]), np.float32)
+        if first:
+            x[0] = logit
+            one = np.float32(0.4) * prior
+            zero = np.float32(0.4) - one
+        else:
+            one = zero = np.float32(0.2)
         for k, at in enumerate(slots):
             both = self.counts[k].take(at)
-            ones, seen = both.astype(np.uint32).astype(np.float32), (both >> 32).astype(np.float32)
-            np.divide(ones + one, seen - ones + zero, out=x[k + 1])
-        return np.log(x, out=x), confidence(seen)
-
-    def learn(self, slots: list[np.ndarray], prior: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
-        x, much = self.inputs(slots, prior)
-        self.mixer.train(x, gate * 4 + much, bit)
+            pair = both.view(np.uint32).astype(np.float32)  # low half: ones, high half: seen
+            ones, rest = pair[::2], pair[1::2] - pair[::2]
+            rest += zero
+            np.add(ones, one, out=x[k + first])
+            x[k + first] /= rest
+        np.log(x[first:], out=x[first:])
+        return x, confidence(both >> 32)
+
+    def learn(self, slots: np.ndarray, prior: np.ndarray | None, logit: np.ndarray | None, gate: np.ndarray, bit: np.ndarray) -> None:
+        x, much = self.inputs(slots, prior, logit)
+        much += gate
+        self.mixer.train(x, much, bit)
         step = bit + np.int64(self.ONE)
         for k, at in enumerate(slots):
             np.add.at(self.counts[k], at, step)
 
-    def log10(self, slots: list[np.ndarray], prior: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        x, much = self.inputs(slots, prior)
-        p = self.mixer.predict(x, gate * 4 + much)
-        return np.log10(np.where(bit > 0, p, 1 - p))
+    def log(self, slots: np.ndarray, prior: np.ndarray | None, logit: np.ndarray | None, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        x, much = self.inputs(slots, prior, logit)
+        much += gate
+        p = self.mixer.predict(x, much)
+        np.subtract(1, p, out=p, where=bit == 0)
+        return np.log(p, out=p)
 
     def blocks(self) -> pa.RecordBatch:
         """Non-empty blocks of the counts, sparse, and the mixer's sums as block -1, to be added up by ``added``."""
@@ -222,32 +274,42 @@ class Code:
         self.length = np.bincount(whose, minlength=leaves)
         self.first = np.cumsum(self.length) - self.length
         depth = np.arange(len(node)) - np.repeat(self.first, self.length)
-        self.gate = np.minimum(depth, DEPTHS - 1).astype(np.int32)
+        self.gate = np.minimum(depth, DEPTHS - 1) * 4  # four gates each, by what was seen
         # Three bits in a row share a line of the table: named by its first node, then by the bits since.
         since, line = depth % 3, np.arange(len(node)) - depth % 3
         one, two = self.bit[line], self.bit[np.minimum(line + 1, len(node) - 1)]
         self.place = np.select([since == 0, since == 1], [1, 2 + one], 4 + 2 * one + two).astype(np.uint8)
-        self.line = node[line].astype(np.uint32) * np.uint32(0x85EBCA6B)
+        self.line = node[since == 0].astype(np.uint32) * np.uint32(0x85EBCA6B)
+        self.width = np.diff(np.flatnonzero(since == 0), append=len(node))
+        self.lines = (self.length + 2) // 3
+        self.first_line = np.cumsum(self.lines) - self.lines
         share = lambda own: np.clip((ones[node] - own * self.bit + 0.2) / (total[node] - own + 0.4), 1e-6, 1 - 1e-6).astype(np.float32)
         self.prior, self.prior_without = share(0), share(1)
+        self.logit, self.logit_without = (np.log(p / (1 - p)) for p in (self.prior, self.prior_without))
 
 
-def node_bits(code: Code, leaf: np.ndarray, contexts: np.ndarray, learning: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots, prior, gate and value of every bit of the tokens, and each token's first bit; in learning the prior leaves out the bit's own count."""
-    sizes = code.length.take(leaf)
-    ends = np.cumsum(sizes)
+def node_bits(code: Code, leaf: np.ndarray, contexts: np.ndarray, learning: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots, prior, its logit, gate and value of every bit of the tokens, and each token's first bit; in learning the prior leaves out the bit's own count."""
+    sizes, lines = code.length.take(leaf), code.lines.take(leaf)
+    ends, line_ends = np.cumsum(sizes), np.cumsum(lines)
     begin = ends - sizes
-    at = np.arange(ends[-1]) + np.repeat(code.first.take(leaf) - begin, sizes)
-    line, place, slots = code.line.take(at), code.place.take(at), []
-    owner = np.repeat(np.arange(len(leaf)), sizes)
-    for c in contexts:
-        h = (c.take(owner) ^ line) * np.uint32(0xC2B2AE35)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x27D4EB2F)
-        h >>= np.uint32(35 - WORD_BITS)
-        h <<= np.uint32(3)
-        slots.append((h | place).astype(np.int64))
-    return slots, (code.prior_without if learning else code.prior).take(at), code.gate.take(at), code.bit.take(at), begin
+    at = np.arange(ends[-1])
+    at += np.repeat(code.first.take(leaf) - begin, sizes)
+    line = np.arange(line_ends[-1])
+    line += np.repeat(code.first_line.take(leaf) - line_ends + lines, lines)
+    h = np.repeat(contexts, lines, axis=1)  # hashed once a line of three bits
+    h ^= code.line.take(line)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x27D4EB2F)
+    h >>= np.uint32(35 - WORD_BITS)
+    h <<= np.uint32(3)
+    whose, place = np.repeat(np.arange(len(line)), code.width.take(line)), code.place.take(at)
+    slots = np.empty((len(h), len(at)), np.int64)
+    for k, own in enumerate(h):
+        np.bitwise_or(own.take(whose), place, out=slots[k])
+    prior, logit = (code.prior_without, code.logit_without) if learning else (code.prior, code.logit)
+    return slots, prior.take(at), logit.take(at), code.gate.take(at), code.bit.take(at), begin
 
 
 def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,31 +328,34 @@ def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data[at], np.stack(contexts), word
 
 
-def byte_bits(data: np.ndarray, contexts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Slots, prior, gate and value of the 8 bits of every byte: all first bits, then all second ones, and so on."""
-    partial = np.ones(len(data), np.uint32)
-    slots, bits = [], []
+def byte_bits(data: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, None, None, np.ndarray, np.ndarray]:
+    """Slots, prior and logit (none: a half), gate and value of the 8 bits of every byte: all first bits, then all second ones, and so on."""
+    partial, n = np.ones(len(data), np.uint32), len(data)
+    slots, bits = np.empty((len(contexts), 8 * n), np.int64), np.empty(8 * n, np.int8)
     for k in range(8):
         bit = data >> np.uint8(7 - k) & np.uint8(1)
-        h = (contexts ^ partial * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
+        h = contexts ^ partial * np.uint32(0x85EBCA6B)
+        h *= np.uint32(0xC2B2AE35)
         h ^= h >> np.uint32(15)
-        slots.append(((h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SLOT_BITS)).astype(np.int64))
-        bits.append(bit.astype(np.int8))
+        h *= np.uint32(0x27D4EB2F)
+        h >>= np.uint32(32 - SLOT_BITS)
+        slots[:, k * n : k * n + n] = h
+        bits[k * n : k * n + n] = bit
         partial = partial << np.uint32(1) | bit
-    return list(np.concatenate(slots, 1)), np.full(8 * len(data), 0.5, np.float32), np.repeat(np.arange(8), len(data)), np.concatenate(bits)
+    return slots, None, None, np.repeat(np.arange(0, 32, 4), n), bits
 
 
 def spelling_log10(model: Bits, words: list[bytes]) -> np.ndarray:
     data, contexts, word = spell(words)
-    return np.bincount(np.tile(word, 8), model.log10(*byte_bits(data, contexts)), len(words))
+    return np.bincount(np.tile(word, 8), model.log(*byte_bits(data, contexts)), len(words)) / np.log(10)
 
 
 def token_log10(model: Bits, code: Code, leaf: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     out = np.empty(len(leaf))
     for i in range(0, len(leaf), AT_ONCE):
         *bits, begin = node_bits(code, leaf[i : i + AT_ONCE], contexts[:, i : i + AT_ONCE])
-        out[i : i + AT_ONCE] = np.add.reduceat(model.log10(*bits), begin)
-    return out
+        out[i : i + AT_ONCE] = np.add.reduceat(model.log(*bits), begin)
+    return out / np.log(10)
 
 
 def shards_of(docs: DataFrame) -> DataFrame:
@@ -324,16 +389,16 @@ def escaped_shares(spectrum: dict[int, int], least: int) -> tuple[float, float,
     return discount, discount * words / tokens if tokens else 1.0, tokens
 
 
-def _coded(texts: list[str | None], code: dict[bytes, int], shorts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Leaf and contexts of every token, ends of the texts, and the words that are spelled."""
+def _coded(texts: list[str | None], code: dict[bytes, int], shorts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Leaf and contexts of every token, ends of the texts, and the words that are spelled; ``shorts``: number of a leaf's short word or 0."""
     tokens: list[bytes] = []
     ends = []
     for text in texts:
         tokens += lower_words_of(text)
         tokens.append(b"")  # the end; no word is empty
         ends.append(len(tokens))
-    leaf = np.fromiter(map(code.get, tokens, [ESCAPE] * len(tokens)), np.int64, len(tokens))
-    own = np.fromiter(map(shorts.get, tokens, [0] * len(tokens)), np.int64, len(tokens))
+    leaf = np.fromiter(map(code.get, tokens, repeat(ESCAPE)), np.int64, len(tokens))
+    own = shorts.take(leaf)
     first = np.repeat(np.concatenate(([0], ends[:-1])), np.diff(ends, prepend=0)).astype(np.int64)
     mark = np.where(own > 0, np.arange(len(tokens)), -1)
     last = np.maximum.accumulate(np.concatenate(([-1], mark[:-1])))  # nearest short word before each token
@@ -371,7 +436,9 @@ def scores(docs: DataFrame, held_out_modulus: int = 10) -> DataFrame:
     frequent.sort(key=lambda x: (-x[1].bit_length(), x[0]))
     code = {b"": END} | {w: i + 2 for i, (w, _) in enumerate(frequent)}
     short_words = [w for w, _ in sorted((x for x in frequent if len(x[0]) <= 3), key=lambda x: (-x[1], x[0]))[:SHORTS]]
-    shared = spark.sparkContext.broadcast((code, {w: i + 1 for i, w in enumerate(short_words)}))
+    shorts = np.zeros(len(frequent) + 2, np.int64)
+    shorts[[code[w] for w in short_words]] = np.arange(len(short_words)) + 1
+    shared = spark.sparkContext.broadcast((code, shorts))
     rare = counts.where(F.col("c") < least)
     discount, new, rare_tokens = escaped_shares({r["c"]: r["n"] for r in spectrum}, least)
     known = np.array([ends, 0.0, *(c for _, c in frequent)])
