@@ -23,3 +23,13 @@ def test_keys_are_made_and_packed_in_one_worker(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.components(docs).collect()}
     assert got == {i: i - i % 2 if i % 9 and (i - i % 2) % 9 else i for i in range(60)}
     assert plans[0].count("MapInArrow") == 2  # one before the shuffle, one after it
+
+
+def test_a_worker_holds_the_keys_of_few_texts():
+    """Keys of two million blocks, with several arrays beside each, used to be held at once; now half a million beyond those of a slice of texts."""
+    import pyarrow as pa
+
+    texts = [" ".join(str(i * 3000 + k) for k in range(3000)) for i in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200), pa.int64()), pa.array(range(1200), pa.int64()), pa.array(texts)], ["doc_id", "key", "text"])
+    made = [len(b.column("keys").flatten()) for b in ngram_join.described(5, 80)(iter([batch]))]
+    assert sum(made) > 3_000_000 and max(made) <= 1_000_000
